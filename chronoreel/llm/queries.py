@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import quality_rules
+from chronoreel.llm import mixing, packing, quality_rules, warc
 from chronoreel.llm.common import table
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_revisits": op3_warc_revisits,
+    "op4_length_packing": op4_length_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_source_mix": op7_source_mix,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_revisits": warc.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op7_source_mix": mixing.ORACLE,
 }
