@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import mixing, packing, quality_rules, warc
+from chronoreel.llm import mixing, packing, quality_rules, simhash, warc
 from chronoreel.llm.common import table
 
 
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build(spark, table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_groups": op2_simhash_groups,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_length_packing": op4_length_packing,
     "op6_quality_rules": op6_quality_rules,

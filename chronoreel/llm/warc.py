@@ -77,7 +77,7 @@ class _Roller:
             path = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
             fs, inner = _open(path)
             fs.create_dir(os.path.dirname(inner), recursive=True)
-            self.out, self.size = fs.open_output_stream(inner), 0
+            self.out, self.size = fs.open_output_stream(inner, compression=None), 0
             self.files.append(path)
             self.add(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", STAMP), ("Content-Type", "application/warc-fields")], b"software: chronoreel\r\nformat: WARC File Format 1.1\r\n"))
         packed = gzip.compress(record, self.level, mtime=0)
