@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import mixing, packing, quality_rules, simhash, warc
+from chronoreel.llm import byte_cnn, mixing, packing, quality_rules, secrets, simhash, warc
 from chronoreel.llm.common import table
 
 
@@ -30,12 +30,23 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_length_packing": op4_length_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_byte_cnn_quality": op9_byte_cnn_quality,
 }
 
 ORACLES: dict[str, str] = {
