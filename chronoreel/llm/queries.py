@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import byte_cnn, mixing, packing, quality_rules, secrets, simhash, warc
+from chronoreel.llm import byte_cnn, mixing, packing, quality_rules, secrets, simhash, vectors, warc
 from chronoreel.llm.common import table
 
 
+def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_links": op1_vector_links,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_length_packing": op4_length_packing,
