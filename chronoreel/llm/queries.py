@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import byte_cnn, mixing, packing, quality_rules, secrets, simhash, vectors, warc
+from chronoreel.llm import byte_cnn, html_text, mixing, packing, quality_rules, secrets, simhash, vectors, warc
 from chronoreel.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_length_packing": op4_length_packing,
+    "op5_main_text": op5_main_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_secret_scan": op8_secret_scan,
