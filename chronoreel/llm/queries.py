@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import byte_cnn, html_text, mixing, packing, quality_rules, secrets, simhash, vectors, warc
+from chronoreel.llm import byte_cnn, html_text, maxent_lm, mixing, packing, quality_rules, secrets, simhash, vectors, warc
 from chronoreel.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, byte_cnn.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_links": op1_vector_links,
     "op2_simhash_groups": op2_simhash_groups,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mix": op7_source_mix,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_cnn_quality": op9_byte_cnn_quality,
+    "op10_maxent_lm": op10_maxent_lm,
 }
 
 ORACLES: dict[str, str] = {
