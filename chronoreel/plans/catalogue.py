@@ -1,4 +1,466 @@
-"""Named queries over the driver's tables, with their SQL."""
+"""Named queries over the driver's tables, each over whole tables, with their DuckDB form.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Floating-point results are rounded to six places on both sides; every computed column is cast.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoreel.config import IndexConfig
+from chronoreel.functions.text import mcq_prompt, query_text, url_id
+from chronoreel.functions.vectors import dot
+from chronoreel.operators import evaluate, inference, manifest, retrieve, sampling, segments, signals
+from chronoreel.plans.adapters import customer_videos, embedding_frames, event_frames, flat_questions, table
+from chronoreel.sources import sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+LOW, HIGH = (0.32, 2.0), (0.58, 4.0)
+EVENT_LOW, EVENT_HIGH = (20.0, 86400.0), (60.0, 259200.0)
+BUDGET = 8
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(column: str, out: str | None = None):
+    return F.round(F.col(column).cast("double"), 6).alias(out or column)
+
+
+# SQL of the adapters.
+
+_E = """
+e AS (SELECT label::VARCHAR AS video_key, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame_ordinal,
+  ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 4.0)::FLOAT AS time_sec, embedding::DOUBLE[] AS embedding, vec_id FROM embeddings)"""
+_V = """
+v AS (SELECT user_id::VARCHAR AS video_key, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame_ordinal,
+  (date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) / 1e6::DOUBLE)::FLOAT AS time_sec, value::FLOAT AS signal FROM events)"""
+_DRIFT = """
+dr AS (SELECT *, coalesce(1 - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(embedding, lag(embedding) OVER (PARTITION BY video_key ORDER BY frame_ordinal)))), 0.0)::DOUBLE AS drift FROM e)"""
+
+
+def _minmax_sql(x: str) -> str:
+    lo, hi = f"min({x}::DOUBLE) OVER (PARTITION BY video_key)", f"max({x}::DOUBLE) OVER (PARTITION BY video_key)"
+    return f"CASE WHEN abs({hi} - {lo}) <= 1e-9::DOUBLE * greatest(abs({hi}), abs({lo})) THEN 0.0::DOUBLE ELSE ({x}::DOUBLE - {lo}) / ({hi} - {lo}) END"
+
+
+def _segments_sql(source: str, score: str, threshold: float, shortest: float, level: str, name: str, longest: float | None = None) -> str:
+    """CTEs that end in ``name``: the segments of ``source`` (video_key, frame_ordinal, time_sec)."""
+    more = f" OR n.time_sec - b.t >= {longest}::FLOAT" if longest else ""
+    return f"""
+{name}_f AS (SELECT video_key, frame_ordinal AS i, time_sec, {score}::FLOAT AS s FROM {source}),
+{name}_w AS (
+  SELECT video_key, i, time_sec AS t FROM {name}_f WHERE i = 0
+  UNION ALL
+  SELECT b.video_key, x.i, x.t FROM {name}_w b, LATERAL (
+    SELECT n.i, n.time_sec AS t FROM {name}_f n WHERE n.video_key = b.video_key AND n.i > b.i
+      AND ((n.s >= {threshold}::FLOAT AND n.time_sec - b.t >= {shortest}::FLOAT){more}) ORDER BY n.i LIMIT 1) x),
+{name}_b AS (SELECT video_key, i, t FROM {name}_w UNION SELECT video_key, max(i), max_by(time_sec, i) FROM {name}_f GROUP BY 1),
+{name}_p AS (SELECT video_key, i AS a, lead(i) OVER w AS b, t AS ta, lead(t) OVER w AS tb, (row_number() OVER w - 1)::INT AS no FROM {name}_b WINDOW w AS (PARTITION BY video_key ORDER BY i)),
+{name} AS (
+  SELECT p.video_key, '{level}' AS level, p.no AS segment_no, '{level}' || '_' || lpad(p.no::VARCHAR, 4, '0') AS segment_id, p.a AS start_index, p.b AS end_index,
+    p.ta::DOUBLE AS start_time_sec, p.tb::DOUBLE AS end_time_sec, greatest(0.0::DOUBLE, p.tb::DOUBLE - p.ta::DOUBLE) AS duration_sec,
+    max(f.s)::DOUBLE AS peak_score, avg(f.s::DOUBLE) AS mean_score
+  FROM {name}_p p JOIN {name}_f f ON f.video_key = p.video_key AND f.i BETWEEN p.a AND p.b WHERE p.b IS NOT NULL GROUP BY ALL)"""
+
+
+_SEGMENT_OUT = """video_key, level, segment_no, segment_id, start_index, end_index, round(start_time_sec, 6) AS start_time_sec, round(end_time_sec, 6) AS end_time_sec,
+  round(duration_sec, 6) AS duration_sec, round(peak_score, 6) AS peak_score, round(mean_score, 6) AS mean_score"""
+
+
+def _segment_rows(df: DataFrame) -> DataFrame:
+    times = ("start_time_sec", "end_time_sec", "duration_sec", "peak_score", "mean_score")
+    return df.select("video_key", "level", "segment_no", "segment_id", "start_index", "end_index", *[_r(c) for c in times])
+
+
+def _picks_sql(n: str, k: str) -> str:
+    """Even picks of n by k as a list."""
+    return (
+        f"CASE WHEN {n} <= 0 THEN []::INT[] WHEN {k} = 1 THEN [0] ELSE "
+        f"list_transform(range({k}), lambda i: round_even(({n} - 1) * i / ({k} - 1)::DOUBLE, 0)::INT) END"
+    )
+
+
+def _uniform_sql(n: str, k: str) -> str:
+    return f"CASE WHEN {n} <= {k} THEN list_transform(range({n}), lambda i: i::INT) ELSE {_picks_sql(n, k)} END"
+
+
+# Signals -------------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT user_id::VARCHAR AS video_key, native_index, native_fps, (native_index // greatest(round_even(native_fps / 4.0, 0)::INT, 1))::INT AS frame_ordinal, round((native_index / native_fps)::FLOAT::DOUBLE, 6) AS time_sec
+FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS native_index,
+  CASE user_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 25.0 WHEN 2 THEN 10.0 ELSE 29.97 END::DOUBLE AS native_fps FROM events)
+WHERE native_index % greatest(round_even(native_fps / 4.0, 0)::INT, 1) = 0"""
+)
+def stride_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.element_at(F.array(*[F.lit(x) for x in (30.0, 25.0, 10.0, 29.97)]), (F.col("video_key").cast("int") % 4) + 1)
+    native = event_frames(spark, sf_dir).select("video_key", F.col("frame_ordinal").cast("long").alias("native_index")).withColumn("native_fps", rate)
+    return signals.stride(native, 4.0).select("video_key", "native_index", "native_fps", "frame_ordinal", _r("time_sec"))
+
+
+@query(f"WITH {_E}, {_DRIFT} SELECT video_key, frame_ordinal, round(drift, 6) AS drift FROM dr")
+def cosine_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.cosine_drift(embedding_frames(spark, sf_dir)).select("video_key", "frame_ordinal", _r("drift"))
+
+
+@query(f"WITH {_V} SELECT video_key, frame_ordinal, round({_minmax_sql('signal')}, 6) AS scaled FROM v")
+def minmax_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_frames(spark, sf_dir).withColumn("scaled", signals.minmax("signal")).select("video_key", "frame_ordinal", _r("scaled"))
+
+
+_THREE = f"""{_E}, {_DRIFT},
+s3 AS (SELECT video_key, frame_ordinal, time_sec, drift AS openclip, abs(embedding[1]) AS dino, abs(embedding[2] - coalesce(lag(embedding[2]) OVER (PARTITION BY video_key ORDER BY frame_ordinal), embedding[2])) AS energy FROM dr),
+n3 AS (SELECT video_key, frame_ordinal, time_sec, {_minmax_sql("openclip")} AS o, {_minmax_sql("dino")} AS d, {_minmax_sql("energy")} AS g FROM s3),
+fu AS (SELECT video_key, frame_ordinal, time_sec, ((o * 0.45::DOUBLE + d * 0.35::DOUBLE + g * 0.2::DOUBLE) / 1.0::DOUBLE)::FLOAT AS combined FROM n3)"""
+
+
+def _three_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    last = F.lag(F.col("embedding")[1]).over(Window.partitionBy("video_key").orderBy("frame_ordinal"))
+    now = F.col("embedding")[1]
+    rows = signals.cosine_drift(embedding_frames(spark, sf_dir), out="openclip")
+    rows = rows.withColumn("dino", F.abs(F.col("embedding")[0].cast("double"))).withColumn("energy", F.abs(now.cast("double") - F.coalesce(last, now)))
+    return signals.fuse(rows, IndexConfig())
+
+
+@query(f"WITH {_THREE} SELECT video_key, frame_ordinal, round(combined::DOUBLE, 5) AS combined FROM fu")
+def fused_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _three_signals(spark, sf_dir).select("video_key", "frame_ordinal", F.round(F.col("combined").cast("double"), 5).alias("combined"))
+
+
+# Segments ------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {_V}, {_segments_sql('v', 'signal', *EVENT_LOW, 'low', 'lo')} SELECT {_SEGMENT_OUT} FROM lo")
+def segments_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_rows(segments.segment_by_threshold(event_frames(spark, sf_dir), *EVENT_LOW, "low", score="signal"))
+
+
+@query(f"WITH RECURSIVE {_V}, {_segments_sql('v', 'signal', *EVENT_HIGH, 'high', 'hi')} SELECT {_SEGMENT_OUT} FROM hi")
+def segments_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_rows(segments.segment_by_threshold(event_frames(spark, sf_dir), *EVENT_HIGH, "high", score="signal"))
+
+
+@query(f"WITH RECURSIVE {_V}, {_segments_sql('v', 'signal', *EVENT_HIGH, 'high', 'hi', 604800.0)} SELECT {_SEGMENT_OUT} FROM hi")
+def segments_max_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_rows(segments.segment_by_threshold(event_frames(spark, sf_dir), *EVENT_HIGH, "high", max_seconds=604800.0, score="signal"))
+
+
+_LEVELS = f"""{_E}, {_DRIFT},
+sc AS (SELECT video_key, frame_ordinal, time_sec, {_minmax_sql("drift")} AS score FROM dr),
+{_segments_sql("sc", "score", *LOW, "low", "lo")}, {_segments_sql("sc", "score", *HIGH, "high", "hi")},
+sg AS (SELECT * FROM lo UNION ALL SELECT * FROM hi),
+pm AS (SELECT sg.video_key, sg.level, sg.segment_no, u.p, avg(e.embedding[u.p]) AS m FROM sg JOIN e ON e.video_key = sg.video_key AND e.frame_ordinal BETWEEN sg.start_index AND sg.end_index,
+  (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM e) + 1)) AS p) u GROUP BY ALL),
+pn AS (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY video_key, level, segment_no)) AS norm FROM pm),
+pv AS (SELECT video_key, level, segment_no, list((m / greatest(norm, 1e-12::DOUBLE))::FLOAT::DOUBLE ORDER BY p) AS vec FROM pn GROUP BY ALL),
+sv AS (SELECT sg.*, pv.vec FROM sg JOIN pv USING (video_key, level, segment_no))"""
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, and low and high segments with pooled vectors, from the drift of the embeddings."""
+    frames = embedding_frames(spark, sf_dir)
+    scored = signals.cosine_drift(frames).withColumn("score", signals.minmax("drift"))
+    low, high = (segments.mean_pool(frames, segments.segment_by_threshold(scored, t, s, k, score="score")) for k, (t, s) in (("low", LOW), ("high", HIGH)))
+    return frames, low, high
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT video_key, level, segment_no, (p - 1)::INT AS position, round((m / greatest(norm, 1e-12::DOUBLE))::FLOAT::DOUBLE, 5) AS value FROM pn")
+def segment_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, low, high = _levels(spark, sf_dir)
+    rows = low.unionByName(high).select("video_key", "level", "segment_no", F.posexplode("embedding").alias("position", "value"))
+    return rows.select("video_key", "level", "segment_no", "position", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+# Retrieval -----------------------------------------------------------------------
+
+_HITS = f"""{_LEVELS},
+qv AS (SELECT video_key, 'q' || frame_ordinal::VARCHAR AS question_id, embedding AS query FROM e WHERE frame_ordinal IN (0, 5)),
+th AS (SELECT *, row_number() OVER (PARTITION BY video_key, question_id ORDER BY score DESC, segment_no) AS rank
+  FROM (SELECT sv.*, question_id, list_dot_product(vec, query) AS score FROM sv JOIN qv USING (video_key) WHERE level = 'high') QUALIFY rank <= 2),
+tl AS (SELECT *, row_number() OVER (PARTITION BY video_key, question_id ORDER BY score DESC, segment_no) AS rank
+  FROM (SELECT sv.*, question_id, list_dot_product(vec, query) AS score FROM sv JOIN qv USING (video_key) WHERE level = 'low'
+    AND EXISTS (SELECT 1 FROM th WHERE th.video_key = sv.video_key AND th.question_id = qv.question_id AND sv.start_index >= th.start_index AND sv.end_index <= th.end_index))
+  QUALIFY rank <= 3)"""
+_HIT_OUT = """video_key, question_id, level, segment_id, rank::INT AS rank, round(score, 5) AS score, start_index, end_index, round(start_time_sec, 6) AS start_time_sec,
+  round(end_time_sec, 6) AS end_time_sec, round(duration_sec, 6) AS duration_sec"""
+
+
+def _questions(frames: DataFrame) -> DataFrame:
+    """Two questions a video: the vectors of its frames 0 and 5."""
+    rows = frames.where(F.col("frame_ordinal").isin(0, 5))
+    return rows.select("video_key", F.concat(F.lit("q"), F.col("frame_ordinal").cast("string")).alias("question_id"), F.col("embedding").alias("query"))
+
+
+def _hit_rows(hits: DataFrame) -> DataFrame:
+    return hits.select(
+        "video_key", "question_id", "level", "segment_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"),
+        "start_index", "end_index", _r("start_time_sec"), _r("end_time_sec"), _r("duration_sec"),
+    )
+
+
+@query(f"WITH RECURSIVE {_HITS} SELECT {_HIT_OUT} FROM th")
+def top_high_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, _, high = _levels(spark, sf_dir)
+    return _hit_rows(retrieve.top_segments(high, _questions(frames), 2))
+
+
+@query(f"WITH RECURSIVE {_HITS} SELECT {_HIT_OUT} FROM tl")
+def low_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, low, high = _levels(spark, sf_dir)
+    asked = _questions(frames)
+    return _hit_rows(retrieve.low_candidates(retrieve.top_segments(high, asked, 2), low, asked, 3))
+
+
+def _evidence_sql(hits: str, frames: str, budget: int) -> str:
+    n = "end_index - start_index + 1"
+    return f"""
+ev_k AS (SELECT *, greatest(1, {budget} // count(*) OVER (PARTITION BY video_key, question_id)) AS k FROM {hits}),
+ev_p AS (SELECT DISTINCT video_key, question_id, start_index + unnest({_uniform_sql(f"({n})", "k")}) AS frame_index FROM ev_k),
+ev_l AS (SELECT video_key, question_id, list(frame_index ORDER BY frame_index) AS l, count(*) AS n FROM ev_p GROUP BY ALL),
+ev_c AS (SELECT video_key, question_id, CASE WHEN n <= {budget} THEN l ELSE list_transform({_picks_sql("n", str(budget))}, lambda j: l[j + 1]) END AS c FROM ev_l),
+ev_o AS (SELECT video_key, question_id, unnest(range(len(c)))::INT AS position, unnest(c)::INT AS frame_index FROM ev_c),
+ev AS (SELECT o.*, f.time_sec::DOUBLE AS time_sec FROM ev_o o JOIN {frames} f ON f.video_key = o.video_key AND f.frame_ordinal = o.frame_index)"""
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_evidence_sql('tl', 'e', BUDGET)} SELECT video_key, question_id, position, frame_index, round(time_sec, 6) AS time_sec FROM ev")
+def flagship_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, low, high = _levels(spark, sf_dir)
+    asked = _questions(frames)
+    hits = retrieve.low_candidates(retrieve.top_segments(high, asked, 2), low, asked, 3)
+    return retrieve.evidence_frames(hits, frames, BUDGET).select("video_key", "question_id", "position", "frame_index", _r("time_sec"))
+
+
+_EVENT_HITS = f"{_V}, {_segments_sql('v', 'signal', *EVENT_HIGH, 'high', 'hi')}, eh AS (SELECT *, 'q' AS question_id FROM hi QUALIFY row_number() OVER (PARTITION BY video_key ORDER BY peak_score DESC, segment_no) <= 3)"
+
+
+def _event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence from the three segments of each user with the highest peaks."""
+    frames = event_frames(spark, sf_dir)
+    found = segments.segment_by_threshold(frames, *EVENT_HIGH, "high", score="signal")
+    hits = retrieve._best(found.withColumn("question_id", F.lit("q")).withColumn("score", F.col("peak_score")), 3)
+    return retrieve.evidence_frames(hits, frames, BUDGET)
+
+
+@query(f"WITH RECURSIVE {_EVENT_HITS}, {_evidence_sql('eh', 'v', BUDGET)} SELECT video_key, question_id, position, frame_index, round(time_sec, 6) AS time_sec FROM ev")
+def evidence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _event_evidence(spark, sf_dir).select("video_key", "question_id", "position", "frame_index", _r("time_sec"))
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENT_HITS}, {_evidence_sql("eh", "v", BUDGET)}
+SELECT video_key, question_id, position, lpad(position::VARCHAR, 2, '0') || '_' || replace(printf('%.2f', time_sec), '.', '_') || 's.png' AS file_name FROM ev"""
+)
+def evidence_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.frame_names(_event_evidence(spark, sf_dir)).select("video_key", "question_id", "position", "file_name")
+
+
+_PICKED = "SELECT video_key, unnest(range(len(c)))::INT AS position, unnest(c)::INT AS frame_index FROM (SELECT video_key, {} AS c FROM (SELECT user_id::VARCHAR AS video_key, count(*) AS n FROM events GROUP BY 1))"
+
+
+@query(_PICKED.format(_uniform_sql("n", "64")))
+def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.uniform_frames(event_frames(spark, sf_dir), 64)
+
+
+@query(_PICKED.format(_picks_sql("n", "8")))
+def resample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.resample_exact(event_frames(spark, sf_dir), 8)
+
+
+@query(
+    """
+WITH q AS (SELECT DISTINCT user_id FROM events),
+x AS (SELECT user_id, count_if(event_type = 'click')::INT AS n FROM events GROUP BY 1 HAVING user_id % 3 <> 0)
+SELECT q.user_id::VARCHAR AS video_key, 'q' AS question_id, (CASE WHEN n IS NULL THEN 64 ELSE greatest(1, n) END)::INT AS frame_budget FROM q LEFT JOIN x USING (user_id)"""
+)
+def frame_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("video_key", F.col("user_id").cast("string")).withColumn("question_id", F.lit("q"))
+    asked = events.select("video_key", "question_id").distinct()
+    exported = events.where(F.col("user_id") % 3 != 0).groupBy("video_key", "question_id").agg(F.count_if(F.col("event_type") == "click").cast("int").alias("n_frames"))
+    return retrieve.frame_budget(asked, exported, 64)
+
+
+# Manifests -----------------------------------------------------------------------
+
+_FLAT = """
+fl AS (SELECT lpad(conv_id::VARCHAR, 6, '0') AS video_id, lang AS duration, source AS domain, 'sub' || (conv_id % 3)::VARCHAR AS sub_category,
+  CASE WHEN conv_id % 2 = 0 THEN 'c' || conv_id::VARCHAR ELSE 'c' || conv_id::VARCHAR END AS url, lpad(conv_id::VARCHAR, 6, '0') || '-' || turn::VARCHAR AS question_id,
+  role AS task_type, c.text AS question, ['A. yes', 'B. no', 'C. both', 'D. neither'] AS options, ['A', 'B', 'C', 'D'][((conv_id + turn) % 4 + 1)::INT] AS answer, conv_id, turn
+  FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)"""
+_FLAT_OUT = "video_id, duration, domain, sub_category, url, question_id, task_type, question, array_to_string(options, '|') AS options, answer"
+
+
+def _joined_options(df: DataFrame) -> DataFrame:
+    return df.withColumn("options", F.array_join("options", "|"))
+
+
+@query(f"WITH {_FLAT} SELECT video_id, url, duration, domain, sub_category, (row_number() OVER (PARTITION BY video_id, url ORDER BY question_id, turn) - 1)::INT AS position, question_id, answer FROM fl")
+def manifest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = manifest.group_flat(flat_questions(spark, sf_dir))
+    return grouped.select("video_id", "url", "duration", "domain", "sub_category", F.posexplode("questions").alias("position", "q")).select(
+        "video_id", "url", "duration", "domain", "sub_category", "position", "q.question_id", "q.answer"
+    )
+
+
+@query(f"WITH {_FLAT} SELECT {_FLAT_OUT} FROM fl")
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_options(manifest.question_rows(manifest.group_flat(flat_questions(spark, sf_dir))))
+
+
+@query(
+    f"""WITH {_FLAT}, vi AS (SELECT DISTINCT video_id, url, duration, domain, sub_category FROM fl)
+SELECT 'video_count' AS stat, '' AS key, count(*)::BIGINT AS n FROM vi UNION ALL SELECT 'question_count', '', count(*)::BIGINT FROM fl
+UNION ALL SELECT 'by_duration', duration, count(*)::BIGINT FROM vi GROUP BY 2 UNION ALL SELECT 'by_domain', domain, count(*)::BIGINT FROM vi GROUP BY 2
+UNION ALL SELECT 'by_sub_category', sub_category, count(*)::BIGINT FROM vi GROUP BY 2
+UNION ALL SELECT 'by_duration_domain', duration || ' | ' || domain, count(*)::BIGINT FROM vi GROUP BY 2
+UNION ALL SELECT 'by_task_type', task_type, count(*)::BIGINT FROM fl GROUP BY 2"""
+)
+def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.stats(manifest.group_flat(flat_questions(spark, sf_dir)))
+
+
+@query(
+    """
+SELECT page_id, CASE WHEN strpos(u, 'watch?v=') > 0 THEN substr(u, strpos(u, 'watch?v=') + 8) ELSE u END AS url_id
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://v.example/watch?v=' || url ELSE url END AS u FROM pages)"""
+)
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://v.example/watch?v="), F.col("url"))).otherwise(F.col("url"))
+    return pages.select("page_id", url_id(F.lit(""), url).alias("url_id"))
+
+
+@query(
+    """
+SELECT c_custkey::BIGINT AS row_no, c_name AS url, t.target_no::INT AS target_no
+FROM customer JOIN (VALUES ('Customer#000000003', 0), ('Customer#000000001', 1), ('nobody', 2)) t(name, target_no) ON c_name = t.name"""
+)
+def target_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = manifest.select_targets(customer_videos(spark, sf_dir), ["Customer#000000003", "Customer#000000001", "nobody"])
+    return picked.select("row_no", "url", "target_no")
+
+
+# Sampling ------------------------------------------------------------------------
+
+_CUSTOMERS = "cu AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS video_id, c_mktsegment AS duration, c_nationkey::VARCHAR AS domain, c_name AS url, c_custkey AS row_no FROM customer)"
+
+
+def _sample_sql(size: str, part: str) -> str:
+    """Rows of cu that a stratified sample of ``size`` within ``part`` draws."""
+    over = f"PARTITION BY {part}" if part else ""
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""WITH {_CUSTOMERS},
+st AS (SELECT duration, domain, count(*) AS n, min(row_no) AS f FROM cu GROUP BY ALL),
+sz AS (SELECT *, {size} AS size, sum(n) OVER ({over}) AS total FROM st),
+ra AS (SELECT *, size * (n / total::DOUBLE) AS raw FROM sz WHERE size IS NOT NULL),
+ba AS (SELECT *, least(n, greatest(1, floor(raw)))::BIGINT AS base FROM ra),
+de AS (SELECT *, sum(base) OVER ({over}) - size AS d FROM ba),
+ru AS (SELECT *, coalesce(sum(base - 1) OVER ({over} ORDER BY base DESC, n DESC, f {before}), 0) AS took, coalesce(sum(n - base) OVER ({over} ORDER BY raw - floor(raw) DESC, f {before}), 0) AS gave FROM de),
+tg AS (SELECT duration, domain, CASE WHEN size >= total THEN n ELSE base - greatest(0, least(d - took, base - 1)) + greatest(0, least(-d - gave, n - base)) END AS target FROM ru)
+SELECT video_id, duration, domain, url FROM (SELECT cu.*, row_number() OVER (PARTITION BY duration, domain ORDER BY md5('7|' || url), url) AS r FROM cu) JOIN tg USING (duration, domain) WHERE r <= target"""
+
+
+def _strata_size(videos: DataFrame) -> int:
+    """Room for every stratum and half as many again."""
+    return 200 if videos.count() >= 1000 else 120
+
+
+@query(_sample_sql("CASE WHEN (SELECT count(*) FROM customer) >= 1000 THEN 200 ELSE 120 END", ""))
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = customer_videos(spark, sf_dir)
+    return sampling.stratified_sample(videos, _strata_size(videos), 7).select("video_id", "duration", "domain", "url")
+
+
+@query(_sample_sql("CASE duration WHEN 'BUILDING' THEN 26 WHEN 'MACHINERY' THEN 27 END", "duration"))
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampling.quota_sample(customer_videos(spark, sf_dir), {"BUILDING": 26, "MACHINERY": 27}, 7)
+    return drawn.select("video_id", "duration", "domain", "url")
+
+
+@query(
+    f"""WITH {_CUSTOMERS}, sl AS (SELECT duration AS du, domain AS dm FROM cu WHERE row_no = 1)
+SELECT 0 AS slot, url, (CASE WHEN duration = du AND domain = dm THEN 0 WHEN duration = du THEN 1 ELSE 3 END)::INT AS stage, md5('7|0|' || url) AS tie
+FROM cu, sl WHERE url <> (SELECT url FROM cu WHERE row_no = 1) AND row_no % 5 <> 2"""
+)
+def replacement_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = customer_videos(spark, sf_dir)
+    lost = videos.where(F.col("row_no") == 1)
+    slots = lost.select(F.lit(0).alias("slot"), "duration", "domain")
+    found = sampling.replacement_candidates(slots, videos, videos.where(F.col("row_no") % 5 == 2), lost, 7, enforce_duration=True)
+    return found.select("slot", "url", "stage", "tie")
+
+
+# Text and answers ----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_FLAT} SELECT question_id, 'Look.' || chr(10) || 'Answer the multiple-choice question using only the evidence shown.' || chr(10) || 'Reply with only one letter: A, B, C, or D.' || chr(10) || chr(10)
+|| 'Question: ' || question || chr(10) || 'Options:' || chr(10) || array_to_string(options, chr(10)) AS prompt FROM fl"""
+)
+def mcq_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_questions(spark, sf_dir).select("question_id", mcq_prompt(F.col("question"), F.col("options"), "Look.").alias("prompt"))
+
+
+@query(f"WITH {_FLAT} SELECT question_id, question || chr(10) || array_to_string(options, chr(10)) AS query FROM fl")
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_questions(spark, sf_dir).select("question_id", query_text(F.col("question"), F.col("options")).alias("query"))
+
+
+_SAID = r"""
+sa AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 4 THEN 'E ' ELSE substr('ABCD', (conv_id % 5 + 1)::INT, 1) || ' ' END || regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS raw_text, ['A', 'B', 'C', 'D'][((conv_id + turn) % 4 + 1)::INT] AS gold_letter FROM conversations),
+ju AS (SELECT *, nullif(regexp_extract(upper(raw_text), '\b([A-D])\b', 1), '') AS predicted_letter FROM sa)"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers: a letter from the conversation's id, then the turn's ASCII text."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in ("A ", "B ", "C ", "D ", "E ")]), (F.col("conv_id") % 5 + 1).cast("int"))
+    gold = F.element_at(F.array(*map(F.lit, "ABCD")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    return evaluate.judged(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(letter, text).alias("raw_text"), gold.alias("gold_letter")))
+
+
+@query(f"WITH {_SAID} SELECT conv_id, turn, predicted_letter, coalesce(predicted_letter = gold_letter, false) AS choice_correct FROM ju")
+def parse_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(spark, sf_dir).select("conv_id", "turn", "predicted_letter", "choice_correct")
+
+
+@query(f"WITH {_SAID} SELECT count(*)::BIGINT AS n_questions, round(coalesce(avg(CASE WHEN predicted_letter IS NOT DISTINCT FROM gold_letter THEN 1.0 ELSE 0.0 END), 0.0)::DOUBLE, 6) AS choice_accuracy FROM ju")
+def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_said(spark, sf_dir)).select("n_questions", _r("choice_accuracy"))
+
+
+# Models (stubs; no SQL) -----------------------------------------------------------
+
+
+@query()
+def encoder_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = inference.encode(docs, "text", inference.StubEncoder)
+    return coded.select("doc_id", F.size("embedding").alias("width"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
+@query()
+def answer_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat_questions(spark, sf_dir)
+    asked = rows.select("question_id", F.col("answer").alias("gold_letter"), mcq_prompt(F.col("question"), F.col("options")).alias("prompt"), F.lit(None).cast("array<int>").alias("frames"))
+    return evaluate.judged(inference.answer(asked, inference.StubAnswerer)).select("question_id", "predicted_letter", "gold_letter", "choice_correct")
