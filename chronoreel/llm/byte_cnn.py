@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def accepted(docs: DataFrame, model: ByteCNN) -> DataFrame:
     """The rows of ``docs`` whose text scores 0.5 or more."""
 
     @F.pandas_udf("boolean")
-    def good(batches: Iterator) -> Iterator:
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = model.pair_tables()
         for texts in batches:
             yield texts.map(lambda t: bool(model.scores([t], tables)[0] >= 0.5))

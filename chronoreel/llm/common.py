@@ -57,6 +57,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame, tag: str, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` stored, and marked for broadcast if its measured size allows; else joins shuffle it."""
+    kept = stored(df, tag)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in kept.dtypes if kind in ("string", "binary")]
+    size = kept.agg(F.sum(sum(texts, F.lit(16 * len(kept.columns)))).alias("b")).first()["b"] or 0
+    return F.broadcast(kept) if size <= most_bytes else kept
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

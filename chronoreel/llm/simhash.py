@@ -192,7 +192,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     own = groups(docs, id_col, text_col, shingle, radius)
     chosen = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
     counts = stored(chosen.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
-    with_id = docs.join(counts, id_col)
-    once = with_id.where(F.col("__rows") == 1).select(*docs.columns)
-    more = with_id.where(F.col("__rows") > 1).select(*docs.columns).dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    out = docs.join(counts.where(F.col("__rows") == 1), id_col, "left_semi")
+    more = counts.where(F.col("__rows") > 1)
+    if not more.isEmpty():
+        out = out.unionByName(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
