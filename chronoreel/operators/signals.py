@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from chronoreel.config import IndexConfig
 from chronoreel.functions.vectors import clamp, dot
 
-_VIDEO = Window.partitionBy("video_key")
-_IN_ORDER = _VIDEO.orderBy("frame_ordinal")
+
+def _video() -> Window:
+    return Window.partitionBy("video_key")
 
 
 def stride(frames: DataFrame, fps: float) -> DataFrame:
@@ -30,14 +31,14 @@ def stride(frames: DataFrame, fps: float) -> DataFrame:
 
 def cosine_drift(frames: DataFrame, column: str = "embedding", out: str = "drift") -> DataFrame:
     """1 - clamped dot product with the frame before; 0 for the first. Vectors are taken to have length one."""
-    last = F.lag(column).over(_IN_ORDER)
+    last = F.lag(column).over(_video().orderBy("frame_ordinal"))
     return frames.withColumn(out, F.coalesce(1 - clamp(dot(F.col(column), last)), F.lit(0.0)))
 
 
 def minmax(column: str) -> Column:
     """The column scaled to [0, 1] over its video; all zero where it is constant."""
     x = F.col(column).cast("double")
-    low, high = F.min(x).over(_VIDEO), F.max(x).over(_VIDEO)
+    low, high = F.min(x).over(_video()), F.max(x).over(_video())
     flat = F.abs(high - low) <= F.lit(1e-9) * F.greatest(F.abs(high), F.abs(low))
     return F.when(flat, F.lit(0.0)).otherwise((x - low) / (high - low))
 
