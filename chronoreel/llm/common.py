@@ -36,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/chronoreel/{tag}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, with its file system named, for readers and writers outside Spark too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/chronoreel/{tag}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
