@@ -61,13 +61,19 @@ SMOOTH_CONTAINER = 0.5
 
 
 @lru_cache(maxsize=4096)
-def _hint(tag: str, attrs: str) -> float:
-    """What an element adds to the evidence for the text inside it."""
-    z = FURNITURE.get(tag, 0.0) + MAIN.get(tag, 0.0)
+def _hint(tag: str, attrs: str, inside: int) -> float:
+    """What an element adds to the evidence for the text inside it.
+
+    ``inside``: 1 in main text, where a header is the article's own; -1 in furniture, which nothing redeems.
+    """
+    z = 0.0 if tag == "header" and inside > 0 else FURNITURE.get(tag, 0.0)
+    z += MAIN.get(tag, 0.0) * (inside >= 0)
     if attrs:
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs))
+        if inside > 0:
+            names = re.sub(r"header", "", names, flags=re.I)
         if names and tag not in ("body", "html"):
-            z += -6.0 if BAD_NAME.search(names) else 1.5 if GOOD_NAME.search(names) else 0.0
+            z += -6.0 if BAD_NAME.search(names) else 1.5 * (inside >= 0) if GOOD_NAME.search(names) else 0.0
         if HIDDEN.search(attrs):
             z -= 8.0
     return z
@@ -134,7 +140,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in VOID and not (m[4] or "").endswith("/"):
                 state[0] += 1
                 state[2] += tag == "a"
-                stack.append((tag, state[0], max(-14.0, min(6.0, stack[-1][2] + _hint(tag, m[4] or "")))))
+                before = stack[-1][2]
+                stack.append((tag, state[0], max(-14.0, min(6.0, before + _hint(tag, m[4] or "", (before > 2) - (before < -2))))))
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -26,6 +26,15 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "<!-- x", "<script>var x")] == [""] * 6
 
 
+def test_article_header_stays_and_comments_go():
+    page = (
+        "<body><div class=page><article><header class='article-header'><h1>A title</h1></header><p>Some sentences of the article stand here, and they go on.</p></article>"
+        "<section id=comments><article class=comment><p>What a long and thoughtful comment this is, with many words in it, and more.</p></article></section>"
+        "<aside class=related><article><h3>Other story</h3><p>A teaser that is rather long and reads like a text of its own, with words.</p></article></aside></div>"
+    )
+    assert html_text.main_text(page) == "A title\nSome sentences of the article stand here, and they go on."
+
+
 def test_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(200):
