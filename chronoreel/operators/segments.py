@@ -63,42 +63,51 @@ class _Scan:
             at = stop
 
 
-def segment_by_threshold(
-    frames: DataFrame, threshold: float, min_seconds: float, level: str, max_seconds: float | None = None, score: str = "combined"
-) -> DataFrame:
-    """Segments of each video (schema SEGMENT_SCAN and segment_id); neighbours share their boundary frame.
-
-    A frame ends a segment if its score reaches the threshold at least ``min_seconds`` after the last
-    boundary, or if ``max_seconds`` have passed. One frame alone makes no segment. The scan depends on its
-    own last result, which no window function expresses; rows stream through it sorted by video and frame,
-    so memory does not grow with a video. Only ordinal, time and score are shuffled.
+def segment_levels(frames: DataFrame, levels: dict[str, tuple[float, float]], max_seconds: float | None = None, score: str = "combined") -> DataFrame:
+    """Segments of each video at each level (threshold, least seconds), in one pass.
+
+    Rows have schema SEGMENT_SCAN and segment_id; neighbours share their boundary frame. A frame ends a
+    segment if its score reaches the threshold at least that many seconds after the last boundary, or if
+    ``max_seconds`` have passed. One frame alone makes no segment. The scan depends on its own last result,
+    which no window function expresses; rows stream through it sorted by video and frame, so memory does
+    not grow with a video. Only ordinal, time and score are shuffled.
     """
     rows = frames.select("video_key", "frame_ordinal", F.col("time_sec").cast("float").alias("t"), F.col(score).cast("float").alias("s"))
+    names = ["video_key", "segment_no", "start_index", "end_index", "start_time_sec", "end_time_sec", "duration_sec", "peak_score", "mean_score"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = _Scan(threshold, min_seconds, max_seconds)
-        names = ["video_key", "segment_no", "start_index", "end_index", "start_time_sec", "end_time_sec", "duration_sec", "peak_score", "mean_score"]
+        scans = {level: _Scan(threshold, shortest, max_seconds) for level, (threshold, shortest) in levels.items()}
 
-        def out() -> pd.DataFrame:
-            pdf = pd.DataFrame(scan.rows, columns=names)
-            pdf.insert(1, "level", level)
-            scan.rows = []
-            return pdf
+        def out() -> Iterator[pd.DataFrame]:
+            for level, scan in scans.items():
+                pdf = pd.DataFrame(scan.rows, columns=names)
+                pdf.insert(1, "level", level)
+                scan.rows = []
+                yield pdf
 
         for pdf in batches:
             keys = pdf["video_key"].to_numpy()
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
             ordinal, t, s = pdf["frame_ordinal"].to_numpy(), pdf["t"].to_numpy(np.float32), pdf["s"].to_numpy(np.float32)
             for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                scan.feed(keys[a], ordinal[a:b], t[a:b], s[a:b])
-            yield out()
-        scan.finish()
-        yield out()
+                for scan in scans.values():
+                    scan.feed(keys[a], ordinal[a:b], t[a:b], s[a:b])
+            yield from out()
+        for scan in scans.values():
+            scan.finish()
+        yield from out()
 
     ordered = rows.repartition("video_key").sortWithinPartitions("video_key", "frame_ordinal")
     return ordered.mapInPandas(run, schemas.SEGMENT_SCAN).withColumn("segment_id", segment_id(F.col("level"), F.col("segment_no")))
 
 
+def segment_by_threshold(
+    frames: DataFrame, threshold: float, min_seconds: float, level: str, max_seconds: float | None = None, score: str = "combined"
+) -> DataFrame:
+    """Segments at one level; see ``segment_levels``."""
+    return segment_levels(frames, {level: (threshold, min_seconds)}, max_seconds, score)
+
+
 def frames_of(segments: DataFrame) -> DataFrame:
     """(video_key, level, segment_no, frame_ordinal): every frame of every segment, both ends included.
 

@@ -180,8 +180,8 @@ def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Frames, and low and high segments with pooled vectors, from the drift of the embeddings."""
     frames = embedding_frames(spark, sf_dir)
     scored = signals.cosine_drift(frames).withColumn("score", signals.minmax("drift"))
-    low, high = (segments.mean_pool(frames, segments.segment_by_threshold(scored, t, s, k, score="score")) for k, (t, s) in (("low", LOW), ("high", HIGH)))
-    return frames, low, high
+    pooled = segments.mean_pool(frames, segments.segment_levels(scored, {"low": LOW, "high": HIGH}, score="score"))
+    return frames, pooled.where(F.col("level") == "low"), pooled.where(F.col("level") == "high")
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT video_key, level, segment_no, (p - 1)::INT AS position, round((m / greatest(norm, 1e-12::DOUBLE))::FLOAT::DOUBLE, 5) AS value FROM pn")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoreel.config import IndexConfig, RetrievalConfig
+from chronoreel.functions.text import mcq_prompt
 from chronoreel.operators.evaluate import result_rows
 from chronoreel.operators.inference import answer
 from chronoreel.operators.retrieve import evidence_frames, low_candidates, top_segments, uniform_frames
-from chronoreel.operators.segments import mean_pool, segment_by_threshold
+from chronoreel.operators.segments import mean_pool, segment_levels
 from chronoreel.operators.signals import cosine_drift, frame_energy, fuse
-from chronoreel.functions.text import mcq_prompt
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,8 @@ def build_index(frames: DataFrame, config: IndexConfig = IndexConfig()) -> Video
     """Signals, then segments at two levels with pooled vectors."""
     signals = build_signals(frames, config)
     levels = {"high": (config.high_threshold, config.high_min_seconds), "low": (config.low_threshold, config.low_min_seconds)}
-    pooled = {k: mean_pool(frames, segment_by_threshold(signals, t, s, k, config.max_seconds)) for k, (t, s) in levels.items()}
-    return VideoIndex(signals, pooled["high"], pooled["low"])
+    pooled = mean_pool(frames, segment_levels(signals, levels, config.max_seconds))
+    return VideoIndex(signals, pooled.where(F.col("level") == "high"), pooled.where(F.col("level") == "low"))
 
 
 def retrieve(index: VideoIndex, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> dict[str, DataFrame]:
