@@ -34,17 +34,16 @@ def question_rows(videos: DataFrame) -> DataFrame:
 
 def stats(videos: DataFrame) -> DataFrame:
     """(stat, key, n): totals, and videos by duration, domain, sub-category and both, questions by task type."""
+    one = F.lit(1).cast("long")
 
-    def keyed(**keys: Column) -> Column:
-        return F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), k.alias("key")) for s, k in keys.items()]))
+    def part(stat: str, key: Column, n: Column = one) -> Column:
+        return F.struct(F.lit(stat).alias("stat"), key.alias("key"), n.cast("long").alias("n"))
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("stat", "key").agg(F.count(F.lit(1)).alias("n"))
-
-    own = {f"by_{c}": F.col(c) for c in ("duration", "domain", "sub_category")}
-    of_videos = videos.select(keyed(video_count=F.lit(""), **own, by_duration_domain=F.concat_ws(" | ", "duration", "domain")))
-    of_questions = question_rows(videos).select(keyed(question_count=F.lit(""), by_task_type=F.col("task_type")))
-    both = counted(of_videos).unionByName(counted(of_questions))
+    own = [part(f"by_{c}", F.col(c)) for c in ("duration", "domain", "sub_category")]
+    pair = part("by_duration_domain", F.concat_ws(" | ", "duration", "domain"))
+    of_video = F.array(part("video_count", F.lit("")), part("question_count", F.lit(""), F.size("questions")), pair, *own)
+    of_questions = F.transform("questions", lambda q: part("by_task_type", q["task_type"]))
+    both = videos.select(F.inline(F.concat(of_video, of_questions)))
     totals = F.array(*[F.struct(F.lit(s).alias("stat"), F.lit("").alias("key"), F.lit(0).cast("long").alias("n")) for s in ("video_count", "question_count")])
     zero = videos.sparkSession.range(1).select(F.inline(totals))
     return both.unionByName(zero).groupBy("stat", "key").agg(F.sum("n").alias("n"))
