@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import dropped, stored, text_or_empty
+from chronoreel.llm.common import bounded, dropped, stored, text_or_empty
 from chronoreel.llm.components import connected_components, local_labels
 
 SHINGLE = 3
@@ -32,6 +32,7 @@ SEED = 42
 RADIUS = 2
 FANOUT = 16
 BLOCK_ROWS = 4096
+HEAVY = 1000  # copies from which a fingerprint's label is broadcast, if all of those are small enough
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -177,14 +178,17 @@ def near_edges(codes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_R
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
+    codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "codes")
     edges = stored(near_edges(codes, radius), "code-edges")
     joined = stored(connected_components(edges).select(F.col("id").alias("fp"), "component"), "code-components")
     dropped(edges)
     least = codes.join(joined, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     moved = joined.join(least, "component").select("fp", "component_id")
-    labels = codes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = codes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
+    # A fingerprint of very many copies would be one key of the join, so its rows stay where they are.
+    heavy = bounded(labels.where(F.col("copies") >= HEAVY), "heavy-codes")
+    light = prints.join(heavy, "fp", "left_anti").join(labels.where(F.col("copies") < HEAVY), "fp")
+    return prints.join(heavy, "fp").unionByName(light).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

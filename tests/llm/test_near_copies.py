@@ -44,7 +44,9 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
-def test_simhash_equals_brute_force(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_simhash_equals_brute_force(spark, odd_docs, no_docs, monkeypatch, heavy):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
     docs = odd_docs.where(F.col("doc_id").isNotNull())
     rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in docs.collect()]
     want = closed(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 2])
