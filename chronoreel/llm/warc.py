@@ -226,7 +226,7 @@ def deduplicate(archives: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     A group is the revisits of one archive, which ROLL_BYTES bounds; archives without any still have a row.
     """
     revisits = resolve(stored(read_records(archives), "warc-headers"), min_bytes)
-    work = archives.join(revisits, "archive", "left").select("archive", "offset", "to_id", "to_page", "to_url")
+    work = _spread(archives.join(revisits, "archive", "left").select("archive", "offset", "to_id", "to_page", "to_url"))
     return stored(work.groupBy("archive").applyInPandas(_rewriter(folder), "archive string"), "warc-list")
 
 
