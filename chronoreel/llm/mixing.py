@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import stored, text_or_empty, word_count
+from chronoreel.llm.common import bounded, stored, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -53,7 +53,7 @@ def _nulls_match(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     return left.join(other, left["source"].eqNullSafe(other["other_source"]), how).drop("other_source")
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -62,11 +62,12 @@ def mix(
     cap: int = CAP,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words)."""
+    """One row per row of ``docs``: doc_id, source, digest of the text, size, source_size, target, n_copies."""
     base = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
             word_count(text_or_empty(text_col)).alias("size"),
             F.monotonically_increasing_id().alias("row"),
         ),
@@ -75,6 +76,7 @@ def mix(
     shares = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     shares = shares.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     shares = shares.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
+    shares = bounded(shares, "mix-targets")
     share = F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(F.lit(0.0))
     shares = shares.withColumn("odds", F.when((share > 0) & (share < 1), share / (1 - share)))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -94,7 +96,7 @@ def mix(
         .where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
         .select("source", F.col("bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
     )
-    edge = _nulls_match(drawn, cuts, "inner").where(F.col("bucket") == F.col("cut"))
+    edge = _nulls_match(drawn, bounded(cuts, "mix-cuts"), "inner").where(F.col("bucket") == F.col("cut"))
     in_order = Window.partitionBy("source").orderBy("pareto", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(in_order))
     fits = F.col("upto") <= F.col("left")
@@ -104,7 +106,7 @@ def mix(
         F.max(F.when(fits, place)).alias("last"),
         (F.max("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("before"))).alias("gap"),
     )
-    placed = _nulls_match(rows, ends)
+    placed = _nulls_match(rows, bounded(ends, "mix-ends"))
     inside = F.col("pareto").isNotNull() & (
         F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.coalesce((F.col("bucket") == F.col("cut")) & (place <= F.col("last")), F.lit(False))
     )
@@ -115,9 +117,38 @@ def mix(
         .groupBy("source")
         .agg(F.min(F.struct(off.alias("off"), "pareto", "doc_id", "row"))["row"].alias("closing_row"))
     )
-    final = _nulls_match(placed, closing)
+    final = _nulls_match(placed, bounded(closing, "mix-closing"))
     extra = F.col("drawn") | F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
-    return final.select("doc_id", "source", "size", "source_size", "target", ((F.col("copies") + extra.cast("long")) * F.col("size")).alias("taken"))
+    return final.select("doc_id", "source", "digest", "size", "source_size", "target", (F.col("copies") + extra.cast("long")).alias("n_copies"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words)."""
+    return _mixed(docs, **options).select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken.
+
+    Rows with the same id, source and text stand for each other: together they are taken as often as
+    all of them would be, in the form of one of them.
+    """
+    shares = _mixed(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    taken = shares.groupBy("doc_id", "source", "digest").agg(F.sum("n_copies").alias("__take"), F.count(F.lit(1)).alias("__rows"))
+    taken = stored(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), "__take", "__rows"), "mix-copies")
+    match = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    match &= F.xxhash64(F.col(text_col).cast("string")) == F.col("__digest")
+
+    def copies(found: DataFrame) -> DataFrame:
+        return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__take"))).alias("__copy")).drop("__copy")
+
+    wanted = taken.where(F.col("__take") > 0)
+    out = copies(docs.join(wanted.where(F.col("__rows") == 1), match))
+    again = wanted.where(F.col("__rows") > 1)
+    if not again.isEmpty():
+        once = docs.join(again, match).dropDuplicates(["__id", "__source", "__digest"])
+        out = out.unionByName(copies(once))
+    return out
 
 
 #: DuckDB form of ``mix`` with the production parameters.
