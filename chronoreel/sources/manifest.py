@@ -36,6 +36,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return _refuse_nulls(videos)
 
 
+def read_question_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Videos with nested questions from a table of flat question rows, such as a local export of a hub dataset."""
+    names = [x.split()[0] for x in schemas.FLAT_ROW.split(", ")]
+    rows = spark.read.format(kind).load(path)
+    flat = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
+    return _numbered(group_flat(_refuse_nulls(_numbered(flat), "videoID")).orderBy("video_id", "url"))
+
+
 def _struct(ddl: str) -> str:
     """A column list as the inside of a struct type."""
     out, depth = [], 0

@@ -4,10 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronoreel import schemas
 from chronoreel.operators import evaluate, inference, manifest, sampling
 from chronoreel.sources import frames as frame_source
 from chronoreel.sources import sinks
-from chronoreel.sources.manifest import read_manifest
+from chronoreel.sources.manifest import read_manifest, read_question_table
 
 FLAT = [
     {"video_id": "001", "duration": "short", "domain": "d1", "sub_category": "s", "url": "https://www.youtube.com/watch?v=abc", "question_id": q, "task_type": t, "question": "Q", "options": ["A. x"], "answer": "A"}
@@ -28,6 +29,8 @@ def test_read_flat_nested_and_object(spark, tmp_path):
             assert [q["question_id"] for q in videos[0]["questions"]] == ["001-10", "001-2"]
         else:
             assert [(v["url"], len(v["questions"])) for v in videos] == [("https://watch?v=kept", 1), ("b", 0)]
+    spark.createDataFrame([{"videoID": None, **r} for r in FLAT], schemas.FLAT_ROW).write.parquet(str(tmp_path / "flat"))
+    assert sorted((v["video_id"], v["url"]) for v in read_question_table(spark, str(tmp_path / "flat")).collect()) == [("001", "abc"), ("002", "zzz")]
     (tmp_path / "bad.json").write_text('{"a": 1}')
     with pytest.raises(ValueError, match="not a manifest"):
         read_manifest(spark, str(tmp_path / "bad.json"))
