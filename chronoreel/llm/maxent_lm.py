@@ -3,8 +3,9 @@
 Word counts of all training texts are exact (counted per task, summed by word). The most frequent words
 form the model's vocabulary, in equal classes by rank; all other words share one rare class, inside which
 a word's probability follows its count. A token's probability is that of its class given the history times
-that of the word given class and history, both softmax over sums of table rows: a bias, the last word, the
-last two words (hashed), and the word before the last (a skip feature), hashed with the class for words.
+that of the word given class and history, both softmax over sums of table rows. For classes these are a bias,
+the last word, the last two words (hashed) and the word before the last (a skip feature); for words a bias
+and the last word, hashed with the class.
 
 Training visits every training text once, in ``rounds`` rounds. In a round each shard takes its texts in
 minibatches, with row-wise Adagrad from the common weights, and sends the change of the rows it touched;
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ END = b"\n"  # no word holds white space
 FOLDS, HELD = 5, 1
 HEAD = 100_000  # words that workers know by heart, of at most HEAD_BYTES bytes
 HEAD_BYTES = 64
-CLASSES = 64
+CLASSES = 32
 IN_CLASS = 64
 DIRECT = 8192
 ROWS = 1 << 15
@@ -138,8 +140,8 @@ def _class_rows(w1: np.ndarray, w2: np.ndarray) -> list[np.ndarray]:
     return [last, _hashed(w1, w2, 2, DIRECT + 1, ROWS), _hashed(w2, 0, 3, DIRECT + 1, ROWS)]
 
 
-def _word_rows(w1: np.ndarray, w2: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    return [c, _hashed(w1, c, 4, CLASSES, CLASSES + ROWS), _hashed(w2, c, 5, CLASSES, CLASSES + ROWS)]
+def _word_rows(w1: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    return [c, _hashed(w1, c, 4, CLASSES, CLASSES + ROWS)]
 
 
 def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +166,7 @@ def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, w1: np.ndarray, w
         z = _logits(w["cls"], _class_rows(a, b)) + w["cls"][0]
         got = _log_softmax(z)[np.arange(len(t)), c].astype(np.float64)
         known = np.flatnonzero(c < CLASSES)
-        z = _logits(w["word"], _word_rows(a[known], b[known], c[known]))
+        z = _logits(w["word"], _word_rows(a[known], c[known]))
         got[known] += _log_softmax(z)[np.arange(len(known)), t[known] % IN_CLASS]
         out[at : at + batch] = got
     return out
@@ -183,8 +185,10 @@ class Shard:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        hit, g = rows[starts], np.add.reduceat(grad[order], starts, axis=0)
-        self.seen[name][hit] += np.diff(np.r_[starts, len(rows)])
+        self._move(name, rows[starts], np.add.reduceat(grad[order], starts, axis=0), np.diff(np.r_[starts, len(rows)]))
+
+    def _move(self, name: str, hit: np.ndarray, g: np.ndarray, touches: np.ndarray) -> None:
+        self.seen[name][hit] += touches
         self.squares[name][hit] += (g * g).mean(axis=1)
         self.w[name][hit] -= self.rate * g / np.sqrt(self.squares[name][hit])[:, None]
 
@@ -193,11 +197,12 @@ class Shard:
         rows = _class_rows(w1, w2)
         p = np.exp(_log_softmax(_logits(self.w["cls"], rows) + self.w["cls"][0]))
         p[np.arange(len(x)), c] -= 1
-        for r in [np.zeros(len(x), np.int64), *rows]:
+        self._move("cls", np.zeros(1, np.int64), p.sum(axis=0)[None], np.array([len(x)]))
+        for r in rows:
             self._update("cls", r, p)
         known = np.flatnonzero(c < CLASSES)
         if len(known):
-            rows = _word_rows(w1[known], w2[known], c[known])
+            rows = _word_rows(w1[known], c[known])
             p = np.exp(_log_softmax(_logits(self.w["word"], rows)))
             p[np.arange(len(known)), x[known] % IN_CLASS] -= 1
             for r in rows:
@@ -212,7 +217,7 @@ class Shard:
                     yield k, at // BLOCK, n.tobytes(), ((w[at : at + BLOCK] - self.start[k][at : at + BLOCK]).astype(np.float16)).tobytes()
 
 
-def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = 0.08, batch: int = 2048) -> dict[str, np.ndarray]:
+def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = 0.1, batch: int = 2048) -> dict[str, np.ndarray]:
     """Weights after one pass over ``texts`` (key long, text binary)."""
     spark = texts.sparkSession
     weights = head.weights()
@@ -226,9 +231,8 @@ def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = 0.08
             shard, own = Shard(common.value, rate), Head(*known.value)
             waiting: list[np.ndarray] = []
             for arrow in batches:
-                texts = [t.as_py() for t in arrow.column(0)]
-                for at in range(0, len(texts), 64):
-                    waiting.append(np.stack(own.encode(texts[at : at + 64])[:3]))
+                for at in range(0, arrow.num_rows, 64):
+                    waiting.append(np.stack(own.encode(arrow.column(0).slice(at, 64).to_pylist())[:3]))
                     if sum(w.shape[1] for w in waiting) >= batch:
                         joined = np.concatenate(waiting, axis=1)
                         cut = joined.shape[1] // batch * batch
@@ -261,6 +265,26 @@ def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = 0.08
     return weights
 
 
+def _head(counts: DataFrame, total: int, kinds: int) -> Head:
+    """The end, then the words above the least frequency that at most HEAD words reach, most frequent first.
+
+    Frequencies are compared by bins, 64 an octave, so the search for the least one collects a few thousand
+    numbers, and each of the chosen words is sent once. A tie that would exceed HEAD stays outside whole.
+    """
+    bins = F.floor(F.log2("c") * 64)
+    fits = counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(END)))
+    least, size = float("inf"), 0
+    for r in fits.groupBy(bins.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("b").desc()).collect():
+        size += r["n"]
+        if size >= HEAD:
+            break
+        least = r["b"]
+    chosen = fits.where(bins >= F.lit(least)).unionAll(counts.where(F.col("word") == F.lit(END))).toArrow()
+    words, c = chosen.column("word").to_pylist(), chosen.column("c").to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (words[i] != END, -c[i], words[i]))
+    return Head({words[i]: n for n, i in enumerate(order)}, c[order].astype(np.int64), total, kinds)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -273,39 +297,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     training = rows.where(~F.col("held_out"))
     counts = stored(word_counts(training.select("text")), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # At most HEAD words of at most HEAD_BYTES bytes; the end comes first whatever its count.
-    top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy((F.col("word") == F.lit(END)).desc(), F.col("c").desc(), "word").limit(HEAD).collect()
-    head = Head({bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64), totals["n"], totals["v"])
-    weights = train(training.select("key", "text"), head, rounds) if top else head.weights()
+    head = _head(counts, totals["n"], totals["v"])
+    weights = train(training.select("key", "text"), head, rounds) if head.total else head.weights()
     known, common = spark.sparkContext.broadcast(head.plain()), spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, w = Head(*known.value), common.value
         base = np.log10(np.append(own.counts + 0.5, 1.0))  # words outside the head are added by the join
         floor, rare = np.log10(own.total + 0.5 * (own.kinds + 1)), np.log10(own.rare_mass())
+        names = ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "model", "tail"]
         for arrow in batches:
-            texts = [t.as_py() for t in arrow.column(3)]
-            columns: list[list] = [[], [], [], [], []]
+            sizes_in = pc.binary_length(arrow.column(3)).to_numpy()
             begin = 0
-            while begin < len(texts):  # about a million bytes at once, or one text
-                end, size = begin + 1, len(texts[begin])
-                while end < len(texts) and size + len(texts[end]) < 1 << 20:
-                    size += len(texts[end])
+            while begin < len(sizes_in):  # about a million bytes at once, or one text
+                end, held = begin + 1, sizes_in[begin]
+                while end < len(sizes_in) and held + sizes_in[end] < 1 << 20:
+                    held += sizes_in[end]
                     end += 1
-                x, w1, w2, sizes, tails = own.encode(texts[begin:end])
+                part = arrow.slice(begin, end - begin)
+                begin = end
+                x, w1, w2, sizes, tails = own.encode(part.column(3).to_pylist())
                 starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
                 model = log_probabilities(w, x, w1, w2) / np.log(10)
                 outside = x >= CLASSES * IN_CLASS
                 model[outside] += base[np.minimum(x[outside], own.unknown)] - rare
-                columns[0] += sizes.tolist()
-                columns[1] += np.add.reduceat((x != own.unknown).astype(np.int64), starts).tolist()
-                columns[2] += (np.add.reduceat(base[x], starts) - floor * sizes).tolist()
-                columns[3] += np.add.reduceat(model, starts).tolist()
-                columns[4] += [[{"word": k, "n": n} for k, n in Counter(t).items()] for t in tails]
-                begin = end
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([arrow.column(0), arrow.column(1), arrow.column(2), *made], ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "model", "tail"])
+                found = [Counter(t) for t in tails]
+                words = pa.array([k for t in found for k in t], pa.binary())
+                times = pa.array([n for t in found for n in t.values()], pa.int64())
+                ends = np.r_[0, np.cumsum([len(t) for t in found])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), part.column(2), pa.array(sizes),
+                        pa.array(np.add.reduceat((x != own.unknown).astype(np.int64), starts)),
+                        pa.array(np.add.reduceat(base[x], starts) - floor * sizes),
+                        pa.array(np.add.reduceat(model, starts)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, times], ["word", "n"])),
+                    ],
+                    names,
+                )
 
     schema = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, model double, tail array<struct<word: binary, n: long>>"
     parts = stored(rows.mapInArrow(run, schema), "lm-parts")
