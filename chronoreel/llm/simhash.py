@@ -196,8 +196,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     own = groups(docs, id_col, text_col, shingle, radius)
     chosen = own.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
     counts = stored(chosen.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
-    out = docs.join(counts.where(F.col("__rows") == 1), id_col, "left_semi")
+    # Merge joins at every size: the texts are dealt by id once, so the cost stays in proportion to the input.
+    out = docs.join(counts.where(F.col("__rows") == 1).hint("merge"), id_col, "left_semi")
     more = counts.where(F.col("__rows") > 1)
     if not more.isEmpty():
-        out = out.unionByName(docs.join(more, id_col, "left_semi").dropDuplicates([id_col]))
+        out = out.unionByName(docs.join(more.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]))
     return out.unionByName(docs.where(F.col(id_col).isNull()))
