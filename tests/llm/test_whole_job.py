@@ -1,8 +1,11 @@
 """What a faster but smaller job would miss."""
 
+import random
+
+import corpus_pipeline
 import numpy as np
 
-from chronoreel.llm import maxent_lm
+from chronoreel.llm import maxent_lm, near_copies
 
 
 def test_words_depend_on_the_word_before_the_last():
@@ -17,3 +20,34 @@ def test_words_depend_on_the_word_before_the_last():
     asked = np.array([4039, 4041, 4039, 4041])
     p = maxent_lm.log_probabilities(shard.w, asked, np.full(4, 2), np.array([3, 3, 5, 5]))
     assert p[0] > p[1] + 1 and p[3] > p[2] + 1
+
+
+def _sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_one_of_each_by_jaccard_of_five_words(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for size in [100] * 12 + [40] * 6 + [300] * 4:
+        words = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for edits in (0, 1, 1, 2, 3):
+            copy = list(words)
+            for _ in range(edits if size > 40 else min(edits, 1)):
+                copy[rng.randrange(size)] = "edited"
+            texts.append(" ".join(copy))
+    texts += [texts[0], "", "  ", "one two", "One  two", "a b c"]
+    docs = [(i, x) for i, x in enumerate(texts)] + [(5, "Another text of the same id, which is of no group at all.")]
+    up = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            x, y = _sets(docs[i][1]), _sets(docs[j][1])
+            if len(x & y) >= 0.8 * len(x | y):
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = [new if u == old else u for u in up]
+    want = sorted(docs[i] for i in set(up))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for few in (8, 0):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        assert sorted(tuple(r) for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == want
