@@ -51,3 +51,12 @@ def test_one_of_each_by_jaccard_of_five_words(spark, monkeypatch):
     for few in (8, 0):
         monkeypatch.setattr(near_copies, "FEW", few)
         assert sorted(tuple(r) for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == want
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(9)
+    one, two, three = (" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    # Id 1 is the first of two groups; id 2 stands on a copy of the second and on a text of its own.
+    docs = [(1, one), (1, two), (2, two), (2, three), (3, one)]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, one), (1, two), (2, three)])
