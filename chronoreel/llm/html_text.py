@@ -44,12 +44,15 @@ BAD_NAME = re.compile(
     re.I,
 )
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+# Names of a layout, such as with-sidebar, say what stands beside the text.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|without|no|has|hide)[_-]+[^\s_-]+", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 _ATTRS = r"""(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes|svg|math|object)\b{_ATTRS}>.*?(?:</\1[^>]*>|\Z)"
+    rf"|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>"
+    rf"|<(script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes|svg|math)(?=[\s/>]){_ATTRS}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS}|[^>]*)>"
     r"|<[!?][^>]*>"
     r"|<(?=[a-zA-Z/!])[^<>]*\Z",
@@ -69,7 +72,7 @@ def _hint(tag: str, attrs: str, inside: int) -> float:
     z = 0.0 if tag == "header" and inside > 0 else FURNITURE.get(tag, 0.0)
     z += MAIN.get(tag, 0.0) * (inside >= 0)
     if attrs:
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs))
+        names = LAYOUT.sub("", " ".join(a or b or c for a, b, c in NAMES.findall(attrs)))
         if inside > 0:
             names = re.sub(r"header", "", names, flags=re.I)
         if names and tag not in ("body", "html"):

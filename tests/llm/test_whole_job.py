@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from chronoreel.llm import maxent_lm, near_copies
+from chronoreel.llm import html_text, maxent_lm, near_copies
 
 
 def test_words_depend_on_the_word_before_the_last():
@@ -60,3 +61,28 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     docs = [(1, one), (1, two), (2, two), (2, three), (3, one)]
     kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, one), (1, two), (2, three)])
+
+
+SENTENCE = "The river rose over the road in the night, and in the morning the house stood in a wide and quiet lake."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<svg class="icon" /><article><p>%s</p></article>',
+        "<math/><article><p>%s</p></article>",
+        '<object data="x.swf"><article><p>%s</p></article>',
+        "<article><object><p>%s</p></object></article>",
+        "<title-card><p>%s</p></title-card>",
+        '<div class="with-sidebar"><article><p>%s</p></article></div>',
+        '<div class="page no-sidebar"><article><p>%s</p></article></div>',
+    ],
+)
+def test_text_after_and_inside_odd_tags(page):
+    assert SENTENCE in " ".join(b.text for b in html_text.blocks_of(page % SENTENCE))
+    assert SENTENCE in html_text.main_text("<html><body>" + page % SENTENCE + "</body></html>")
+
+
+def test_drawings_and_sidebars_stay_out():
+    page = f'<body><svg viewBox="0 0 1 1"><text>Drawn words.</text></svg><article><p>{SENTENCE}</p></article><div class="sidebar"><p>{SENTENCE[::-1]}</p></div></body>'
+    assert html_text.main_text(page).strip() == SENTENCE
