@@ -1,16 +1,23 @@
-"""Language-model scores from a hashed maximum-entropy model.
-
-Word counts of all training texts are exact (counted per task, summed by word). The most frequent words
-form the model's vocabulary, in equal classes by rank; all other words share one rare class, inside which
-a word's probability follows its count. A token's probability is that of its class given the history times
-that of the word given class and history, both softmax over sums of table rows: a bias, the last word, the
-last two words (hashed), and the word before the last (a skip feature), hashed with the class for words.
-
-Training visits every training text once, in ``rounds`` rounds. In a round each shard takes its texts in
-minibatches, with row-wise Adagrad from the common weights, and sends the change of the rows it touched;
-changes are averaged by touches, block by block of rows. The tables have a fixed size, so what is broadcast
-and merged does not depend on the corpus; counts do, and stay distributed: a bounded head of frequent words
-goes to the workers, the rest is joined by word.
+"""Language-model scores from a hashed maximum-entropy model whose features grow with the corpus.
+
+The probability of a token is that of its class given the last two words, times that of the word given its
+class and the last two words. Classes: CLASSES bins of the frequent words (the head), by the square root of
+their counts, and one for all other words. Features, all of them seen in training texts:
+
+- class: a bias, the class of the last word, the word before the last (the skip feature, a hashed table of
+  SKIP_ROWS rows), the last word, and the last two words;
+- word inside its class: its unigram share, the last word, and the last two words. Here the softmax is
+  sparse: a class's normaliser is 1 plus what the seen words add to their shares, so it is exact although no
+  row is as wide as the vocabulary. Words outside the head are known by a 32-bit hash.
+
+Word counts are exact. Texts are encoded once and stored as chunks of ids, about CHUNK_TOKENS each. The skip
+rows and those of the last word's class are common to all: in each of ``rounds`` rounds every chunk sends
+their gradient, which is summed as a tree by blocks of rows. Then events (word before the last, last word, word, document) go to the bucket of
+their last word, packed by chunk. The number of buckets follows the number of training tokens, never the
+cluster. A bucket owns the features of its words, fits them by preconditioned gradient steps and scores its
+events in the same pass, so these features are as many as the corpus asks and are never broadcast. A last
+word with many events is dealt to several buckets by the word before it, and pairs of two such words by
+chunk as well. Larger CHUNK_TOKENS and BUCKET_TOKENS make fewer and longer packets, for more memory a task.
 
 Defined cases: a null text counts as empty and is scored as its end; without training texts every token
 is of one unknown kind and scores 0; repeated rows and null ids are scored row by row; an empty table
@@ -22,28 +29,41 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import dropped, fold, stored, text_or_empty
+from chronoreel.llm.common import fold, stored, text_or_empty
 
 END = b"\n"  # no word holds white space
 FOLDS, HELD = 5, 1
-HEAD = 100_000  # words that workers know by heart, of at most HEAD_BYTES bytes
+HEAD = 100_000  # words that workers know by heart, of at most HEAD_BYTES bytes; others go by their hash
 HEAD_BYTES = 64
 CLASSES = 64
-IN_CLASS = 64
-DIRECT = 8192
-ROWS = 1 << 15
+WIDTH = CLASSES + 1
+SKIP_ROWS, SKIP_DIRECT = 8192, 7168
 BLOCK = 512
+ROWS = SKIP_ROWS + BLOCK  # the last block has a row for each class of the last word, and one for the start
 ROUNDS = 2
-MOST_SHARDS = 256
+BUCKET_TOKENS = 1_000_000
+CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 1 << 16
+CONTEXTS = 4096  # contexts whose class probabilities are held at once
+FAN_IN = 64  # gradients that are summed in one group
+RIDGE = {"last": 2.0, "both": 0.2, "word": 0.3, "word_both": 0.1, "common": 20.0}
+PLAN = "lbb"  # how a bucket fits its class features; see Bucket.classes
 LOW = -30.0
+START = np.uint32(0xFFFFFFFF)
+
+#: A row for each text, or a row for each chunk (n tokens, as ids; of its texts the size, and whether it is held out).
+PARTS = "doc_id long, held_out boolean, chunk long, place int, n_tokens long, n_known long, base double, tail array<struct<word: binary, n: long>>, n long, texts long, sizes binary, ids binary"
+EVENTS = "bucket int, chunk long, n long, events binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -70,198 +90,461 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _hashed(a: np.ndarray, b: np.ndarray | int, kind: int, low: int, high: int) -> np.ndarray:
-    """Rows in [low, high) for pairs of ids."""
-    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind * 0x632BE5AB)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(b, np.uint64) * np.uint64(0x94D049BB133111EB)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (low + (mixed >> np.uint64(24)) % np.uint64(high - low)).astype(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(31))
 
 
 @dataclass
 class Head:
-    """The frequent words, the corpus totals, and the probabilities of a bare unigram model."""
+    """The frequent words, most frequent first but for the end, with their counts, and the corpus totals."""
 
     ids: dict[bytes, int]
     counts: np.ndarray
     total: int
     kinds: int
 
-    @property
-    def unknown(self) -> int:
-        return len(self.counts)
+    def __post_init__(self) -> None:
+        n = len(self.counts)
+        weight = np.cumsum(np.sqrt(self.counts))
+        #: Class of each word of the head; the last entry is that of all others.
+        self.cls = np.append(np.minimum((weight - np.sqrt(self.counts)) / max(weight[-1], 1) * CLASSES, CLASSES - 1).astype(np.int64) if n else [], CLASSES).astype(np.int64)
+        mass = np.bincount(self.cls[:n], self.counts + 0.5, WIDTH).astype(np.float64)
+        mass[CLASSES] = self.total - self.counts.sum() + 0.5 * (self.kinds - n) + 0.5
+        with np.errstate(divide="ignore"):
+            self.bias = np.maximum(np.log(mass / mass.sum()), LOW).astype(np.float32)
+        #: Share of each word in its class; any other word is one of their number, or the unknown kind.
+        self.share = np.append((self.counts + 0.5) / mass[self.cls[:n]], 1 / (self.kinds - n + 1))
 
     def plain(self) -> tuple:
         """The same without this class, which workers may not be able to import."""
         return self.ids, self.counts, self.total, self.kinds
 
-    def rare_mass(self) -> float:
-        model = self.counts[: CLASSES * IN_CLASS]
-        return float(self.total - model.sum() + 0.5 * (self.kinds - len(model)) + 0.5)
-
-    def weights(self) -> dict[str, np.ndarray]:
-        """Tables whose bias rows give the unigram model."""
-        mass = np.zeros(CLASSES * IN_CLASS)
-        model = self.counts[: CLASSES * IN_CLASS]
-        mass[: len(model)] = model + 0.5
-        mass = mass.reshape(CLASSES, IN_CLASS)
-        word = np.zeros((CLASSES + ROWS, IN_CLASS), np.float32)
-        cls = np.zeros((ROWS, CLASSES + 1), np.float32)
-        with np.errstate(divide="ignore"):
-            word[:CLASSES] = np.maximum(np.log(mass), LOW)
-            cls[0] = np.maximum(np.log(np.append(mass.sum(axis=1), self.rare_mass())), LOW)
-        cls[0] -= cls[0].max()
-        word[:CLASSES] -= word[:CLASSES].max(axis=1, keepdims=True)
-        return {"cls": cls, "word": word}
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Ids of all tokens, the two ids before each, each text's number of tokens, and the words outside the head."""
-        get, unknown = self.ids.get, self.unknown
-        ids: list[int] = []
-        sizes, tails = np.empty(len(texts), np.int64), []
+    @property
+    def buckets(self) -> int:
+        return max(1, -(-self.total // BUCKET_TOKENS))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Ids of all tokens, each text's number of tokens, and each text's words outside the head."""
+        flat: list[bytes] = []
+        sizes = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words = tokens(text)
-            own = [get(w, unknown) for w in words]
-            tails.append([w for w, k in zip(words, own, strict=True) if k == unknown] if unknown in own else [])
-            ids += own
-            sizes[i] = len(own)
-        x = np.array(ids, np.int64)
-        first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        w1, w2 = np.r_[unknown + 1, x[:-1]], np.r_[unknown + 1, unknown + 1, x[:-2]][: len(x)]
-        w1[first] = unknown + 1
-        w2[first] = unknown + 1
-        w2[first[sizes > 1] + 1] = unknown + 1
-        return x, w1, w2, sizes, tails
-
-
-def _class_rows(w1: np.ndarray, w2: np.ndarray) -> list[np.ndarray]:
-    last = np.where(w1 < DIRECT, 1 + w1, _hashed(w1, 0, 1, DIRECT + 1, ROWS))
-    return [last, _hashed(w1, w2, 2, DIRECT + 1, ROWS), _hashed(w2, 0, 3, DIRECT + 1, ROWS)]
-
-
-def _word_rows(w1: np.ndarray, w2: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    return [c, _hashed(w1, c, 4, CLASSES, CLASSES + ROWS), _hashed(w2, c, 5, CLASSES, CLASSES + ROWS)]
-
-
-def _logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    return z
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def log_probabilities(w: dict[str, np.ndarray], x: np.ndarray, w1: np.ndarray, w2: np.ndarray, batch: int = 4096) -> np.ndarray:
-    """Natural logarithms: of class and word for vocabulary tokens, of the rare class for others."""
-    out = np.empty(len(x))
-    for at in range(0, len(x), batch):
-        a, b, t = w1[at : at + batch], w2[at : at + batch], x[at : at + batch]
-        c = np.minimum(t // IN_CLASS, CLASSES)
-        z = _logits(w["cls"], _class_rows(a, b)) + w["cls"][0]
-        got = _log_softmax(z)[np.arange(len(t)), c].astype(np.float64)
-        known = np.flatnonzero(c < CLASSES)
-        z = _logits(w["word"], _word_rows(a[known], b[known], c[known]))
-        got[known] += _log_softmax(z)[np.arange(len(known)), t[known] % IN_CLASS]
-        out[at : at + batch] = got
-    return out
-
-
-class Shard:
-    """Minibatch updates of one shard, from the common weights."""
-
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.start, self.rate = weights, rate
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.seen = {k: np.zeros(len(v), np.float32) for k, v in weights.items()}
-        self.squares = {k: np.full(len(v), 1e-3, np.float32) for k, v in weights.items()}
-
-    def _update(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        self._move(name, rows[starts], np.add.reduceat(grad[order], starts, axis=0), np.diff(np.r_[starts, len(rows)]))
-
-    def _move(self, name: str, hit: np.ndarray, g: np.ndarray, touches: np.ndarray) -> None:
-        self.seen[name][hit] += touches
-        self.squares[name][hit] += (g * g).mean(axis=1)
-        self.w[name][hit] -= self.rate * g / np.sqrt(self.squares[name][hit])[:, None]
-
-    def step(self, x: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
-        c = np.minimum(x // IN_CLASS, CLASSES)
-        rows = _class_rows(w1, w2)
-        p = np.exp(_log_softmax(_logits(self.w["cls"], rows) + self.w["cls"][0]))
-        p[np.arange(len(x)), c] -= 1
-        self._move("cls", np.zeros(1, np.int64), p.sum(axis=0)[None], np.array([len(x)]))
-        for r in rows:
-            self._update("cls", r, p)
-        known = np.flatnonzero(c < CLASSES)
-        if len(known):
-            rows = _word_rows(w1[known], w2[known], c[known])
-            p = np.exp(_log_softmax(_logits(self.w["word"], rows)))
-            p[np.arange(len(known)), x[known] % IN_CLASS] -= 1
-            for r in rows:
-                self._update("word", r, p)
-
-    def changes(self) -> Iterator[tuple[str, int, bytes, bytes]]:
-        """(table, block, touches of its rows, touches times change) for blocks that were touched."""
-        for k, w in self.w.items():
-            for at in range(0, len(w), BLOCK):
-                n = self.seen[k][at : at + BLOCK]
-                if n.any():
-                    yield k, at // BLOCK, n.tobytes(), ((w[at : at + BLOCK] - self.start[k][at : at + BLOCK]).astype(np.float16)).tobytes()
-
-
-def train(texts: DataFrame, head: Head, rounds: int = ROUNDS, rate: float = 0.1, batch: int = 2048) -> dict[str, np.ndarray]:
-    """Weights after one pass over ``texts`` (key long, text binary)."""
-    spark = texts.sparkSession
-    weights = head.weights()
-    known = spark.sparkContext.broadcast(head.plain())
-    shards = min(MOST_SHARDS, 2 * spark.sparkContext.defaultParallelism)
-    schema = "tab string, block int, seen binary, change binary"
-    for number in range(rounds):
-        common = spark.sparkContext.broadcast(weights)
+            before = len(flat)
+            flat += tokens(text)
+            sizes[i] = len(flat) - before
+        found = np.fromiter(map(self.ids.get, flat, repeat(-1)), np.int64, len(flat))
+        ids = found.astype(np.uint32)
+        outside = np.flatnonzero(found < 0)
+        words = [flat[i] for i in outside.tolist()]
+        n = len(self.counts)
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, len(words))
+        ids[outside] = (n + hashes % np.uint64(0xFFFFFFFF - n)).astype(np.uint32)
+        ends = np.searchsorted(outside, np.cumsum(sizes))
+        return ids, sizes, [words[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def bucket_of(self, w1: np.ndarray, w2: np.ndarray, chunk: int) -> np.ndarray:
+        """The bucket of each event. Words of more than a quarter of a bucket are dealt out by the word before."""
+        parts = np.maximum(1, -(-4 * np.append(self.counts, 0) // BUCKET_TOKENS)).astype(np.uint64)
+        parts = np.append(parts, parts[0])  # as many starts as ends
+        n = len(self.counts)
+
+        def of(w: np.ndarray) -> np.ndarray:
+            return parts[np.where(w == START, n + 1, np.minimum(w, n))]
+
+        k1, k2 = of(w1), of(w2)
+        both = np.minimum(k1, k2)
+        salt = np.where(both > 1, _mixed(np.full(1, chunk, np.uint64))[0] % both, np.uint64(0))
+        sub = _mixed(w2.astype(np.uint64) + (salt << np.uint64(32))) % k1
+        return (_mixed(w1.astype(np.uint64) + (sub << np.uint64(32))) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def skip_rows(w2: np.ndarray) -> np.ndarray:
+    """The row of each word before the last."""
+    hashed = SKIP_DIRECT + _mixed(w2.astype(np.uint64)) % np.uint64(SKIP_ROWS - SKIP_DIRECT)
+    return np.where(w2 < SKIP_DIRECT, w2, hashed).astype(np.int64)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, byte by byte, compressed."""
+    planes = np.ascontiguousarray(np.stack(columns).astype("<u4")).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(payload: bytes, n: int, columns: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(payload, 4 * n * columns, asbytes=True), np.uint8).reshape(columns, 4, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(columns, n)
+
+
+def _fields(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    names = [x.split(maxsplit=1) for x in schema.replace("<struct<word: binary, n: long>>", "").split(", ")]
+    return pa.schema([pa.field(name, kinds.get(kind, tail)) for name, kind in names])
+
+
+def _rows(schema: str, size: int, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` in which the columns that are not given are null."""
+    kinds = _fields(schema)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+
+def encoded(rows: DataFrame, known) -> DataFrame:
+    """PARTS of ``rows`` (doc_id, held_out, text binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Head(*known.value)
+        base = np.log10(np.append(head.counts + 0.5, 1.0))  # words outside the head are added by the join
+        floor = np.log10(head.total + 0.5 * (head.kinds + 1))
+        chunk, held, n, texts = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def whole() -> pa.RecordBatch:
+            ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _rows(PARTS, 1, chunk=[chunk], n=[len(ids)], texts=[len(sizes)], sizes=[_packed(sizes)], ids=[_packed(ids)])
+
+        for arrow in batches:
+            at, lengths = 0, pc.binary_length(arrow.column(2)).to_pylist()
+            while at < arrow.num_rows:
+                end, size = at, 0
+                while end < arrow.num_rows and end - at < 256 and (end == at or size < 1 << 20):
+                    size += lengths[end]
+                    end += 1
+                part = arrow.slice(at, end - at)
+                at = end
+                if n >= CHUNK_TOKENS or texts + part.num_rows > CHUNK_DOCS:
+                    yield whole()
+                    chunk, held, n, texts = chunk + 1, [], 0, 0
+                ids, sizes, tails = head.encode(part.column(2).to_pylist())
+                starts = np.cumsum(sizes) - sizes
+                inside = np.minimum(ids, len(head.counts))
+                found = [Counter(t) for t in tails]
+                words = pa.array([k for t in found for k in t], pa.binary())
+                times = pa.array([c for t in found for c in t.values()], pa.int64())
+                ends = np.r_[0, np.cumsum([len(t) for t in found])].astype(np.int32)
+                yield _rows(
+                    PARTS,
+                    part.num_rows,
+                    doc_id=part.column(0),
+                    held_out=part.column(1),
+                    chunk=np.full(part.num_rows, chunk),
+                    place=np.arange(texts, texts + part.num_rows),
+                    n_tokens=sizes,
+                    n_known=np.add.reduceat((inside < len(head.counts)).astype(np.int64), starts),
+                    base=np.add.reduceat(base[inside], starts) - floor * sizes,
+                    tail=pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, times], ["word", "n"])),
+                )
+                flags = part.column(1).to_numpy(zero_copy_only=False)
+                held.append((ids, sizes.astype(np.uint32) | flags.astype(np.uint32) << np.uint32(31)))
+                n += len(ids)
+                texts += part.num_rows
+        if held:
+            yield whole()
+
+    return rows.mapInArrow(run, PARTS)
+
+
+def _events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, last word, word before it, and text (with its held-out bit) of each token of a chunk."""
+    x, sizes = _unpacked(row["ids"], row["n"], 1)[0], _unpacked(row["sizes"], row["texts"], 1)[0]
+    text = np.arange(len(sizes), dtype=np.uint32) | sizes & np.uint32(1 << 31)
+    sizes = (sizes & np.uint32((1 << 31) - 1)).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    w1, w2 = np.r_[START, x[:-1]], np.r_[START, START, x[:-2]][: len(x)]
+    w1[first] = w2[first] = START
+    w2[first[sizes > 1] + 1] = START
+    return x, w1, w2, np.repeat(text, sizes)
+
+
+def dealt(chunks: DataFrame, known) -> DataFrame:
+    """EVENTS: for each chunk and bucket, the events packed by last word and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Head(*known.value)
+        for batch in batches:
+            for row in _each(batch):
+                x, w1, w2, text = _events(row)
+                bucket = head.bucket_of(w1, w2, row["chunk"])
+                order = np.lexsort((w1, bucket)) if head.buckets > 1 << 16 else np.argsort(bucket.astype(np.uint64) << np.uint64(48) | w1.astype(np.uint64) << np.uint64(16) | text & np.uint32(0xFFFF))
+                bucket = bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[cuts[1:], len(bucket)]
+                packets = []
+                for part in np.split(order, cuts[1:]):
+                    columns = np.stack([x[part], w1[part], w2[part], text[part]])
+                    columns[1, 1:] -= columns[1, :-1].copy()  # differences are small, and wrap around
+                    columns[3, 1:] -= columns[3, :-1].copy()
+                    packets.append(_packed(*columns))
+                yield _rows(EVENTS, len(cuts), bucket=bucket[cuts], chunk=np.full(len(cuts), row["chunk"]), n=ends - cuts, events=packets)
+
+    return chunks.mapInArrow(run, EVENTS)
+
+
+def in_order(x: np.ndarray, w1: np.ndarray, w2: np.ndarray, head: int) -> np.ndarray:
+    """The order by last word, word before it, word."""
+    ids = [w1, w2, x]
+    low = [np.minimum(i, head) for i in ids]
+    kinds = np.unique(np.concatenate([i[i >= head] for i in ids]))
+    if head + len(kinds) >= 1 << 21:
+        return np.lexsort((x, w2, w1))
+    for i, r in zip(ids, low, strict=True):
+        far = i >= head
+        r[far] = head + np.searchsorted(kinds, i[far])
+    a, b, c = (r.astype(np.uint64) for r in low)
+    return np.argsort(a << np.uint64(42) | b << np.uint64(21) | c)
+
+
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts, axis=0) if len(starts) else x[:0]
+
+
+def sparse_softmax(base: np.ndarray, n: np.ndarray, starts: np.ndarray, ridge: float, steps: int = 8) -> np.ndarray:
+    """Log probabilities inside each segment, p = base * exp(w) / z, with a weight for each entry of n > 0.
+
+    ``base`` sums to at most 1 in a segment; what is missing stands for entries that are not listed, which
+    have no weight. Steps descend along the gradient of the log-likelihood with a quadratic penalty, divided
+    by a bound of its curvature.
+    """
+    segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(base)]))
+    log_z = np.zeros(len(starts))
+    seen = np.flatnonzero(n > 0)
+    weight = np.zeros(len(base))
+    if len(seen):
+        q, k, own = base[seen], n[seen], segment[seen]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        inner = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1
+        total = _sums(k, begin)[inner]
+        w = np.clip(np.log(k / (total + 1) / q), 0, k / ridge)
+        for step in range(steps + 1):
+            v = q * np.exp(w)
+            z = np.maximum(1 + _sums(v - q, begin), 1e-12)
+            if step == steps:
+                break
+            p = v / z[inner]
+            w -= np.clip((total * p - k + ridge * w) / (total * p + ridge), -2, 2)
+        weight[seen] = w
+        log_z[own[begin]] = np.log(z)
+    return np.log(base) + weight - log_z[segment]
+
+
+def class_rows(head: Head, w1: np.ndarray) -> np.ndarray:
+    """The row of each last word's class."""
+    return SKIP_ROWS + np.where(w1 == START, WIDTH, head.cls[np.minimum(w1, len(head.counts))])
+
+
+class Bucket:
+    """The events of one bucket, in order, and the features it owns."""
+
+    def __init__(self, head: Head, x: np.ndarray, w1: np.ndarray, w2: np.ndarray, train: np.ndarray):
+        self.head, self.x = head, x
+        self.cls = head.cls[np.minimum(x, len(head.counts))]
+        new1 = np.r_[True, w1[1:] != w1[:-1]]
+        new2 = new1 | np.r_[True, w2[1:] != w2[:-1]]
+        self.new_pair = new2 | np.r_[True, self.cls[1:] != self.cls[:-1]]  # a class after two words
+        self.new_word = new2 | np.r_[True, x[1:] != x[:-1]]  # a word after two words
+        self.last = np.cumsum(new1) - 1
+        self.train = train.astype(np.float64)
+        first = np.flatnonzero(new2)
+        self.n = _sums(self.train, first).astype(np.float32)
+        self.owner = self.last[first]
+        self.skip = skip_rows(w2[first])
+        self.class_row = class_rows(head, w1[new1])
+        pairs = np.flatnonzero(self.new_pair)
+        self.pair_n = _sums(self.train, pairs).astype(np.float32)
+        self.pair_of = (np.cumsum(new2) - 1)[pairs]
+        self.pair_cls = self.cls[pairs]
+
+    def _groups(self) -> Iterator[tuple[int, int]]:
+        """Contexts of whole last words, CONTEXTS of them or one word's."""
+        begins = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
+        cuts = begins[np.r_[True, begins[1:] // CONTEXTS != begins[:-1] // CONTEXTS]]
+        yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.owner)], strict=True)
+
+    def classes(self, table: np.ndarray, plan: str) -> np.ndarray:
+        """Log probability of each (context, class) that occurs.
+
+        ``table``: the common rows. ``plan``: what is fitted in turn, "l" the rows of last words, "b" the
+        weights of two words and a class.
+        """
+        out = np.zeros(len(self.pair_n))
+        for begin, end in self._groups():
+            low = self.owner[begin]
+            owners = int(self.owner[end - 1] - low) + 1
+            a, b = np.searchsorted(self.pair_of, [begin, end])
+            pair_of, pair_cls, pair_n = self.pair_of[a:b], self.pair_cls[a:b], self.pair_n[a:b]
+            flat = (self.owner[pair_of] - low) * WIDTH + pair_cls
+            wanted = np.bincount(flat, pair_n, owners * WIDTH).reshape(owners, WIDTH).astype(np.float32)
+            seen = np.maximum(wanted.sum(axis=1, keepdims=True), 1)
+            prior = table[self.class_row[low : low + owners]] + self.head.bias
+            last, both = prior.copy(), np.zeros(b - a, np.float32)
+            for step in plan + ".":
+                expected = np.zeros((owners, WIDTH), np.float32)
+                for at in range(begin, end, CONTEXTS):
+                    until = min(end, at + CONTEXTS)
+                    i, j = np.searchsorted(pair_of, [at, until])
+                    own = self.owner[at:until] - low
+                    z = table[self.skip[at:until]]
+                    z += last[own]
+                    where = (pair_of[i:j] - at, pair_cls[i:j])
+                    z[where] += both[i:j]
+                    z -= z.max(axis=1, keepdims=True)
+                    chosen = z[where]
+                    p = np.exp(z, out=z)
+                    total = p.sum(axis=1)
+                    if step == "l":
+                        p *= (self.n[at:until] / total)[:, None]
+                        heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                        expected[own[heads]] += _sums(p, heads)
+                    elif step == "b":
+                        got, hit, m = p[where] / total[where[0]], pair_n[i:j], self.n[at:until][where[0]]
+                        move = (m * got - hit + RIDGE["both"] * both[i:j]) / (m * got * (1 - got) + RIDGE["both"])
+                        both[i:j] -= np.where(hit > 0, np.clip(move, -3, 3), 0)
+                    else:
+                        out[a + i : a + j] = chosen - np.log(total[where[0]])
+                if step == "l":
+                    move = (expected - wanted + RIDGE["last"] * (last - prior)) / (expected * (1 - expected / seen) + RIDGE["last"])
+                    last -= np.clip(move, -3, 3)
+        return out
+
+    def words(self) -> np.ndarray:
+        """Log probability of each (context, word) that occurs, given its class."""
+        at = np.flatnonzero(self.new_word)
+        n = _sums(self.train, at)
+        keys, back = np.unique(self.last[at].astype(np.uint64) << np.uint64(32) | self.x[at], return_inverse=True)
+        x = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.minimum(x, len(self.head.counts))
+        part = (keys >> np.uint64(32)) * np.uint64(WIDTH) + self.head.cls[inside].astype(np.uint64)
+        after_last = sparse_softmax(self.head.share[inside], np.bincount(back, n), np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), RIDGE["word"])
+        return sparse_softmax(np.exp(after_last[back]), n, np.flatnonzero(self.new_pair[at]), RIDGE["word_both"])
+
+    def log_probabilities(self, table: np.ndarray, plan: str = PLAN) -> np.ndarray:
+        """Natural logarithm of each event's probability."""
+        return self.classes(table, plan)[np.cumsum(self.new_pair) - 1] + self.words()[np.cumsum(self.new_word) - 1]
+
+
+def common_gradient(head: Head, table: np.ndarray, x: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the common rows: expected minus actual classes over training events, and how often each row occurs."""
+    cls = head.cls[np.minimum(x, len(head.counts))]
+    key, times = np.unique((skip_rows(w2) * BLOCK + class_rows(head, w1) - SKIP_ROWS) * WIDTH + cls, return_counts=True)
+    context, cls = np.divmod(key, WIDTH)
+    new = np.r_[True, context[1:] != context[:-1]]
+    of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    skip, last = np.divmod(context[first], BLOCK)
+    n = _sums(times.astype(np.float32), first)
+    gradient = np.zeros((ROWS, WIDTH), np.float32)
+    for at in range(0, len(first), CONTEXTS):
+        part = slice(at, at + CONTEXTS)
+        i, j = np.searchsorted(of, [at, at + CONTEXTS])
+        z = table[skip[part]]
+        z += (table[SKIP_ROWS:] + head.bias)[last[part]]
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z, out=z)
+        p *= (n[part] / p.sum(axis=1))[:, None]
+        p[of[i:j] - at, cls[i:j]] -= times[i:j]
+        for rows in (skip[part], SKIP_ROWS + last[part]):
+            order = np.argsort(rows, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+            gradient[rows[order][heads]] += _sums(p[order], heads)
+    return gradient, np.bincount(np.r_[skip, SKIP_ROWS + last], np.r_[n, n], ROWS).astype(np.float32)
+
+
+def _stepped(table: np.ndarray, bias: np.ndarray, gradient: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The common rows after one step along the summed gradient, divided by an estimate of its curvature."""
+    p = np.exp(bias)
+    # Two rows meet in each event; half a step of each keeps their sum from going too far.
+    move = (gradient + RIDGE["common"] * table) / (2 * n[:, None] * p * (1 - p) + RIDGE["common"])
+    return table - np.clip(move, -1, 1).astype(np.float32)
+
+
+def train(chunks: DataFrame, head: Head, known, rounds: int = ROUNDS) -> np.ndarray:
+    """The common rows after ``rounds`` steps, each along the gradient over all chunks."""
+    spark = chunks.sparkSession
+    table = np.zeros((ROWS, WIDTH), np.float32)
+    schema = "shard long, block int, n binary, gradient binary"
+    shards = chunks.count()
+    for _ in range(rounds):
+        common = spark.sparkContext.broadcast(table)
 
         def work(batches: Iterator[pa.RecordBatch], common=common) -> Iterator[pa.RecordBatch]:
-            shard, own = Shard(common.value, rate), Head(*known.value)
-            waiting: list[np.ndarray] = []
-            for arrow in batches:
-                for at in range(0, arrow.num_rows, 64):
-                    waiting.append(np.stack(own.encode(arrow.column(0).slice(at, 64).to_pylist())[:3]))
-                    if sum(w.shape[1] for w in waiting) >= batch:
-                        joined = np.concatenate(waiting, axis=1)
-                        cut = joined.shape[1] // batch * batch
-                        for b in range(0, cut, batch):
-                            shard.step(*joined[:, b : b + batch])
-                        waiting = [joined[:, cut:]]
-            if waiting and waiting[0].shape[1]:
-                shard.step(*np.concatenate(waiting, axis=1))
-            for name, block, seen, change in shard.changes():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([seen], pa.binary()), pa.array([change], pa.binary())], ["tab", "block", "seen", "change"])
+            own = Head(*known.value)
+            for batch in batches:
+                for row in _each(batch):
+                    x, w1, w2, text = _events(row)
+                    mine = np.flatnonzero(text >> np.uint32(31) == 0)
+                    if not len(mine):
+                        continue
+                    g, n = common_gradient(own, common.value, x[mine], w1[mine], w2[mine])
+                    blocks = [b for b in range(ROWS // BLOCK) if n[b * BLOCK : (b + 1) * BLOCK].any()]
+                    mean = (g / np.maximum(n, 1)[:, None]).astype(np.float16).reshape(-1, BLOCK, WIDTH)
+                    times = n.reshape(-1, BLOCK)
+                    yield _rows(schema, len(blocks), shard=[row["chunk"]] * len(blocks), block=blocks, n=[times[b].tobytes() for b in blocks], gradient=[mean[b].tobytes() for b in blocks])
 
         def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            total = touched = 0
-            for seen, change in zip(pdf["seen"], pdf["change"], strict=True):
-                n = np.frombuffer(seen, np.float32)
-                total = total + n[:, None] * np.frombuffer(change, np.float16).reshape(len(n), -1).astype(np.float32)
-                touched = touched + n
-            mean = (total / np.maximum(touched, 1)[:, None]).astype(np.float32)
-            return pd.DataFrame({"tab": [key[0]], "block": [key[1]], "change": [mean.tobytes()]})
-
-        part = texts.where(F.pmod(F.xxhash64(F.lit("round"), "key"), F.lit(rounds)) == number).select("text")
-        sent = part.coalesce(shards).mapInArrow(work, schema)
-        # At most MOST_SHARDS rows meet in a block, and all blocks together are the size of the tables.
-        for r in sent.groupBy("tab", "block").applyInPandas(merge, "tab string, block int, change binary").collect():
-            w = weights[r["tab"]]
-            at = r["block"] * BLOCK
-            w[at : at + BLOCK] += np.frombuffer(r["change"], np.float32).reshape(-1, w.shape[1])
+            total, times = np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK)
+            for n, gradient in zip(pdf["n"], pdf["gradient"], strict=True):
+                n = np.frombuffer(n, np.float32).astype(np.float64)
+                total += n[:, None] * np.frombuffer(gradient, np.float16).reshape(BLOCK, WIDTH)
+                times += n
+            mean = total / np.maximum(times, 1)[:, None]
+            return pd.DataFrame({"shard": [key[1]], "block": [key[0]], "n": [times.astype(np.float32).tobytes()], "gradient": [mean.astype(np.float16).tobytes()]})
+
+        sent, left = chunks.mapInArrow(work, schema), shards
+        while left > 1:  # at most about FAN_IN shards meet in a group, whatever the corpus
+            left = -(-left // FAN_IN)
+            sent = sent.groupBy("block", F.pmod(F.xxhash64("shard"), F.lit(left)).alias("shard")).applyInPandas(merge, schema)
+        gradient, n = np.zeros_like(table), np.zeros(ROWS, np.float32)
+        for r in sent.collect():  # all blocks together are the size of the table
+            part = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+            n[part] = np.frombuffer(r["n"], np.float32)
+            gradient[part] = n[part][:, None] * np.frombuffer(r["gradient"], np.float16).reshape(BLOCK, WIDTH)
+        table = _stepped(table, head.bias, gradient, n)
         common.unpersist()
-    known.unpersist()
-    return weights
+    return table
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
+def scored(events: DataFrame, known, table: np.ndarray, buckets: int) -> DataFrame:
+    """(chunk, place, model): the log10 probability of each text."""
+    common = events.sparkSession.sparkContext.broadcast(table)
+    schema = "chunk long, places binary, sums binary"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Head(*known.value)
+        for _, packets in groupby((row for batch in batches for row in _each(batch)), lambda row: row["bucket"]):
+            chunks, parts = [], []
+            for row in packets:
+                columns = np.vstack([_unpacked(row["events"], row["n"], 4), np.full((1, row["n"]), len(chunks), np.uint32)])
+                np.cumsum(columns[1], out=columns[1], dtype=np.uint32)
+                np.cumsum(columns[3], out=columns[3], dtype=np.uint32)
+                parts.append(columns)
+                chunks.append(row["chunk"])
+            x, w1, w2, text, number = np.concatenate(parts, axis=1)
+            del parts
+            order = in_order(x, w1, w2, len(own.counts))
+            x, w1, w2, text, number = (v[order] for v in (x, w1, w2, text, number))
+            found = Bucket(own, x, w1, w2, text >> np.uint32(31) == 0).log_probabilities(common.value)
+            key = number.astype(np.uint64) << np.uint64(32) | text & np.uint32(0xFFFF)
+            order = np.argsort(key)
+            key, found = key[order], found[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sums, key = (np.add.reduceat(found, first) / np.log(10)).astype(np.float32), key[first]
+            owner, place = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFF)).astype("<u2")
+            cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            split = lambda v: [p.tobytes() for p in np.split(v, cuts[1:])]
+            yield _rows(schema, len(cuts), chunk=[chunks[i] for i in owner[cuts]], places=split(place), sums=split(sums))
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        places, sums = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("places", "<u2"), ("sums", np.float32)))
+        total = np.bincount(places, sums)
+        here = np.unique(places)
+        return pd.DataFrame({"chunk": key[0], "place": here.astype(np.int32), "model": total[here]})
+
+    # A chunk has at most CHUNK_DOCS texts and about CHUNK_TOKENS tokens, which bounds its group.
+    ordered = events.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return ordered.mapInArrow(work, schema).groupBy("chunk").applyInPandas(add, "chunk long, place int, model double")
 
 
 def _head(counts: DataFrame, total: int, kinds: int) -> Head:
@@ -287,68 +570,29 @@ def _head(counts: DataFrame, total: int, kinds: int) -> Head:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (fold(id_col, FOLDS) == HELD).alias("held_out"),
-        F.monotonically_increasing_id().alias("key"),
-        text_or_empty(text_col).cast("binary").alias("text"),
-    )
-    training = rows.where(~F.col("held_out"))
-    counts = stored(word_counts(training.select("text")), "word-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, FOLDS) == HELD).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
+    counts = stored(word_counts(rows.where(~F.col("held_out")).select("text")), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = _head(counts, totals["n"], totals["v"])
-    weights = train(training.select("key", "text"), head, rounds) if head.total else head.weights()
-    known, common = spark.sparkContext.broadcast(head.plain()), spark.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w = Head(*known.value), common.value
-        base = np.log10(np.append(own.counts + 0.5, 1.0))  # words outside the head are added by the join
-        floor, rare = np.log10(own.total + 0.5 * (own.kinds + 1)), np.log10(own.rare_mass())
-        names = ["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "model", "tail"]
-        for arrow in batches:
-            sizes_in = pc.binary_length(arrow.column(3)).to_numpy()
-            begin = 0
-            while begin < len(sizes_in):  # about a million bytes at once, or one text
-                end, held = begin + 1, sizes_in[begin]
-                while end < len(sizes_in) and held + sizes_in[end] < 1 << 20:
-                    held += sizes_in[end]
-                    end += 1
-                part = arrow.slice(begin, end - begin)
-                begin = end
-                x, w1, w2, sizes, tails = own.encode(part.column(3).to_pylist())
-                starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-                model = log_probabilities(w, x, w1, w2) / np.log(10)
-                outside = x >= CLASSES * IN_CLASS
-                model[outside] += base[np.minimum(x[outside], own.unknown)] - rare
-                found = [Counter(t) for t in tails]
-                words = pa.array([k for t in found for k in t], pa.binary())
-                times = pa.array([n for t in found for n in t.values()], pa.int64())
-                ends = np.r_[0, np.cumsum([len(t) for t in found])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), part.column(2), pa.array(sizes),
-                        pa.array(np.add.reduceat((x != own.unknown).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(base[x], starts) - floor * sizes),
-                        pa.array(np.add.reduceat(model, starts)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, times], ["word", "n"])),
-                    ],
-                    names,
-                )
-
-    schema = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, model double, tail array<struct<word: binary, n: long>>"
-    parts = stored(rows.mapInArrow(run, schema), "lm-parts")
-    known.unpersist()
-    common.unpersist()
-    tail = parts.select("key", F.inline("tail")).join(counts, "word", "left")
+    known = spark.sparkContext.broadcast(head.plain())
+    parts = stored(encoded(rows, known), "lm-ids")
+    texts = parts.where(F.col("ids").isNull()).select("doc_id", "held_out", "chunk", "place", "n_tokens", "n_known", "base", "tail")
+    chunks = parts.where(F.col("ids").isNotNull()).select("chunk", "n", "texts", "sizes", "ids")
+    if head.total:
+        table = train(chunks, head, known, rounds)
+        model = stored(scored(dealt(chunks, known), known, table, head.buckets), "lm-scores")
+    else:
+        model = texts.select("chunk", "place", F.lit(0.0).alias("model"))
+    key = ["chunk", "place"]
     c = F.coalesce("c", F.lit(0))
-    found = tail.groupBy("key").agg(F.sum(F.log10(c + 0.5) * F.col("n")).alias("gain"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    gain = F.coalesce("gain", F.lit(0.0))
-    return parts.drop("tail").join(found, "key", "left").select(
+    tail = texts.select(*key, F.inline("tail")).join(counts, "word", "left")
+    found = tail.groupBy(*key).agg(F.sum(F.log10(c + 0.5) * F.col("n")).alias("gain"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
+    return texts.drop("tail").join(model, key).join(found, key, "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + gain).alias("base_score"),
-        (F.col("model") + gain).alias("score"),
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        F.col("model").alias("score"),
     )

@@ -12,14 +12,19 @@ from chronoreel.llm import html_text, maxent_lm, near_copies
 def test_words_depend_on_the_word_before_the_last():
     counts = np.arange(6000, 0, -1)
     head = maxent_lm.Head({b"w%d" % i: i for i in range(len(counts))}, counts, int(counts.sum()), len(counts))
-    assert maxent_lm.CLASSES * maxent_lm.IN_CLASS >= 4096
-    shard = maxent_lm.Shard(head.weights(), 0.1)
-    # Inside its class the next word is told by the word before the last only: 7 after 3, 9 after 5.
-    w2 = np.tile([3, 5], 512)
-    for _ in range(20):
-        shard.step(np.where(w2 == 3, 4039, 4041), np.full(1024, 2), w2)
-    asked = np.array([4039, 4041, 4039, 4041])
-    p = maxent_lm.log_probabilities(shard.w, asked, np.full(4, 2), np.array([3, 3, 5, 5]))
+    assert maxent_lm.CLASSES >= 64 and len(set(head.cls.tolist())) == maxent_lm.WIDTH
+    # Two words of one class: which comes next is told by the word before the last only: 5039 after 3, 5041 after 5.
+    assert head.cls[5039] == head.cls[5041]
+    w2 = np.repeat([3, 5], 500)
+    seen = np.where(w2 == 3, 5039, 5041)
+    asked2, asked = np.array([3, 3, 5, 5]), np.array([5039, 5041, 5039, 5041])
+    x, w2 = (np.concatenate(v).astype(np.uint32) for v in ((seen, asked), (w2, asked2)))
+    w1, train = np.full(len(x), 2, np.uint32), np.arange(len(x)) < len(seen)
+    order = maxent_lm.in_order(x, w1, w2, len(counts))
+    bucket = maxent_lm.Bucket(head, x[order], w1[order], w2[order], train[order])
+    found = np.empty(len(x))
+    found[order] = bucket.log_probabilities(np.zeros((maxent_lm.ROWS, maxent_lm.WIDTH), np.float32))
+    p = found[len(seen) :]
     assert p[0] > p[1] + 1 and p[3] > p[2] + 1
 
 
