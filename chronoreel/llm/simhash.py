@@ -1,12 +1,16 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 A fingerprint has a bit set where more than half of the XXH64 values of a text's word shingles have it.
-Equal fingerprints are merged first. Two that differ in at most ``radius`` bits agree on at least one of
-radius + 1 blocks of bits, so each is sent once for each block, to the root node of that block's value;
-nothing is lost and roots are as many as the values. Below a root, codes are sorted by Gray rank and
-factored into nodes of consecutive codes: a node keeps the bits that all its codes share and its parent
-does not, and a search adds up the differences on the way down and leaves a whole node as soon as they
-exceed the radius. Roots with many codes are dealt out in pairs of blocks, each with an index of its own.
+Equal fingerprints are merged first. The distinct ones are sorted by Gray rank and cut into ranges of equal
+size. A range's node keeps the bits that all its codes share; upper nodes factor what FANOUT neighbours
+share, up to one root. That directory has at most MOST_RANGES ranges and goes to all workers: each
+code descends it, adding up its differences from the shared bits, leaves a node as soon as they exceed the
+radius, and so reaches the ranges that can hold a code near it. Inside a range the same tree goes on down to
+single codes. All pairs are found, since a node is left only when every code below it is too far away.
+
+Codes are distinct, so no range is crowded by copies; the codes that visit a range stream past it. Labels go
+back to the texts by fingerprint: those of a fingerprint with many copies are broadcast (of n rows at most
+MOST_HEAVY fingerprints can have n / MOST_HEAVY copies), so no fingerprint is one key of a shuffle.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link with each
 other and with any code near zero; null ids never become a component's id unless it has no other; repeated
@@ -16,23 +20,28 @@ rows are separate rows of one component; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import bounded, dropped, stored, text_or_empty
+from chronoreel.llm.common import dropped, stored, text_or_empty
 from chronoreel.llm.components import connected_components, local_labels
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-FANOUT = 16
-BLOCK_ROWS = 4096
-HEAVY = 1000  # copies from which a fingerprint's label is broadcast, if all of those are small enough
+FANOUT = 4
+RANGE_ROWS = 16_384  # codes of a range, or more where there would be more than MOST_RANGES
+MOST_RANGES = 65_536
+MOST_HEAVY = 65_536
+
+log = logging.getLogger(__name__)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -69,126 +78,147 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-class GrayIndex:
-    """Trees over codes in Gray order, one below each root. ``roots``: a whole number for each code."""
-
-    def __init__(self, codes: np.ndarray, roots: np.ndarray):
-        order = np.lexsort((gray_rank(codes), roots))
-        self.order, self.codes = order, codes[order]
-        owner = roots[order]
-        # Each level: a sample code, the bits in which its codes vary, where its children begin.
-        first, vary = self.codes, np.zeros(len(order), np.uint64)
-        self.levels = [(first, vary, None)]
-        while True:
-            heads = np.r_[True, owner[1:] != owner[:-1]]
-            begins = np.flatnonzero(heads)
-            if len(begins) == len(owner) and len(self.levels) > 1:
-                break
-            place = np.arange(len(owner)) - begins[np.cumsum(heads) - 1]
-            starts = np.flatnonzero(place % FANOUT == 0)
-            parent = np.cumsum(place % FANOUT == 0) - 1
+class GrayTree:
+    """Nodes over codes in Gray order. A leaf is a code, or a pattern: ``vary`` marks the bits it leaves open."""
+
+    def __init__(self, first: np.ndarray, vary: np.ndarray | None = None):
+        vary = np.zeros(len(first), np.uint64) if vary is None else vary
+        # Each level: a code below each node, the bits in which the codes below it vary, where its children begin.
+        self.levels = [(first, vary, np.empty(0, np.int64))]
+        self.pruned = 0
+        while len(first) > 1:
+            starts = np.arange(0, len(first), FANOUT)
+            parent = np.arange(len(first)) // FANOUT
             vary = np.bitwise_or.reduceat(vary | (first ^ first[starts][parent]), starts)
-            first, owner = first[starts], owner[starts]
-            self.levels.append((first, vary, np.r_[starts, len(parent)]))
-        heads = np.r_[True, roots[order][1:] != roots[order][:-1]]
-        self.root_of = np.cumsum(heads) - 1
-        self.sizes = np.bincount(self.root_of)
+            kids = np.r_[starts, len(first)]
+            first = first[starts]
+            self.levels.append((first, vary, kids))
 
-    def pairs(self, radius: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions (into the codes given) below one root that differ in at most ``radius`` bits.
+    def search(self, codes: np.ndarray, radius: int, at_once: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) wherever a code differs from a leaf's fixed bits in at most ``radius``.
 
-        Queries go down together, so many at a time that even without pruning ``most`` pairs are held.
+        ``pruned`` counts the nodes above the leaves that a query left with all that is below them.
         """
-        load = np.cumsum(self.sizes[self.root_of]) // most
-        for part in np.split(np.arange(len(self.codes)), np.flatnonzero(np.diff(load)) + 1):
-            query, node = part, self.root_of[part]
-            first, vary, kids = self.levels[-1]
-            gap = np.bitwise_count((self.codes[query] ^ first[node]) & ~vary[node]).astype(np.int64)
+        for begin in range(0, len(codes), at_once):
+            part = codes[begin : begin + at_once]
+            first, vary, _ = self.levels[-1]
+            query, node = np.arange(len(part)), np.zeros(len(part), np.int64)
+            gap = np.bitwise_count((part ^ first[0]) & ~vary[0]).astype(np.int8)
             for depth in range(len(self.levels) - 1, 0, -1):
-                near = gap <= radius
+                near = np.flatnonzero(gap <= radius)
+                self.pruned += len(gap) - len(near)
                 query, node, gap = query[near], node[near], gap[near]
                 _, above, kids = self.levels[depth]
                 first, vary, _ = self.levels[depth - 1]
                 count = kids[node + 1] - kids[node]
                 at = np.repeat(np.arange(len(node)), count)
-                child = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + kids[node][at]
+                child = np.arange(len(at)) - np.repeat(np.cumsum(count) - count - kids[node], count)
                 own = above[node][at] & ~vary[child]
-                query, gap, node = query[at], gap[at] + np.bitwise_count((self.codes[query[at]] ^ first[child]) & own), child
-            near = (gap <= radius) & (query < node)
-            if near.any():
-                yield self.order[query[near]], self.order[node[near]]
-
-
-def links_of(codes: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (code, smallest position's code) that connect what the index links, at most one a code."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for x, y in GrayIndex(codes, roots).pairs(radius):
-        a.append(x)
-        b.append(y)
-        if sum(map(len, a)) > 1 << 22:
-            labels = local_labels(len(codes), np.concatenate(a), np.concatenate(b))
-            kept = np.flatnonzero(labels != np.arange(len(codes)))
-            a, b = [kept], [labels[kept]]
-    labels = local_labels(len(codes), np.concatenate(a), np.concatenate(b))
-    linked = np.flatnonzero(labels != np.arange(len(codes)))
-    return codes[linked], codes[labels[linked]]
-
-
-def _blocks(fp: Column, radius: int) -> Column:
-    """(block number, its bits) for each of radius + 1 blocks."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    bits = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), v.alias("bits")) for i, v in enumerate(bits)])
-
-
-def near_edges(codes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(src, dst) edges that connect exactly the distinct fingerprints (fp) within ``radius`` bits."""
-    routed = codes.select("fp", F.inline(_blocks(F.col("fp"), radius)))
-    shared = routed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    parts = F.ceil(F.col("c") / block_rows)
-    own = F.pmod(F.xxhash64("fp"), parts)
-    dealt = routed.join(shared, ["block", "bits"]).select(
-        "fp",
-        F.xxhash64("block", "bits").alias("root"),
-        own.alias("own"),
-        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"),
-    )
-    tasks = dealt.select("fp", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("root"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(fps: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of(fps.view(np.uint64), roots, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
-
-        fps, roots = np.empty(0, np.int64), np.empty(0, np.int64)
+                gap = gap[at] + np.bitwise_count((part[query][at] ^ first[child]) & own).astype(np.int8)
+                query, node = query[at], child
+            near = gap <= radius
+            yield begin + query[near], node[near]
+
+
+def _range_edges(members: np.ndarray, visitors: Iterator[np.ndarray], radius: int, pruned) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what is linked among ``members`` and between them and the codes that stream past."""
+    members = members[np.argsort(gray_rank(members))]
+    tree, labels = GrayTree(members), np.arange(len(members))
+    for a, b in tree.search(members, radius):
+        labels = local_labels(len(members), np.r_[np.arange(len(members)), a], np.r_[labels, b])
+    for codes in visitors:
+        for a, b in tree.search(codes, radius):
+            here, a = np.unique(a, return_inverse=True)
+            n = len(members)
+            both = local_labels(n + len(here), np.r_[np.arange(n), n + a], np.r_[labels, b])
+            labels = both[:n]
+            yield codes[here], members[both[n:]]
+    linked = np.flatnonzero(labels != np.arange(len(members)))
+    yield members[linked], members[labels[linked]]
+    pruned.add(tree.pruned)
+
+
+def near_edges(codes: DataFrame, radius: int = RADIUS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(src, dst) edges that connect exactly the distinct fingerprints (fp) within ``radius`` bits; stored."""
+    spark = codes.sparkSession
+    schema = "src long, dst long"
+    n = codes.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.concatenate([fps, batch.column(0).to_numpy(zero_copy_only=False)])
-            roots = np.concatenate([roots, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(fps) >= 1 << 16:  # all but the last root, which may go on
-                cut = int(np.searchsorted(roots, roots[-1]))
-                if cut:
-                    yield found(fps[:cut], roots[:cut])
-                    fps, roots = fps[cut:], roots[cut:]
-        if len(fps):
-            yield found(fps, roots)
+            place = gray_rank(batch.column(0).to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)  # so that signed order is its order
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place.view(np.int64))], ["fp", "rank"])
+
+    ranges = -(-n // max(range_rows, -(-n // MOST_RANGES)))
+    ranked = codes.select("fp").mapInArrow(rank, "fp long, rank long").repartitionByRange(ranges, "rank")
+    ranked = stored(ranked.withColumn("part", F.spark_partition_id()), "gray-ranges")
+    nodes = ranked.groupBy("part").agg(F.min("rank").alias("rank"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("rank").collect()
+    shared = [np.array([r[c] for r in nodes], np.int64).view(np.uint64) for c in ("all", "any")]
+    directory = spark.sparkContext.broadcast((np.array([r["part"] for r in nodes]), *shared))
+    pruned = spark.sparkContext.accumulator(0)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, fixed, any_ = directory.value
+        tree, position = GrayTree(fixed, fixed ^ any_), np.empty(parts.max() + 1, np.int64)
+        position[parts] = np.arange(len(parts))
+        for batch in batches:
+            fp, own = batch.column(0).to_numpy(), position[batch.column(1).to_numpy()]
+            for query, leaf in tree.search(fp.view(np.uint64), radius):
+                later = leaf >= own[query]  # each pair of ranges meets in the later one
+                query, leaf = query[later], leaf[later]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(leaf != own[query]), pa.array(fp[query])], ["task", "visits", "fp"])
+        pruned.add(tree.pruned)
 
-    return tasks.repartition("root").sortWithinPartitions("root").mapInArrow(search, "src long, dst long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bool, np.ndarray]]:
+            for batch in batches:
+                task, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                fps = batch.column(2).to_numpy().view(np.uint64)
+                cuts = np.flatnonzero((task[1:] != task[:-1]) | (visits[1:] != visits[:-1])) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(task)], strict=True):
+                    if a < b:
+                        yield int(task[a]), bool(visits[a]), fps[a:b]
+
+        for _, group in groupby(pieces(), lambda x: x[0]):
+            rows = iter(group)
+            held, rest = [], None
+            for _, visit, fps in rows:
+                if visit:
+                    rest = fps
+                    break
+                held.append(fps)
+            visitors = chain([] if rest is None else [rest], (fps for _, _, fps in rows))
+            for a, b in _range_edges(np.concatenate(held), visitors, radius, pruned):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
+
+    routed = ranked.select("fp", "part").mapInArrow(route, "task long, visits boolean, fp long")
+    found = stored(routed.repartition("task").sortWithinPartitions("task", "visits").mapInArrow(search, schema), "code-edges")
+    directory.unpersist()
+    dropped(ranked)
+    log.info("gray index: %d codes in %d ranges, %d nodes left above the leaves", n, len(nodes), pruned.value)
+    return found
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "codes")
-    edges = stored(near_edges(codes, radius), "code-edges")
+    edges = near_edges(codes, radius)
     joined = stored(connected_components(edges).select(F.col("id").alias("fp"), "component"), "code-components")
     dropped(edges)
     least = codes.join(joined, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     moved = joined.join(least, "component").select("fp", "component_id")
     labels = codes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
-    # A fingerprint of very many copies would be one key of the join, so its rows stay where they are.
-    heavy = bounded(labels.where(F.col("copies") >= HEAVY), "heavy-codes")
-    light = prints.join(heavy, "fp", "left_anti").join(labels.where(F.col("copies") < HEAVY), "fp")
-    return prints.join(heavy, "fp").unionByName(light).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = stored(labels, "code-labels")
+    total = prints.count()
+    heavy = F.col("copies") >= max(2, -(-total // MOST_HEAVY))
+    many = F.broadcast(labels.where(heavy).select("fp", F.struct("component_id").alias("known")))
+    placed = prints.join(many, "fp", "left")
+    few = placed.where(F.col("known").isNull()).drop("known").join(labels.where(~heavy).select("fp", "component_id"), "fp")
+    out = placed.where(F.col("known").isNotNull()).select("fp", "doc_id", "known.component_id").unionByName(few)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

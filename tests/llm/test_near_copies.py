@@ -44,9 +44,10 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("heavy", [2, 1000])
+@pytest.mark.parametrize("heavy", [1, 65_536])
 def test_simhash_equals_brute_force(spark, odd_docs, no_docs, monkeypatch, heavy):
-    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    monkeypatch.setattr(simhash, "MOST_HEAVY", heavy)
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 8)
     docs = odd_docs.where(F.col("doc_id").isNotNull())
     rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in docs.collect()]
     want = closed(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 2])
@@ -70,29 +71,55 @@ def test_gray_rank_is_the_inverse_of_gray_code():
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 5])
-def test_gray_index_finds_all_pairs(radius):
-    rng = np.random.default_rng(radius)
+def near_codes(rng, n, flips):
     base = rng.integers(0, 2**63, 20).astype(np.uint64)
-    codes = base[rng.integers(0, 20, 500)]
-    for _ in range(6):
-        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) * (rng.random(500) < 0.3).astype(np.uint64)
-    codes = np.unique(codes)
-    roots = rng.integers(0, 3, len(codes))
-    got = {tuple(sorted(p)) for x, y in simhash.GrayIndex(codes, roots).pairs(radius, most=20_000) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert got == {(i, j) for j in range(len(codes)) for i in range(j) if roots[i] == roots[j] and int(codes[i] ^ codes[j]).bit_count() <= radius}
+    codes = base[rng.integers(0, 20, n)]
+    for _ in range(flips):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * (rng.random(n) < 0.3).astype(np.uint64)
+    return np.unique(codes)
 
 
-def test_crowded_blocks_are_split_without_loss(spark):
+@pytest.mark.parametrize("radius", [0, 1, 2, 5])
+def test_gray_tree_finds_all_pairs(radius):
+    codes = near_codes(np.random.default_rng(radius), 500, 6)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    tree = simhash.GrayTree(codes)
+    got = {(i, j) for a, b in tree.search(codes, radius, at_once=64) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(len(codes)) for j in range(len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= radius}
+    assert tree.pruned > len(codes)
+
+
+def test_gray_tree_of_patterns_leaves_only_far_ranges():
+    rng = np.random.default_rng(3)
+    codes = near_codes(rng, 800, 8)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    parts = np.array_split(codes, 40)
+    all_, any_ = (np.array([f.reduce(p) for p in parts]) for f in (np.bitwise_and, np.bitwise_or))
+    got = {(i, j) for a, b in simhash.GrayTree(all_, all_ ^ any_).search(codes, 2) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i, c in enumerate(codes) for j, p in enumerate(parts) if (np.bitwise_count(p ^ c) <= 2).any()}
+    assert want <= got and len(got) < 0.6 * len(codes) * len(parts)
+
+
+@pytest.mark.parametrize("range_rows", [4, 16, 1000])
+def test_ranges_lose_no_pair(spark, range_rows):
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([[0], 1 << rng.integers(0, 20, 10), (1 << rng.integers(0, 20, 200)) | (1 << rng.integers(0, 20, 200)) | (1 << rng.integers(0, 20, 200)), rng.integers(0, 2**62, 50)])).astype(np.int64)
+    codes = np.unique(np.r_[codes, -codes])
     df = spark.createDataFrame([(int(c),) for c in codes], "fp long")
-    edges = simhash.near_edges(df, 2, block_rows=16)
+    edges = simhash.near_edges(df, 2, range_rows=range_rows)
     got = {r["id"]: r["component"] for r in components.connected_components(edges).collect()}
-    want = closed(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if (int(codes[i]) ^ int(codes[j])).bit_count() <= 2])
+    near = lambda i, j: ((int(codes[i]) ^ int(codes[j])) & (2**64 - 1)).bit_count() <= 2
+    want = closed(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if near(i, j)])
     assert all(got.get(int(c), int(c)) == int(codes[w]) for c, w in zip(codes, want, strict=True))
 
 
+def test_whole_groups_are_pruned(spark, caplog):
+    codes = np.unique(np.random.default_rng(4).integers(-(2**63), 2**63, 3000))
+    with caplog.at_level("INFO", logger="chronoreel.llm.simhash"):
+        assert simhash.near_edges(spark.createDataFrame([(int(c),) for c in codes], "fp long"), range_rows=200).count() == 0
+    assert int(caplog.messages[-1].split(", ")[1].split()[0]) > 10 * len(codes)
+
+
 def crowd(rng, n, d=16):
     x = rng.normal(size=(n, d))
     x[n // 2 :] = x[0] + 0.12 * rng.normal(size=(n - n // 2, d))
