@@ -1,15 +1,21 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Targets come from water-filling over the sources. Each document of a source first gets the certain
-whole copies, floor(target / source size); what is left of the target is a fixed-size sample taken in
-Pareto order: random odds u/(1-u) over inclusion odds, smallest first. The order is cut by words with
-per-source sums over buckets of the order, then inside the one bucket where the cut falls, so that no
-source is ever sorted as a whole. One closing document, the nearest in size, fills the gap that stays.
+whole copies, floor(target / source size). What is left of the target, a share f of the source, is a
+fixed-size sample in words with unequal probabilities: a document's inclusion odds are f/(1-f) times the
+source's mean size over its own size, so a text counts for less the more of the target it would use up, and
+the order is that of random odds u/(1-u) over inclusion odds, smallest first. Documents are taken in that
+order as long as they fit; after one that does not, the draw goes on with those that still fit, PASSES
+times in all, and then the first one in order that brings the source nearer to its target closes it.
+
+The order is cut by words with per-source sums over buckets of the order, then inside the one bucket where
+the cut falls, so that no source is ever sorted as a whole.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a document
-of size 0 takes 0 words; rows with the same id are separate rows; null ids share one random number; an
-empty table gives no rows; other columns are ignored. u depends on the seed and the id only, so reruns
-agree (repeated rows that tie may swap, which leaves the same rows).
+of size 0 takes 0 words and counts as one word in its odds; rows with the same id are separate rows; rows
+without an id draw their random number from their text; an empty table gives no rows; other columns are
+ignored. u depends on the seed and the id (or text) only, so reruns agree (repeated rows that tie may swap,
+which leaves the same rows).
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 BUCKETS = 4096
+PASSES = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``sizes`` (source, source_size), one row a source, with its target in words.
+    """``sizes`` (source, source_size, and any others), one row a source, with its target in words.
 
     Sources take the weights in turn by code point, nulls last. The level is found in closed form: by
     ascending cap over weight, the first source that stays below its cap fixes the words per weight.
@@ -41,8 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     levelled = ranked.withColumn("level", (F.sum("source_size").over(everything) - before).cast("double") / rest)
     level = F.min_by(F.when(F.col("ratio") > F.col("level"), F.col("level")), F.when(F.col("ratio") > F.col("level"), F.col("ratio"))).over(everything)
     return levelled.select(
-        "source",
-        "source_size",
+        *sizes.columns,
         F.least((F.col("source_size") * cap).cast("double"), F.coalesce(level * F.col("w"), (F.col("source_size") * cap).cast("double"))).alias("target"),
     )
 
@@ -73,55 +79,63 @@ def _mixed(
         ),
         "mix-sizes",
     )
-    shares = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    shares = shares.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    shares = targets(sums, weights, cap).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     shares = shares.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
-    shares = bounded(shares, "mix-targets")
     share = F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(F.lit(0.0))
-    shares = shares.withColumn("odds", F.when((share > 0) & (share < 1), share / (1 - share)))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    odds = F.when((share > 0) & (share < 1), share / (1 - share) * (F.col("source_size") / F.col("n_docs")))
+    shares = bounded(shares.withColumn("odds", odds).drop("n_docs"), "mix-targets")
+    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text:"), F.coalesce(F.col("digest").cast("string"), F.lit("")))).otherwise(F.col("doc_id").cast("string"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
     rows = _nulls_match(base.withColumn("u", u), shares)
-    # Pareto order; the bucket undoes the source's odds, which leaves equal shares of each source.
-    rows = rows.withColumn("pareto", F.col("u") / (1 - F.col("u")) / F.col("odds"))
-    rows = rows.withColumn("bucket", F.floor(F.col("pareto") * F.col("odds") / (1 + F.col("pareto") * F.col("odds")) * BUCKETS).cast("int"))
-    rows = stored(rows.drop("u", "odds"), "mix-order")
-    drawn = rows.where(F.col("pareto").isNotNull())
-
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        drawn.groupBy("source", "bucket")
-        .agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        .withColumn("upto", F.sum("words").over(so_far))
-        .where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-        .select("source", F.col("bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
-    )
-    edge = _nulls_match(drawn, bounded(cuts, "mix-cuts"), "inner").where(F.col("bucket") == F.col("cut"))
-    in_order = Window.partitionBy("source").orderBy("pareto", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(in_order))
-    fits = F.col("upto") <= F.col("left")
+    rows = rows.withColumn("pareto", F.col("u") / (1 - F.col("u")) / (F.col("odds") / F.greatest(F.col("size"), F.lit(1))))
+    # Most of the order lies around the value that a document of mean size has at u = share.
+    rows = rows.withColumn("bucket", F.floor(F.col("pareto") / (1 + F.col("pareto")) * BUCKETS).cast("int"))
+    placed = stored(rows.drop("u", "odds"), "mix-order")
     place = F.struct("pareto", "doc_id", "row")
-    ends = edge.groupBy("source").agg(
-        F.max("cut").alias("cut"),
-        F.max(F.when(fits, place)).alias("last"),
-        (F.max("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("before"))).alias("gap"),
-    )
-    placed = _nulls_match(rows, bounded(ends, "mix-ends"))
-    inside = F.col("pareto").isNotNull() & (
-        F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.coalesce((F.col("bucket") == F.col("cut")) & (place <= F.col("last")), F.lit(False))
-    )
-    placed = placed.withColumn("drawn", inside)
-    off = F.abs(F.col("size") - F.col("gap"))
+    gaps = shares.select("source", "left")
+    drawn = F.lit(False)
+    for number in range(PASSES):
+        ends = _pass(placed.where(F.col("pareto").isNotNull() & ~drawn).select("source", "pareto", "doc_id", "row", "size", "bucket"), gaps, f"mix-pass-{number}")
+        names = [F.col(c).alias(f"{c}_{number}") for c in ("room", "cut", "last", "gap")]
+        placed = _nulls_match(placed, ends.select("source", *names))
+        room, cut, last = (F.col(f"{c}_{number}") for c in ("room", "cut", "last"))
+        inside = (F.col("size") <= room) & (cut.isNull() | (F.col("bucket") < cut) | F.coalesce((F.col("bucket") == cut) & (place <= last), F.lit(False)))
+        drawn = drawn | F.coalesce(F.col("pareto").isNotNull() & inside, F.lit(False))
+        gaps = ends.select("source", F.col("gap").alias("left"))
+    gap = F.col(f"gap_{PASSES - 1}")
     closing = (
-        placed.where(~F.col("drawn") & F.col("pareto").isNotNull() & (off < F.col("gap")))
-        .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "pareto", "doc_id", "row"))["row"].alias("closing_row"))
+        placed.where(~drawn & F.col("pareto").isNotNull() & (F.abs(F.col("size") - gap) < gap)).groupBy("source").agg(F.min(place)["row"].alias("closing_row"))
     )
     final = _nulls_match(placed, bounded(closing, "mix-closing"))
-    extra = F.col("drawn") | F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
+    extra = drawn | F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
     return final.select("doc_id", "source", "digest", "size", "source_size", "target", (F.col("copies") + extra.cast("long")).alias("n_copies"))
 
 
+def _pass(rows: DataFrame, gaps: DataFrame, tag: str) -> DataFrame:
+    """One pass over ``rows`` that are not drawn: (source, room, cut, last, gap), one row a source.
+
+    Of the rows that fit what is ``left`` of their source (the room), the first ones in order that fit
+    together are drawn: all in buckets below ``cut`` and those up to ``last`` in it, or all if cut is null.
+    ``gap`` is what is left then.
+    """
+    fitting = _nulls_match(rows, gaps, "inner").where(F.col("size") <= F.col("left"))
+    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = fitting.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left")).withColumn("upto", F.sum("words").over(so_far))
+    over = F.col("upto") > F.col("left")
+    first = F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))))
+    cuts = bounded(sums.groupBy("source").agg(first.alias("at"), F.max("upto").alias("all")), tag)
+    edge = _nulls_match(fitting, cuts, "inner").where(F.col("bucket") == F.col("at.bucket"))
+    in_order = Window.partitionBy("source").orderBy("pareto", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("upto", F.col("at.before") + F.sum("size").over(in_order))
+    fits = F.col("upto") <= F.col("left")
+    ends = edge.groupBy("source").agg(F.max(F.when(fits, F.struct("pareto", "doc_id", "row"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("got"))
+    whole = _nulls_match(_nulls_match(gaps, cuts), ends)
+    got = F.when(F.col("at").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.coalesce("got", F.col("at.before")))
+    return bounded(whole.select("source", F.col("left").alias("room"), F.col("at.bucket").alias("cut"), "last", (F.col("left") - got).alias("gap")), tag)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words)."""
     return _mixed(docs, **options).select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
@@ -151,6 +165,15 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return out
 
 
+def _pass_sql(name: str, before: str) -> str:
+    """One pass of the draw: rest is what is left of each source, drawn what has been taken so far."""
+    fits = "pareto IS NOT NULL AND NOT drawn AND size <= rest"
+    return f"""
+{name}_c AS (SELECT *, {fits} AS fits, sum(CASE WHEN {fits} THEN size END) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id, r) AS upto FROM {before}),
+{name} AS (SELECT * EXCLUDE (fits, upto) REPLACE (drawn OR (fits AND upto <= rest) AS drawn,
+  rest - max(CASE WHEN fits AND upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS rest) FROM {name}_c),"""
+
+
 #: DuckDB form of ``mix`` with the production parameters.
 ORACLE = """
 WITH b AS (
@@ -158,23 +181,23 @@ WITH b AS (
     (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
     row_number() OVER () AS r
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS ss FROM b GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS ss, count(*) AS nd FROM b GROUP BY source),
 k AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
 q AS (SELECT *, 3.0::DOUBLE * ss / w AS ratio FROM k),
 lv AS (
   SELECT *, (sum(ss) OVER () - coalesce(sum(3 * ss) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / (sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM q),
-t AS (SELECT source, ss, least((3 * ss)::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM lv WHERE ratio > level) * w, (3 * ss)::DOUBLE)) AS target FROM lv),
+t AS (SELECT source, ss, nd, least((3 * ss)::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM lv WHERE ratio > level) * w, (3 * ss)::DOUBLE)) AS target FROM lv),
 h AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END::BIGINT AS copies FROM t),
-l AS (SELECT *, target - copies * ss AS rest FROM h),
+l AS (SELECT *, target - copies * ss AS rest, CASE WHEN ss > 0 THEN (target - copies * ss) / ss END AS share FROM h),
 d AS (
   SELECT b.*, l.ss, l.target, l.copies, l.rest,
-    CASE WHEN l.ss > 0 AND l.rest / l.ss > 0 AND l.rest / l.ss < 1 THEN u / (1 - u) / ((l.rest / l.ss) / (1 - l.rest / l.ss)) END AS pareto
+    CASE WHEN l.share > 0 AND l.share < 1 THEN u / (1 - u) / (l.share / (1 - l.share) * (l.ss / l.nd::DOUBLE) / greatest(size, 1)) END AS pareto
   FROM b JOIN l ON b.source IS NOT DISTINCT FROM l.source),
-c AS (SELECT *, sum(CASE WHEN pareto IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id, r) AS upto FROM d),
-g AS (SELECT *, pareto IS NOT NULL AND upto <= rest AS drawn, max(CASE WHEN pareto IS NOT NULL AND upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS got FROM c),
-z AS (SELECT source, arg_min(r, (abs(size - (rest - got)), pareto, doc_id, r)) AS closing FROM g
-  WHERE pareto IS NOT NULL AND NOT drawn AND abs(size - (rest - got)) < rest - got GROUP BY source)
+@PASSES@
+z AS (SELECT source, arg_min(r, (pareto, doc_id, r)) AS closing FROM @LAST@
+  WHERE pareto IS NOT NULL AND NOT drawn AND abs(size - rest) < rest GROUP BY source)
 SELECT doc_id, g.source, size, ss AS source_size, target, ((copies + CASE WHEN drawn OR coalesce(r = closing, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM g LEFT JOIN z ON g.source IS NOT DISTINCT FROM z.source
+FROM @LAST@ g LEFT JOIN z ON g.source IS NOT DISTINCT FROM z.source
 """
+ORACLE = ORACLE.replace("@PASSES@", "g0 AS (SELECT *, false AS drawn FROM d)," + "".join(_pass_sql(f"g{i + 1}", f"g{i}") for i in range(PASSES))).replace("@LAST@", f"g{PASSES}")
