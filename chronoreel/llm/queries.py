@@ -39,7 +39,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, model=secrets.train(secrets.samples(docs)))
 
 
 def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

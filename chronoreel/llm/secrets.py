@@ -1,13 +1,17 @@
 """Secret scans: fixed rules, and character Markov models for what no rule names.
 
-Two first-order models over characters, one of random strings and one of ordinary identifiers, are
-trained from labelled samples. A candidate (a run of at least 20 characters of [A-Za-z0-9+/_=-] with a
-letter and a digit) is a secret if its log-likelihood ratio is high enough in all and for each character.
-Spans of the rules always stay; a model span is added where it overlaps none of them.
+Two first-order models over characters, one of random strings and one of ordinary identifiers, are trained
+from labelled samples: generated ones, and those that ``samples`` draws from the texts themselves, where the
+rules label the strings (what a rule found is random, other words are ordinary). A candidate is the part of a
+run of [A-Za-z0-9+/_=-], cut at its delimiters, with the largest log-likelihood ratio, such as the key in a
+path; it is a secret if it has LEAST characters and its ratio is high enough in all and for each character,
+with higher limits for letters only. A run can hold several. Digits alone, and identifiers of a known shape,
+are none. Spans of the rules always stay; runs that overlap one are left to the rules.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points, ends exclusive;
 repeated rows and null ids are scanned row by row; an empty table gives no rows; other columns are
-ignored by ``scan``. ``redact`` keeps every row and column, null texts stay null.
+ignored by ``scan``. ``redact`` keeps every row and column, null texts stay null. Time is linear in the length
+of a text, whatever it holds.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, so the same as runs of any length of which 32 or more stay
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+PIECE = re.compile(r"[A-Za-z0-9]+|[+/_=-]+")
+SHAPED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")  # identifiers of public use
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 # Words from which ordinary identifiers are put together.
@@ -50,8 +59,8 @@ WORDS = (
 def labelled_samples(seed: int = 11, each: int = 4000) -> list[tuple[str, bool]]:
     """(string, is random): generated strings of common secret alphabets, and identifiers made of WORDS."""
     rng = random.Random(seed)
-    alphabets = ("0123456789abcdef", CHARS[:62], CHARS[:62] + "+/", CHARS[:26] + CHARS[52:62], CHARS[26:62], CHARS[:62] + "_-")
-    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), True) for _ in range(each)]
+    alphabets = ("0123456789abcdef", CHARS[:62], CHARS[:62] + "+/", CHARS[:26] + CHARS[52:62], CHARS[26:62], CHARS[:62] + "_-", CHARS[:52])
+    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 64))), True) for _ in range(each)]
     for _ in range(each):
         words = rng.choices(WORDS, k=rng.randint(2, 6))
         shape = rng.randrange(7)
@@ -69,9 +78,19 @@ def labelled_samples(seed: int = 11, each: int = 4000) -> list[tuple[str, bool]]
 
 
 class RandomStrings:
-    """Log-likelihood ratio of a first-order Markov model of random strings to one of identifiers."""
-
-    def __init__(self, samples: Iterable[tuple[str, bool]] | None = None, least: float = 12.0, least_mean: float = 0.45):
+    """Log-likelihood ratio of a first-order Markov model of random strings to one of identifiers.
+
+    ``counted``: more samples as (is random, string, times). ``least`` and ``least_mean`` are limits of the
+    ratio, in all and for each character: of strings with letters and digits, and of letters only.
+    """
+
+    def __init__(
+        self,
+        samples: Iterable[tuple[str, bool]] | None = None,
+        least: tuple[float, float] = (9.0, 20.0),
+        least_mean: tuple[float, float] = (0.5, 0.9),
+        counted: Iterable[tuple[bool, str, int]] = (),
+    ):
         self.least, self.least_mean = least, least_mean
         n = len(CHARS) + 1  # the last stands for the start
         at = {c: i for i, c in enumerate(CHARS)}
@@ -82,6 +101,8 @@ class RandomStrings:
                 if c in at:
                     counts[label][last][at[c]] += 1
                     last = at[c]
+        for label, pair, times in counted:  # one or two characters; one is the first of a string
+            counts[label][at[pair[0]] if len(pair) > 1 else n - 1][at[pair[-1]]] += times
         self.gain = {}
         for i in range(n):
             a, b = (sum(counts[k][i]) for k in (True, False))
@@ -92,27 +113,98 @@ class RandomStrings:
         return self.gain[text[0]] + sum(self.gain[text[i : i + 2]] for i in range(len(text) - 1))
 
     def is_secret(self, text: str) -> bool:
-        if not (any(map(str.isdigit, text)) and any(map(str.isalpha, text))):
+        bare = not any(map(str.isdigit, text))
+        if len(text) < LEAST or not any(map(str.isalpha, text)) or SHAPED.fullmatch(text):
             return False
         found = self.ratio(text)
-        return found >= self.least and found >= self.least_mean * len(text)
-
-
-def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
-    """(start, number of the kind, end) of every span, in order."""
+        return found >= self.least[bare] and found >= self.least_mean[bare] * len(text)
+
+    def spans(self, run: str) -> Iterator[tuple[int, int]]:
+        """Secrets inside a run: of its pieces, the neighbours whose ratio is furthest above the limit.
+
+        What is left before them is cut off by a ratio that has fallen below the limit, so one pass finds all.
+        """
+        mean = self.least_mean[0]
+        begin, best, total, top = 0, 0, 0.0, 0.0
+        for m in PIECE.finditer(run):
+            gain = sum(self.gain[run[i - 1 : i + 1] if i > begin else run[i]] - mean for i in range(m.start(), m.end()))
+            total += gain
+            if m[0][0].isalnum() and total > top:
+                best, top = m.end(), total
+            if total < 0 or total < top - self.least[0]:
+                if best > begin and self.is_secret(run[begin:best]):
+                    yield begin, best
+                begin = best = m.end()
+                total = top = 0.0
+            elif total == gain and not m[0][0].isalnum():  # a span does not begin with a delimiter
+                begin = best = m.end()
+                total = top = 0.0
+        if best > begin and self.is_secret(run[begin:best]):
+            yield begin, best
+
+
+def rule_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, number of the kind, end) of what the rules find, in order."""
     low, out = text.lower(), []
     if any(k in low for k in ("passw", "secret", "token", "api")):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    taken = out[:]
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in taken) and model.is_secret(m[0]):
-            out.append((m.start(), 3, m.end()))
     return sorted(out)
 
 
+def free_runs(text: str, rules: list[tuple[int, int, int]], pattern: re.Pattern) -> Iterator[re.Match]:
+    """Matches of ``pattern`` that overlap no rule's span; both lists are walked once."""
+    at = reach = 0
+    for m in pattern.finditer(text):
+        while at < len(rules) and rules[at][0] < m.end():
+            reach = max(reach, rules[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m
+
+
+def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
+    """(start, number of the kind, end) of every span, in order."""
+    rules = rule_spans(text)
+    more = [(m.start() + a, 3, m.start() + b) for m in free_runs(text, rules, CANDIDATE) for a, b in model.spans(m[0])]
+    return sorted(rules + more) if more else rules
+
+
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000) -> DataFrame:
+    """(random, pair, n): how often two characters follow each other, and which come first, in labelled strings.
+
+    Of about ``max_rows`` rows, drawn by a hash of the id, the rules label the strings: the values that they
+    find are random strings, other words that begin with a letter are ordinary.
+    """
+    share = min(1.0, max_rows / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit("samples"), F.col(id_col)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    word = re.compile(r"[A-Za-z][A-Za-z0-9+/_=-]{3,}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[bool, str]] = Counter()
+        for batch in batches:
+            for x in batch.column(0):
+                text = x.as_py()
+                rules = rule_spans(text)
+                found = [(True, (ASSIGN.fullmatch(text[a:b])[2] if k == 0 else text[a:b]).strip(".")) for a, k, b in rules]
+                found += [(False, m[0]) for m in free_runs(text, rules, word)]
+                for label, string in found:
+                    string = string.replace(".", "")
+                    seen.update((label, pair) for pair in (string[:1], *map("".join, zip(string, string[1:], strict=False))) if pair)
+        rows = [[k for k, _ in seen], [p for _, p in seen], list(seen.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.bool_(), pa.string(), pa.int64()), strict=True)], ["random", "pair", "n"])
+
+    texts = docs.where(drawn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return texts.mapInArrow(count, "random boolean, pair string, n long").groupBy("random", "pair").agg(F.sum("n").alias("n"))
+
+
+def train(counts: DataFrame) -> RandomStrings:
+    """Models from generated samples and a table of ``samples``, which has at most two rows a pair of characters."""
+    return RandomStrings(counted=[(r["random"], r["pair"], r["n"]) for r in counts.collect()])
+
+
 def _joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
