@@ -16,7 +16,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.config import EVALUATION, IndexConfig, RetrievalConfig, parse_quotas
+from chronoreel.config import EVALUATION, AnswerConfig, IndexConfig, RetrievalConfig, parse_quotas
 from chronoreel.functions.text import query_text
 from chronoreel.operators import inference, manifest, sampling
 from chronoreel.plans import pipeline
@@ -47,7 +47,16 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> None:
         drawn, replaced = sampling.validate_and_replace(drawn, videos, files, args.seed, fields, bool(quotas))
         log = [r.asDict() for r in replaced.collect()]
     document = sinks.manifest_document(
-        drawn.drop("row_no"), manifest.stats(drawn), sample_size=args.sample_size, seed=args.seed, bucket_fields=list(fields), duration_quota=quotas or None, replacements=log
+        drawn.drop("row_no"),
+        manifest.stats(drawn),
+        source_json=args.manifest,
+        sample_size=sum(quotas.values()) if quotas else args.sample_size,
+        seed=args.seed,
+        bucket_fields=list(fields),
+        duration_quota=quotas or None,
+        video_root=args.video_root,
+        validate_downloadable=bool(args.video_root),
+        replacements=log,
     )
     with open(args.output, "w", encoding="utf-8") as out:
         json.dump(document, out, ensure_ascii=False, indent=2)
@@ -56,7 +65,7 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> None:
 def index(spark: SparkSession, args: argparse.Namespace) -> None:
     """Decode, embed, segment and pool all videos below a folder."""
     config = IndexConfig(sample_fps=args.fps)
-    decoded = videos_source.sample_videos(spark, args.videos, load(args.decoder, videos_source.raw_decoder), config.sample_fps)
+    decoded = videos_source.sample_videos(spark, args.videos, load(args.decoder, videos_source.raw_decoder), config.sample_fps, energy=True)
     flat = decoded.withColumn("pixels", F.col("image.data"))
     coded = inference.encode(flat, "pixels", load(args.encoder, inference.StubEncoder), config.image_batch)
     coded = inference.encode(coded, "pixels", load(args.second_encoder, inference.StubEncoder), config.image_batch, out="dino_embedding").drop("pixels")
@@ -70,11 +79,13 @@ def _questions(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return manifest.question_rows(videos).withColumn("video_key", F.col("url"))
 
 
-def _finish(results: DataFrame, config: dict, output: str, began: float) -> None:
-    results.write.mode("overwrite").parquet(f"{output}/rows")
-    stored = results.sparkSession.read.parquet(f"{output}/rows")
-    sinks.write_results(stored, f"{output}/results")
-    sinks.write_summary(stored, config, f"{output}/summary", round(time.time() - began, 3))
+def _finish(results: DataFrame, config: dict, args: argparse.Namespace, began: float) -> None:
+    results.write.mode("overwrite").parquet(f"{args.output}/rows")
+    stored = results.sparkSession.read.parquet(f"{args.output}/rows")
+    sinks.write_results(stored, f"{args.output}/results")
+    settings = config | {"answer_config": asdict(AnswerConfig(model_id=args.answerer or "stub"))}
+    found = sinks.write_summary(stored, settings, f"{args.output}/summary", round(time.time() - began, 3), args.manifest, args.index).first()
+    print(f"questions: {found['question_count']}\nsummary_accuracy: {found['choice_accuracy']:.3f}\nsaved: {args.output}/summary")
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -84,15 +95,18 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     asked = _questions(spark, args).withColumn("text", query_text(F.col("question"), F.col("options")))
     asked = inference.encode(asked, "text", load(args.text_encoder, inference.StubEncoder), 32, out="query").drop("text")
     found = pipeline.retrieve(pipeline.VideoIndex.read(spark, args.index), asked, config)
-    _finish(pipeline.evaluate(asked, found, load(args.answerer, inference.StubAnswerer), args.prefix), asdict(config), args.output, began)
+    _finish(pipeline.evaluate(asked, found, load(args.answerer, inference.StubAnswerer), args.prefix), asdict(config), args, began)
 
 
 def baseline(spark: SparkSession, args: argparse.Namespace) -> None:
     """Answer a manifest's questions from evenly spaced frames."""
     began = time.time()
     rows = spark.read.parquet(f"{args.index}/frames").select("video_key", "frame_ordinal")
-    results = pipeline.evaluate_baseline(_questions(spark, args), rows, load(args.answerer, inference.StubAnswerer), args.max_frames, args.prefix)
-    _finish(results, {"max_frames": args.max_frames}, args.output, began)
+    shown = None
+    if args.match:
+        shown = spark.read.parquet(f"{args.match}/rows").select("video_key", "question_id", F.size("evidence_frames").alias("n_frames"))
+    results = pipeline.evaluate_baseline(_questions(spark, args), rows, load(args.answerer, inference.StubAnswerer), args.max_frames, args.prefix, shown)
+    _finish(results, {"max_frames": args.max_frames, "match_retrieval_frame_count": bool(args.match)}, args, began)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -113,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
     command(index, ("--videos", need), output, ("--fps", {"type": float, "default": 4.0}), ("--decoder", {}), ("--encoder", {}), ("--second-encoder", {}))
     run = [("--manifest", need), ("--index", need), output, ("--target-url", {"action": "append", "default": []}), ("--answerer", {}), ("--prefix", {"default": ""}), ("--max-frames", {"type": int, "default": 64})]
     command(evaluate, *run, ("--text-encoder", {}))
-    command(baseline, *run)
+    command(baseline, *run, ("--match", {"help": "output of an evaluate run, for as many frames as it showed"}))
     return top
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class IndexConfig:
     """How a video becomes segments."""
 
+    # Fixed values
     sample_fps: float = 4.0
     low_threshold: float = 0.32
     high_threshold: float = 0.58
@@ -33,6 +34,7 @@ class IndexConfig:
 class RetrievalConfig:
     """How a question becomes evidence frames."""
 
+    # Fixed values
     top_high: int = 2
     top_low: int = 3
     max_evidence_frames: int = 8
@@ -59,6 +61,7 @@ class AnswerConfig:
 class SampleConfig:
     """A development subset."""
 
+    # Fixed values
     sample_size: int = 50
     seed: int = 7
     bucket_fields: tuple[str, ...] = ("duration", "domain")

@@ -35,9 +35,11 @@ def stratum_targets(strata: DataFrame, group: list[str] | None = None) -> DataFr
     return shared.withColumn("target", target.cast("long")).drop("raw", "base", "excess")
 
 
-def _drawn(videos: DataFrame, targets: DataFrame, fields: list[str], seed: int) -> DataFrame:
+def _drawn(videos: DataFrame, targets: DataFrame, fields: list[str], seed: int, most: int) -> DataFrame:
+    """The first ``target`` members of each stratum. None gives more than ``most``, so tasks cut strata before they are shuffled."""
     rank = F.row_number().over(Window.partitionBy(*fields).orderBy(_digest(seed, F.col("url")), "url"))
-    return videos.withColumn("__rank", rank).join(targets.select(*fields, "target"), fields).where(F.col("__rank") <= F.col("target")).select(*videos.columns)
+    first = videos.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    return first.join(targets.select(*fields, "target"), fields).where(F.col("__rank") <= F.col("target")).select(*videos.columns)
 
 
 def stratified_sample(videos: DataFrame, sample_size: int, seed: int = 7, bucket_fields: tuple[str, ...] = ("duration", "domain"), order: str = "row_no") -> DataFrame:
@@ -50,7 +52,7 @@ def stratified_sample(videos: DataFrame, sample_size: int, seed: int = 7, bucket
     total = strata.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     if 0 < sample_size < min(total["k"], total["n"] or 0):
         raise ValueError(f"{sample_size} rows cannot cover {total['k']} buckets")
-    return _drawn(videos, stratum_targets(strata), fields, seed)
+    return _drawn(videos, stratum_targets(strata), fields, seed, max(0, sample_size))
 
 
 def quota_sample(videos: DataFrame, quotas: dict[str, int], seed: int = 7, bucket_fields: tuple[str, ...] = ("duration", "domain"), order: str = "row_no") -> DataFrame:
@@ -64,26 +66,36 @@ def quota_sample(videos: DataFrame, quotas: dict[str, int], seed: int = 7, bucke
     have = strata.groupBy("duration").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).join(wanted, "duration", "right")
     for r in have.where((F.coalesce("n", F.lit(0)) < F.col("size")) | ((F.col("size") > 0) & (F.col("size") < F.col("n")) & (F.col("size") < F.col("k")))).collect():
         raise ValueError(f"quota {r['size']} for {r['duration']!r}: {r['n'] or 0} videos in {r['k'] or 0} buckets")
-    return _drawn(videos, stratum_targets(strata.join(wanted, "duration"), ["duration"]), fields, seed)
+    return _drawn(videos, stratum_targets(strata.join(wanted, "duration"), ["duration"]), fields, seed, max([0, *quotas.values()]))
 
 
 def replacement_candidates(
-    slots: DataFrame, videos: DataFrame, active: DataFrame, failed: DataFrame, seed: int = 7, bucket_fields: tuple[str, ...] = ("duration", "domain"), enforce_duration: bool = False
+    slots: DataFrame, videos: DataFrame, active: DataFrame, failed: DataFrame, most: int, seed: int = 7, bucket_fields: tuple[str, ...] = ("duration", "domain"), enforce_duration: bool = False
 ) -> DataFrame:
     """Ranked replacements: for each slot (slot, duration and bucket fields) the videos that are neither active nor failed.
 
-    stage is 0 for the best match; within it a digest orders. ``slots`` are the failed places of one
-    sample, so they are few and broadcast; videos are never shuffled against each other.
+    stage is 0 for the best match; within it a digest of seed and url orders. Of each stage the first ``most``
+    are offered, and as each choice uses up one, as many as there are slots are enough. They are found once
+    for each bucket or duration, and slots meet them by that key; videos are not paired with slots.
     """
-    free = videos.join(active.select("url"), "url", "left_anti").join(failed.select("url"), "url", "left_anti")
-    names = list(dict.fromkeys(["duration", *bucket_fields]))
-    asked = F.broadcast(slots.select("slot", *[F.col(c).alias(f"__{c}") for c in names]))
-    bucket = F.lit(True)
-    for c in bucket_fields:
-        bucket = bucket & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    duration = F.col("duration").eqNullSafe(F.col("__duration"))
-    stage = F.when(duration & bucket, 0).when(duration, 1).when(bucket, 2).otherwise(3) if enforce_duration else F.when(bucket, 0).otherwise(1)
-    return free.join(asked).withColumn("stage", stage).withColumn("tie", _digest(seed, F.concat_ws("|", "slot", "url"))).drop(*[f"__{c}" for c in names])
+    free = videos.join(active.select("url"), "url", "left_anti").join(failed.select("url"), "url", "left_anti").withColumn("tie", _digest(seed, F.col("url")))
+    bucket = list(bucket_fields)
+    stages = [list(dict.fromkeys(["duration", *bucket])), ["duration"], bucket, []] if enforce_duration else [bucket, []]
+    numbers = range(4) if enforce_duration else (0, 1)
+    out = None
+    for number, fields in zip(numbers, stages, strict=True):
+        if fields:
+            place = F.row_number().over(Window.partitionBy(*fields).orderBy("tie", "url"))
+            first = free.withColumn("__place", place).where(F.col("__place") <= most).select("url", "tie", *[F.col(c).alias(f"__{c}") for c in fields])
+            match = F.lit(True)
+            for c in fields:
+                match = match & slots[c].eqNullSafe(first[f"__{c}"])
+            found = slots.join(first, match)
+        else:
+            found = slots.join(F.broadcast(free.orderBy("tie", "url").limit(most).select("url", "tie")))  # most rows by slots
+        found = found.select("slot", "url", F.lit(number).alias("stage"), "tie")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("slot", "url").agg(F.min("stage").alias("stage"), F.first("tie").alias("tie"))
 
 
 def validate_and_replace(
@@ -105,7 +117,7 @@ def validate_and_replace(
     names = list(dict.fromkeys(["duration", *bucket_fields]))
     kinds = ", ".join(f"{c} string" for c in names)
     frame = spark.createDataFrame([(i, *[s[c] for c in names]) for i, s in enumerate(slots)], f"slot int, {kinds}")
-    ranked = replacement_candidates(frame, videos.join(here, "url", "left_semi"), good, lost, seed, bucket_fields, enforce_duration)
+    ranked = replacement_candidates(frame, videos.join(here, "url", "left_semi"), good, lost, len(slots), seed, bucket_fields, enforce_duration)
     place = F.row_number().over(Window.partitionBy("slot").orderBy("stage", "tie", "url"))
     offers: dict[int, list[str]] = {}
     for r in ranked.withColumn("place", place).where(F.col("place") <= len(slots)).select("slot", "place", "url").orderBy("slot", "place").collect():

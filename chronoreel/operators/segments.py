@@ -17,11 +17,14 @@ from chronoreel.functions.vectors import l2_normalize
 
 
 class _Scan:
-    """The scan of one video: open segment, its start, running peak and sum. Times and scores are float32."""
+    """The scan of one video: open segment, its start, running peak and sum.
+
+    Times and scores are float32; they are compared with the settings in double precision.
+    """
 
     def __init__(self, threshold: float, min_seconds: float, max_seconds: float | None):
-        self.threshold, self.shortest = np.float32(threshold), np.float32(min_seconds)
-        self.longest = np.float32(np.inf if max_seconds is None else max_seconds)
+        self.threshold, self.shortest = float(threshold), float(min_seconds)
+        self.longest = np.inf if max_seconds is None else float(max_seconds)
         self.key: object = None
         self.rows: list[tuple] = []
 
@@ -49,8 +52,8 @@ class _Scan:
             self.last, self.last_time = int(ordinal[0]), time[0]
             at = 1
         while at < len(ordinal):
-            age = time[at:] - self.start_time
-            hits = ((score[at:] >= self.threshold) & (age >= self.shortest)) | (age >= self.longest)
+            age = (time[at:] - self.start_time).astype(np.float64)
+            hits = ((score[at:].astype(np.float64) >= self.threshold) & (age >= self.shortest)) | (age >= self.longest)
             cut = int(hits.argmax()) if hits.any() else -1
             stop = len(ordinal) if cut < 0 else at + cut + 1
             self.peak = max(self.peak, score[at:stop].max())
@@ -108,18 +111,23 @@ def segment_by_threshold(
     return segment_levels(frames, {level: (threshold, min_seconds)}, max_seconds, score)
 
 
-def frames_of(segments: DataFrame) -> DataFrame:
-    """(video_key, level, segment_no, frame_ordinal): every frame of every segment, both ends included.
+def frames_of(segments: DataFrame, *more: str) -> DataFrame:
+    """(video_key, level, segment_no, frame_ordinal): every frame of every segment, both ends included; ``more`` columns go along.
 
     About as many rows as frames; joined by video and ordinal, it stands for the range join and a long
     video does not become one key.
     """
-    return segments.select("video_key", "level", "segment_no", F.explode(F.sequence("start_index", "end_index")).alias("frame_ordinal"))
+    return segments.select("video_key", "level", "segment_no", *more, F.explode(F.sequence("start_index", "end_index")).alias("frame_ordinal"))
 
 
 def mean_pool(embeddings: DataFrame, segments: DataFrame, column: str = "embedding") -> DataFrame:
-    """``segments`` with embedding: the mean of their frames' vectors, scaled to length one."""
-    members = frames_of(segments).join(embeddings.select("video_key", "frame_ordinal", array_to_vector(column).alias("v")), ["video_key", "frame_ordinal"])
-    pooled = members.groupBy("video_key", "level", "segment_no").agg(Summarizer.mean(F.col("v")).alias("v"))
-    unit = l2_normalize(vector_to_array("v")).cast("array<float>")
-    return segments.join(pooled.select("video_key", "level", "segment_no", unit.alias("embedding")), ["video_key", "level", "segment_no"])
+    """``segments`` with embedding: the mean of their frames' vectors, scaled to length one.
+
+    The segments' own columns travel through the aggregation, so the segmentation runs once.
+    """
+    key = ["video_key", "level", "segment_no"]
+    more = [c for c in segments.columns if c not in key]
+    members = frames_of(segments.select(*key, "start_index", "end_index", F.struct(*more).alias("__own")), "__own")
+    members = members.join(embeddings.select("video_key", "frame_ordinal", array_to_vector(column).alias("v")), ["video_key", "frame_ordinal"])
+    pooled = members.groupBy(*key).agg(F.any_value("__own").alias("__own"), Summarizer.mean(F.col("v")).alias("v"))
+    return pooled.select(*key, "__own.*", l2_normalize(vector_to_array("v")).cast("array<float>").alias("embedding"))

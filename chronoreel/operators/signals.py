@@ -56,25 +56,34 @@ def gray(pixels: np.ndarray) -> np.ndarray:
     return np.rint(pixels.astype(np.float64) @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
 
 
+def luminance(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """The luminance of an image's bytes; images of one channel are their own."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return (pixels[..., 0] if channels == 1 else gray(pixels[..., :3])).astype(np.int16)
+
+
+def energy_between(now: np.ndarray, before: np.ndarray | None) -> float:
+    """Mean absolute change of luminance over 255; 0 without a frame before."""
+    return 0.0 if before is None else float(np.abs(now - before).mean() / 255)
+
+
 def frame_energy(frames: DataFrame) -> DataFrame:
     """Adds energy: mean absolute change of luminance against the frame before, over 255; 0 for the first.
 
-    Input has an ``image`` struct (height, width, nChannels, data). Frames stream through in order, one
-    image at a time is kept, whatever a video's length.
+    Input has an ``image`` struct (height, width, nChannels, data). Frames stream through in order with all
+    their columns, one image before is kept, whatever a video's length; they are shuffled once, and nothing is
+    joined. Where frames come from a decoder, ``sample_videos(energy=True)`` adds the column without a shuffle.
     """
-    shape = ["video_key", "frame_ordinal"]
-    rows = frames.select(*shape, "image.height", "image.width", "image.nChannels", "image.data")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, before = object(), None
         for pdf in batches:
             out = []
-            for key, h, w, c, data in zip(pdf["video_key"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True):
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c)
-                now = (pixels[..., 0] if c == 1 else gray(pixels[..., :3])).astype(np.int16)
-                out.append(0.0 if key != video else float(np.abs(now - before).mean() / 255))
+            for key, image in zip(pdf["video_key"], pdf["image"], strict=True):
+                now = luminance(image["data"], image["height"], image["width"], image["nChannels"])
+                out.append(energy_between(now, before if key == video else None))
                 video, before = key, now
-            yield pdf[shape].assign(energy=np.array(out, np.float32))
+            yield pdf.assign(energy=np.array(out, np.float32))
 
-    ordered = rows.repartition("video_key").sortWithinPartitions(*shape)
-    return frames.join(ordered.mapInPandas(scan, "video_key string, frame_ordinal int, energy float"), shape)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    return frames.repartition("video_key").sortWithinPartitions("video_key", "frame_ordinal").mapInPandas(scan, f"{schema}, energy float")

@@ -15,6 +15,8 @@ from chronoreel.functions.text import mcq_prompt, query_text, url_id
 from chronoreel.functions.vectors import dot
 from chronoreel.operators import evaluate, inference, manifest, retrieve, sampling, segments, signals
 from chronoreel.plans.adapters import customer_videos, embedding_frames, event_frames, flat_questions, table
+from chronoreel.plans.pipeline import baseline_frames
+from chronoreel.plans.store import written_once
 from chronoreel.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +63,7 @@ def _minmax_sql(x: str) -> str:
 
 def _segments_sql(source: str, score: str, threshold: float, shortest: float, level: str, name: str, longest: float | None = None) -> str:
     """CTEs that end in ``name``: the segments of ``source`` (video_key, frame_ordinal, time_sec)."""
-    more = f" OR n.time_sec - b.t >= {longest}::FLOAT" if longest else ""
+    more = f" OR (n.time_sec - b.t)::DOUBLE >= {longest}::DOUBLE" if longest else ""
     return f"""
 {name}_f AS (SELECT video_key, frame_ordinal AS i, time_sec, {score}::FLOAT AS s FROM {source}),
 {name}_w AS (
@@ -69,7 +71,7 @@ def _segments_sql(source: str, score: str, threshold: float, shortest: float, le
   UNION ALL
   SELECT b.video_key, x.i, x.t FROM {name}_w b, LATERAL (
     SELECT n.i, n.time_sec AS t FROM {name}_f n WHERE n.video_key = b.video_key AND n.i > b.i
-      AND ((n.s >= {threshold}::FLOAT AND n.time_sec - b.t >= {shortest}::FLOAT){more}) ORDER BY n.i LIMIT 1) x),
+      AND ((n.s::DOUBLE >= {threshold}::DOUBLE AND (n.time_sec - b.t)::DOUBLE >= {shortest}::DOUBLE){more}) ORDER BY n.i LIMIT 1) x),
 {name}_b AS (SELECT video_key, i, t FROM {name}_w UNION SELECT video_key, max(i), max_by(time_sec, i) FROM {name}_f GROUP BY 1),
 {name}_p AS (SELECT video_key, i AS a, lead(i) OVER w AS b, t AS ta, lead(t) OVER w AS tb, (row_number() OVER w - 1)::INT AS no FROM {name}_b WINDOW w AS (PARTITION BY video_key ORDER BY i)),
 {name} AS (
@@ -177,24 +179,24 @@ sv AS (SELECT sg.*, pv.vec FROM sg JOIN pv USING (video_key, level, segment_no))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frames, and low and high segments with pooled vectors, from the drift of the embeddings."""
+    """Frames, and low and high segments with pooled vectors, from the drift of the embeddings; segmented and pooled once."""
     frames = embedding_frames(spark, sf_dir)
     scored = signals.cosine_drift(frames).withColumn("score", signals.minmax("drift"))
-    pooled = segments.mean_pool(frames, segments.segment_levels(scored, {"low": LOW, "high": HIGH}, score="score"))
+    pooled = written_once(segments.mean_pool(frames, segments.segment_levels(scored, {"low": LOW, "high": HIGH}, score="score")))
     return frames, pooled.where(F.col("level") == "low"), pooled.where(F.col("level") == "high")
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT video_key, level, segment_no, (p - 1)::INT AS position, round((m / greatest(norm, 1e-12::DOUBLE))::FLOAT::DOUBLE, 5) AS value FROM pn")
 def segment_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, low, high = _levels(spark, sf_dir)
-    rows = low.unionByName(high).select("video_key", "level", "segment_no", F.posexplode("embedding").alias("position", "value"))
+    rows = low.unionAll(high).select("video_key", "level", "segment_no", F.posexplode("embedding").alias("position", "value"))
     return rows.select("video_key", "level", "segment_no", "position", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 # Retrieval -----------------------------------------------------------------------
 
 _HITS = f"""{_LEVELS},
-qv AS (SELECT video_key, 'q' || frame_ordinal::VARCHAR AS question_id, embedding AS query FROM e WHERE frame_ordinal IN (0, 5)),
+qv AS (SELECT video_key, 'q' || vec_id::VARCHAR AS question_id, embedding AS query FROM e WHERE vec_id % 100 = 0),
 th AS (SELECT *, row_number() OVER (PARTITION BY video_key, question_id ORDER BY score DESC, segment_no) AS rank
   FROM (SELECT sv.*, question_id, list_dot_product(vec, query) AS score FROM sv JOIN qv USING (video_key) WHERE level = 'high') QUALIFY rank <= 2),
 tl AS (SELECT *, row_number() OVER (PARTITION BY video_key, question_id ORDER BY score DESC, segment_no) AS rank
@@ -206,9 +208,9 @@ _HIT_OUT = """video_key, question_id, level, segment_id, rank::INT AS rank, roun
 
 
 def _questions(frames: DataFrame) -> DataFrame:
-    """Two questions a video: the vectors of its frames 0 and 5."""
-    rows = frames.where(F.col("frame_ordinal").isin(0, 5))
-    return rows.select("video_key", F.concat(F.lit("q"), F.col("frame_ordinal").cast("string")).alias("question_id"), F.col("embedding").alias("query"))
+    """The vectors whose id is divisible by 100, each asked of its own video."""
+    rows = frames.where(F.col("vec_id") % 100 == 0)
+    return rows.select("video_key", F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("question_id"), F.col("embedding").alias("query"))
 
 
 def _hit_rows(hits: DataFrame) -> DataFrame:
@@ -385,7 +387,10 @@ def _strata_size(videos: DataFrame) -> int:
     return 200 if videos.count() >= 1000 else 120
 
 
-@query(_sample_sql("CASE WHEN (SELECT count(*) FROM customer) >= 1000 THEN 200 ELSE 120 END", ""))
+_SAMPLE = _sample_sql("CASE WHEN (SELECT count(*) FROM customer) >= 1000 THEN 200 ELSE 120 END", "")
+
+
+@query(_SAMPLE)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = customer_videos(spark, sf_dir)
     return sampling.stratified_sample(videos, _strata_size(videos), 7).select("video_id", "duration", "domain", "url")
@@ -397,17 +402,43 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("video_id", "duration", "domain", "url")
 
 
+def _stage_sql(number: int, fields: str) -> str:
+    part, match = (f"PARTITION BY {fields}", f"USING ({fields})") if fields else ("", "ON true")
+    return f"""SELECT a.video_id AS slot, f.url, {number} AS stage, tie FROM act a JOIN (SELECT *, row_number() OVER ({part} ORDER BY tie, url) AS r FROM fr) f {match}
+WHERE r <= (SELECT count(*) FROM act)"""
+
+
 @query(
-    f"""WITH {_CUSTOMERS}, sl AS (SELECT duration AS du, domain AS dm FROM cu WHERE row_no = 1)
-SELECT 0 AS slot, url, (CASE WHEN duration = du AND domain = dm THEN 0 WHEN duration = du THEN 1 ELSE 3 END)::INT AS stage, md5('7|0|' || url) AS tie
-FROM cu, sl WHERE url <> (SELECT url FROM cu WHERE row_no = 1) AND row_no % 5 <> 2"""
+    f"""WITH act AS ({_SAMPLE}), fr AS (SELECT c_mktsegment AS duration, c_nationkey::VARCHAR AS domain, c_name AS url, md5('7|' || c_name) AS tie FROM customer WHERE c_name NOT IN (SELECT url FROM act)),
+al AS ({" UNION ALL ".join(_stage_sql(n, f) for n, f in enumerate(("duration, domain", "duration", "duration, domain", "")))})
+SELECT slot, url, min(stage)::INT AS stage, any_value(tie) AS tie FROM al GROUP BY slot, url"""
 )
 def replacement_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements for every place of the sample, which itself is the active set."""
+    videos = customer_videos(spark, sf_dir)
+    size = _strata_size(videos)
+    sample = written_once(sampling.stratified_sample(videos, size, 7))
+    slots = sample.select(F.col("video_id").alias("slot"), "duration", "domain")
+    return sampling.replacement_candidates(slots, videos, sample, videos.limit(0), sample.count(), 7, enforce_duration=True).select("slot", "url", "stage", "tie")
+
+
+@query(
+    f"""WITH act AS ({_SAMPLE}), ok AS (SELECT * FROM act WHERE md5(url) >= '1'), lost AS (SELECT *, row_number() OVER (ORDER BY video_id, url) - 1 AS slot FROM act WHERE md5(url) < '1')
+SELECT (SELECT count(*) FROM act)::BIGINT AS n_sample, (SELECT count(*) FROM lost)::BIGINT AS n_replaced,
+  (SELECT count(DISTINCT url) FROM lost)::BIGINT AS n_replacements, 0::BIGINT AS n_unavailable,
+  (SELECT count(*) FROM lost JOIN (SELECT c_mktsegment AS duration, c_nationkey::VARCHAR AS domain, count(*) AS spare FROM customer WHERE md5(c_name) >= '1' AND c_name NOT IN (SELECT url FROM act) GROUP BY ALL) USING (duration, domain))::BIGINT AS n_same_bucket"""
+)
+def replacement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of a sample whose unavailable videos were replaced: each once, by an available one, from its bucket if that has any."""
     videos = customer_videos(spark, sf_dir)
-    lost = videos.where(F.col("row_no") == 1)
-    slots = lost.select(F.lit(0).alias("slot"), "duration", "domain")
-    found = sampling.replacement_candidates(slots, videos, videos.where(F.col("row_no") % 5 == 2), lost, 7, enforce_duration=True)
-    return found.select("slot", "url", "stage", "tie")
+    here = videos.where(F.md5(F.col("url").cast("binary")) >= "1").select("url")
+    sample = written_once(sampling.stratified_sample(videos, _strata_size(videos), 7))
+    out, log = sampling.validate_and_replace(sample, videos, here, 7, enforce_duration=True)
+    name = lambda side: videos.select(F.col("url").alias(f"{side}_url"), F.concat_ws("|", "duration", "domain").alias(side))
+    pairs = log.join(name("replaced"), "replaced_url").join(name("replacement"), "replacement_url")
+    figures = pairs.agg(F.count(F.lit(1)).alias("n_replaced"), F.count_distinct("replacement_url").alias("n_replacements"), F.count_if(F.col("replaced") == F.col("replacement")).alias("n_same_bucket"))
+    whole = out.agg(F.count(F.lit(1)).alias("n_sample")).join(out.join(here, "url", "left_anti").agg(F.count(F.lit(1)).alias("n_unavailable")))
+    return whole.join(figures)
 
 
 # Text and answers ----------------------------------------------------------------
@@ -449,17 +480,99 @@ def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.accuracy(_said(spark, sf_dir)).select("n_questions", _r("choice_accuracy"))
 
 
-# Models (stubs; no SQL) -----------------------------------------------------------
+# Results -------------------------------------------------------------------------
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows: turns as questions and answers, with turn % 3 evidence frames each."""
+    said = _said(spark, sf_dir).select("conv_id", "turn", "raw_text", F.col("gold_letter").alias("answer"))
+    asked = said.withColumn("video_key", F.col("conv_id").cast("string")).withColumn("question_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    places = F.sequence(F.lit(0), (F.col("turn") % 3).cast("int"))
+    shown = asked.select("video_key", "question_id", F.posexplode(F.slice(places, F.lit(1), F.size(places) - 1)).alias("position", "p"))
+    shown = shown.select("video_key", "question_id", "position", (F.col("p") * 5).alias("frame_index"))
+    predictions = asked.select("video_key", "question_id", "raw_text", F.lit(0.25).alias("generation_sec"))
+    return evaluate.result_rows(asked.select("video_key", "question_id", "answer"), predictions, evidence_frames=shown)
+
+
+_RESULTS = f"""{_SAID},
+re AS (SELECT conv_id::VARCHAR AS video_key, conv_id::VARCHAR || '-' || turn::VARCHAR AS question_id, raw_text, 0.25::DOUBLE AS generation_sec, gold_letter, predicted_letter,
+  coalesce(predicted_letter = gold_letter, false) AS choice_correct, array_to_string(list_transform(range(turn % 3), lambda i: i * 5), '|') AS frames FROM ju)"""
+
+
+@query(f"WITH {_RESULTS} SELECT * FROM re")
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir)
+    frames = F.array_join(F.transform("evidence_frames", lambda x: x["frame_index"].cast("string")), "|")
+    return rows.select("video_key", "question_id", "raw_text", "generation_sec", "gold_letter", "predicted_letter", "choice_correct", frames.alias("frames"))
+
+
+@query(
+    f"""WITH {_RESULTS} SELECT 'm.json' AS manifest_path, '/videos' AS video_root, count(DISTINCT video_key)::BIGINT AS videos, count(*)::BIGINT AS question_count,
+  round(avg(choice_correct::INT)::DOUBLE, 6) AS choice_accuracy, '{{"max_evidence_frames": 8}}' AS config, 1.5::DOUBLE AS elapsed_sec FROM re"""
+)
+def result_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sinks.summary(_results(spark, sf_dir), {"max_evidence_frames": 8}, 1.5, "m.json", "/videos")
+    return out.withColumn("choice_accuracy", _r("choice_accuracy"))
+
+
+@query(
+    f"""
+WITH q AS (SELECT DISTINCT user_id, event_type FROM events), c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+x AS (SELECT user_id, event_type, count(*)::INT AS k FROM events GROUP BY ALL HAVING event_type <> 'view'),
+b AS (SELECT user_id::VARCHAR AS video_key, event_type AS question_id, n, (CASE WHEN k IS NULL THEN 64 ELSE greatest(1, k) END)::INT AS budget FROM q JOIN c USING (user_id) LEFT JOIN x USING (user_id, event_type)),
+l AS (SELECT video_key, question_id, budget, {_uniform_sql("n", "budget")} AS c FROM b)
+SELECT video_key, question_id, budget AS frame_budget, unnest(range(len(c)))::INT AS position, unnest(c)::INT AS frame_index FROM l"""
+)
+def baseline_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even frames for each question, as many as retrieval showed where that is known."""
+    events = event_frames(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_key"), F.col("event_type").alias("question_id"))
+    shown = kinds.where(F.col("question_id") != "view").groupBy("video_key", "question_id").agg(F.count(F.lit(1)).cast("int").alias("n_frames"))
+    return baseline_frames(kinds.distinct(), events, 64, shown).select("video_key", "question_id", "frame_budget", "position", "frame_index")
+
+
+_PIXELS = ", ".join(f"(event_id * {k + 3}) % 256 AS p{k}" for k in range(4))
+
 
+@query(
+    f"""
+WITH p AS (SELECT user_id::VARCHAR AS video_key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, {_PIXELS} FROM events)
+SELECT video_key, i::INT AS frame_ordinal, round(coalesce(({" + ".join(f"abs(p{k} - lag(p{k}) OVER w)" for k in range(4))}) / 4.0::DOUBLE / 255, 0)::FLOAT::DOUBLE, 6) AS energy
+FROM p WINDOW w AS (PARTITION BY video_key ORDER BY i)"""
+)
+def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of images of two by two grey pixels, made from the ids of events."""
+    from pyspark.sql import Window
 
-@query()
+    order = Window.partitionBy("video_key").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("video_key", F.col("user_id").cast("string")).withColumn("frame_ordinal", F.row_number().over(order) - 1)
+    data = F.unhex(F.concat(*[F.lpad(F.hex((F.col("event_id") * (k + 3)) % 256), 2, "0") for k in range(4)]))
+    image = F.struct(F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return signals.frame_energy(rows.select("video_key", "frame_ordinal", image.alias("image"))).select("video_key", "frame_ordinal", _r("energy"))
+
+
+# Models (stubs) -------------------------------------------------------------------
+
+
+@query(
+    """
+WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, list_transform(range(16), lambda i: ((('0x' || substr(h, 2 * i + 1, 2))::INT)::FLOAT / 127.5::FLOAT - 1::FLOAT)::FLOAT) AS v FROM h)
+SELECT doc_id, 16 AS width, round(v[1]::DOUBLE / sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS first, 1.0::DOUBLE AS norm FROM x"""
+)
 def encoder_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
     coded = inference.encode(docs, "text", inference.StubEncoder)
-    return coded.select("doc_id", F.size("embedding").alias("width"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    vector = F.col("embedding")
+    return coded.select("doc_id", F.size(vector).alias("width"), F.round(vector[0].cast("double"), 4).alias("first"), F.round(dot(vector, vector), 4).alias("norm"))
 
 
-@query()
+@query(
+    f"""WITH {_FLAT}, pr AS (SELECT question_id, answer AS gold_letter, chr(10) || 'Answer the multiple-choice question using only the evidence shown.' || chr(10) || 'Reply with only one letter: A, B, C, or D.' || chr(10) || chr(10)
+  || 'Question: ' || question || chr(10) || 'Options:' || chr(10) || array_to_string(options, chr(10)) AS prompt FROM fl),
+sd AS (SELECT question_id, gold_letter, substr('ABCD', (('0x' || substr(md5(prompt), 1, 2))::INT % 4 + 1)::INT, 1) AS predicted_letter FROM pr)
+SELECT question_id, predicted_letter, gold_letter, predicted_letter = gold_letter AS choice_correct FROM sd"""
+)
 def answer_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat_questions(spark, sf_dir)
     asked = rows.select("question_id", F.col("answer").alias("gold_letter"), mcq_prompt(F.col("question"), F.col("options")).alias("prompt"), F.lit(None).cast("array<int>").alias("frames"))

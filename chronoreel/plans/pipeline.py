@@ -11,9 +11,11 @@ from chronoreel.config import IndexConfig, RetrievalConfig
 from chronoreel.functions.text import mcq_prompt
 from chronoreel.operators.evaluate import result_rows
 from chronoreel.operators.inference import answer
-from chronoreel.operators.retrieve import evidence_frames, low_candidates, top_segments, uniform_frames
+from chronoreel.functions.vectors import uniform_picks
+from chronoreel.operators.retrieve import evidence_frames, frame_budget, frame_counts, low_candidates, top_segments
 from chronoreel.operators.segments import mean_pool, segment_levels
 from chronoreel.operators.signals import cosine_drift, frame_energy, fuse
+from chronoreel.plans.store import written_once
 
 
 @dataclass(frozen=True)
@@ -42,10 +44,10 @@ def build_signals(frames: DataFrame, config: IndexConfig = IndexConfig()) -> Dat
 
 
 def build_index(frames: DataFrame, config: IndexConfig = IndexConfig()) -> VideoIndex:
-    """Signals, then segments at two levels with pooled vectors."""
+    """Signals, then segments at two levels with pooled vectors; the index is segmented and pooled once."""
     signals = build_signals(frames, config)
     levels = {"high": (config.high_threshold, config.high_min_seconds), "low": (config.low_threshold, config.low_min_seconds)}
-    pooled = mean_pool(frames, segment_levels(signals, levels, config.max_seconds))
+    pooled = written_once(mean_pool(frames, segment_levels(signals, levels, config.max_seconds)))
     return VideoIndex(signals, pooled.where(F.col("level") == "high"), pooled.where(F.col("level") == "low"))
 
 
@@ -66,10 +68,21 @@ def evaluate(questions: DataFrame, found: dict[str, DataFrame], answerer, prefix
     return result_rows(questions.drop("query"), said, **nested)
 
 
-def evaluate_baseline(questions: DataFrame, frames: DataFrame, answerer, max_frames: int = 64, prefix: str = "") -> DataFrame:
-    """Result rows of the uniform baseline."""
-    picks = uniform_frames(frames, max_frames)
-    lists = picks.groupBy("video_key").agg(F.array_sort(F.collect_list("frame_index")).alias("frames"))
-    asked = questions.select("video_key", "question_id", mcq_prompt(F.col("question"), F.col("options"), prefix).alias("prompt")).join(lists, "video_key", "left")
-    said = answer(asked, answerer).select("video_key", "question_id", "raw_text", "generation_sec")
-    return result_rows(questions, said, frames=picks.join(questions.select("video_key", "question_id"), "video_key"))
+def baseline_frames(questions: DataFrame, frames: DataFrame, max_frames: int = 64, exported: DataFrame | None = None) -> DataFrame:
+    """(video_key, question_id, frame_budget, position, frame_index): evenly spaced frames for each question.
+
+    ``exported`` (video_key, question_id, n_frames) matches the budget to what retrieval showed; see ``frame_budget``.
+    """
+    asked = questions.select("video_key", "question_id")
+    asked = asked.withColumn("frame_budget", F.lit(max_frames)) if exported is None else frame_budget(asked, exported, max_frames)
+    counted = asked.join(frame_counts(frames), "video_key")
+    return counted.select("video_key", "question_id", "frame_budget", F.posexplode(uniform_picks(F.col("n"), F.col("frame_budget"))).alias("position", "frame_index"))
+
+
+def evaluate_baseline(questions: DataFrame, frames: DataFrame, answerer, max_frames: int = 64, prefix: str = "", exported: DataFrame | None = None) -> DataFrame:
+    """Result rows of the uniform baseline, with as many frames as retrieval showed if ``exported`` says so."""
+    picks = baseline_frames(questions, frames, max_frames, exported)
+    lists = picks.groupBy("video_key", "question_id").agg(F.array_sort(F.collect_list("frame_index")).alias("frames"), F.first("frame_budget").alias("frame_budget"))
+    asked = questions.select("video_key", "question_id", mcq_prompt(F.col("question"), F.col("options"), prefix).alias("prompt")).join(lists, ["video_key", "question_id"], "left")
+    said = answer(asked, answerer).select("video_key", "question_id", "raw_text", "generation_sec", "frame_budget")
+    return result_rows(questions, said, frames=picks.drop("frame_budget"))

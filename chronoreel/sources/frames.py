@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.operators.signals import stride
+from chronoreel.operators.signals import energy_between, luminance, stride
 
 #: What a decoder yields for a file's bytes: native index, native frames per second, height, width, channels, bytes.
 Decoder = Callable[[bytes], Iterator[tuple[int, float, int, int, int, bytes]]]
@@ -34,25 +34,30 @@ def check_available(videos: DataFrame, files: DataFrame) -> DataFrame:
     return videos.join(here, "url", "left").withColumn("available", F.coalesce("__here", F.lit(False))).drop("__here")
 
 
-def sample_videos(spark: SparkSession, root: str, decoder: Decoder, fps: float = 4.0, images: bool = True) -> DataFrame:
+def sample_videos(spark: SparkSession, root: str, decoder: Decoder, fps: float = 4.0, images: bool = True, energy: bool = False) -> DataFrame:
     """Sampled frames of every file: video_key, frame_ordinal, native_index, time_sec, native_fps and the image.
 
+    ``energy`` adds the change against the sampled frame before while frames stream by in order.
+
     One file at a time is in a worker's memory; frames leave it in small batches. A decoder raises ValueError
     for a file it cannot read; a file without frames is an error too.
     """
     files = spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("video_key"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["video_key", "native_index", "native_fps", "image"]
+        names = ["video_key", "native_index", "native_fps", "energy", "image"]
         for pdf in batches:
             for key, content in zip(pdf["video_key"], pdf["content"], strict=True):
-                rows, n = [], 0
+                rows, n, before = [], 0, None
                 for index, rate, h, w, c, data in decoder(bytes(content)):
                     if rate <= 0:
                         raise ValueError(f"{key}: frames per second must be positive")
                     n += 1
                     if index % max(round(rate / fps), 1) == 0:
-                        rows.append((key, index, rate, {"height": h, "width": w, "nChannels": c, "data": data} if images else None))
+                        now = luminance(data, h, w, c) if energy else None
+                        change = energy_between(now, before) if energy else None
+                        rows.append((key, index, rate, change, {"height": h, "width": w, "nChannels": c, "data": data} if images else None))
+                        before = now
                     if len(rows) == 64:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
@@ -60,8 +65,8 @@ def sample_videos(spark: SparkSession, root: str, decoder: Decoder, fps: float =
                     raise ValueError(f"{key}: no frames")
                 yield pd.DataFrame(rows, columns=names)
 
-    out = stride(files.mapInPandas(run, f"video_key string, native_index bigint, native_fps double, {_IMAGE}"), fps)
-    return out if images else out.drop("image")
+    out = stride(files.mapInPandas(run, f"video_key string, native_index bigint, native_fps double, energy float, {_IMAGE}"), fps)
+    return out.drop(*(["energy"] if not energy else []), *(["image"] if not images else []))
 
 
 def raw_decoder(content: bytes) -> Iterator[tuple[int, float, int, int, int, bytes]]:

@@ -15,18 +15,27 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("url", "question_id").json(path)
 
 
-def summary(results: DataFrame, config: dict, elapsed_sec: float | None = None) -> DataFrame:
-    """One row: the settings as JSON, question count, accuracy."""
+def summary(results: DataFrame, config: dict, elapsed_sec: float | None = None, manifest_path: str | None = None, video_root: str | None = None) -> DataFrame:
+    """One row: where the questions and videos came from, how many there were, accuracy, and the settings as JSON.
+
+    The rows themselves lie beside it (``write_results``), as they may be many.
+    """
     import json
 
     out = results.agg(
-        F.count(F.lit(1)).alias("question_count"), F.coalesce(F.avg(F.col("choice_correct").cast("double")), F.lit(0.0)).alias("choice_accuracy")
+        F.count_distinct("url" if "url" in results.columns else "video_key").alias("videos"),
+        F.count(F.lit(1)).alias("question_count"),
+        F.coalesce(F.avg(F.col("choice_correct").cast("double")), F.lit(0.0)).alias("choice_accuracy"),
     )
-    return out.select(F.lit(json.dumps(config, sort_keys=True, default=str)).alias("config"), "*", F.lit(elapsed_sec).cast("double").alias("elapsed_sec"))
+    paths = [F.lit(v).cast("string").alias(k) for k, v in (("manifest_path", manifest_path), ("video_root", video_root))]
+    return out.select(*paths, "*", F.lit(json.dumps(config, sort_keys=True, default=str)).alias("config"), F.lit(elapsed_sec).cast("double").alias("elapsed_sec"))
 
 
-def write_summary(results: DataFrame, config: dict, path: str, elapsed_sec: float | None = None) -> None:
-    summary(results, config, elapsed_sec).coalesce(1).write.mode("overwrite").json(path)
+def write_summary(results: DataFrame, config: dict, path: str, elapsed_sec: float | None = None, manifest_path: str | None = None, video_root: str | None = None) -> DataFrame:
+    """The summary as JSON; returned as read back."""
+    out = summary(results, config, elapsed_sec, manifest_path, video_root)
+    out.coalesce(1).write.mode("overwrite").json(path)
+    return results.sparkSession.read.schema(out.schema).json(path)
 
 
 def manifest_document(videos: DataFrame, stats: DataFrame, **settings) -> dict:
@@ -38,7 +47,45 @@ def manifest_document(videos: DataFrame, stats: DataFrame, **settings) -> dict:
         else:
             counts.setdefault(r["stat"], {})[r["key"]] = r["n"]
     rows = [r.asDict(recursive=True) for r in videos.orderBy("video_id", "url").collect()]
-    return {"source_json": None, **settings, "stats": counts, "videos": rows}
+    named = dict.fromkeys(("source_json", "source_dataset", "source_split", "sample_size", "seed", "bucket_fields", "duration_quota", "video_root"))
+    flags = {"validate_downloadable": False, "allow_download": False, "replacements": []}
+    return {**named, **flags, **settings, "stats": counts, "videos": rows}
+
+
+def png(image: Row) -> bytes:
+    """An image struct (blue-green-red, grey, or with an opacity that is dropped) as a PNG file."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w, c = image["height"], image["width"], image["nChannels"]
+    pixels = np.frombuffer(image["data"], np.uint8).reshape(h, w, c)
+    pixels = pixels if c == 1 else pixels[..., 2::-1]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], axis=1).tobytes()
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if c == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
+def png_writer(root: str) -> Callable[[Row], None]:
+    """For ``export_frames``: <root>/<video>/<question>/evidence_frames/<name>.png, in any store that pyarrow reaches."""
+
+    def write(row: Row) -> None:
+        import os
+
+        import pyarrow.fs
+
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        path = f"{base}/{row['video_key']}/{row['question_id']}/evidence_frames/{row['file_name']}"
+        fs.create_dir(os.path.dirname(path), recursive=True)
+        with fs.open_output_stream(path) as out:
+            out.write(png(row["image"]))
+
+    return write
 
 
 def frame_names(evidence: DataFrame) -> DataFrame:

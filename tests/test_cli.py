@@ -3,6 +3,7 @@ import json
 import numpy as np
 
 from chronoreel.cli import main
+from chronoreel.operators.signals import frame_energy
 
 
 def test_index_evaluate_baseline_and_sample(spark, tmp_path):
@@ -26,6 +27,16 @@ def test_index_evaluate_baseline_and_sample(spark, tmp_path):
     even = spark.read.parquet(str(tmp_path / "b" / "rows")).collect()
     assert len(even) == 1 and [f["frame_index"] for f in even[0]["frames"]] == [0, 16, 32, 47, 63, 79]
     assert spark.read.json(str(tmp_path / "e" / "summary")).first()["question_count"] == 3
+    shown = len(found["1-1"]["evidence_frames"])
+    main(["baseline", *run, "--output", str(tmp_path / "m"), "--target-url", "u2", "--match", str(tmp_path / "e")], spark)
+    matched = spark.read.parquet(str(tmp_path / "m" / "rows")).first()
+    assert matched["frame_budget"] == len(matched["frames"]) == shown
+    summary = spark.read.json(str(tmp_path / "e" / "summary")).first()
+    assert summary["manifest_path"] == str(path) and summary["videos"] == 3 and "answer_config" in summary["config"]
+    indexed = spark.read.parquet(str(tmp_path / "ix" / "frames"))
+    again = {(r["video_key"], r["frame_ordinal"]): r["energy"] for r in frame_energy(indexed.drop("energy")).collect()}
+    assert {(r["video_key"], r["frame_ordinal"]): r["energy"] for r in indexed.collect()} == again and max(again.values()) > 0
     main(["sample", "--manifest", str(path), "--output", str(tmp_path / "s.json"), "--sample-size", "2", "--video-root", str(videos)], spark)
     document = json.loads((tmp_path / "s.json").read_text())
+    assert document["source_json"] == str(path) and document["validate_downloadable"] is True and document["sample_size"] == 2
     assert {v["url"] for v in document["videos"]} == {"u1", "u2"} and document["replacements"][0]["replaced_url"] == "u3"

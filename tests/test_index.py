@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoreel.config import IndexConfig, RetrievalConfig
 from chronoreel.operators import retrieve, segments, signals
 from chronoreel.operators.inference import StubAnswerer
-from chronoreel.plans.pipeline import VideoIndex, build_index, evaluate, evaluate_baseline
+from chronoreel.plans.pipeline import VideoIndex, baseline_frames, build_index, evaluate, evaluate_baseline
 from chronoreel.plans.pipeline import retrieve as run_retrieval
 
 FRAME = "video_key string, frame_ordinal int, time_sec float, s float"
@@ -73,6 +73,14 @@ def test_segmentation_against_a_plain_loop(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("threshold", [0.58, 0.32])
+def test_thresholds_are_compared_in_double(spark, threshold):
+    # float32(0.58) and float32(0.32) lie just below and above the settings.
+    score = float(np.float32(threshold))
+    got = cut(frames(spark, [0, 0, 0, score, 0, 0]), threshold)
+    assert [x[1:3] for x in got] == ([(0, 3), (3, 5)] if score >= threshold else [(0, 5)])
+
+
 def test_pooling_shares_the_boundary_frame(spark):
     vectors = spark.createDataFrame([("v0", i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])], "video_key string, frame_ordinal int, embedding array<float>")
     cutting = spark.createDataFrame([("v0", "low", 0, 0, 1), ("v0", "low", 1, 1, 2)], "video_key string, level string, segment_no int, start_index int, end_index int")
@@ -115,6 +123,16 @@ def test_evidence(spark):
     assert retrieve.evidence_frames(hits.limit(0), all_frames, 8).count() == 0
 
 
+def test_baseline_matches_what_retrieval_showed(spark):
+    asked = spark.createDataFrame([("v", "a"), ("v", "b"), ("v", "c")], "video_key string, question_id string")
+    known = spark.createDataFrame([("v", "a", 2), ("v", "b", 0)], "video_key string, question_id string, n_frames int")
+    got = baseline_frames(asked, spark.createDataFrame([("v", i) for i in range(9)], "video_key string, frame_ordinal int"), 4, known)
+    rows = {}
+    for r in got.orderBy("question_id", "position").collect():
+        rows.setdefault((r["question_id"], r["frame_budget"]), []).append(r["frame_index"])
+    assert rows == {("a", 2): [0, 8], ("b", 1): [0], ("c", 4): [0, 3, 5, 8]}
+
+
 def test_frame_budget(spark):
     asked = spark.createDataFrame([("v", "a"), ("v", "b"), ("v", "c")], "video_key string, question_id string")
     known = spark.createDataFrame([("v", "a", 5), ("v", "b", 0)], "video_key string, question_id string, n_frames int")
@@ -145,11 +163,22 @@ def test_whole_run(spark, tmp_path):
     assert [f["frame_index"] for f in base["1"]["frames"]] == [0, 16, 32, 47, 63, 79]
 
 
+def test_pooling_scans_once(spark):
+    scored = frames(spark, [0, 0.9, 0.1, 0.9, 0.9, 0.2])
+    found = segments.segment_levels(scored, {"low": (0.5, 1.0), "high": (0.8, 3.0)}, score="s")
+    pooled = segments.mean_pool(scored.withColumn("embedding", F.array("s", F.lit(1.0))), found)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    assert set(pooled.columns) == {*found.columns, "embedding"} and pooled.count() == found.count()
+
+
 def test_energy(spark):
     grey = bytes([10, 10, 10] * 4), bytes([20, 20, 20] * 4), bytes([20, 20, 20] * 4)
     rows = [(v, i, {"height": 2, "width": 2, "nChannels": 3, "data": bytearray(b)}) for v in ("a", "b") for i, b in enumerate(grey)]
     df = spark.createDataFrame(rows, "video_key string, frame_ordinal int, image struct<height:int,width:int,nChannels:int,data:binary>")
-    got = signals.frame_energy(df).orderBy("video_key", "frame_ordinal").collect()
+    whole = signals.frame_energy(df)
+    assert whole.columns == [*df.columns, "energy"] and "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = whole.orderBy("video_key", "frame_ordinal").collect()
     assert [round(r["energy"], 5) for r in got] == [0.0, round(10 / 255, 5), 0.0] * 2
 
 

@@ -139,3 +139,18 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "r" / "url=u" / "question_id=2").is_dir()
     sinks.write_summary(results, {"a": 1}, str(tmp_path / "s"), 1.5)
     assert spark.read.json(str(tmp_path / "s")).first()["choice_accuracy"] == 0.5
+
+
+def test_png(spark, tmp_path):
+    import zlib
+
+    image = {"height": 2, "width": 1, "nChannels": 3, "data": bytes([1, 2, 3, 4, 5, 6])}
+    data = sinks.png(image)
+    assert data.startswith(b"\x89PNG") and data.endswith(b"IEND" + (0xAE426082).to_bytes(4, "big"))
+    body = data[data.index(b"IDAT") + 4 : -16]
+    assert zlib.decompress(body) == bytes([0, 3, 2, 1, 0, 6, 5, 4])
+    evidence = spark.createDataFrame([("v", "q", 0, 4, 1.0)], "video_key string, question_id string, position int, frame_index int, time_sec double")
+    schema = "video_key string, frame_ordinal int, image struct<height: int, width: int, nChannels: int, data: binary>"
+    images = spark.createDataFrame([("v", 4, (2, 1, 3, bytearray(image["data"])))], schema)
+    sinks.export_frames(evidence, images, sinks.png_writer(f"file://{tmp_path}"))
+    assert (tmp_path / "v" / "q" / "evidence_frames" / "00_1_00s.png").read_bytes() == data
