@@ -4,13 +4,14 @@ Filters of ``WIDTH`` bytes slide over the whole UTF-8 text. Blocks of ``HALF`` b
 neighbouring blocks make a chunk, so chunks overlap by half. The mean and the maximum over a document's
 chunks, with two figures of its length, pass one hidden layer to one probability.
 
-Training takes a bounded sample of labelled rows (``max_rows``, half from each label as far as there are
-so many; the loss is weighted back to the labels' shares) on the driver. A filter's gradient touches one
-window per chunk, the one that won the pooling. Scoring adds table rows of byte pairs, in pieces of bounded
-size, so that a long text costs time but not memory.
+Training takes a bounded sample of labelled rows to the driver: of the labelled documents, in the order of a
+hash, at most ``max_rows`` and ``max_bytes`` of whole texts, half from each label as far as there are so many;
+the loss is weighted back to the labels' shares. A filter's gradient touches one window per chunk, the one
+that won the pooling. Training and scoring take a text in pieces of bounded size, so that a long one costs
+time but not memory.
 
 Defined cases: a null text counts as empty and gets the score of the empty text; labels other than 0 and 1,
-null labels and labels without a document are ignored; without rows of both labels every score is the
+null labels and labels without a document are ignored; of texts that share an id the longest counts; without rows of both labels every score is the
 share of label 1 (0.5 without labels); repeated rows and null ids are scored row by row; an empty table
 gives no rows; other columns are ignored.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import fold, text_or_empty
+from chronoreel.llm.common import dropped, fold, stored, text_or_empty
 
 WIDTH = 6
 FILTERS = 32
@@ -77,7 +78,7 @@ class ByteCNN:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, visits: int = 12_000, batch: int = 16, rate: float = 0.01) -> None:
         rng = np.random.default_rng(self.seed)
-        codes = [as_codes(t) for t in texts]
+        codes = [as_codes(t).astype(np.int16) for t in texts]
         fill = length_figures(texts)
         steps = max(1, visits // batch)
         order = np.concatenate([rng.permutation(len(texts)) for _ in range(-(-steps * batch // len(texts)))])
@@ -96,10 +97,7 @@ class ByteCNN:
     def _gradients(self, codes: list[np.ndarray], fill: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         wins, pooled, kept = [], [], []
         for x in codes:
-            z = self._convolve(x).reshape(-1, HALF, FILTERS)
-            top = z.argmax(axis=1)
-            value = np.take_along_axis(z, top[:, None], axis=1)[:, 0]
-            place = top + np.arange(len(z))[:, None] * HALF
+            value, place = self._winners(x)
             if len(value) > 1:  # chunks of two blocks
                 second = value[1:] > value[:-1]
                 value, place = np.where(second, value[1:], value[:-1]), np.where(second, place[1:], place[:-1])
@@ -125,14 +123,22 @@ class ByteCNN:
                 np.add.at(conv[k], (code[np.minimum(wins[i] + k, len(code) - 1)], cols[None]), dv)
         return g | {"conv": conv, "bias": bias}
 
-    def _convolve(self, x: np.ndarray) -> np.ndarray:
-        """ReLU of the filters at every position; windows that would leave the text give 0."""
-        z = np.zeros((len(x), FILTERS), np.float32)
-        n = len(x) - WIDTH + 1
-        for k in range(WIDTH):
-            z[:n] += self.w["conv"][k][x[k : k + n]]
-        z[:n] += self.w["bias"]
-        return np.maximum(z, 0, out=z)
+    def _winners(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block and filter, the largest response (ReLU; windows that would leave the text give 0) and its place."""
+        values, places = [], []
+        for at in range(0, len(x), PIECE * HALF):
+            part = x[at : at + PIECE * HALF + WIDTH - 1]
+            size = min(PIECE * HALF, len(x) - at)
+            z = np.zeros((size, FILTERS), np.float32)
+            n = len(part) - WIDTH + 1
+            for k in range(WIDTH):
+                z[:n] += self.w["conv"][k][part[k : k + n]]
+            z[:n] += self.w["bias"]
+            z = np.maximum(z, 0, out=z).reshape(-1, HALF, FILTERS)
+            top = z.argmax(axis=1)
+            values.append(np.take_along_axis(z, top[:, None], axis=1)[:, 0])
+            places.append(top + at + np.arange(len(z))[:, None] * HALF)
+        return np.concatenate(values), np.concatenate(places)
 
     # Scoring ------------------------------------------------------------------
 
@@ -168,26 +174,31 @@ class ByteCNN:
         return 1 / (1 + np.exp(-self._head(pooled, fill).astype(np.float64)))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 4000, visits: int = 16_000) -> ByteCNN:
-    """A network fitted to at most ``max_rows`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 4000, max_bytes: int = 32 << 20, visits: int = 16_000) -> ByteCNN:
+    """A network fitted to at most ``max_rows`` labelled documents, ``max_bytes`` in all, outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", folds) != held)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     known = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    known = stored(known.join(texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")), "doc_id"), "labelled")
     share = known.agg(F.avg("quality").alias("p")).first()["p"]
     model = ByteCNN()
-    # Ids and labels only, max_rows in all.
-    picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(max_rows // 2) for q in (0, 1)]
-    ids = {r["doc_id"]: r["quality"] for p in picked for r in p.collect()}
+    ids: dict[int, int] = {}
+    for q in (0, 1):
+        left = max_bytes // 2
+        # Ids and sizes only, max_rows in all; a text that would take too much is left to others.
+        for r in known.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id").limit(max_rows // 2).collect():
+            if r["size"] <= left:
+                ids[r["doc_id"]] = q
+                left -= r["size"]
+    dropped(known)
     if len(set(ids.values())) < 2:
         model.prior = 0.5 if share is None else float(share)
         return model
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # One text an id, so at most max_rows texts come to the driver.
-    texts = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).orderBy("doc_id").collect()
+    # One text an id, so at most max_rows texts and max_bytes come to the driver.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("n"), "text"))["text"].alias("text"), F.max("quality").alias("quality"))
+    texts = rows.orderBy("doc_id").collect()
     y = np.array([r["quality"] for r in texts])
-    if len(set(y)) < 2:
-        model.prior = float(share)
-        return model
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.fit([r["text"].encode() for r in texts], y, weight, visits)
     return model
