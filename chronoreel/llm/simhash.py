@@ -5,7 +5,7 @@ Equal fingerprints are merged first. The distinct ones are sorted by Gray rank a
 size. A range's node keeps the bits that all its codes share; upper nodes factor what FANOUT neighbours
 share, up to one root. That directory has at most MOST_RANGES ranges and goes to all workers: each
 code descends it, adding up its differences from the shared bits, leaves a node as soon as they exceed the
-radius, and so reaches the ranges that can hold a code near it. Inside a range the same tree goes on down to
+radius, and so reaches the ranges that can hold a code near it, in packets by range. Inside a range the same tree goes on down to
 single codes. All pairs are found, since a node is left only when every code below it is too far away.
 
 Codes are distinct, so no range is crowded by copies; the codes that visit a range stream past it. Labels go
@@ -37,7 +37,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 FANOUT = 4
-RANGE_ROWS = 16_384  # codes of a range, or more where there would be more than MOST_RANGES
+RANGE_ROWS = 65_536  # codes of a range, or more where there would be more than MOST_RANGES
 MOST_RANGES = 65_536
 MOST_HEAVY = 65_536
 
@@ -165,21 +165,22 @@ def near_edges(codes: DataFrame, radius: int = RADIUS, range_rows: int = RANGE_R
         position[parts] = np.arange(len(parts))
         for batch in batches:
             fp, own = batch.column(0).to_numpy(), position[batch.column(1).to_numpy()]
-            for query, leaf in tree.search(fp.view(np.uint64), radius):
-                later = leaf >= own[query]  # each pair of ranges meets in the later one
-                query, leaf = query[later], leaf[later]
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(leaf != own[query]), pa.array(fp[query])], ["task", "visits", "fp"])
+            query, leaf = (np.concatenate(x) for x in zip(*tree.search(fp.view(np.uint64), radius), strict=True))
+            later = np.flatnonzero(leaf >= own[query])  # each pair of ranges meets in the later one
+            query, leaf = query[later], leaf[later]
+            visits = leaf != own[query]
+            order = np.lexsort((visits, leaf))
+            query, leaf, visits = query[order], leaf[order], visits[order]
+            cuts = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (visits[1:] != visits[:-1])])
+            packets = [part.tobytes() for part in np.split(fp[query], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[cuts]), pa.array(visits[cuts]), pa.array(packets, pa.binary())], ["task", "visits", "codes"])
         pruned.add(tree.pruned)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[int, bool, np.ndarray]]:
             for batch in batches:
-                task, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-                fps = batch.column(2).to_numpy().view(np.uint64)
-                cuts = np.flatnonzero((task[1:] != task[:-1]) | (visits[1:] != visits[:-1])) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(task)], strict=True):
-                    if a < b:
-                        yield int(task[a]), bool(visits[a]), fps[a:b]
+                for task, visits, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield task, visits, np.frombuffer(codes, np.uint64)
 
         for _, group in groupby(pieces(), lambda x: x[0]):
             rows = iter(group)
@@ -193,7 +194,7 @@ def near_edges(codes: DataFrame, radius: int = RADIUS, range_rows: int = RANGE_R
             for a, b in _range_edges(np.concatenate(held), visitors, radius, pruned):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
 
-    routed = ranked.select("fp", "part").mapInArrow(route, "task long, visits boolean, fp long")
+    routed = ranked.select("fp", "part").mapInArrow(route, "task long, visits boolean, codes binary")
     found = stored(routed.repartition("task").sortWithinPartitions("task", "visits").mapInArrow(search, schema), "code-edges")
     directory.unpersist()
     dropped(ranked)
