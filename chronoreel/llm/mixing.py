@@ -67,8 +67,12 @@ def _mixed(
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
     seed: str = SEED,
+    by_size: float = 1.0,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, digest of the text, size, source_size, target, n_copies."""
+    """One row per row of ``docs``: doc_id, source, digest of the text, size, source_size, target, n_copies.
+
+    ``by_size``: the power of mean size over size in the inclusion odds; 0 gives all documents of a source the same.
+    """
     base = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -83,13 +87,15 @@ def _mixed(
     shares = targets(sums, weights, cap).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     shares = shares.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
     share = F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(F.lit(0.0))
-    odds = F.when((share > 0) & (share < 1), share / (1 - share) * (F.col("source_size") / F.col("n_docs")))
+    mean = F.col("source_size") / F.col("n_docs")
+    odds = F.when((share > 0) & (share < 1), share / (1 - share) * (mean if by_size == 1 else F.pow(mean, F.lit(by_size))))
     shares = bounded(shares.withColumn("odds", odds).drop("n_docs"), "mix-targets")
     key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text:"), F.coalesce(F.col("digest").cast("string"), F.lit("")))).otherwise(F.col("doc_id").cast("string"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
     rows = _nulls_match(base.withColumn("u", u), shares)
-    rows = rows.withColumn("pareto", F.col("u") / (1 - F.col("u")) / (F.col("odds") / F.greatest(F.col("size"), F.lit(1))))
+    size = F.greatest(F.col("size"), F.lit(1))
+    rows = rows.withColumn("pareto", F.col("u") / (1 - F.col("u")) / (F.col("odds") / (size if by_size == 1 else F.pow(size, F.lit(by_size)))))
     # Most of the order lies around the value that a document of mean size has at u = share.
     rows = rows.withColumn("bucket", F.floor(F.col("pareto") / (1 + F.col("pareto")) * BUCKETS).cast("int"))
     placed = stored(rows.drop("u", "odds"), "mix-order")
