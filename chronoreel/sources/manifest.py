@@ -37,11 +37,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_question_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Videos with nested questions from a table of flat question rows, such as a local export of a hub dataset."""
+    """Videos with nested questions from a table of flat question rows, such as a local export of a hub dataset.
+
+    row_no rises in the order of video and url; a table of any size is sorted by ranges, so it has gaps.
+    """
     names = [x.split()[0] for x in schemas.FLAT_ROW.split(", ")]
     rows = spark.read.format(kind).load(path)
     flat = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
-    return _numbered(group_flat(_refuse_nulls(_numbered(flat), "videoID")).orderBy("video_id", "url"))
+    numbered = _refuse_nulls(flat.withColumn("row_no", F.monotonically_increasing_id()), "videoID")
+    return group_flat(numbered).orderBy("video_id", "url").withColumn("row_no", F.monotonically_increasing_id())
 
 
 def _struct(ddl: str) -> str:

@@ -16,3 +16,25 @@ def test_stream_closes_segments_across_batches(spark, tmp_path):
     query.stop()
     got = sorted((r["start_index"], r["end_index"], round(r["mean_score"], 3)) for r in spark.table("cuts").collect())
     assert got == [(0, 3, 0.475), (3, 7, 0.58)]
+
+
+def test_idle_videos_are_closed(spark, tmp_path):
+    import time
+
+    source = tmp_path / "in"
+    schema = "video_key string, frame_ordinal int, time_sec double, x double"
+
+    def more(video, values):
+        rows = [(video, i, float(i), float(x)) for i, x in enumerate(values)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    more("v", [0, 9, 1, 9, 1])
+    stream = scaled(spark.readStream.schema(schema).parquet(str(source)), "x", 0, 10)
+    query = segment_stream(stream, 0.5, 2.0, idle_ms=200).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).start()
+    deadline = time.time() + 60
+    while time.time() < deadline and not any(r["video_key"] == "v" and r["end_index"] == 4 for r in spark.table("idle").collect()):
+        time.sleep(1)
+        more("w", [0])
+    query.stop()
+    got = sorted((r["start_index"], r["end_index"]) for r in spark.table("idle").where("video_key = 'v'").collect())
+    assert got == [(0, 3), (3, 4)]
