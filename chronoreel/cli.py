@@ -66,9 +66,8 @@ def index(spark: SparkSession, args: argparse.Namespace) -> None:
     """Decode, embed, segment and pool all videos below a folder."""
     config = IndexConfig(sample_fps=args.fps)
     decoded = videos_source.sample_videos(spark, args.videos, load(args.decoder, videos_source.raw_decoder), config.sample_fps, energy=True)
-    flat = decoded.withColumn("pixels", F.col("image.data"))
-    coded = inference.encode(flat, "pixels", load(args.encoder, inference.StubEncoder), config.image_batch)
-    coded = inference.encode(coded, "pixels", load(args.second_encoder, inference.StubEncoder), config.image_batch, out="dino_embedding").drop("pixels")
+    coded = inference.encode(decoded, "image", load(args.encoder, inference.StubEncoder), config.image_batch)
+    coded = inference.encode(coded, "image", load(args.second_encoder, inference.StubEncoder), config.image_batch, out="dino_embedding")
     # The models are the expensive part, so their output is stored before anything is built on it.
     coded.write.mode("overwrite").parquet(f"{args.output}/frames")
     pipeline.build_index(spark.read.parquet(f"{args.output}/frames"), config).write(args.output)

@@ -20,7 +20,7 @@ from chronoreel.config import batch_size
 
 
 class Encoder(Protocol):
-    """Turns a list of items (texts, images as bytes, or lists of images) into an (n, width) array."""
+    """Turns a list of items (texts, images as structs or bytes, or lists of images) into an (n, width) array."""
 
     def encode(self, items: list) -> np.ndarray: ...
 
@@ -52,7 +52,7 @@ def encode(df: DataFrame, column: str, factory: Callable[[], Encoder], batch: in
             for pdf in batches:
                 model = model or factory()
                 vectors: list = [None] * len(pdf)
-                items = [(i, v) for i, v in enumerate(pdf[column]) if v is not None]
+                items = [(i, v.asDict() if hasattr(v, "asDict") else v) for i, v in enumerate(pdf[column]) if v is not None]
                 for at in range(0, len(items), size):
                     part = items[at : at + size]
                     x = np.asarray(model.encode([v for _, v in part]), np.float32)
@@ -112,6 +112,7 @@ class StubEncoder:
         def one(item: object) -> np.ndarray:
             if isinstance(item, (list, np.ndarray)):
                 return np.mean([one(x) for x in item], axis=0)
+            item = item["data"] if isinstance(item, dict) else item
             data = item.encode() if isinstance(item, str) else bytes(item)
             digest = hashlib.sha256(data).digest()
             return np.resize(np.frombuffer(digest, np.uint8), self.width).astype(np.float32) / np.float32(127.5) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,3 +91,50 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     keyed = images.withColumn("video_key", F.element_at(parts, -2)).withColumn("__name", F.element_at(parts, -1))
     order = F.row_number().over(Window.partitionBy("video_key").orderBy("__name")) - 1
     return keyed.withColumn("frame_ordinal", order).drop("__name")
+
+
+def opencv_decoder(content: bytes) -> Iterator[tuple[int, float, int, int, int, bytes]]:
+    """Any format that the OpenCV library reads. It reads files only, so the bytes go through one in the task's own folder."""
+    import os
+    import tempfile
+
+    try:
+        import cv2
+    except ImportError as e:
+        raise RuntimeError("this decoder needs the cv2 library") from e
+    with tempfile.NamedTemporaryFile(suffix=".mp4", delete=False) as file:
+        file.write(content)
+    capture = cv2.VideoCapture(file.name)
+    try:
+        rate = float(capture.get(cv2.CAP_PROP_FPS) or 0.0)
+        if not capture.isOpened() or rate <= 0:
+            raise ValueError("not a video that can be read")
+        for index in itertools.count():
+            there, frame = capture.read()
+            if not there:
+                return
+            h, w, c = frame.shape
+            yield index, rate, h, w, c, frame.tobytes()
+    finally:
+        capture.release()
+        os.unlink(file.name)
+
+
+def fetch_missing(videos: DataFrame, root: str, fetch: Callable[[str, str], None] | None = None) -> DataFrame:
+    """``videos`` with path, after ``fetch(url, path)`` was called for each that is missing below ``root``.
+
+    Calls run in the workers, one for each url; without ``fetch`` a missing video is a FileNotFoundError.
+    """
+    there = check_available(video_paths(videos, root), availability(videos.sparkSession, root))
+    lost = there.where(~F.col("available")).select("url", "path").distinct()
+    if fetch is None:
+        for r in lost.limit(1).collect():
+            raise FileNotFoundError(r["path"])
+    else:
+
+        def each(rows: Iterator) -> None:
+            for row in rows:
+                fetch(row["url"], row["path"])
+
+        lost.foreachPartition(each)
+    return there.drop("available")

@@ -1,0 +1,162 @@
+"""Adapters against small stand-ins of the libraries that they put behind the protocols."""
+
+import contextlib
+import sys
+import types
+
+import numpy as np
+import pytest
+
+from chronoreel.operators import models
+from chronoreel.sources import frames as source
+
+
+class Tensor:
+    def __init__(self, x):
+        self.x = np.asarray(x, np.float64)
+
+    def __getattr__(self, name):
+        if name in ("float", "cpu"):
+            return lambda: self
+        raise AttributeError(name)
+
+    def to(self, *_):
+        return self
+
+    def numpy(self):
+        return self.x
+
+    def __getitem__(self, at):
+        return Tensor(self.x[at])
+
+    @property
+    def shape(self):
+        return self.x.shape
+
+
+class Model:
+    config = types.SimpleNamespace(num_frames=2)
+
+    def to(self, *_):
+        return self
+
+    def eval(self):
+        return self
+
+    def parameters(self):
+        return iter([types.SimpleNamespace(dtype="float32")])
+
+    def encode_text(self, x):
+        return x
+
+    encode_image = encode_text
+
+    def __call__(self, pixel_values):
+        return types.SimpleNamespace(last_hidden_state=Tensor(pixel_values.x[:, None]))
+
+    def get_text_features(self, input_ids, attention_mask):
+        return types.SimpleNamespace(pooler_output=input_ids)
+
+    def get_video_features(self, pixel_values):
+        return pixel_values
+
+    def generate(self, input_ids, max_new_tokens, do_sample, **_):
+        assert max_new_tokens == models.NEW_TOKENS and not do_sample
+        return Tensor([[1, 2, 3, 66]])
+
+
+class Processor:
+    def __call__(self, text=None, images=None, **_):
+        if text is not None:
+            return {"input_ids": Tensor([[len(t), 1, 2] for t in text])} | ({} if images else {"attention_mask": Tensor([[1]])})
+        return {"pixel_values": Tensor([[float(i.mean())] for i in images])}
+
+    def apply_chat_template(self, messages, **_):
+        return str(len(messages[0]["content"]))
+
+    def decode(self, ids, **_):
+        return " " + "".join(chr(int(i)) for i in ids.x) + " "
+
+
+@pytest.fixture
+def libraries(monkeypatch):
+    named = types.SimpleNamespace(from_pretrained=lambda *_, **__: Model())
+    prepared = types.SimpleNamespace(from_pretrained=lambda *_, **__: Processor())
+    torch = types.SimpleNamespace(
+        cuda=types.SimpleNamespace(is_available=lambda: False), inference_mode=contextlib.nullcontext, float16="half", float32="single", bfloat16="brain",
+        stack=lambda xs: Tensor(np.stack([x.x for x in xs])), cat=lambda xs, dim: Tensor(np.concatenate([x.x for x in xs], axis=dim)),
+    )
+    clip = types.SimpleNamespace(create_model_and_transforms=lambda *_, **__: (Model(), None, lambda i: Tensor([float(i.mean())])), get_tokenizer=lambda _: lambda ts: Tensor([[len(t)] for t in ts]))
+    hub = types.SimpleNamespace(AutoModel=named, AutoModelForImageTextToText=named, AutoProcessor=prepared, AutoImageProcessor=prepared)
+    for name, module in (("torch", torch), ("open_clip", clip), ("transformers", hub), ("PIL.Image", types.SimpleNamespace(fromarray=lambda a: a)), ("PIL", types.SimpleNamespace())):
+        monkeypatch.setitem(sys.modules, name, module)
+
+
+def image(value, channels=3):
+    return {"height": 1, "width": 2, "nChannels": channels, "data": bytes([value] * 2 * channels)}
+
+
+def test_images_turn_to_red_green_blue():
+    assert models.rgb({"height": 1, "width": 1, "nChannels": 3, "data": bytes([1, 2, 3])}).tolist() == [[[3, 2, 1]]]
+    assert models.rgb(image(7, 1)).tolist() == [[[7] * 3] * 2]
+
+
+def test_adapters(libraries):
+    assert models.device_of() == "cpu" and models.device_of("cuda:1") == "cuda:1"
+    clip = models.OpenClip()
+    assert clip.encode(["ab", "abc"]).tolist() == [[2.0], [3.0]] and clip.encode([image(4), image(6)]).tolist() == [[4.0], [6.0]]
+    dino = models.Dino()
+    assert dino.encode([image(4), image(6)]).tolist() == [[4.0], [6.0]] and dino.encode([image(4)]).dtype == np.float32
+    video = models.XClip()
+    assert video.num_frames == 2 and video.encode([[image(1), image(3)]]).tolist() == [[1.0], [3.0]] and video.encode(["abcd"]).tolist() == [[4.0, 1.0, 2.0]]
+    answerer = models.VisionAnswerer()
+    assert answerer.answer("Which?", [image(1)]) == "B"
+    for m in (clip, dino, video, answerer):
+        m.unload()
+        assert m.model is None
+
+
+def test_missing_libraries_are_named(monkeypatch):
+    monkeypatch.setitem(sys.modules, "torch", None)
+    with pytest.raises(RuntimeError, match="torch"):
+        models.Dino()
+    monkeypatch.setitem(sys.modules, "cv2", None)
+    with pytest.raises(RuntimeError, match="cv2"):
+        next(source.opencv_decoder(b""))
+
+
+def test_opencv_decoder(monkeypatch):
+    class Capture:
+        def __init__(self, path):
+            self.left = [np.full((1, 2, 3), i, np.uint8) for i in range(3)] if open(path, "rb").read() == b"video" else []
+
+        def get(self, _):
+            return 8.0
+
+        def isOpened(self):  # noqa: N802
+            return bool(self.left)
+
+        def read(self):
+            return (True, self.left.pop(0)) if self.left else (False, None)
+
+        def release(self):
+            pass
+
+    monkeypatch.setitem(sys.modules, "cv2", types.SimpleNamespace(VideoCapture=Capture, CAP_PROP_FPS=5))
+    assert [x[:5] for x in source.opencv_decoder(b"video")] == [(i, 8.0, 1, 2, 3) for i in range(3)]
+    with pytest.raises(ValueError, match="not a video"):
+        list(source.opencv_decoder(b"other"))
+
+
+def test_missing_videos_are_fetched(spark, tmp_path):
+    (tmp_path / "a.mp4").write_bytes(b"x")
+    videos = spark.createDataFrame([("a",), ("b",)], "url string")
+    with pytest.raises(FileNotFoundError, match="b.mp4"):
+        source.fetch_missing(videos, str(tmp_path))
+
+    def fetch(url, path):
+        with open(path, "wb") as out:
+            out.write(url.encode())
+
+    got = source.fetch_missing(videos, str(tmp_path), fetch)
+    assert {r["url"] for r in got.collect()} == {"a", "b"} and (tmp_path / "b.mp4").read_bytes() == b"b"
