@@ -304,25 +304,26 @@ def sparse_softmax(base: np.ndarray, n: np.ndarray, starts: np.ndarray, ridge: f
     have no weight. Steps descend along the gradient of the log-likelihood with a quadratic penalty, divided
     by a bound of its curvature.
     """
-    segment = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(base)]))
-    log_z = np.zeros(len(starts))
-    seen = np.flatnonzero(n > 0)
-    weight = np.zeros(len(base))
+    segment = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(base)]))
+    log_z = np.zeros(len(starts), np.float32)
+    seen = np.flatnonzero(n > 0).astype(np.int32)
+    weight = np.zeros(len(base), np.float32)
     if len(seen):
         q, k, own = base[seen], n[seen], segment[seen]
         begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        inner = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1
+        inner = np.cumsum(np.r_[True, own[1:] != own[:-1]], dtype=np.int32) - 1
         total = _sums(k, begin)[inner]
+        own = own[begin]
         w = np.clip(np.log(k / (total + 1) / q), 0, k / ridge)
         for step in range(steps + 1):
             v = q * np.exp(w)
             z = np.maximum(1 + _sums(v - q, begin), 1e-12)
             if step == steps:
                 break
-            p = v / z[inner]
-            w -= np.clip((total * p - k + ridge * w) / (total * p + ridge), -2, 2)
+            v *= total / z[inner]
+            w -= np.clip((v - k + ridge * w) / (v + ridge), -2, 2)
         weight[seen] = w
-        log_z[own[begin]] = np.log(z)
+        log_z[own] = np.log(z)
     return np.log(base) + weight - log_z[segment]
 
 
@@ -336,21 +337,21 @@ class Bucket:
 
     def __init__(self, head: Head, x: np.ndarray, w1: np.ndarray, w2: np.ndarray, train: np.ndarray):
         self.head, self.x = head, x
-        self.cls = head.cls[np.minimum(x, len(head.counts))]
+        self.cls = head.cls.astype(np.int16)[np.minimum(x, len(head.counts))]
         new1 = np.r_[True, w1[1:] != w1[:-1]]
         new2 = new1 | np.r_[True, w2[1:] != w2[:-1]]
         self.new_pair = new2 | np.r_[True, self.cls[1:] != self.cls[:-1]]  # a class after two words
         self.new_word = new2 | np.r_[True, x[1:] != x[:-1]]  # a word after two words
-        self.last = np.cumsum(new1) - 1
-        self.train = train.astype(np.float64)
+        self.last = np.cumsum(new1, dtype=np.int32) - 1
+        self.train = train.astype(np.float32)
         first = np.flatnonzero(new2)
-        self.n = _sums(self.train, first).astype(np.float32)
+        self.n = _sums(self.train, first)
         self.owner = self.last[first]
-        self.skip = skip_rows(w2[first])
+        self.skip = skip_rows(w2[first]).astype(np.int32)
         self.class_row = class_rows(head, w1[new1])
         pairs = np.flatnonzero(self.new_pair)
-        self.pair_n = _sums(self.train, pairs).astype(np.float32)
-        self.pair_of = (np.cumsum(new2) - 1)[pairs]
+        self.pair_n = _sums(self.train, pairs)
+        self.pair_of = (np.cumsum(new2, dtype=np.int32) - 1)[pairs]
         self.pair_cls = self.cls[pairs]
 
     def _groups(self) -> Iterator[tuple[int, int]]:
@@ -365,7 +366,7 @@ class Bucket:
         ``table``: the common rows. ``plan``: what is fitted in turn, "l" the rows of last words, "b" the
         weights of two words and a class.
         """
-        out = np.zeros(len(self.pair_n))
+        out = np.zeros(len(self.pair_n), np.float32)
         for begin, end in self._groups():
             low = self.owner[begin]
             owners = int(self.owner[end - 1] - low) + 1
@@ -410,11 +411,14 @@ class Bucket:
         at = np.flatnonzero(self.new_word)
         n = _sums(self.train, at)
         keys, back = np.unique(self.last[at].astype(np.uint64) << np.uint64(32) | self.x[at], return_inverse=True)
-        x = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        inside = np.minimum(x, len(self.head.counts))
-        part = (keys >> np.uint64(32)) * np.uint64(WIDTH) + self.head.cls[inside].astype(np.uint64)
-        after_last = sparse_softmax(self.head.share[inside], np.bincount(back, n), np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), RIDGE["word"])
-        return sparse_softmax(np.exp(after_last[back]), n, np.flatnonzero(self.new_pair[at]), RIDGE["word_both"])
+        back, part = back.astype(np.int32), self.new_pair[at]
+        del at
+        inside = np.minimum(keys & np.uint64(0xFFFFFFFF), np.uint64(len(self.head.counts))).astype(np.int32)
+        keys = (keys >> np.uint64(32)) * np.uint64(WIDTH) + self.head.cls[inside].astype(np.uint64)
+        starts, share = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), self.head.share.astype(np.float32)[inside]
+        del keys, inside
+        after_last = sparse_softmax(share, np.bincount(back, n).astype(np.float32), starts, RIDGE["word"])
+        return sparse_softmax(np.exp(after_last)[back], n, np.flatnonzero(part), RIDGE["word_both"])
 
     def log_probabilities(self, table: np.ndarray, plan: str = PLAN) -> np.ndarray:
         """Natural logarithm of each event's probability."""
@@ -524,13 +528,16 @@ def scored(events: DataFrame, known, table: np.ndarray, buckets: int) -> DataFra
             x, w1, w2, text, number = np.concatenate(parts, axis=1)
             del parts
             order = in_order(x, w1, w2, len(own.counts))
-            x, w1, w2, text, number = (v[order] for v in (x, w1, w2, text, number))
-            found = Bucket(own, x, w1, w2, text >> np.uint32(31) == 0).log_probabilities(common.value)
-            key = number.astype(np.uint64) << np.uint64(32) | text & np.uint32(0xFFFF)
+            key = (number.astype(np.uint64) << np.uint64(32) | text)[order]
+            x, w1, w2 = x[order], w1[order], w2[order]
+            del order, text, number
+            found = Bucket(own, x, w1, w2, key >> np.uint64(31) & np.uint64(1) == 0).log_probabilities(common.value)
+            del x, w1, w2
+            key &= ~np.uint64(1 << 31)
             order = np.argsort(key)
             key, found = key[order], found[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sums, key = (np.add.reduceat(found, first) / np.log(10)).astype(np.float32), key[first]
+            sums, key = (np.add.reduceat(found, first, dtype=np.float64) / np.log(10)).astype(np.float32), key[first]
             owner, place = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFF)).astype("<u2")
             cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             split = lambda v: [p.tobytes() for p in np.split(v, cuts[1:])]
