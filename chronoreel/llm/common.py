@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of applications whose work files are to go when the driver ends.
+_registered: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all work files of this application; results that were not written elsewhere go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's work files, below the shared folder. It is deleted when the driver ends."""
+    found = f"{shared_dir(spark).rstrip('/')}/chronoreel/{spark.sparkContext.applicationId}"
+    if found not in _registered:
+        _registered.add(found)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+        def remove() -> None:
+            with contextlib.suppress(Exception):  # the JVM may have gone first
+                files.delete(path, True)
+
+        atexit.register(remove)
+    return found
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder, with its file system named, for readers and writers outside Spark too."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/chronoreel/{tag}-{uuid.uuid4().hex}")
+    """A new path among the work files, with its file system named, for readers and writers outside Spark too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 

@@ -128,25 +128,66 @@ def crowd(rng, n, d=16):
     return x.astype(np.float32)
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
+def plain_links(x):
+    u = vectors.unit(x)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), closed(len(x), list(zip(*np.nonzero(np.triu(near)), strict=True)))
+
+
+@pytest.mark.parametrize("probes", [0, vectors.PROBES])
+def test_vectors_equal_brute_force(spark, monkeypatch, probes):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vectors, "VISITORS", 50)
     x = crowd(np.random.default_rng(1), 600)
     odd = [(None, None), (1001, None), (1002, []), (1003, [0.0] * 16), (1004, [float("nan")] + [1.0] * 15), (1005, [None] + [1.0] * 15), (1006, [float("inf")] + [1.0] * 15), (1007, [1.0] * 3), (1008, [1.0] * 3)]
     rows = [(i, v, "clash", "clash") for i, v in [*((i, [float(t) for t in r]) for i, r in enumerate(x)), *odd]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, v string").repartition(5)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.links(df).collect()}
-    u = vectors.unit(x)
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
-    labels = closed(len(x), list(zip(*np.nonzero(np.triu(near)), strict=True)))
-    found = sum(got[i][0] for i in range(len(x)))
-    assert all(got[i][0] <= near[i].sum() for i in range(len(x))) and found >= 0.99 * near.sum()
-    assert sum(got[i][1] == labels[i] for i in range(len(x))) >= 0.99 * len(x)
-    assert all(got[i][2] == (got[i][1] == i) for i in range(len(x)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.links(df, probes=probes).collect()}
+    n, labels = plain_links(x)
+    assert all(got[i] == (n[i], labels[i], labels[i] == i) for i in range(len(x)))
     assert all(got[i] == (0, i, True) for i in (None, *range(1001, 1007))) and got[1007] == (1, 1007, True) and got[1008] == (1, 1007, False)
     assert vectors.links(df.limit(0)).count() == 0
 
 
+def test_vectors_equal_their_sql(spark):
+    import duckdb
+
+    x = crowd(np.random.default_rng(6), 200)
+    df = spark.createDataFrame([*((i, [float(t) for t in r]) for i, r in enumerate(x)), (900, None), (901, [0.0] * 16)], "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM t")
+    want = con.execute(vectors.ORACLE).df().sort_values("vec_id")
+    got = vectors.links(df).toPandas().sort_values("vec_id")
+    assert got.to_numpy().tolist() == want[got.columns].to_numpy().tolist()
+
+
+def test_cells_of_top_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 12))
+    x[1500:] = 0.97 * x[:1500] + 0.1 * rng.normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors._centroids, "__defaults__", (4,))  # two levels from five cells on
+    n, _ = plain_links(x)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.links(df).collect()}
+    assert all(got[i] <= n[i] for i in range(len(x))) and sum(got.values()) >= 0.99 * n.sum()
+
+
+@pytest.mark.parametrize("rows", [2000, 20_000, 100_000])
+def test_recall_without_clusters(rows):
+    rng = np.random.default_rng(rows)
+    x = vectors.unit(rng.normal(size=(rows // 2, 64)))
+    e = rng.normal(size=x.shape)
+    e = vectors.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
+    y = 0.905 * x + (1 - 0.905**2) ** 0.5 * e
+    both = np.concatenate([x, y])
+    centroids = vectors.spherical_kmeans(both[rng.choice(rows, min(rows, 16_384), replace=False)], round(rows**0.5 / 2))
+    (home_x, near_x), (home_y, near_y) = (vectors.nearest_cells(z, centroids, vectors.PROBES) for z in (x, y))
+    found = (near_x == home_y[:, None]).any(axis=1) | (near_y == home_x[:, None]).any(axis=1)
+    assert found.mean() >= 0.99
+
+
 def test_repeated_rows_link_with_each_other(spark):
     df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.1]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.links(df).collect())
