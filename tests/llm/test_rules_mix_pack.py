@@ -93,6 +93,32 @@ def test_mix_properties(odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.repeat(no_docs).count() == 0
 
 
+def test_a_long_document_does_not_end_the_draw(spark):
+    rng = random.Random(4)
+    sizes = {"a": [40_000, *(rng.randint(20, 400) for _ in range(400))], "b": [rng.randint(20, 400) for _ in range(300)], "c": [30_000, *(rng.randint(20, 400) for _ in range(350))]}
+    docs = [(f"{s}{i}", s, "w " * n) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame([(i, s, t) for i, (_, s, t) in enumerate(docs)], "doc_id long, source string, text string")
+    rows = mixing.mix(df).toPandas()
+    per = rows.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(per.taken - per.target) <= 400).all(), per
+
+
+def test_inclusion_odds_change_the_sample(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * rng.choice((20, 20, 20, 400))) for i in range(2000)], "doc_id long, source string, text string")
+    rows = mixing.mix(docs).toPandas()
+    rows["copies"] = rows.taken // rows["size"]
+    part = rows[rows.source == "b"]
+    short, long = (part[part["size"] == n].copies.mean() for n in (20, 400))
+    assert part.copies.max() == part.copies.min() + 1 and short > long + 0.2  # long texts have the lower odds
+    # With odds that ignore the size, both kinds have the same chance.
+    even = mixing.mix(docs, by_size=0).toPandas()
+    even["copies"] = even.taken // even["size"]
+    same = even[even.source == "b"]
+    assert abs(same[same["size"] == 20].copies.mean() - same[same["size"] == 400].copies.mean()) < 0.1
+    assert set(same[same.copies > same.copies.min()].doc_id) != set(part[part.copies > part.copies.min()].doc_id)
+
+
 def test_targets_reshare_what_caps_leave(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 300, None: 40}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
@@ -130,10 +156,13 @@ def test_boundaries_are_optimal():
         assert len(got) <= k and got[-1] == lengths[-1] and packing.padded(histogram, got) == best
 
 
-def test_bins_keep_short_lengths_and_are_bounded(spark):
-    rows = spark.createDataFrame([(n,) for n in [0, 1, 8191, 8192, 8193, 16384, 16385, 16386, 10**9 + 1]], "n long").select(packing.length_bin(F.col("n")).alias("b")).collect()
-    assert [r["b"] for r in rows][:5] == [0, 1, 8191, 8192, 8193] and rows[6]["b"] == 16384 and rows[7]["b"] == 16386
-    assert (10**9 + 1) * (1 - 1 / 4096) < rows[8]["b"] <= 10**9 + 1
+def test_long_lengths_are_exact(spark):
+    lengths = [8000, 8193, 8194, 8200, 16_385, 16_386, 20_000, 20_001]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=5).toPandas()
+    histogram = [(n, 1) for n in lengths]
+    best = min(packing.padded(histogram, sorted({*c, 20_001})) for c in itertools.combinations(lengths, 4))
+    assert rows.bucket_len.sum() == best and sorted(rows.n_tokens) == lengths
 
 
 def test_pack(odd_docs, no_docs):
