@@ -2,37 +2,32 @@
 
 A histogram of lengths over all documents feeds a dynamic program that picks the bucket boundaries
 with the least padding; batches under a token budget then form inside each bucket. Lengths count
-words. The histogram keeps each length below EXACT on its own and EXACT bins an octave above, so it
-has at most EXACT * 50 rows whatever the input; a boundary is always a length that occurs.
+words, and the histogram keeps each on its own. It is counted by the cluster and only then sent to the
+driver: documents of n words in all have at most sqrt(2 n) different lengths, since these add up to no
+more than n; 10^13 words have 4.5 million at most. A boundary is always a length that occurs.
 
 A batch of a bucket has max(1, budget // boundary) rows, so a document longer than the budget fills a
-batch alone. Numbers inside a bucket come from per-shard counts and running sums: no bucket is
-gathered in one task.
+batch alone. Numbers inside a bucket come from counts of shards and running sums: no bucket is
+gathered in one task, and of shards there are MOST_SHARDS at most.
 
 Defined cases: a null text has length 0; empty documents go to the shortest bucket; ties of the order
-(a hash of the id) fall back on the id; repeated rows each get a place; no rows give no rows; other
+(a hash of id and text) fall back on the id; repeated rows each get a place; no rows give no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+from array import array
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoreel.llm.common import stored, text_or_empty, word_count
 
-EXACT = 8192
 BUCKETS = 16
 BUDGET = 65_536
-SHARD_ROWS = 1024
-
-
-def length_bin(n: Column) -> Column:
-    """The length itself below EXACT; above, the length with all but its leading 13 or so bits cleared."""
-    width = F.pow(F.lit(2.0), F.length(F.bin(n)) - EXACT.bit_length()).cast("long")
-    return F.when(n < EXACT, n).otherwise(n - n % F.greatest(width, F.lit(1)))
+SHARD_ROWS, MOST_SHARDS = 1024, 65_536
 
 
 def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -50,10 +45,10 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
         counts.append(counts[-1] + c)
     n, layers = len(lengths), min(buckets, len(lengths))
     cost: list[int | None] = [0] + [None] * n
-    parents: list[list[int]] = []
+    parents: list[array] = []
     for _ in range(layers):
         fresh: list[int | None] = [None] * (n + 1)
-        parent = [0] * (n + 1)
+        parent = array("l", bytes((n + 1) * array("l").itemsize))
         hull: list[tuple[int, int, int]] = []  # slope -C[i], value, i; slopes fall from left to right
         at = 0
         for j in range(1, n + 1):
@@ -91,25 +86,20 @@ def padded(histogram: list[tuple[int, int]], boundaries: list[int]) -> int:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket_id, bucket_len, batch_no, slot, padding."""
     base = stored(
-        docs.select(F.col(id_col).alias("doc_id"), word_count(text_or_empty(text_col)).alias("n_tokens")),
+        docs.select(F.col(id_col).alias("doc_id"), word_count(text_or_empty(text_col)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("order")),
         "pack-lengths",
     )
-    histogram = (
-        base.groupBy(length_bin(F.col("n_tokens")).alias("bin"))
-        .agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("c"))
-        .orderBy("longest")
-        .collect()
-    )
-    boundaries = optimal_boundaries([(r["longest"], r["c"]) for r in histogram], buckets) or [0]
-    total = sum(r["c"] for r in histogram)
+    found = base.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).orderBy("n_tokens").toArrow()
+    histogram = list(zip(found.column("n_tokens").to_pylist(), found.column("c").to_pylist(), strict=True))
+    boundaries = optimal_boundaries(histogram, buckets) or [0]
+    shards = min(MOST_SHARDS, max(1, -(-sum(c for _, c in histogram) // SHARD_ROWS)))
     bucket = F.lit(0)
     for b in boundaries[:-1]:
         bucket = bucket + (F.col("n_tokens") > b).cast("int")
     placed = (
         base.withColumn("bucket_id", bucket)
         .withColumn("bucket_len", F.element_at(F.array(*[F.lit(b).cast("long") for b in boundaries]), F.col("bucket_id") + 1))
-        .withColumn("order", F.xxhash64(F.lit("pack"), F.col("doc_id")))
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id"), F.col("n_tokens")), F.lit(max(1, -(-total // SHARD_ROWS)))))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("order")), F.lit(shards)))
     )
     earlier = Window.partitionBy("bucket_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
