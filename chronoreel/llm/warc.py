@@ -39,6 +39,7 @@ from chronoreel.llm.common import fresh_path, stored
 
 MIN_BYTES = 1000
 ROLL_BYTES = 256 << 20
+MOST_HEAVY = 65_536
 STAMP = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -184,15 +185,25 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Revisit records only: archive, offset, and the original's record id, page id and url."""
+    """Revisit records only: archive, offset, and the original's record id, page id and url.
+
+    Originals with very many copies are broadcast: of n records at most MOST_HEAVY payloads can have
+    n / MOST_HEAVY copies. So no payload is one key of the join.
+    """
     responses = headers.where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= min_bytes))
     originals = (
         responses.groupBy("payload_digest", "payload_bytes")
         .agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "record_id", "url")).alias("original"))
         .where(F.col("copies") > 1)
     )
+    originals = stored(originals, "warc-originals")
+    heavy = F.col("copies") >= max(2, -(-headers.count() // MOST_HEAVY))
+    key = ["payload_digest", "payload_bytes"]
+    many = F.broadcast(originals.where(heavy).drop("copies"))
+    few = responses.join(many, key, "left_anti").join(originals.where(~heavy).drop("copies"), key)
     return (
-        responses.join(originals, ["payload_digest", "payload_bytes"])
+        responses.join(many, key)
+        .unionByName(few)
         .where(F.col("record_id") != F.col("original.record_id"))
         .select("archive", "offset", F.col("original.record_id").alias("to_id"), F.col("original.page_id").alias("to_page"), F.col("original.url").alias("to_url"))
     )
