@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_vector_links": vectors.ORACLE,
     "op3_warc_revisits": warc.ORACLE,
+    "op4_length_packing": packing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_source_mix": mixing.ORACLE,
 }

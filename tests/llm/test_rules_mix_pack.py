@@ -165,6 +165,13 @@ def test_long_lengths_are_exact(spark):
     assert rows.bucket_len.sum() == best and sorted(rows.n_tokens) == lengths
 
 
+def test_pack_equals_its_sql(odd_docs, duck):
+    unique = odd_docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    duck.register("texts4", unique.select("doc_id", "text").toPandas())
+    sql = packing.ORACLE.replace("FROM documents", "FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM texts4)")
+    assert table(packing.pack(unique).toPandas()) == table(duck.execute(sql).df())
+
+
 def test_pack(odd_docs, no_docs):
     rows = packing.pack(odd_docs, buckets=4, budget=300).toPandas()
     assert len(rows) == odd_docs.count()
