@@ -30,27 +30,40 @@ CAP = 3
 SEED = "mix-1"
 BUCKETS = 4096
 PASSES = 4
+SOURCES = 1_000_000  # sources that one task numbers
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``sizes`` (source, source_size, and any others), one row a source, with its target in words.
 
-    Sources take the weights in turn by code point, nulls last. The level is found in closed form: by
-    ascending cap over weight, the first source that stays below its cap fixes the words per weight.
+    Sources take the weights in turn by code point, nulls last; they are numbered by ranges, SOURCES in a task.
+    The level, words per unit of weight, rises from the plain share: sources that it lifts above their cap are
+    held there and the others share the rest, until none is above. Each step is one sum over the table.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("ratio", F.lit(float(cap)) * F.col("source_size") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum(F.col("source_size") * cap).over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    levelled = ranked.withColumn("level", (F.sum("source_size").over(everything) - before).cast("double") / rest)
-    level = F.min_by(F.when(F.col("ratio") > F.col("level"), F.col("level")), F.when(F.col("ratio") > F.col("level"), F.col("ratio"))).over(everything)
-    return levelled.select(
-        *sizes.columns,
-        F.least((F.col("source_size") * cap).cast("double"), F.coalesce(level * F.col("w"), (F.col("source_size") * cap).cast("double"))).alias("target"),
-    )
+    ranges = max(1, -(-sizes.count() // SOURCES))
+    order = F.col("source").asc_nulls_last()
+    dealt = stored(sizes.repartitionByRange(ranges, order).withColumn("__part", F.spark_partition_id()), "sources")
+    before, at = [], 0
+    for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect():
+        before += [F.lit(r["__part"]), F.lit(at)]
+        at += r["n"]
+    first = F.create_map(*before)[F.col("__part")] if before else F.lit(0)
+    number = first + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    ranked = dealt.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")))
+    ranked = stored(ranked.withColumn("ratio", F.lit(float(cap)) * F.col("source_size") / F.col("w")), "ranked-sources")
+    level, held = 0.0, -1
+    while True:
+        free = F.col("ratio") > level if held >= 0 else F.lit(True)
+        r = ranked.agg(
+            F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(~free, F.col("source_size") * cap)), F.lit(0)).alias("capped"),
+            F.sum(F.when(free, F.col("w"))).alias("rest"), F.count_if(~free).alias("held"),
+        ).first()
+        if r["rest"] is None or r["held"] == held:
+            break
+        level, held = float(r["all"] - r["capped"]) / r["rest"], r["held"]
+    most = (F.col("source_size") * cap).cast("double")
+    target = F.least(most, F.when(F.col("ratio") > level, F.lit(level) * F.col("w")).otherwise(most))
+    return ranked.select(*sizes.columns, target.alias("target"))
 
 
 def _nulls_match(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
