@@ -4,7 +4,7 @@ Equal vectors are merged first (the merge combines before the shuffle), with how
 for. Cells grow with the square root of the vectors, so the work of a vector does too. Centroids are fitted
 on a bounded sample: up to FLAT cells on the driver; above, top cells there, and each top cell's own cells
 in one task from a sample of it. Every vector lives in its nearest cell and visits its ``probes`` nearest
-ones. A cell's members are dealt into blocks; visitors stream past a block, and each batch of them is one
+ones, but for those in which no vector linked to it can live. A cell's members are dealt into blocks; visitors stream past a block, and each batch of them is one
 matrix product with it in double precision. A pair that both sides find counts once. A block emits link
 counts and a spanning forest of its links, never the pairs. Components join the forests, and the
 representative of a component is its smallest id.
@@ -64,18 +64,29 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
     return c
 
 
-def nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest cell of each row, and its ``probes`` nearest (0: all), ascending by number."""
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest cell of each row, and its ``probes`` nearest (0: all), ascending by number; -1 for none.
+
+    With a ``threshold``, cells are left out that cannot be the nearest of any vector linked to the row. Seen
+    from x, the nearest of a linked y can change from h to c only if x (h - c) is at most tan(angle) times the
+    part of h - c across x.
+    """
     k = len(centroids)
     m = min(probes, k) or k
     home, near = np.empty(len(x), np.int64), np.empty((len(x), m), np.int64)
     step = max(1, (1 << 22) // k)
     for at in range(0, len(x), step):
         score = x[at : at + step] @ centroids.T
-        home[at : at + step] = score.argmax(axis=1)
-        near[at : at + step] = np.sort(np.argpartition(-score, m - 1, axis=1)[:, :m], axis=1)
-    near[~(near == home[:, None]).any(axis=1), -1] = -1  # a tie at the edge; the own cell always counts
-    near[:, -1] = np.where(near[:, -1] < 0, home, near[:, -1])
+        own = score.argmax(axis=1)
+        cells = np.argpartition(-score, m - 1, axis=1)[:, :m]
+        cells[~(cells == own[:, None]).any(axis=1), 0] = own[~(cells == own[:, None]).any(axis=1)]  # a tie at the edge
+        if threshold is not None and 0 < threshold < 1:
+            for j in range(m):
+                c = cells[:, j]
+                gap = score[np.arange(len(own)), own] - score[np.arange(len(own)), c]
+                across = np.sqrt(np.maximum(((centroids[own] - centroids[c]) ** 2).sum(axis=1) - gap * gap, 0))
+                cells[(gap > (1 - threshold**2) ** 0.5 / threshold * across + 1e-9) & (c != own), j] = -1
+        home[at : at + step], near[at : at + step] = own, np.sort(cells, axis=1)
     return home, near
 
 
@@ -180,13 +191,13 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 part = batch.filter(pa.array(sizes == d))
                 raw = part.column(0).flatten().to_numpy().astype(dtype).reshape(-1, d)
                 known = cells.value.get(d, np.ones((1, d)))
-                home, near = nearest_cells(unit(raw), known, probes)
+                home, near = nearest_cells(unit(raw), known, probes, threshold)
                 n, m = near.shape
                 v, own = [r.tobytes() for r in raw], [r.tobytes() for r in near]
                 cls, copies = part.column(1), part.column(2)
                 for cell, visits in ((home, False), *((near[:, k], True) for k in range(m))):
                     columns = [np.full(n, d, np.int32), cell, np.full(n, visits), cls, copies, home, pa.array([None] * n if visits else own, pa.binary()), pa.array(v, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names).filter(pa.array(cell >= 0))
 
     placed = stored(classes.select("v", "cls", "copies").mapInArrow(assigned, ROW), "vector-cells")
     sizes = placed.groupBy("dim", "cell").agg(F.count_if(~F.col("visits")).alias("c"), F.count_if("visits").alias("asks"))

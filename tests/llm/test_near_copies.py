@@ -174,6 +174,17 @@ def test_cells_of_top_cells(spark, monkeypatch):
     assert all(got[i] <= n[i] for i in range(len(x))) and sum(got.values()) >= 0.99 * n.sum()
 
 
+def test_cells_left_out_hold_nothing_linked():
+    rng = np.random.default_rng(11)
+    middle = vectors.unit(rng.normal(size=(12, 16)))
+    x = vectors.unit(middle[rng.integers(0, 12, 1500)] + 0.15 * rng.normal(size=(1500, 16)))
+    centroids = vectors.spherical_kmeans(x, 30)
+    home, near = vectors.nearest_cells(x, centroids, 0, 0.9)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert (near[i] == home[j][:, None]).any(axis=1).all()
+    assert (near >= 0).sum() < 0.7 * near.size
+
+
 @pytest.mark.parametrize("rows", [2000, 20_000, 100_000])
 def test_recall_without_clusters(rows):
     rng = np.random.default_rng(rows)
@@ -183,7 +194,7 @@ def test_recall_without_clusters(rows):
     y = 0.905 * x + (1 - 0.905**2) ** 0.5 * e
     both = np.concatenate([x, y])
     centroids = vectors.spherical_kmeans(both[rng.choice(rows, min(rows, 16_384), replace=False)], round(rows**0.5 / 2))
-    (home_x, near_x), (home_y, near_y) = (vectors.nearest_cells(z, centroids, vectors.PROBES) for z in (x, y))
+    (home_x, near_x), (home_y, near_y) = (vectors.nearest_cells(z, centroids, vectors.PROBES, 0.9) for z in (x, y))
     found = (near_x == home_y[:, None]).any(axis=1) | (near_y == home_x[:, None]).any(axis=1)
     assert found.mean() >= 0.99
 
