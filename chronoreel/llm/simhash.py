@@ -195,7 +195,7 @@ def near_edges(codes: DataFrame, radius: int = RADIUS, range_rows: int = RANGE_R
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
 
     routed = ranked.select("fp", "part").mapInArrow(route, "task long, visits boolean, codes binary")
-    found = stored(routed.repartition("task").sortWithinPartitions("task", "visits").mapInArrow(search, schema), "code-edges")
+    found = stored(routed.repartitionById(len(nodes), F.col("task").cast("int")).sortWithinPartitions("task", "visits").mapInArrow(search, schema), "code-edges")
     directory.unpersist()
     dropped(ranked)
     log.info("gray index: %d codes in %d ranges, %d nodes left above the leaves", n, len(nodes), pruned.value)
