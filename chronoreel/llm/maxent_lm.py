@@ -54,6 +54,7 @@ ROWS = SKIP_ROWS + BLOCK  # the last block has a row for each class of the last
 ROUNDS = 2
 BUCKET_TOKENS = 1_000_000
 CHUNK_TOKENS, CHUNK_DOCS = 2_000_000, 1 << 16
+SLICE = 1 << 17  # events that are hashed at once
 CONTEXTS = 4096  # contexts whose class probabilities are held at once
 FAN_IN = 64  # gradients that are summed in one group
 RIDGE = {"last": 2.0, "both": 0.2, "word": 0.3, "word_both": 0.1, "common": 20.0}
@@ -145,18 +146,18 @@ class Head:
 
     def bucket_of(self, w1: np.ndarray, w2: np.ndarray, chunk: int) -> np.ndarray:
         """The bucket of each event. Words of more than a quarter of a bucket are dealt out by the word before."""
+        n = len(self.counts)
         parts = np.maximum(1, -(-4 * np.append(self.counts, 0) // BUCKET_TOKENS)).astype(np.uint64)
         parts = np.append(parts, parts[0])  # as many starts as ends
-        n = len(self.counts)
-
-        def of(w: np.ndarray) -> np.ndarray:
-            return parts[np.where(w == START, n + 1, np.minimum(w, n))]
-
-        k1, k2 = of(w1), of(w2)
-        both = np.minimum(k1, k2)
-        salt = np.where(both > 1, _mixed(np.full(1, chunk, np.uint64))[0] % both, np.uint64(0))
-        sub = _mixed(w2.astype(np.uint64) + (salt << np.uint64(32))) % k1
-        return (_mixed(w1.astype(np.uint64) + (sub << np.uint64(32))) % np.uint64(self.buckets)).astype(np.int64)
+        out = np.empty(len(w1), np.uint32)
+        for at in range(0, len(w1), SLICE):
+            here = slice(at, at + SLICE)
+            k1, k2 = (parts[np.where(w[here] == START, n + 1, np.minimum(w[here], n))] for w in (w1, w2))
+            both = np.minimum(k1, k2)
+            salt = np.where(both > 1, _mixed(np.full(1, chunk, np.uint64))[0] % both, np.uint64(0))
+            sub = _mixed(w2[here].astype(np.uint64) + (salt << np.uint64(32))) % k1
+            out[here] = _mixed(w1[here].astype(np.uint64) + (sub << np.uint64(32))) % np.uint64(self.buckets)
+        return out
 
 
 def skip_rows(w2: np.ndarray) -> np.ndarray:
@@ -265,12 +266,13 @@ def dealt(chunks: DataFrame, known) -> DataFrame:
                 x, w1, w2, text = _events(row)
                 bucket = head.bucket_of(w1, w2, row["chunk"])
                 order = np.lexsort((w1, bucket)) if head.buckets > 1 << 16 else np.argsort(bucket.astype(np.uint64) << np.uint64(48) | w1.astype(np.uint64) << np.uint64(16) | text & np.uint32(0xFFFF))
-                bucket = bucket[order]
+                x, w1, w2, text, bucket = x[order], w1[order], w2[order], text[order], bucket[order]
+                del order
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.r_[cuts[1:], len(bucket)]
                 packets = []
-                for part in np.split(order, cuts[1:]):
-                    columns = np.stack([x[part], w1[part], w2[part], text[part]])
+                for a, b in zip(cuts, ends, strict=True):
+                    columns = np.stack([x[a:b], w1[a:b], w2[a:b], text[a:b]])
                     columns[1, 1:] -= columns[1, :-1].copy()  # differences are small, and wrap around
                     columns[3, 1:] -= columns[3, :-1].copy()
                     packets.append(_packed(*columns))
@@ -427,8 +429,11 @@ class Bucket:
 
 def common_gradient(head: Head, table: np.ndarray, x: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the common rows: expected minus actual classes over training events, and how often each row occurs."""
-    cls = head.cls[np.minimum(x, len(head.counts))]
-    key, times = np.unique((skip_rows(w2) * BLOCK + class_rows(head, w1) - SKIP_ROWS) * WIDTH + cls, return_counts=True)
+    key = np.empty(len(x), np.int64)
+    for at in range(0, len(x), SLICE):
+        here = slice(at, at + SLICE)
+        key[here] = (skip_rows(w2[here]) * BLOCK + class_rows(head, w1[here]) - SKIP_ROWS) * WIDTH + head.cls[np.minimum(x[here], len(head.counts))]
+    key, times = np.unique(key, return_counts=True)
     context, cls = np.divmod(key, WIDTH)
     new = np.r_[True, context[1:] != context[:-1]]
     of, first = np.cumsum(new) - 1, np.flatnonzero(new)

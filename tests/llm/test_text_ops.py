@@ -470,3 +470,50 @@ def test_network_learns_from_labels_that_have_a_text(spark):
     long = spark.createDataFrame([(i, "x" * (10**7 if i == 0 else 100) + str(i % 2)) for i in range(12)], "doc_id long, text string")
     small = byte_cnn.train(long, labels, max_bytes=4000, visits=32)
     assert small.prior is None and 0 <= small.scores([b"x" * 10**7], small.pair_tables())[0] <= 1
+
+
+def test_warc_with_large_pages(spark):
+    big = "<p>" + "word " * 1_000_000 + "</p>"
+    pages = spark.createDataFrame([(1, "u1", big), (2, "u2", "small"), (3, "u3", big)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.build(spark, pages).collect())
+    assert got == [(1, len(big), "revisit", 3), (2, 5, "response", None), (3, len(big), "response", None)]
+
+
+@pytest.mark.parametrize("most", [1, 65_536])
+def test_warc_revisits_on_both_ways(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_HEAVY", most)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i % 3}" * 1200 if i < 30 else f"alone {i} " * 200) for i in range(40)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["refers_to"] for r in warc.build(spark, pages).collect()}
+    assert got == {i: (27 + i % 3 if i < 27 else None) for i in range(40)}
+
+
+def plain_network(model, text):
+    """The score of one text by loops over positions and chunks."""
+    codes = byte_cnn.as_codes(text)
+    response = np.zeros((len(codes), byte_cnn.FILTERS))
+    for at in range(len(codes) - byte_cnn.WIDTH + 1):
+        response[at] = np.maximum(0, sum(model.w["conv"][k][codes[at + k]] for k in range(byte_cnn.WIDTH)) + model.w["bias"])
+    blocks = [response[i : i + byte_cnn.HALF].max(axis=0) for i in range(0, len(codes), byte_cnn.HALF)]
+    chunks = [np.maximum(a, b) for a, b in itertools.pairwise(blocks)] or blocks
+    figures = [min(1, len(text) / (2 * byte_cnn.HALF)), np.log1p(len(text)) / 10]
+    x = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), figures])
+    z = np.tanh(x @ model.w["hid"] + model.w["hid_bias"]) @ model.w["out"] + model.w["out_bias"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_network_query_equals_a_plain_network(spark, odd_docs):
+    docs = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (103, 107)")
+    model = byte_cnn.ByteCNN(seed=9)
+    model.w["bias"] += np.float32(0.1)
+    texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    want = sorted(round(float(plain_network(model, (t or "").encode())), 4) for i, t in texts)
+    got = {(r["doc_id"], round(r["score"], 4)) for r in byte_cnn.score(docs, model).collect()}
+    assert {s for _, s in got} <= set(want) | {w + d for w in want for d in (1e-4, -1e-4)} and len(got) <= len(want)
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in byte_cnn.score(docs, model).collect())
+
+
+def test_pages_of_megabytes(spark):
+    body = "".join(f"<p>Sentence {i} of a long page, which goes on and on, as long pages do.</p>" for i in range(40_000))
+    pages = spark.createDataFrame([(1, "u", f"<body><nav><a href=x>Home</a></nav><article>{body}</article></body>")], "page_id long, url string, html string")
+    row = html_text.extract(pages).first()
+    assert row["text"].count("\n") == 39_999 and row["n_chars"] == len(row["text"])
