@@ -11,11 +11,14 @@ times in all, and then the first one in order that brings the source nearer to i
 The order is cut by words with per-source sums over buckets of the order, then inside the one bucket where
 the cut falls, so that no source is ever sorted as a whole.
 
+What the draw comes to is one row a source (``decisions``), by which each document is judged on its own:
+``repeat`` applies it where the texts are, without a shuffle.
+
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a document
-of size 0 takes 0 words and counts as one word in its odds; rows with the same id are separate rows; rows
-without an id draw their random number from their text; an empty table gives no rows; other columns are
-ignored. u depends on the seed and the id (or text) only, so reruns agree (repeated rows that tie may swap,
-which leaves the same rows).
+of size 0 takes 0 words and counts as one word in its odds; rows with the same id are separate rows, but
+those that agree in id, source and text are taken or left together; rows without an id draw their random
+number from their text; an empty table gives no rows; other columns are ignored. u depends on the seed and
+the id (or text) only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SEED = "mix-1"
 BUCKETS = 4096
 PASSES = 4
 SOURCES = 1_000_000  # sources that one task numbers
+FEW_SOURCES = 20_000  # up to so many, tables of one row a source (under 400 bytes) are broadcast without measuring each
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -72,67 +76,81 @@ def _nulls_match(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     return left.join(other, left["source"].eqNullSafe(other["other_source"]), how).drop("other_source")
 
 
-def _mixed(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-    weights: tuple[int, ...] = WEIGHTS,
-    cap: int = CAP,
-    seed: str = SEED,
-    by_size: float = 1.0,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, digest of the text, size, source_size, target, n_copies.
+#: A row's place in the order of its source.
+PLACE = ("pareto", "doc_id", "digest")
+
+
+def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> list:
+    """What a document is judged by."""
+    text = text_or_empty(text_col)
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.md5(text.cast("binary")).alias("digest"), word_count(text).alias("size")]
+
+
+def _ordered(rows: DataFrame, cuts: DataFrame, seed: str, by_size: float) -> DataFrame:
+    """``rows`` with their source's decisions, their value in Pareto order and its bucket."""
+    found = _nulls_match(rows, cuts)
+    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text:"), F.col("digest"))).otherwise(F.col("doc_id").cast("string"))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
+    size = F.greatest(F.col("size"), F.lit(1))
+    found = found.withColumn("u", u)
+    found = found.withColumn("pareto", F.col("u") / (1 - F.col("u")) / (F.col("odds") / (size if by_size == 1 else F.pow(size, F.lit(by_size)))))
+    # Most of the order lies around the value that a document of mean size has at u = share.
+    return found.withColumn("bucket", F.floor(F.col("pareto") / (1 + F.col("pareto")) * BUCKETS).cast("int")).drop("u")
+
+
+def _drawn(passes: int):
+    """Whether a row with its source's decisions is drawn in one of the first passes."""
+    out = F.lit(False)
+    for number in range(passes):
+        room, cut, last = (F.col(f"{c}_{number}") for c in ("room", "cut", "last"))
+        inside = (F.col("size") <= room) & (cut.isNull() | (F.col("bucket") < cut) | F.coalesce((F.col("bucket") == cut) & (F.struct(*PLACE) <= last), F.lit(False)))
+        out = out | F.coalesce(F.col("pareto").isNotNull() & inside, F.lit(False))
+    return out
 
-    ``by_size``: the power of mean size over size in the inclusion odds; 0 gives all documents of a source the same.
+
+def decisions(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, by_size: float = 1.0) -> DataFrame:
+    """One row a source: source_size, target, certain copies, odds, and where each pass and the closing document fall.
+
+    ``base``: doc_id, source, digest, size. ``by_size``: the power of mean size over size in the inclusion odds;
+    0 gives all documents of a source the same.
     """
-    base = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
-            word_count(text_or_empty(text_col)).alias("size"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "mix-sizes",
-    )
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     shares = targets(sums, weights, cap).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     shares = shares.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
     share = F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(F.lit(0.0))
     mean = F.col("source_size") / F.col("n_docs")
     odds = F.when((share > 0) & (share < 1), share / (1 - share) * (mean if by_size == 1 else F.pow(mean, F.lit(by_size))))
-    shares = bounded(shares.withColumn("odds", odds).drop("n_docs"), "mix-targets")
-    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text:"), F.coalesce(F.col("digest").cast("string"), F.lit("")))).otherwise(F.col("doc_id").cast("string"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = _nulls_match(base.withColumn("u", u), shares)
-    size = F.greatest(F.col("size"), F.lit(1))
-    rows = rows.withColumn("pareto", F.col("u") / (1 - F.col("u")) / (F.col("odds") / (size if by_size == 1 else F.pow(size, F.lit(by_size)))))
-    # Most of the order lies around the value that a document of mean size has at u = share.
-    rows = rows.withColumn("bucket", F.floor(F.col("pareto") / (1 + F.col("pareto")) * BUCKETS).cast("int"))
-    placed = stored(rows.drop("u", "odds"), "mix-order")
-    place = F.struct("pareto", "doc_id", "row")
-    gaps = shares.select("source", "left")
-    drawn = F.lit(False)
+    cuts = bounded(shares.withColumn("odds", odds).drop("n_docs"), "mix-targets")
+    few = cuts.count() <= FEW_SOURCES
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        return F.broadcast(stored(df, tag)) if few else bounded(df, tag)
+
+    order = stored(_ordered(base, cuts.select("source", "odds"), seed, by_size).drop("odds").where(F.col("pareto").isNotNull()), "mix-order")
+    left = "left"
     for number in range(PASSES):
-        ends = _pass(placed.where(F.col("pareto").isNotNull() & ~drawn).select("source", "pareto", "doc_id", "row", "size", "bucket"), gaps, f"mix-pass-{number}")
-        names = [F.col(c).alias(f"{c}_{number}") for c in ("room", "cut", "last", "gap")]
-        placed = _nulls_match(placed, ends.select("source", *names))
-        room, cut, last = (F.col(f"{c}_{number}") for c in ("room", "cut", "last"))
-        inside = (F.col("size") <= room) & (cut.isNull() | (F.col("bucket") < cut) | F.coalesce((F.col("bucket") == cut) & (place <= last), F.lit(False)))
-        drawn = drawn | F.coalesce(F.col("pareto").isNotNull() & inside, F.lit(False))
-        gaps = ends.select("source", F.col("gap").alias("left"))
-    gap = F.col(f"gap_{PASSES - 1}")
-    closing = (
-        placed.where(~drawn & F.col("pareto").isNotNull() & (F.abs(F.col("size") - gap) < gap)).groupBy("source").agg(F.min(place)["row"].alias("closing_row"))
-    )
-    final = _nulls_match(placed, bounded(closing, "mix-closing"))
-    extra = drawn | F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
-    return final.select("doc_id", "source", "digest", "size", "source_size", "target", (F.col("copies") + extra.cast("long")).alias("n_copies"))
-
-
-def _pass(rows: DataFrame, gaps: DataFrame, tag: str) -> DataFrame:
+        free = _nulls_match(order, cuts).where(~_drawn(number)).select("source", *PLACE, "size", "bucket")
+        ends = _pass(free, cuts.select("source", F.col(left).alias("left")), few, f"mix-pass-{number}")
+        cuts = kept(_nulls_match(cuts, ends.select("source", *[F.col(c).alias(f"{c}_{number}") for c in ("room", "cut", "last", "gap")])), "mix-cuts")
+        left = f"gap_{number}"
+    gap = F.col(left)
+    free = _nulls_match(order, cuts).where(~_drawn(PASSES))
+    closing = kept(free.where(F.abs(F.col("size") - gap) < gap).groupBy("source").agg(F.min(F.struct(*PLACE)).alias("closing")), "mix-closing")
+    # Rows that agree stand and fall together, so what they add up to has to bring the source nearer.
+    alike = _nulls_match(free, closing, "inner").where(F.struct(*PLACE) == F.col("closing"))
+    fits = alike.groupBy("source").agg(F.first("closing").alias("closing"), F.sum("size").alias("words"), F.first(gap).alias("gap"))
+    fits = fits.where(F.abs(F.col("words") - F.col("gap")) < F.col("gap")).select("source", "closing")
+    return kept(_nulls_match(cuts, fits), "mix-decisions")
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, seed: str, by_size: float) -> DataFrame:
+    """``rows`` (with doc_id, source, digest, size) with n_copies, and their source's size and target."""
+    found = _ordered(rows, cuts, seed, by_size)
+    extra = _drawn(PASSES) | F.coalesce(F.col("pareto").isNotNull() & (F.struct(*PLACE) == F.col("closing")), F.lit(False))
+    return found.withColumn("n_copies", F.col("copies") + extra.cast("long"))
+
+
+def _pass(rows: DataFrame, gaps: DataFrame, few: bool, tag: str) -> DataFrame:
     """One pass over ``rows`` that are not drawn: (source, room, cut, last, gap), one row a source.
 
     Of the rows that fit what is ``left`` of their source (the room), the first ones in order that fit
@@ -144,51 +162,39 @@ def _pass(rows: DataFrame, gaps: DataFrame, tag: str) -> DataFrame:
     sums = fitting.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("left").alias("left")).withColumn("upto", F.sum("words").over(so_far))
     over = F.col("upto") > F.col("left")
     first = F.min(F.when(over, F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))))
-    cuts = bounded(sums.groupBy("source").agg(first.alias("at"), F.max("upto").alias("all")), tag)
+    cuts = sums.groupBy("source").agg(first.alias("at"), F.max("upto").alias("all"))
+    cuts = F.broadcast(cuts) if few else bounded(cuts, tag)
     edge = _nulls_match(fitting, cuts, "inner").where(F.col("bucket") == F.col("at.bucket"))
-    in_order = Window.partitionBy("source").orderBy("pareto", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("at.before") + F.sum("size").over(in_order))
+    edge = edge.withColumn("upto", F.col("at.before") + F.sum("size").over(Window.partitionBy("source").orderBy(*PLACE)))
     fits = F.col("upto") <= F.col("left")
-    ends = edge.groupBy("source").agg(F.max(F.when(fits, F.struct("pareto", "doc_id", "row"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("got"))
+    ends = edge.groupBy("source").agg(F.max(F.when(fits, F.struct(*PLACE))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("got"))
     whole = _nulls_match(_nulls_match(gaps, cuts), ends)
     got = F.when(F.col("at").isNull(), F.coalesce("all", F.lit(0))).otherwise(F.coalesce("got", F.col("at.before")))
-    return bounded(whole.select("source", F.col("left").alias("room"), F.col("at.bucket").alias("cut"), "last", (F.col("left") - got).alias("gap")), tag)
+    return whole.select("source", F.col("left").alias("room"), F.col("at.bucket").alias("cut"), "last", (F.col("left") - got).alias("gap"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, by_size: float = 1.0, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken (words)."""
-    return _mixed(docs, **options).select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
-
+    base = stored(docs.select(*_rows(docs, id_col, source_col, text_col)), "mix-sizes")
+    found = _copies(base, decisions(base, seed=seed, by_size=by_size, **options), seed, by_size)
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
 
-def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken.
 
-    Rows with the same id, source and text stand for each other: together they are taken as often as
-    all of them would be, in the form of one of them.
-    """
-    shares = _mixed(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    taken = shares.groupBy("doc_id", "source", "digest").agg(F.sum("n_copies").alias("__take"), F.count(F.lit(1)).alias("__rows"))
-    taken = stored(taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"), "__take", "__rows"), "mix-copies")
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-    match &= F.xxhash64(F.col(text_col).cast("string")) == F.col("__digest")
-
-    def copies(found: DataFrame) -> DataFrame:
-        return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__take"))).alias("__copy")).drop("__copy")
-
-    wanted = taken.where(F.col("__take") > 0)
-    out = copies(docs.join(wanted.where(F.col("__rows") == 1), match))
-    again = wanted.where(F.col("__rows") > 1)
-    if not again.isEmpty():
-        once = docs.join(again, match).dropDuplicates(["__id", "__source", "__digest"])
-        out = out.unionByName(copies(once))
-    return out
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, by_size: float = 1.0, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken. The texts are judged where they are, and not shuffled."""
+    rows = _rows(docs, id_col, source_col, text_col)
+    base = stored(docs.select(*rows), "mix-sizes")
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), *rows)
+    found = _copies(whole, decisions(base, seed=seed, by_size=by_size, **options), seed, by_size)
+    taken = found.where(F.col("n_copies") > 0).select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("__copy"))
+    return taken.select("__row.*")
 
 
 def _pass_sql(name: str, before: str) -> str:
     """One pass of the draw: rest is what is left of each source, drawn what has been taken so far."""
     fits = "pareto IS NOT NULL AND NOT drawn AND size <= rest"
     return f"""
-{name}_c AS (SELECT *, {fits} AS fits, sum(CASE WHEN {fits} THEN size END) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id, r) AS upto FROM {before}),
+{name}_c AS (SELECT *, {fits} AS fits, sum(CASE WHEN {fits} THEN size END) OVER (PARTITION BY source ORDER BY pareto NULLS LAST, doc_id, dg) AS upto FROM {before}),
 {name} AS (SELECT * EXCLUDE (fits, upto) REPLACE (drawn OR (fits AND upto <= rest) AS drawn,
   rest - max(CASE WHEN fits AND upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS rest) FROM {name}_c),"""
 
@@ -197,8 +203,8 @@ def _pass_sql(name: str, before: str) -> str:
 ORACLE = """
 WITH b AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
-    row_number() OVER () AS r
+    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+    md5(coalesce(text, '')) AS dg
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss, count(*) AS nd FROM b GROUP BY source),
 k AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s),
@@ -214,9 +220,12 @@ d AS (
     CASE WHEN l.share > 0 AND l.share < 1 THEN u / (1 - u) / (l.share / (1 - l.share) * (l.ss / l.nd::DOUBLE) / greatest(size, 1)) END AS pareto
   FROM b JOIN l ON b.source IS NOT DISTINCT FROM l.source),
 @PASSES@
-z AS (SELECT source, arg_min(r, (pareto, doc_id, r)) AS closing FROM @LAST@
-  WHERE pareto IS NOT NULL AND NOT drawn AND abs(size - rest) < rest GROUP BY source)
-SELECT doc_id, g.source, size, ss AS source_size, target, ((copies + CASE WHEN drawn OR coalesce(r = closing, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+y AS (SELECT source, arg_min({'p': pareto, 'd': doc_id, 'g': dg}, (pareto, doc_id, dg)) AS c FROM @LAST@
+  WHERE pareto IS NOT NULL AND NOT drawn AND abs(size - rest) < rest GROUP BY source),
+z AS (SELECT g.source, any_value(y.c) AS c FROM @LAST@ g JOIN y ON g.source IS NOT DISTINCT FROM y.source AND g.pareto = y.c.p AND g.doc_id IS NOT DISTINCT FROM y.c.d AND g.dg = y.c.g
+  GROUP BY g.source HAVING abs(sum(g.size) - any_value(g.rest)) < any_value(g.rest))
+SELECT doc_id, g.source, size, ss AS source_size, target,
+  ((copies + CASE WHEN drawn OR coalesce(pareto = z.c.p AND doc_id IS NOT DISTINCT FROM z.c.d AND dg = z.c.g, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM @LAST@ g LEFT JOIN z ON g.source IS NOT DISTINCT FROM z.source
 """
 ORACLE = ORACLE.replace("@PASSES@", "g0 AS (SELECT *, false AS drawn FROM d)," + "".join(_pass_sql(f"g{i + 1}", f"g{i}") for i in range(PASSES))).replace("@LAST@", f"g{PASSES}")
