@@ -186,8 +186,9 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     base = stored(docs.select(*rows), "mix-sizes")
     whole = docs.select(F.struct(*docs.columns).alias("__row"), *rows)
     found = _copies(whole, decisions(base, seed=seed, by_size=by_size, **options), seed, by_size)
-    taken = found.where(F.col("n_copies") > 0).select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("__copy"))
-    return taken.select("__row.*")
+    # An outer explode: a filter on n_copies would move into the join, and judge each row many times over.
+    times = F.when(F.col("n_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_copies")))
+    return found.select("__row", F.explode_outer(times).alias("__copy")).where(F.col("__copy").isNotNull()).select("__row.*")
 
 
 def _pass_sql(name: str, before: str) -> str:
