@@ -117,3 +117,10 @@ def fold(column: str, n: int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once (a lambda variable, never copied into inner lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def crc_sql(column: str) -> str:
+    """DuckDB form of the unsigned crc32 (polynomial 0xEDB88320) of an id as text; a null id counts as the empty text."""
+    digits = f"list_transform(range(length(coalesce({column}::VARCHAR, ''))), lambda i: ascii(substr({column}::VARCHAR, (i + 1)::INT, 1))::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(x, b), range(8)), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda x, b: {bits}), 4294967295)"

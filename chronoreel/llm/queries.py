@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import byte_cnn, html_text, maxent_lm, mixing, packing, quality_rules, secrets, simhash, vectors, warc
+from chronoreel.llm import byte_cnn, html_text, maxent_lm, merkle, mixing, packing, quality_rules, secrets, simhash, vectors, warc
 from chronoreel.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.tampered_lines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_links": op1_vector_links,
     "op2_simhash_groups": op2_simhash_groups,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_cnn_quality": op9_byte_cnn_quality,
     "op10_maxent_lm": op10_maxent_lm,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -71,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op4_length_packing": packing.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_source_mix": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
