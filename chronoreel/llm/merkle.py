@@ -25,9 +25,9 @@ from chronoreel.llm.common import bounded, crc_sql, dropped, fold, stored
 from chronoreel.llm.ranges import in_ranges, parts_of, placed
 
 #: Nodes that become one, and levels that one block has.
-FAN, LEVELS = 3, 7
+FAN, LEVELS = 3, 6
 #: About so many nodes go to DuckDB at once; a bucket has whole blocks.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _PATH = "array<struct<l: string, r: string>>"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoreel.llm import byte_cnn, html_text, maxent_lm, merkle, mixing, packing, quality_rules, secrets, simhash, vectors, warc
+from chronoreel.llm import byte_cnn, html_text, line_dedup, maxent_lm, merkle, mixing, packing, prefix_trie, quality_rules, secrets, simhash, vectors, warc
 from chronoreel.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.tampered_lines())
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.measure(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_links": op1_vector_links,
     "op2_simhash_groups": op2_simhash_groups,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_cnn_quality": op9_byte_cnn_quality,
     "op10_maxent_lm": op10_maxent_lm,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +87,6 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_source_mix": mixing.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
