@@ -76,59 +76,27 @@ def replacement_candidates(
 
     stage is 0 for the best match; within it a digest of seed and url orders. Of each stage the first ``most``
     are offered, and as each choice uses up one, as many as there are slots are enough. They are found once
-    for each bucket or duration, and slots meet them by that key; videos are not paired with slots.
+    for each list (a bucket, a duration, or all), and slots meet them by that list.
     """
-    free = videos.join(active.select("url"), "url", "left_anti").join(failed.select("url"), "url", "left_anti").withColumn("tie", _digest(seed, F.col("url")))
-    bucket = list(bucket_fields)
-    stages = [list(dict.fromkeys(["duration", *bucket])), ["duration"], bucket, []] if enforce_duration else [bucket, []]
-    numbers = range(4) if enforce_duration else (0, 1)
-    out = None
-    for number, fields in zip(numbers, stages, strict=True):
-        if fields:
-            place = F.row_number().over(Window.partitionBy(*fields).orderBy("tie", "url"))
-            first = free.withColumn("__place", place).where(F.col("__place") <= most).select("url", "tie", *[F.col(c).alias(f"__{c}") for c in fields])
-            match = F.lit(True)
-            for c in fields:
-                match = match & slots[c].eqNullSafe(first[f"__{c}"])
-            found = slots.join(first, match)
-        else:
-            found = slots.join(F.broadcast(free.orderBy("tie", "url").limit(most).select("url", "tie")))  # most rows by slots
-        found = found.select("slot", "url", F.lit(number).alias("stage"), "tie")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("slot", "url").agg(F.min("stage").alias("stage"), F.first("tie").alias("tie"))
+    from chronoreel.operators import matching
+
+    free = videos.join(active.select("url"), "url", "left_anti").join(failed.select("url"), "url", "left_anti")
+    levels = matching.stages(bucket_fields, enforce_duration)
+    lists = matching.offers(free, levels, most, seed)
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), matching.list_key(fields).alias("list")) for k, fields in enumerate(levels)]))
+    found = slots.select("slot", wanted.alias("w")).select("slot", "w.*").join(lists, ["stage", "list"])
+    return found.groupBy("slot", "url").agg(F.min("stage").alias("stage"), F.first("tie").alias("tie"))
 
 
 def validate_and_replace(
     sampled: DataFrame, videos: DataFrame, available: DataFrame, seed: int = 7, bucket_fields: tuple[str, ...] = ("duration", "domain"), enforce_duration: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """The sample with unavailable videos replaced, and the log (replaced_url, replacement_url, reason).
+    """The sample with unavailable videos replaced, and the log (replaced_url, replacement_url, reason) in the order of places.
 
-    Each choice removes a video from the pool of the next, so slots are filled in order on the driver; it
-    sees at most as many candidates per slot and stage as there are slots. Only available videos are tried,
-    so the log has no failed attempts in between. A RuntimeError if nothing is left for a slot.
+    Found in rounds (``matching``), with the result of filling one place after the other. Only available videos
+    are tried, so the log has no failed attempts in between. A RuntimeError if nothing is left for a place.
     """
-    spark = sampled.sparkSession
-    here = available.select("url").distinct()
-    good, lost = sampled.join(here, "url", "left_semi"), sampled.join(here, "url", "left_anti")
-    slots = [r.asDict() for r in lost.orderBy("video_id", "url").collect()]
-    log_schema = "replaced_url string, replacement_url string, reason string"
-    if not slots:
-        return sampled, spark.createDataFrame([], log_schema)
-    names = list(dict.fromkeys(["duration", *bucket_fields]))
-    kinds = ", ".join(f"{c} string" for c in names)
-    frame = spark.createDataFrame([(i, *[s[c] for c in names]) for i, s in enumerate(slots)], f"slot int, {kinds}")
-    ranked = replacement_candidates(frame, videos.join(here, "url", "left_semi"), good, lost, len(slots), seed, bucket_fields, enforce_duration)
-    place = F.row_number().over(Window.partitionBy("slot").orderBy("stage", "tie", "url"))
-    offers: dict[int, list[str]] = {}
-    for r in ranked.withColumn("place", place).where(F.col("place") <= len(slots)).select("slot", "place", "url").orderBy("slot", "place").collect():
-        offers.setdefault(r["slot"], []).append(r["url"])
-    taken: set[str] = set()
-    log = []
-    for i, slot in enumerate(slots):
-        url = next((u for u in offers.get(i, []) if u not in taken), None)
-        if url is None:
-            raise RuntimeError(f"no video is left to replace {slot['url']}")
-        taken.add(url)
-        log.append((slot["url"], url, "unavailable"))
-    chosen = F.broadcast(spark.createDataFrame([(u,) for u in taken], "url string"))
-    return good.unionByName(videos.join(chosen, "url", "left_semi").select(*good.columns)), spark.createDataFrame(log, log_schema)
+    from chronoreel.operators import matching
+
+    out, log = matching.replace_lost(sampled, videos, available, seed, bucket_fields, enforce_duration)
+    return out, log.orderBy("slot").select("replaced_url", "replacement_url", "reason")

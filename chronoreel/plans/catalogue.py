@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from chronoreel.config import IndexConfig
 from chronoreel.functions.text import mcq_prompt, query_text, url_id
 from chronoreel.functions.vectors import dot
-from chronoreel.operators import evaluate, inference, manifest, retrieve, sampling, segments, signals
+from chronoreel.operators import evaluate, halo, inference, manifest, matching, retrieve, sampling, segment_ranges, segments, signals
 from chronoreel.plans.adapters import customer_videos, embedding_frames, event_frames, flat_questions, table
 from chronoreel.plans.pipeline import baseline_frames
-from chronoreel.plans.store import written_once
-from chronoreel.sources import sinks
+from chronoreel.plans.store import fresh_folder, written_once
+from chronoreel.sources import raw, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,7 +548,140 @@ def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("video_key", F.col("user_id").cast("string")).withColumn("frame_ordinal", F.row_number().over(order) - 1)
     data = F.unhex(F.concat(*[F.lpad(F.hex((F.col("event_id") * (k + 3)) % 256), 2, "0") for k in range(4)]))
     image = F.struct(F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
-    return signals.frame_energy(rows.select("video_key", "frame_ordinal", image.alias("image"))).select("video_key", "frame_ordinal", _r("energy"))
+    return halo.frame_energy(rows.select("video_key", "frame_ordinal", image.alias("image"))).select("video_key", "frame_ordinal", _r("energy"))
+
+
+# Long videos, files and rounds ------------------------------------------------------
+
+
+@query(f"WITH {_E}, {_DRIFT} SELECT video_key, frame_ordinal, round(drift, 6) AS drift FROM dr")
+def drift_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift where the frames of a video lie in several tasks and stay there."""
+    frames = embedding_frames(spark, sf_dir).repartitionByRange("video_key", "frame_ordinal")
+    return halo.cosine_drift(frames).select("video_key", "frame_ordinal", _r("drift"))
+
+
+_T = """
+ty AS (SELECT event_type AS video_key, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::INT AS frame_ordinal,
+  (date_diff('microsecond', min(ts) OVER (PARTITION BY event_type), ts) / 1e6::DOUBLE)::FLOAT AS time_sec, value::FLOAT AS signal FROM events)"""
+TYPE_LOW, TYPE_HIGH = (150.0, 3600.0), (250.0, 14400.0)
+
+
+def _type_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of a few long videos, one for each type."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_key")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("video_key"), "ts", "event_id", F.col("value").cast("float").alias("signal"))
+    seconds = F.expr("timestampdiff(MICROSECOND, min(ts) OVER (PARTITION BY video_key), ts)") / 1e6
+    return rows.select("video_key", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("frame_ordinal"), seconds.cast("float").alias("time_sec"), "signal")
+
+
+@query(
+    f"""WITH RECURSIVE {_T}, {_segments_sql("ty", "signal", *TYPE_LOW, "low", "lo")}, {_segments_sql("ty", "signal", *TYPE_HIGH, "high", "hi")}
+SELECT {_SEGMENT_OUT} FROM lo UNION ALL SELECT {_SEGMENT_OUT} FROM hi"""
+)
+def segments_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both levels of long videos, each spread over many ranges."""
+    return _segment_rows(segment_ranges.segment_levels(_type_frames(spark, sf_dir), {"low": TYPE_LOW, "high": TYPE_HIGH}, score="signal", ranges=16))
+
+
+@query(f"WITH RECURSIVE {_T}, {_segments_sql('ty', 'signal', *TYPE_HIGH, 'high', 'hi', 21600.0)} SELECT {_SEGMENT_OUT} FROM hi")
+def segments_ranges_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_rows(segment_ranges.segment_levels(_type_frames(spark, sf_dir), {"high": TYPE_HIGH}, 21600.0, "signal", ranges=16))
+
+
+def _pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as native frames with images of two by two grey pixels."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("video_key").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("video_key", F.col("user_id").cast("string")).withColumn("native_index", (F.row_number().over(order) - 1).cast("long"))
+    rate = F.element_at(F.array(*[F.lit(x) for x in (30.0, 25.0, 10.0, 29.97)]), (F.col("user_id") % 4 + 1).cast("int"))
+    data = F.unhex(F.concat(*[F.lpad(F.hex((F.col("event_id") * (k + 3)) % 256), 2, "0") for k in range(4)]))
+    image = F.struct(F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return rows.select("video_key", "native_index", rate.alias("native_fps"), image.alias("image"))
+
+
+_PX = f"""
+px AS (SELECT user_id::VARCHAR AS video_key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS native_index,
+  CASE user_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 25.0 WHEN 2 THEN 10.0 ELSE 29.97 END::DOUBLE AS native_fps,
+  {" || ".join(f"lpad(upper(to_hex((event_id * {k + 3}) % 256)), 2, '0')" for k in range(4))} AS pixels FROM events)"""
+
+
+@query(
+    f"""WITH {_PX}, st AS (SELECT *, greatest(round_even(native_fps / 4.0, 0)::BIGINT, 1) AS step FROM px)
+SELECT video_key, (native_index // step)::INT AS frame_ordinal, native_index::BIGINT AS native_index, round((native_index / native_fps)::FLOAT::DOUBLE, 6) AS time_sec, native_fps, pixels
+FROM st WHERE native_index % step = 0 AND native_index // step >= 2 AND native_index < 90"""
+)
+def raw_video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw video files written by the sink that commits, sampled by the data source; stride and filters are applied before a frame is read."""
+    root = fresh_folder(spark)
+    sinks.write_raw_videos(_pixel_frames(spark, sf_dir), root)
+    rows = raw.raw_videos(spark, root, 4.0, range_bytes=100).where((F.col("frame_ordinal") >= 2) & (F.col("native_index") < 90))
+    return rows.select("video_key", "frame_ordinal", "native_index", _r("time_sec"), "native_fps", F.hex("image.data").alias("pixels"))
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> str:
+    """The folder into which the evidence of ``evidence_frames`` was written."""
+    root = fresh_folder(spark)
+    images = _pixel_frames(spark, sf_dir).select("video_key", F.col("native_index").cast("int").alias("frame_ordinal"), "image")
+    sinks.write_evidence(_event_evidence(spark, sf_dir), images, root)
+    return root
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENT_HITS}, {_evidence_sql("eh", "v", BUDGET)}, {_PX}
+SELECT ev.video_key, question_id, lpad(position::VARCHAR, 2, '0') || '_' || replace(printf('%.2f', time_sec), '.', '_') || 's.png' AS file_name, 2 AS height, 2 AS width, pixels
+FROM ev JOIN px ON px.video_key = ev.video_key AND px.native_index = ev.frame_index"""
+)
+def exported_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence frames as committed PNG files, read back with Spark's image reader."""
+    found = spark.read.format("image").load(f"{_shown(spark, sf_dir)}/*/*/evidence_frames").select("image.*")
+    parts = F.split("origin", "/")
+    return found.select(F.element_at(parts, -4).alias("video_key"), F.element_at(parts, -3).alias("question_id"), F.element_at(parts, -1).alias("file_name"), "height", "width", F.hex("data").alias("pixels"))
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENT_HITS}, {_evidence_sql("eh", "v", BUDGET)}, n AS (SELECT video_key, count(*)::INT AS n FROM ev GROUP BY 1)
+SELECT u.video_key, 'q' AS question_id, coalesce(n, 64)::INT AS frame_budget FROM (SELECT DISTINCT user_id::VARCHAR AS video_key FROM events) u LEFT JOIN n USING (video_key)"""
+)
+def exported_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's budget from the folders that an export left; videos without one have the default."""
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_key"), F.lit("q").alias("question_id")).distinct()
+    return retrieve.frame_budget(asked, sinks.exported_counts(spark, _shown(spark, sf_dir)), 64)
+
+
+@query(
+    f"""WITH RECURSIVE {_V}, {_segments_sql("v", "signal", *EVENT_HIGH, "high", "hi")}, {_PX}
+SELECT hi.video_key, hi.segment_id, (px.native_index - hi.start_index)::INT AS frame_ordinal, px.pixels FROM hi JOIN px ON px.video_key = hi.video_key AND px.native_index BETWEEN hi.start_index AND hi.end_index WHERE hi.segment_no < 2"""
+)
+def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two segments of each video as committed clips, read back frame by frame."""
+    root = fresh_folder(spark)
+    found = segments.segment_by_threshold(event_frames(spark, sf_dir), *EVENT_HIGH, "high", score="signal")
+    images = _pixel_frames(spark, sf_dir).select("video_key", F.col("native_index").cast("int").alias("frame_ordinal"), "image")
+    sinks.write_raw_clips(found, images, root, 4.0, max_segments=2)
+    return raw.raw_clips(spark, root).select("video_key", F.col("clip").alias("segment_id"), "frame_ordinal", F.hex("image.data").alias("pixels"))
+
+
+@query(
+    f"""WITH RECURSIVE act AS ({_SAMPLE}), lost AS (SELECT *, row_number() OVER (ORDER BY video_id, url) - 1 AS slot FROM act WHERE md5(url) < '1'),
+fr AS (SELECT c_mktsegment AS duration, c_nationkey::VARCHAR AS domain, c_name AS url, md5('7|' || c_name) AS tie FROM customer WHERE md5(c_name) >= '1' AND c_name NOT IN (SELECT url FROM act)),
+se AS (
+  SELECT -1::BIGINT AS slot, NULL::VARCHAR AS replaced_url, NULL::VARCHAR AS replacement_url, NULL::INT AS stage, []::VARCHAR[] AS taken
+  UNION ALL
+  SELECT l.slot, l.url, x.url, x.stage, list_append(se.taken, x.url) FROM se JOIN lost l ON l.slot = se.slot + 1, LATERAL (
+    SELECT fr.url, CASE WHEN fr.duration = l.duration AND fr.domain = l.domain THEN 0 WHEN fr.duration = l.duration THEN 1 ELSE 3 END AS stage
+    FROM fr WHERE NOT list_contains(se.taken, fr.url) ORDER BY stage, tie, fr.url LIMIT 1) x)
+SELECT slot::INT AS slot, replaced_url, replacement_url, stage::INT AS stage, 'unavailable' AS reason FROM se WHERE slot >= 0"""
+)
+def replacement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a sample whose unavailable videos were replaced, found in rounds."""
+    videos = customer_videos(spark, sf_dir)
+    here = videos.where(F.md5(F.col("url").cast("binary")) >= "1").select("url")
+    sample = written_once(sampling.stratified_sample(videos, _strata_size(videos), 7))
+    return matching.replace_lost(sample, videos, here, 7, enforce_duration=True)[1]
 
 
 # Models (stubs) -------------------------------------------------------------------

@@ -14,7 +14,8 @@ from chronoreel.operators.inference import answer
 from chronoreel.functions.vectors import uniform_picks
 from chronoreel.operators.retrieve import evidence_frames, frame_budget, frame_counts, low_candidates, top_segments
 from chronoreel.operators.segments import mean_pool, segment_levels
-from chronoreel.operators.signals import cosine_drift, frame_energy, fuse
+from chronoreel.operators.halo import frame_energy
+from chronoreel.operators.signals import cosine_drift, fuse
 from chronoreel.plans.store import written_once
 
 
@@ -38,7 +39,8 @@ class VideoIndex:
 def build_signals(frames: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
     """Frames with embedding, dino_embedding and image or energy become drift, energy and combined score."""
     if "energy" not in frames.columns:
-        frames = frame_energy(frames)
+        # Images stay where they are: their energy comes back as a number a frame.
+        frames = frames.drop("image").join(frame_energy(frames), ["video_key", "frame_ordinal"])
     drifts = cosine_drift(cosine_drift(frames, "embedding", "openclip"), "dino_embedding", "dino")
     return fuse(drifts.select("video_key", "frame_ordinal", "time_sec", "energy", "openclip", "dino"), config)
 

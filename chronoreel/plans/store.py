@@ -46,3 +46,11 @@ def written_once(df: DataFrame) -> DataFrame:
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, with its file system named, for writers outside Spark too."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/{uuid.uuid4().hex}")
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from chronoreel.functions.text import frame_tag
@@ -104,6 +105,52 @@ def export_frames(evidence: DataFrame, images: DataFrame, write: Callable[[Row],
     rows.foreachPartition(each)
 
 
+def write_evidence(evidence: DataFrame, images: DataFrame, root: str, mode: str = "append") -> None:
+    """Evidence frames as <root>/<video>/<question>/evidence_frames/<name>.png, by the sink that commits (``files``)."""
+    from chronoreel.sources.files import write_files
+
+    @F.pandas_udf("binary")
+    def encoded(image: pd.DataFrame) -> pd.Series:
+        return pd.Series([png(row) for row in image.to_dict("records")], dtype=object)
+
+    rows = frame_names(evidence).join(images.select("video_key", F.col("frame_ordinal").alias("frame_index"), "image"), ["video_key", "frame_index"])
+    path = F.concat_ws("/", "video_key", "question_id", F.lit("evidence_frames"), "file_name")
+    write_files(rows.select(path.alias("path"), encoded("image").alias("content")), root, mode)
+
+
+def exported_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(video_key, question_id, n_frames) of the folders that ``write_evidence`` left; an empty one has 0."""
+    from chronoreel.sources.files import list_folders
+
+    found = list_folders(spark, root, 3)
+    parts = F.split("path", "/")
+    return found.where(F.element_at(parts, -1) == "evidence_frames").select(F.element_at(parts, -3).alias("video_key"), F.element_at(parts, -2).alias("question_id"), F.col("n_files").alias("n_frames"))
+
+
+def _write_raw(frames: DataFrame, root: str, mode: str) -> None:
+    """Frames (path, at, fps, image) as raw videos, a file for each path; its frames, in the order of ``at``, stream through one task."""
+    from chronoreel.sources.files import write_files
+
+    size = F.struct("fps", "image.height", "image.width", "image.nChannels")
+    heads = frames.groupBy("path").agg(F.min_by(size, "at").alias("h")).select("path", F.lit(-1).cast("long").alias("at"), F.format_string("%s %d %d %d\n", F.col("h.fps").cast("string"), "h.height", "h.width", "h.nChannels").cast("binary").alias("content"))
+    rows = heads.unionAll(frames.select("path", F.col("at").cast("long").alias("at"), F.col("image.data").alias("content")))
+    write_files(rows.repartition("path").sortWithinPartitions("path", "at"), root, mode)
+
+
+def write_raw_videos(frames: DataFrame, root: str, mode: str = "append") -> None:
+    """Native frames (video_key, native_index, native_fps, image) as <root>/<video>.raw, which ``raw`` reads."""
+    _write_raw(frames.select(F.concat("video_key", F.lit(".raw")).alias("path"), F.col("native_index").alias("at"), F.col("native_fps").alias("fps"), "image"), root, mode)
+
+
+def write_raw_clips(segments: DataFrame, images: DataFrame, root: str, fps: float, max_segments: int | None = None, mode: str = "append") -> None:
+    """The first ``max_segments`` segments of each level as <root>/<video>/<segment_id>.raw, both boundary frames included."""
+    from chronoreel.operators.segments import frames_of
+
+    some = segments if max_segments is None else segments.where(F.col("segment_no") < max_segments)
+    rows = frames_of(some, "segment_id").join(images.select("video_key", "frame_ordinal", "image"), ["video_key", "frame_ordinal"])
+    _write_raw(rows.select(F.concat("video_key", F.lit("/"), "segment_id", F.lit(".raw")).alias("path"), F.col("frame_ordinal").alias("at"), F.lit(float(fps)).alias("fps"), "image"), root, mode)
+
+
 def export_clips(segments: DataFrame, images: DataFrame, write: Callable[[tuple, Iterable[Row]], None], max_segments: int | None = None) -> None:
     """Hand each segment's frames, in order, to ``write(key, rows)``; rows stream, so a clip need not fit in memory."""
     from itertools import groupby
