@@ -10,8 +10,8 @@ those that a run settles already (found in LEAST_DOCS documents, a larger id amo
 its own, bucketed and sorted by hash: the joins shuffle no run. Of a level, FANOUT (two) runs are merged into one of the next by
 an outer merge join, which shuffles neither.
 Batches go from the largest ids down, so that most of what is common is settled early; any order gives the same result.
-At the end the runs' sums tell which keys go, their places are joined to the documents that hold them, and the texts
-are put together without them where they are.
+At the end the runs' sums tell which keys go, their places are joined to the documents that hold them, and each text is
+put together without them: places and texts meet by id and digest, which shuffles the texts once, at every size alike.
 
 Defined cases: a row is a document, rows of one id too; those that share the largest id all keep the line. Null ids
 are smaller than all others, and null texts are one empty line. Repeated lines of a document count once and go together.
@@ -29,12 +29,12 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import bounded, fresh_path, let, stored, text_or_empty
+from chronoreel.llm.common import bounded, fresh_path, let, text_or_empty
 from chronoreel.llm.ranges import same
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 6, 2
-#: Tables of up to so many bytes, measured, are broadcast.
+#: A table of the common lines of up to so many bytes, measured, is broadcast; else its join, which adaptive execution can split, shuffles hashes.
 SMALL = 8 << 20
 
 _ENDS = " \t\n\x0b\x0c\r"
@@ -155,10 +155,9 @@ def dropped_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the lines that go; adds n_lines (before) and n_dropped. Texts that lose nothing stay as they are."""
-    places = stored(dropped_places(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("places").alias("__places")), "lost-lines")
-    size = places.agg(F.sum(F.array_size("__places") * 4 + 100).alias("b")).first()["b"] or 0
+    places = dropped_places(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("places").alias("__places"))
     rows = docs.withColumns({"__id": F.col(id_col), "__digest": _row_key(text_col)})
-    found = same(rows, F.broadcast(places) if size <= SMALL else places, ["__id", "__digest"], "left").drop("__id", "__digest")
+    found = same(rows, places, ["__id", "__digest"], "left").drop("__id", "__digest")
     found = found.withColumn("n_lines", (F.length(text_or_empty(text_col)) - F.length(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long"))
     found = found.withColumn("n_dropped", F.coalesce(F.array_size("__places"), F.lit(0)).cast("long"))
 
