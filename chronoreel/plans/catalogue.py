@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoreel.config import IndexConfig
-from chronoreel.functions.text import mcq_prompt, query_text, url_id
+from chronoreel.functions.text import mcq_prompt, query_text, segment_id, url_id
 from chronoreel.functions.vectors import dot
-from chronoreel.operators import evaluate, halo, inference, manifest, matching, retrieve, sampling, segment_ranges, segments, signals
+from chronoreel.operators import evaluate, halo, inference, manifest, matching, range_index, retrieve, sampling, segment_ranges, segments, signals
 from chronoreel.plans.adapters import customer_videos, embedding_frames, event_frames, flat_questions, table
 from chronoreel.plans.pipeline import baseline_frames
 from chronoreel.plans.store import fresh_folder, written_once
 from chronoreel.sources import raw, sinks
+from chronoreel.streaming import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -591,6 +592,52 @@ def segments_ranges_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segment_rows(segment_ranges.segment_levels(_type_frames(spark, sf_dir), {"high": TYPE_HIGH}, 21600.0, "signal", ranges=16))
 
 
+@query(f"WITH RECURSIVE {_LEVELS} SELECT video_key, level, segment_no, (p - 1)::INT AS position, round((m / greatest(norm, 1e-12::DOUBLE))::FLOAT::DOUBLE, 5) AS value FROM pn")
+def segment_pool_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled vectors of both levels from one index of running sums, without a row for each frame of a segment."""
+    frames = embedding_frames(spark, sf_dir)
+    scored = written_once(signals.cosine_drift(frames).withColumn("score", signals.minmax("drift")))
+    found = segments.segment_levels(scored, {"low": LOW, "high": HIGH}, score="score")
+    pooled = range_index.pool(range_index.build(scored, block_rows=16), found)
+    rows = pooled.select("video_key", "level", "segment_no", F.posexplode("embedding").alias("position", "value"))
+    return rows.select("video_key", "level", "segment_no", "position", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query(
+    f"""WITH RECURSIVE {_T}, {_segments_sql("ty", "signal", *TYPE_LOW, "low", "lo")}, {_segments_sql("ty", "signal", *TYPE_HIGH, "high", "hi")}
+SELECT video_key, level, segment_no, round(peak_score, 6) AS peak_score, round(mean_score, 6) AS mean_score FROM lo UNION ALL SELECT video_key, level, segment_no, round(peak_score, 6), round(mean_score, 6) FROM hi"""
+)
+def segment_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peak and mean of the segments of long videos, from an index of block maxima and sums."""
+    frames = written_once(_type_frames(spark, sf_dir).withColumn("embedding", F.array(F.col("signal"))))
+    index = range_index.build(frames, score="signal", block_rows=16)
+    found = segment_ranges.segment_levels(frames, {"low": TYPE_LOW, "high": TYPE_HIGH}, score="signal", ranges=16)
+    return range_index.peaks(index, found).select("video_key", "level", "segment_no", _r("peak_score"), _r("mean_score"))
+
+
+@query(f"WITH RECURSIVE {_V}, {_segments_sql('v', 'signal', *EVENT_LOW, 'low', 'lo')} SELECT {_SEGMENT_OUT} FROM lo")
+def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segments_low`` from a stream whose events come up to three days late, put in order by event time.
+
+    The events are written in the order of their arrival, a few micro-batches; one event far later lets the watermark pass all.
+    """
+    root = fresh_folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.col("value").alias("score"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("tie"), F.lit(3 * 86_400_000_000))
+    quarters = rows.select(F.percentile_approx(arrival, [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    number = sum(((arrival > q).cast("int") for q in quarters), F.lit(0))
+    for i in range(4):
+        rows.where(number == i).coalesce(1).write.parquet(f"{root}/in/part={i}")
+    far = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("video_key"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), F.lit(0).cast("long").alias("tie"), F.lit(0.0).alias("score"))
+    far.coalesce(1).write.parquet(f"{root}/in/part=4")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+    closed = ordered.segment_events(source, *EVENT_LOW, delay="3 days", idle_seconds=900 * 86_400.0)
+    query = closed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(ordered.OUT).parquet(f"{root}/out")
+    return _segment_rows(found.select(F.lit("low").alias("level"), segment_id(F.lit("low"), F.col("segment_no")).alias("segment_id"), "*"))
+
+
 def _pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as native frames with images of two by two grey pixels."""
     from pyspark.sql import Window

@@ -38,3 +38,88 @@ def test_idle_videos_are_closed(spark, tmp_path):
     query.stop()
     got = sorted((r["start_index"], r["end_index"]) for r in spark.table("idle").where("video_key = 'v'").collect())
     assert got == [(0, 3), (3, 4)]
+
+
+def _events(n=300, videos=3, seed=5):
+    import datetime
+    import random
+
+    rng = random.Random(seed)
+    base = datetime.datetime(2024, 1, 1)
+    rows, at = [], 0.0
+    for i in range(n):
+        at += rng.choice([0.0, 0.5, 30.0, 400.0])
+        rows.append((f"v{rng.randrange(videos)}", base + datetime.timedelta(seconds=at), i, float(rng.random())))
+    return rows
+
+
+EVENT = "video_key string, ts timestamp, tie long, score double"
+
+
+def _streamed(spark, folder, files, **options):
+    """Closed segments of a stream that gets one file in each micro-batch, and at last an event far later."""
+    import datetime
+    import os
+
+    from chronoreel.streaming.ordered import segment_events
+
+    files = [*files, [("later", datetime.datetime(2030, 1, 1), 0, 0.0)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/part{i}")
+        for name in os.listdir(f"{folder}/part{i}"):
+            os.utime(f"{folder}/part{i}/{name}", (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part*")
+    out = segment_events(stream, 0.6, 100.0, **options)
+    query = out.writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return {tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in spark.read.parquet(f"{folder}-out").collect()}
+
+
+def _batch(spark, rows, **options):
+    from pyspark.sql import functions as F
+
+    from chronoreel.operators.segments import segment_by_threshold
+    from chronoreel.streaming.ordered import NAMES
+
+    df = spark.createDataFrame(rows, EVENT).withColumn("frame_ordinal", F.expr("cast(row_number() OVER (PARTITION BY video_key ORDER BY ts, tie) - 1 AS int)"))
+    df = df.withColumn("time_sec", (F.expr("unix_micros(ts) - min(unix_micros(ts)) OVER (PARTITION BY video_key)") / 1e6).cast("float"))
+    found = segment_by_threshold(df, 0.6, 100.0, "low", score="score", **options)
+    return {tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in found.select(*NAMES).collect()}
+
+
+def test_late_frames_are_put_in_order(spark, tmp_path):
+    import datetime
+    import random
+
+    rows = _events()
+    rng = random.Random(1)
+    # Up to 50 minutes late: every file has frames that lie before some of the files before.
+    arrival = sorted(rows, key=lambda r: r[1] + datetime.timedelta(seconds=3000 * rng.random()))
+    assert arrival != sorted(rows, key=lambda r: (r[1], r[2]))
+    files = [arrival[i : i + 75] for i in range(0, 300, 75)]
+    got = _streamed(spark, str(tmp_path / "a"), files, delay="50 minutes", idle_seconds=7200.0, max_seconds=2000.0)
+    assert got == _batch(spark, rows, max_seconds=2000.0) and len(got) > 20
+
+
+def test_stream_goes_on_where_a_batch_ends(spark, tmp_path):
+    from chronoreel.streaming.ordered import open_segments
+
+    rows = sorted(_events(200, 2, 9), key=lambda r: (r[1], r[2]))
+    old, new = spark.createDataFrame(rows[:120], EVENT), rows[120:]
+    start = open_segments(old, 0.6, 100.0)
+    got = _streamed(spark, str(tmp_path / "b"), [new[:40], new[40:]], delay="1 second", idle_seconds=100_000.0, initial=start)
+    whole, before = _batch(spark, rows), _batch(spark, rows[:120])
+    closed = {r for r in before if r in whole}
+    assert got == whole - closed and 0 < len(closed) < len(whole)
+
+
+def test_idle_video_is_closed_and_begins_again(spark, tmp_path):
+    import datetime
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    first = [("v", at(i * 60), i, 0.9 if i in (2, 4) else 0.1) for i in range(6)]
+    other = [("w", at(90_000), 0, 0.0)]
+    again = [("v", at(100_000 + i), i, 0.1) for i in range(3)]
+    got = _streamed(spark, str(tmp_path / "c"), [first, other, again], delay="0 seconds", idle_seconds=3600.0)
+    assert sorted(r[:4] for r in got) == [("v", 0, 0, 2), ("v", 0, 0, 2), ("v", 1, 2, 4), ("v", 2, 4, 5)]
+    assert got == _streamed(spark, str(tmp_path / "d"), [[*first, *other, *again]], delay="0 seconds", idle_seconds=3600.0)
