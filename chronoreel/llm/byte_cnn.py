@@ -18,6 +18,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -175,7 +176,10 @@ class ByteCNN:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_rows: int = 4000, max_bytes: int = 32 << 20, visits: int = 16_000) -> ByteCNN:
-    """A network fitted to at most ``max_rows`` labelled documents, ``max_bytes`` in all, outside the held-out fold."""
+    """A network fitted to at most ``max_rows`` labelled documents, ``max_bytes`` in all, outside the held-out fold.
+
+    One task fits it, and its weights come back; the driver holds ids and sizes of the sample only.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", folds) != held)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     known = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
@@ -195,12 +199,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max
         model.prior = 0.5 if share is None else float(share)
         return model
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, quality int")
-    # One text an id, so at most max_rows texts and max_bytes come to the driver.
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("n"), "text"))["text"].alias("text"), F.max("quality").alias("quality"))
-    texts = rows.orderBy("doc_id").collect()
-    y = np.array([r["quality"] for r in texts])
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.fit([r["text"].encode() for r in texts], y, weight, visits)
+    # One text an id, so at most max_rows texts and max_bytes meet in the one task that fits the network.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("n"), "text"))["text"].cast("binary").alias("text"), F.max("quality").alias("quality"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((i, t, q) for batch in batches for i, t, q in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if not found:
+            return
+        y = np.array([q for _, _, q in found])
+        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        model.fit([t for _, t, _ in found], y, weight, visits)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.w)], pa.binary())], ["w"])
+
+    model.w = pickle.loads(rows.repartition(1).mapInArrow(fit, "w binary").first()["w"])
     return model
 
 
