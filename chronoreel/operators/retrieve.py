@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,15 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _keys(segments: DataFrame, questions: DataFrame) -> list[str]:
+    """What segments and questions are joined by: the video, and its shard if both have it."""
+    return ["video_key", *(["shard"] if "shard" in segments.columns and "shard" in questions.columns else [])]
+
+
 def _scored(segments: DataFrame, questions: DataFrame) -> DataFrame:
     """Segments of a video against its questions (video_key, question_id, query)."""
-    return segments.join(questions.select("video_key", "question_id", "query"), "video_key").select(*HIT, dot(F.col("embedding"), F.col("query")).alias("score"))
+    on = _keys(segments, questions)
+    return segments.join(questions.select(*on, "question_id", "query"), on).select(*HIT, dot(F.col("embedding"), F.col("query")).alias("score"))
 
 
 def top_segments(segments: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -32,7 +40,8 @@ def low_candidates(high_hits: DataFrame, low: DataFrame, questions: DataFrame, k
     A semi-join with an equality on video and question, so each low segment counts once.
     """
     spans = high_hits.select(F.col("video_key").alias("v"), F.col("question_id").alias("q"), F.col("start_index").alias("a"), F.col("end_index").alias("b"))
-    pairs = low.join(questions.select("video_key", "question_id", "query"), "video_key")
+    on = _keys(low, questions)
+    pairs = low.join(questions.select(*on, "question_id", "query"), on)
     inside = (F.col("video_key") == F.col("v")) & (F.col("question_id") == F.col("q")) & (F.col("start_index") >= F.col("a")) & (F.col("end_index") <= F.col("b"))
     found = pairs.join(spans, inside, "left_semi").select(*HIT, dot(F.col("embedding"), F.col("query")).alias("score"))
     return _best(found, k)
@@ -44,10 +53,10 @@ def _capped(frames: Column, budget: int) -> Column:
     return F.when(F.size(frames) <= budget, frames).otherwise(thin)
 
 
-def evidence_frames(low_hits: DataFrame, frames: DataFrame, budget: int) -> DataFrame:
+def evidence_frames(low_hits: DataFrame, frames: DataFrame, budget: int, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(video_key, question_id, position, frame_index, time_sec): even picks of each hit, merged, thinned to the budget.
 
-    A group is the hits of one question, top_low at most.
+    A group is the hits of one question, top_low at most. ``prepare`` may add the shard to the picks, and have them broadcast, before they meet the frames.
     """
     hits = low_hits.groupBy("video_key", "question_id").agg(F.collect_list(F.struct("start_index", "end_index")).alias("hits"))
     each = F.greatest(F.lit(1), F.expr(f"{int(budget)} div greatest(size(hits), 1)")).cast("int")
@@ -58,8 +67,10 @@ def evidence_frames(low_hits: DataFrame, frames: DataFrame, budget: int) -> Data
 
     merged = hits.select("video_key", "question_id", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", picks)))).alias("all"))
     placed = merged.select("video_key", "question_id", F.posexplode(_capped(F.col("all"), budget)).alias("position", "frame_index"))
-    times = frames.select("video_key", F.col("frame_ordinal").alias("frame_index"), "time_sec")
-    return placed.join(times, ["video_key", "frame_index"]).select("video_key", "question_id", "position", "frame_index", F.col("time_sec").cast("double").alias("time_sec"))
+    placed = placed if prepare is None else prepare(placed)
+    on = _keys(frames, placed)
+    times = frames.select(*on, F.col("frame_ordinal").alias("frame_index"), "time_sec")
+    return times.join(placed, [*on, "frame_index"]).select("video_key", "question_id", "position", "frame_index", F.col("time_sec").cast("double").alias("time_sec"))
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:

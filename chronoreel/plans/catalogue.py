@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.config import IndexConfig
+from chronoreel.config import IndexConfig, RetrievalConfig
 from chronoreel.functions.text import mcq_prompt, query_text, segment_id, url_id
 from chronoreel.functions.vectors import dot
-from chronoreel.operators import evaluate, halo, inference, manifest, matching, range_index, retrieve, sampling, segment_ranges, segments, signals
+from chronoreel.operators import evaluate, halo, inference, manifest, matching, range_index, retrieve, sampling, segment_ranges, segments, signals, topk, udtf
 from chronoreel.plans.adapters import customer_videos, embedding_frames, event_frames, flat_questions, table
-from chronoreel.plans.pipeline import baseline_frames
+from chronoreel.plans.index_store import IndexStore
+from chronoreel.plans.pipeline import VideoIndex, baseline_frames
 from chronoreel.plans.store import fresh_folder, written_once
 from chronoreel.sources import raw, sinks
 from chronoreel.streaming import ordered
@@ -638,6 +639,58 @@ def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segment_rows(found.select(F.lit("low").alias("level"), segment_id(F.lit("low"), F.col("segment_no")).alias("segment_id"), "*"))
 
 
+@query(f"WITH RECURSIVE {_V}, {_segments_sql('v', 'signal', *EVENT_HIGH, 'high', 'hi', 604800.0)} SELECT {_SEGMENT_OUT} FROM hi")
+def segments_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function, called from SQL."""
+    udtf.register(spark)
+    frames = event_frames(spark, sf_dir).withColumnRenamed("signal", "score")
+    call = "SELECT * FROM segment_frames(TABLE(SELECT * FROM {frames}) PARTITION BY video_key ORDER BY (frame_ordinal), %rD, %rD, 604800D)" % EVENT_HIGH
+    found = spark.sql(call, frames=frames)
+    return _segment_rows(found.select(F.lit("high").alias("level"), segment_id(F.lit("high"), F.col("segment_no")).alias("segment_id"), "*"))
+
+
+def _drift_index(frames: DataFrame) -> VideoIndex:
+    scored = written_once(signals.cosine_drift(frames).withColumn("score", signals.minmax("drift")))
+    pooled = written_once(segments.mean_pool(frames, segments.segment_levels(scored, {"low": LOW, "high": HIGH}, score="score")))
+    return VideoIndex(scored.drop("embedding"), pooled.where(F.col("level") == "high"), pooled.where(F.col("level") == "low"))
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_evidence_sql('tl', 'e', BUDGET)} SELECT video_key, question_id, position, frame_index, round(time_sec, 6) AS time_sec FROM ev")
+def stored_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship from an index on disk that first had some of the videos and grew by the others."""
+    frames = embedding_frames(spark, sf_dir)
+    store = IndexStore(spark, fresh_folder(spark), shards=8)
+    store.grow(frames.where(F.col("video_key") < "5"), _drift_index)
+    store.grow(frames, _drift_index)
+    found = store.retrieve(_questions(frames), RetrievalConfig(2, 3, BUDGET))
+    return found["evidence"].select("video_key", "question_id", "position", "frame_index", _r("time_sec"))
+
+
+@query(
+    f"""WITH RECURSIVE {_LEVELS},
+qv AS (SELECT video_key, 'q' || vec_id::VARCHAR AS question_id, embedding AS query FROM e WHERE vec_id % 100 = 0),
+th AS (SELECT *, row_number() OVER (PARTITION BY video_key, question_id ORDER BY score DESC, segment_no) AS rank
+  FROM (SELECT sv.*, question_id, list_dot_product(vec, query) AS score FROM sv JOIN qv USING (video_key) WHERE level = 'low') QUALIFY rank <= 3) SELECT {_HIT_OUT} FROM th"""
+)
+def top_low_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest low segments of each question, by blocks whose bounds reach the third score."""
+    frames, low, _ = _levels(spark, sf_dir)
+    return _hit_rows(topk.top_segments(topk.blocks(low, 4), _questions(frames), 3)[0])
+
+
+@query(
+    f"""WITH {_T}, en AS (SELECT video_key, min(time_sec)::DOUBLE AS t0, max(time_sec)::DOUBLE AS t1 FROM ty GROUP BY 1),
+px AS (SELECT ty.video_key, least(floor((time_sec::DOUBLE - t0) / (t1 - t0) * 50), 49)::INT AS pixel, frame_ordinal, time_sec::DOUBLE AS time_sec, signal::DOUBLE AS value FROM ty JOIN en USING (video_key)),
+mm AS (SELECT video_key, pixel, min(value) AS lo, max(value) AS hi FROM px GROUP BY ALL)
+SELECT DISTINCT video_key, pixel, frame_ordinal, round(time_sec, 6) AS time_sec, round(value, 6) AS value FROM px JOIN mm USING (video_key, pixel)
+WHERE value IN (lo, hi) QUALIFY row_number() OVER (PARTITION BY video_key, pixel, value ORDER BY frame_ordinal) = 1"""
+)
+def plot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plot fifty pixels wide shows of each event type's values."""
+    found = sinks.decimated(_type_frames(spark, sf_dir), 50, ("signal",))
+    return found.select("video_key", "pixel", "frame_ordinal", _r("time_sec"), _r("value"))
+
+
 def _pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as native frames with images of two by two grey pixels."""
     from pyspark.sql import Window

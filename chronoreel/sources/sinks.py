@@ -168,11 +168,33 @@ def export_clips(segments: DataFrame, images: DataFrame, write: Callable[[tuple,
     rows.repartition(*key).sortWithinPartitions(*key, "frame_ordinal").foreachPartition(each)
 
 
-def signal_panels(signals: DataFrame, video_key: str) -> list[tuple[str, list[float], list[float]]]:
-    """What a plot of one video shows: (name, times, values) for energy, openclip, dino and combined."""
-    rows = signals.where(F.col("video_key") == video_key).orderBy("frame_ordinal").select("time_sec", "energy", "openclip", "dino", "combined").collect()
-    times = [r["time_sec"] for r in rows]
-    return [(c, times, [r[c] for r in rows]) for c in ("energy", "openclip", "dino", "combined")]
+SIGNALS = ("energy", "openclip", "dino", "combined")
+
+
+def decimated(signals: DataFrame, width: int, names: tuple[str, ...] = SIGNALS) -> DataFrame:
+    """(video_key, signal, pixel, frame_ordinal, time_sec, value): what a plot ``width`` pixels wide can show of each signal.
+
+    Of each pixel column the frames with its least and its greatest value, of equal ones the first; so at most
+    2 * ``width`` rows a video and signal, and all frames where a column has no more than two. One aggregate, which combines
+    before the shuffle. Null and NaN values are left out.
+    """
+    if width < 1:
+        raise ValueError("width must be at least 1")
+    ends = signals.groupBy("video_key").agg(F.min("time_sec").cast("double").alias("t0"), F.max("time_sec").cast("double").alias("t1"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")
+    rows = signals.join(ends, "video_key").select("video_key", "frame_ordinal", F.col("time_sec").cast("double").alias("time_sec"), "t0", "t1", each).select("*", "x.*").drop("x")
+    share = F.when(F.col("t1") > F.col("t0"), (F.col("time_sec") - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(F.lit(0.0))
+    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("pixel", F.least(F.floor(share * width), F.lit(width - 1)).cast("int"))
+    low, high = F.struct("value", "frame_ordinal", "time_sec"), F.struct("value", (-F.col("frame_ordinal")).alias("back"), "time_sec")
+    found = rows.groupBy("video_key", "signal", "pixel").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    both = F.array_distinct(F.array(F.col("low"), F.struct(F.col("high.value").alias("value"), (-F.col("high.back")).alias("frame_ordinal"), F.col("high.time_sec").alias("time_sec"))))
+    return found.select("video_key", "signal", "pixel", F.explode(both).alias("p")).select("video_key", "signal", "pixel", "p.frame_ordinal", "p.time_sec", "p.value")
+
+
+def signal_panels(signals: DataFrame, video_key: str, width: int = 2000) -> list[tuple[str, list[float], list[float]]]:
+    """What a plot of one video shows: (name, times, values) for energy, openclip, dino and combined; at most 2 * ``width`` points each."""
+    rows = decimated(signals.where(F.col("video_key") == video_key), width).orderBy("signal", "frame_ordinal").collect()
+    return [(c, [r["time_sec"] for r in rows if r["signal"] == c], [r["value"] for r in rows if r["signal"] == c]) for c in SIGNALS]
 
 
 def plot_signals(signals: DataFrame, video_key: str, path: str) -> None:
