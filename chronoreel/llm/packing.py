@@ -7,8 +7,9 @@ driver: documents of n words in all have at most sqrt(2 n) different lengths, si
 more than n; 10^13 words have 4.5 million at most. A boundary is always a length that occurs.
 
 A batch of a bucket has max(1, budget // boundary) rows, so a document longer than the budget fills a
-batch alone. Numbers inside a bucket come from counts of shards and running sums: no bucket is
-gathered in one task, and of shards there are MOST_SHARDS at most.
+batch alone. Rows of a bucket are ordered by shard and hash; they are numbered in ranges of that order, with
+one row for each range and bucket that says how many are before: no bucket is gathered in one task, and
+equal rows are dealt over ranges too.
 
 Defined cases: a null text has length 0; empty documents go to the shortest bucket; ties of the order
 (a hash of id and text) fall back on the id; repeated rows each get a place; no rows give no rows; other
@@ -20,10 +21,12 @@ from __future__ import annotations
 import bisect
 from array import array
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoreel.llm.common import stored, text_or_empty, word_count
+from chronoreel.llm.ranges import in_ranges, parts_of
+from chronoreel.llm.ranges import placed as in_places
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -102,16 +105,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
         .withColumn("bucket_len", F.element_at(F.array(*[F.lit(b).cast("long") for b in boundaries]), F.col("bucket_id") + 1))
         .withColumn("shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % shards)
     )
-    earlier = Window.partitionBy("bucket_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("bucket_id", "shard")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .select("bucket_id", "shard", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("offset"))
-    )
-    inside = Window.partitionBy("bucket_id", "shard").orderBy("order", "doc_id", "n_tokens")
-    ranked = placed.withColumn("rank", F.row_number().over(inside)).join(offsets, ["bucket_id", "shard"])
+    # Ranges hold rows that agree in all of the order too, however many there are.
+    dealt = in_ranges(placed, [F.col("bucket_id"), F.col("shard"), F.col("order"), F.col("doc_id").asc_nulls_first(), F.col("n_tokens")], "pack-order")
+    ranked = in_places(dealt, parts_of(dealt, ["bucket_id"]), ["bucket_id"])
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
-    place = F.col("offset") + F.col("rank") - 1
+    place = F.col("pos")
     return ranked.select(
         "doc_id",
         "n_tokens",
