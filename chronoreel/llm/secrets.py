@@ -175,11 +175,13 @@ def find(text: str, model: RandomStrings) -> list[tuple[int, int, int]]:
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000) -> DataFrame:
     """(random, pair, n): how often two characters follow each other, and which come first, in labelled strings.
 
-    Of about ``max_rows`` rows, drawn by a hash of the id, the rules label the strings: the values that they
+    Of about ``max_rows`` rows, drawn by a hash of the id (of the text where it is null), the rules label the strings: the values that they
     find are random strings, other words that begin with a letter are ordinary.
     """
     share = min(1.0, max_rows / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("samples"), F.col(id_col)), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
+    # Rows without an id are drawn by their text, or all of them would be drawn or none.
+    drawn = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("samples"), F.col(text_col).cast("string"))).otherwise(F.xxhash64(F.lit("samples"), F.col(id_col)))
+    drawn = F.pmod(drawn, F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))
     word = re.compile(r"[A-Za-z][A-Za-z0-9+/_=-]{3,}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
