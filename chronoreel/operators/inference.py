@@ -7,6 +7,8 @@ stubs stand in where no model is at hand.
 from __future__ import annotations
 
 import hashlib
+import inspect
+import os
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -102,6 +104,28 @@ def answer(df: DataFrame, factory: Callable[[], Answerer], prompt: str = "prompt
     return df.mapInPandas(run, f"{schema}, raw_text string, generation_sec double")
 
 
+def device_of(asked: str | None = None) -> str:
+    """The device asked for, else a graphics card where a tensor library finds one, else the processor."""
+    if asked:
+        return asked
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def configured(factory: Callable, device: str | None = None, env: dict[str, str] | None = None) -> Callable:
+    """``factory`` with what a run sets: the device, if it takes one, and environment variables, such as an access token, in the worker that makes the model."""
+    takes = device is not None and "device" in inspect.signature(factory).parameters
+
+    def make() -> object:
+        os.environ.update(env or {})
+        return factory(device=device) if takes else factory()
+
+    return make if takes or env else factory
+
+
 class StubEncoder:
     """A vector from the digest of each item."""
 

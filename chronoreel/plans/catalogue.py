@@ -18,7 +18,9 @@ from chronoreel.plans.adapters import customer_videos, embedding_frames, event_f
 from chronoreel.plans.index_store import IndexStore
 from chronoreel.plans.pipeline import VideoIndex, baseline_frames
 from chronoreel.plans.store import fresh_folder, written_once
+from chronoreel.sources import frames as videos_source
 from chronoreel.sources import raw, sinks
+from chronoreel.sources.manifest import read_manifest
 from chronoreel.streaming import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -784,6 +786,29 @@ def replacement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.replace_lost(sample, videos, here, 7, enforce_duration=True)[1]
 
 
+@query(f"WITH {_FLAT} SELECT {_FLAT_OUT} FROM fl")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested videos written as manifest documents and read back as one manifest, as question rows."""
+    root = fresh_folder(spark)
+    sinks.write_manifest_files(manifest.group_flat(flat_questions(spark, sf_dir)), root)
+    return _joined_options(manifest.question_rows(read_manifest(spark, root)))
+
+
+@query(f"WITH {_RESULTS} SELECT video_key, question_id, raw_text, generation_sec, predicted_letter, choice_correct, frames FROM re")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows as committed JSON files, one a question, read back."""
+    root, rows = fresh_folder(spark), _results(spark, sf_dir)
+    sinks.write_result_files(rows, root)
+    back = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").json(root)
+    frames = F.array_join(F.transform("evidence_frames", lambda x: x["frame_index"].cast("string")), "|")
+    return back.select("video_key", "question_id", "raw_text", "generation_sec", "predicted_letter", "choice_correct", frames.alias("frames"))
+
+
+@query("SELECT c_custkey::BIGINT AS row_no, '/videos/' || c_name || '.mp4' AS path FROM customer")
+def video_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return videos_source.video_paths(customer_videos(spark, sf_dir), "/videos/").select("row_no", "path")
+
+
 # Models (stubs) -------------------------------------------------------------------
 
 

@@ -16,6 +16,23 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("url", "question_id").json(path)
 
 
+def write_result_files(results: DataFrame, root: str, mode: str = "append") -> None:
+    """One JSON file per question, <root>/<video>/<question>.json, by the sink that commits."""
+    from chronoreel.sources.files import write_files
+
+    path = F.concat("video_key", F.lit("/"), "question_id", F.lit(".json"))
+    write_files(results.select(path.alias("path"), F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("content")), root, mode)
+
+
+def write_manifest_files(videos: DataFrame, root: str, mode: str = "append") -> None:
+    """Videos with nested questions as manifest documents, one a video, which ``read_manifest`` reads as one manifest."""
+    from chronoreel.sources.files import write_files
+
+    content = F.to_json(F.struct(F.array(F.struct(*[c for c in videos.columns if c != "row_no"])).alias("videos")))
+    path = F.concat(F.md5(F.concat_ws("|", "video_id", "url").cast("binary")), F.lit(".json"))
+    write_files(videos.select(path.alias("path"), content.alias("content")), root, mode)
+
+
 def summary(results: DataFrame, config: dict, elapsed_sec: float | None = None, manifest_path: str | None = None, video_root: str | None = None) -> DataFrame:
     """One row: where the questions and videos came from, how many there were, accuracy, and the settings as JSON.
 
