@@ -62,8 +62,8 @@ PLAN = "lbb"  # how a bucket fits its class features; see Bucket.classes
 LOW = -30.0
 START = np.uint32(0xFFFFFFFF)
 
-#: A row for each text, or a row for each chunk (n tokens, as ids; of its texts the size, and whether it is held out).
-PARTS = "doc_id long, held_out boolean, chunk long, place int, n_tokens long, n_known long, base double, tail array<struct<word: binary, n: long>>, n long, texts long, sizes binary, ids binary"
+#: A row for each text, or a row for each chunk (n tokens, as ids; of its texts the size, whether it is held out, and a hash of the id).
+PARTS = "doc_id long, held_out boolean, chunk long, place int, n_tokens long, n_known long, base double, tail array<struct<word: binary, n: long>>, n long, texts long, sizes binary, ids binary, salts binary"
 EVENTS = "bucket int, chunk long, n long, events binary"
 
 
@@ -144,18 +144,18 @@ class Head:
         ends = np.searchsorted(outside, np.cumsum(sizes))
         return ids, sizes, [words[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def bucket_of(self, w1: np.ndarray, w2: np.ndarray, chunk: int) -> np.ndarray:
-        """The bucket of each event. Words of more than a quarter of a bucket are dealt out by the word before."""
+    def bucket_of(self, w1: np.ndarray, w2: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+        """The bucket of each event. Words of more than a quarter of a bucket are dealt out by the word before, pairs of such words by ``salt``, a number of their text."""
         n = len(self.counts)
         parts = np.maximum(1, -(-4 * np.append(self.counts, 0) // BUCKET_TOKENS)).astype(np.uint64)
         parts = np.append(parts, parts[0])  # as many starts as ends
-        out = np.empty(len(w1), np.uint32)
+        out, salts = np.empty(len(w1), np.uint32), np.broadcast_to(np.asarray(salt, np.uint64), len(w1))
         for at in range(0, len(w1), SLICE):
             here = slice(at, at + SLICE)
             k1, k2 = (parts[np.where(w[here] == START, n + 1, np.minimum(w[here], n))] for w in (w1, w2))
             both = np.minimum(k1, k2)
-            salt = np.where(both > 1, _mixed(np.full(1, chunk, np.uint64))[0] % both, np.uint64(0))
-            sub = _mixed(w2[here].astype(np.uint64) + (salt << np.uint64(32))) % k1
+            own = np.where(both > 1, _mixed(salts[here].copy()) % both, np.uint64(0))
+            sub = _mixed(w2[here].astype(np.uint64) + (own << np.uint64(32))) % k1
             out[here] = _mixed(w1[here].astype(np.uint64) + (sub << np.uint64(32))) % np.uint64(self.buckets)
         return out
 
@@ -200,8 +200,8 @@ def encoded(rows: DataFrame, known) -> DataFrame:
         chunk, held, n, texts = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def whole() -> pa.RecordBatch:
-            ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _rows(PARTS, 1, chunk=[chunk], n=[len(ids)], texts=[len(sizes)], sizes=[_packed(sizes)], ids=[_packed(ids)])
+            ids, sizes, salts = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _rows(PARTS, 1, chunk=[chunk], n=[len(ids)], texts=[len(sizes)], sizes=[_packed(sizes)], ids=[_packed(ids)], salts=[_packed(salts)])
 
         for arrow in batches:
             at, lengths = 0, pc.binary_length(arrow.column(2)).to_pylist()
@@ -235,7 +235,9 @@ def encoded(rows: DataFrame, known) -> DataFrame:
                     tail=pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, times], ["word", "n"])),
                 )
                 flags = part.column(1).to_numpy(zero_copy_only=False)
-                held.append((ids, sizes.astype(np.uint32) | flags.astype(np.uint32) << np.uint32(31)))
+                # How pairs are dealt must not depend on where texts happen to be read, so it follows their ids; without one, the text.
+                salts = [xxhash.xxh32_intdigest(t if i is None else b"%d" % i) for i, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                held.append((ids, sizes.astype(np.uint32) | flags.astype(np.uint32) << np.uint32(31), np.array(salts, np.uint32)))
                 n += len(ids)
                 texts += part.num_rows
         if held:
@@ -264,7 +266,7 @@ def dealt(chunks: DataFrame, known) -> DataFrame:
         for batch in batches:
             for row in _each(batch):
                 x, w1, w2, text = _events(row)
-                bucket = head.bucket_of(w1, w2, row["chunk"])
+                bucket = head.bucket_of(w1, w2, _unpacked(row["salts"], row["texts"], 1)[0][text & np.uint32((1 << 31) - 1)])
                 order = np.lexsort((w1, bucket)) if head.buckets > 1 << 16 else np.argsort(bucket.astype(np.uint64) << np.uint64(48) | w1.astype(np.uint64) << np.uint64(16) | text & np.uint32(0xFFFF))
                 x, w1, w2, text, bucket = x[order], w1[order], w2[order], text[order], bucket[order]
                 del order
@@ -589,7 +591,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     known = spark.sparkContext.broadcast(head.plain())
     parts = stored(encoded(rows, known), "lm-ids")
     texts = parts.where(F.col("ids").isNull()).select("doc_id", "held_out", "chunk", "place", "n_tokens", "n_known", "base", "tail")
-    chunks = parts.where(F.col("ids").isNotNull()).select("chunk", "n", "texts", "sizes", "ids")
+    chunks = parts.where(F.col("ids").isNotNull()).select("chunk", "n", "texts", "sizes", "ids", "salts")
     if head.total:
         table = train(chunks, head, known, rounds)
         model = stored(scored(dealt(chunks, known), known, table, head.buckets), "lm-scores")
