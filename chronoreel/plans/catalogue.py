@@ -720,7 +720,7 @@ def raw_video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw video files written by the sink that commits, sampled by the data source; stride and filters are applied before a frame is read."""
     root = fresh_folder(spark)
     sinks.write_raw_videos(_pixel_frames(spark, sf_dir), root)
-    rows = raw.raw_videos(spark, root, 4.0, range_bytes=100).where((F.col("frame_ordinal") >= 2) & (F.col("native_index") < 90))
+    rows = raw.raw_videos(spark, root, 4.0, range_bytes=4096).where((F.col("frame_ordinal") >= 2) & (F.col("native_index") < 90))
     return rows.select("video_key", "frame_ordinal", "native_index", _r("time_sec"), "native_fps", F.hex("image.data").alias("pixels"))
 
 

@@ -2,7 +2,7 @@
 
 ``spark.read.format("chronoreel_raw").option("fps", 4).load(root)``: a row for each sampled frame. A file is the line
 "fps height width channels" and its frames' bytes; its path below the root, without the suffix, is its video_key. Files are planned by byte ranges without being opened, so one
-large file is read by many tasks; a range has the frames that begin in it. The stride and filters on video_key,
+large file is read by many tasks and many small ones by one; a range has the frames that begin in it. The stride and filters on video_key,
 native_index, frame_ordinal and time_sec are applied before a frame's bytes are read; a file whose name a filter excludes is
 not opened. Option ``images`` (true) says whether there is an image column, ``range_bytes`` how large a range is.
 """
@@ -32,7 +32,7 @@ _COLUMNS = ("video_key", "native_index", "frame_ordinal", "time_sec")
 
 
 @dataclass
-class FrameRange(D.InputPartition):
+class FrameRange:
     """The frames of a file that begin in [start, end) of its bytes."""
 
     path: str
@@ -49,6 +49,13 @@ def _key(path: str) -> str:
     return f"{folder}/{name}" if folder else name
 
 
+@dataclass
+class Ranges(D.InputPartition):
+    """What one task reads: a range of a large file, or many small files."""
+
+    ranges: list[FrameRange]
+
+
 class RawReader(D.DataSourceReader):
     def __init__(self, root: str, fps: float, images: bool, range_bytes: int) -> None:
         self.root, self.fps, self.images, self.range_bytes = root, fps, images, max(1, range_bytes)
@@ -68,7 +75,7 @@ class RawReader(D.DataSourceReader):
         by_name = {k.__name__: v for k, v in _COMPARE.items()}
         return all(known[c] in v if kind == "In" else by_name[kind](known[c], v) for c, kind, v in self.tests if c in known)
 
-    def partitions(self) -> list[FrameRange]:
+    def partitions(self) -> list[Ranges]:
         import pyarrow.fs
 
         fs, base = store_of(self.root)
@@ -84,9 +91,21 @@ class RawReader(D.DataSourceReader):
                 continue
             name = self.root if not _is_dir(top) else f"{self.root.rstrip('/')}{x.path[len(base.rstrip('/')) :]}"
             out += [FrameRange(name, key, at, min(at + self.range_bytes, x.size), x.size) for at in range(0, max(x.size, 1), self.range_bytes)]
-        return out
-
-    def read(self, part: FrameRange) -> Iterator:
+        packed, room = [], 0
+        for one in out:
+            size = one.end - one.start
+            if not packed or size > room:
+                packed.append(Ranges([]))
+                room = self.range_bytes
+            packed[-1].ranges.append(one)
+            room -= size
+        return packed
+
+    def read(self, part: Ranges) -> Iterator:
+        for one in part.ranges:
+            yield from self._frames(one)
+
+    def _frames(self, part: FrameRange) -> Iterator:
         fs, path = store_of(part.path)
         with fs.open_input_file(path) as file:
             head = file.read(256).partition(b"\n")
