@@ -388,10 +388,10 @@ SELECT video_id, duration, domain, url FROM (SELECT cu.*, row_number() OVER (PAR
 
 def _strata_size(videos: DataFrame) -> int:
     """Room for every stratum and half as many again."""
-    return 200 if videos.count() >= 1000 else 120
+    return (3 * videos.select("duration", "domain").distinct().count() + 1) // 2
 
 
-_SAMPLE = _sample_sql("CASE WHEN (SELECT count(*) FROM customer) >= 1000 THEN 200 ELSE 120 END", "")
+_SAMPLE = _sample_sql("(SELECT (3 * count(*) + 1) // 2 FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer))", "")
 
 
 @query(_SAMPLE)
