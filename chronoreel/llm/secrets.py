@@ -20,9 +20,9 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,18 +185,20 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     word = re.compile(r"[A-Za-z][A-Za-z0-9+/_=-]{3,}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[bool, str]] = Counter()
+        seen = np.zeros((2, 128, 128), np.int64)  # by label, character before (a line break for none) and character
         for batch in batches:
             for x in batch.column(0):
                 text = x.as_py()
                 rules = rule_spans(text)
-                found = [(True, (ASSIGN.fullmatch(text[a:b])[2] if k == 0 else text[a:b]).strip(".")) for a, k, b in rules]
-                found += [(False, m[0]) for m in free_runs(text, rules, word)]
-                for label, string in found:
-                    string = string.replace(".", "")
-                    seen.update((label, pair) for pair in (string[:1], *map("".join, zip(string, string[1:], strict=False))) if pair)
-        rows = [[k for k, _ in seen], [p for _, p in seen], list(seen.values())]
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.bool_(), pa.string(), pa.int64()), strict=True)], ["random", "pair", "n"])
+                strings = [(ASSIGN.fullmatch(text[a:b])[2] if k == 0 else text[a:b]).replace(".", "") for a, k, b in rules]
+                for label, found in ((1, strings), (0, [m[0] for m in free_runs(text, rules, word)])):
+                    codes = np.frombuffer("\n".join(["", *found]).encode("ascii"), np.uint8)
+                    if len(codes):
+                        last, now = codes[:-1].astype(np.int64), codes[1:]
+                        seen[label] += np.bincount((last * 128 + now)[now != 10], minlength=128 * 128).reshape(128, 128)
+        label, last, now = (x.tolist() for x in np.nonzero(seen))
+        pairs = [("" if a == 10 else chr(a)) + chr(b) for a, b in zip(last, now, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([bool(x) for x in label], pa.bool_()), pa.array(pairs, pa.string()), pa.array(seen[label, last, now], pa.int64())], ["random", "pair", "n"])
 
     texts = docs.where(drawn).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return texts.mapInArrow(count, "random boolean, pair string, n long").groupBy("random", "pair").agg(F.sum("n").alias("n"))
