@@ -3,7 +3,7 @@
 ``df.write.format("chronoreel_files").mode("append").save(root)`` writes the rows (path, content) as files below ``root``.
 Rows of one path that follow each other in a task are one file, so a clip streams. A task writes below a folder of its
 attempt; only when all tasks are done the driver moves what the successful attempts wrote into place, whole folders at once
-where nothing is there yet, and writes ``_SUCCESS``. Attempts that failed or lost a race are deleted with the job's folder, and an aborted
+where nothing is there yet and one task has all of it, and writes ``_SUCCESS``. So deal the files of a folder to one task where they are many and small. Attempts that failed or lost a race are deleted with the job's folder, and an aborted
 job leaves nothing. ``overwrite`` empties ``root`` at the commit, not before. A path that two tasks write, or that is
 there already, ends the job before anything is moved.
 """
@@ -11,7 +11,8 @@ there already, ends the job before anything is moved.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 
 NAME = "chronoreel_files"
 ATTEMPTS = "_attempts"
+MOVES_AT_ONCE = 16
+ROWS, BYTES = 1024, 4 << 20  # of a batch of names or contents
 
 
 def store_of(path: str):
@@ -54,7 +57,7 @@ class CommittingWriter(DataSourceWriter):
         attempt = f"{task.partitionId()}-{task.attemptNumber()}-{task.taskAttemptId()}"
         top = f"{self._job(base)}/{attempt}"
         fs.create_dir(top, recursive=True)
-        open_path, out, seen = None, None, set()
+        open_path, out, seen, made = None, None, set(), None
         try:
             for row in iterator:
                 path = row["path"]
@@ -64,7 +67,9 @@ class CommittingWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     seen.add(path)
-                    fs.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                    if (folder := path.rpartition("/")[0]) != made:
+                        fs.create_dir(f"{top}/{folder}", recursive=True)
+                        made = folder
                     open_path, out = path, fs.open_output_stream(f"{top}/{path}")
                 out.write(bytes(row["content"] or b""))
         finally:
@@ -75,15 +80,17 @@ class CommittingWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         fs, base = store_of(self.root)
         tops = [f"{self._job(base)}/{m.attempt}" for m in messages if m is not None]
-        taken: set[str] = set()
-        for top in tops:
-            self._check(fs, top, base, taken)
+        folders: list[str] = []
+        moves = list(self._moves(fs, tops, base, not self.overwrite, folders))
         if self.overwrite:
-            for name, info in _children(fs, base).items():
+            for name, info in (_children(fs, base) or {}).items():
                 if name != ATTEMPTS:
                     fs.delete_dir(info.path) if _is_dir(info) else fs.delete_file(info.path)
-        for top in tops:
-            self._merge(fs, top, base)
+        for folder in folders:
+            fs.create_dir(folder)
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+            for _ in pool.map(lambda x: fs.move(*x), moves):
+                pass
         fs.delete_dir(self._job(base))
         if not _children(fs, f"{base}/{ATTEMPTS}"):
             fs.delete_dir(f"{base}/{ATTEMPTS}")
@@ -97,25 +104,28 @@ class CommittingWriter(DataSourceWriter):
         if _children(fs, f"{base}/{ATTEMPTS}") == {}:
             fs.delete_dir(f"{base}/{ATTEMPTS}")
 
-    def _check(self, fs, top: str, base: str, taken: set[str]) -> None:
-        """Nothing that stays may be hidden by a new file, nor one new file by another."""
-        import pyarrow.fs
-
-        for info in fs.get_file_info(pyarrow.fs.FileSelector(top, recursive=True)):
-            if _is_dir(info):
+    def _moves(self, fs, sources: list[str], target: str, exists: bool, folders: list[str], path: str = "") -> Iterator[tuple[str, str]]:
+        """(from, to) for all that lies in ``sources``: whole folders where one source has them and they are new; ``folders`` are to be made before.
+
+        Nothing that stays may be hidden by a new file, nor one new file by another.
+        """
+        there = (_children(fs, target) or {}) if exists else {}
+        found: dict[str, list] = {}
+        for source in sources:
+            for name, info in (_children(fs, source) or {}).items():
+                found.setdefault(name, []).append(info)
+        for name, infos in found.items():
+            own = f"{path}/{name}".lstrip("/")
+            if name not in there and len(infos) == 1:
+                yield infos[0].path, f"{target}/{name}"
                 continue
-            path = info.path[len(top) :].lstrip("/")
-            there = not self.overwrite and fs.get_file_info(f"{base}/{path}").type != pyarrow.fs.FileType.NotFound
-            if path in taken or there:
-                raise FileExistsError(f"{path} is written twice" if path in taken else f"{path} is there already")
-            taken.add(path)
-
-    def _merge(self, fs, source: str, target: str) -> None:
-        for name, info in (_children(fs, source) or {}).items():
-            if _is_dir(info) and _children(fs, f"{target}/{name}") is not None:
-                self._merge(fs, info.path, f"{target}/{name}")
-            else:
-                fs.move(info.path, f"{target}/{name}")
+            if name in there and not all(map(_is_dir, [there[name], *infos])):
+                raise FileExistsError(f"{own} is there already")
+            if not all(map(_is_dir, infos)):
+                raise FileExistsError(f"{own} is written twice")
+            if name not in there:
+                folders.append(f"{target}/{name}")
+            yield from self._moves(fs, [x.path for x in infos], f"{target}/{name}", name in there, folders, own)
 
 
 def _is_dir(info) -> bool:
@@ -150,23 +160,69 @@ def write_files(rows: DataFrame, root: str, mode: str = "append") -> None:
     rows.select("path", F.col("content").cast("binary").alias("content")).write.format(NAME).mode(mode).save(root)
 
 
-def list_folders(spark: SparkSession, root: str, depth: int) -> DataFrame:
-    """(path, n_files) of all folders ``depth`` levels below ``root``; a folder without files counts 0, a root that is not there has none.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by path into as many tasks as a shuffle has; names are few bytes and much work, so their number must not follow their size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
-    Each level is listed by the tasks that the level above is dealt to. Names that begin with ``_`` or ``.`` are left out.
-    """
-    fields = "path string, is_dir boolean"
 
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mapped(rows: DataFrame, root: str, each: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """``each(file system, root's path, path)`` for every path, in batches."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = store_of(root)
+        out, size = [], 0
         for pdf in batches:
             for path in pdf["path"]:
-                fs, base = store_of(path)
-                found = [(f"{path.rstrip('/')}/{name}", _is_dir(x), path) for name, x in (_children(fs, base) or {}).items() if name[0] not in "_."]
-                yield pd.DataFrame(found, columns=["path", "is_dir", "parent"])
+                for row in each(fs, base.rstrip("/"), path):
+                    out.append(row)
+                    size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+                    if len(out) >= ROWS or size >= BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+        yield pd.DataFrame(out, columns=names)
 
-    level = spark.createDataFrame([(root.rstrip("/"),)], "path string")
+    return rows.mapInPandas(run, schema)
+
+
+def _inside(fs, base: str, path: str, folders: bool) -> Iterator[tuple[str]]:
+    for name, info in (_children(fs, base + path) or {}).items():
+        if name[0] not in "_." and _is_dir(info) == folders:
+            yield (f"{path}/{name}",)
+
+
+def _level(spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """(path) of the folders ``depth`` levels below ``root``, as /a/b; each level is listed by the tasks that the level above is dealt to."""
+    level = spark.createDataFrame([("",)], "path string")
     for _ in range(depth):
-        found = level.mapInPandas(inside, f"{fields}, parent string")
-        level = found.where("is_dir").select("path").repartition("path")
-    counts = level.mapInPandas(inside, f"{fields}, parent string").where("NOT is_dir").groupBy(F.col("parent").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("n_files"))
-    return level.join(counts, "path", "left").select("path", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+        level = _dealt(_mapped(level, root, lambda fs, base, path: _inside(fs, base, path, True), "path string"))
+    return level
+
+
+def list_folders(spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """(path, n_files) of all folders ``depth`` levels below ``root``; a folder without files counts 0, a root that is not there has none.
+
+    Names that begin with ``_`` or ``.`` are left out.
+    """
+    root = root.rstrip("/")
+
+    def counted(fs, base: str, path: str) -> list[tuple[str, int]]:
+        return [(path, sum(1 for _ in _inside(fs, base, path, False)))]
+
+    found = _mapped(_level(spark, root, depth), root, counted, "path string, n_files int")
+    return found.select(F.concat(F.lit(root), "path").alias("path"), "n_files")
+
+
+def list_files(spark: SparkSession, root: str, depth: int) -> DataFrame:
+    """(path) below ``root``, as /a/b.txt, of the files in all folders ``depth`` levels below it; names that begin with ``_`` or ``.`` are left out."""
+    return _dealt(_mapped(_level(spark, root.rstrip("/"), depth), root, lambda fs, base, path: _inside(fs, base, path, False), "path string"))
+
+
+def contents(found: DataFrame, root: str) -> DataFrame:
+    """(path, content) of the files that ``list_files`` found. They are read where their names were dealt to, and the driver holds none of the names."""
+
+    def read(fs, base: str, path: str) -> Iterator[tuple[str, bytes]]:
+        with fs.open_input_file(base + path) as file:
+            yield path, file.read()
+
+    return _mapped(found, root, read, "path string, content binary")

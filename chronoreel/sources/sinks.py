@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronoreel.functions.text import frame_tag
 
@@ -21,7 +22,16 @@ def write_result_files(results: DataFrame, root: str, mode: str = "append") -> N
     from chronoreel.sources.files import write_files
 
     path = F.concat("video_key", F.lit("/"), "question_id", F.lit(".json"))
-    write_files(results.select(path.alias("path"), F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("content")), root, mode)
+    content = F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"})
+    write_files(results.repartition("video_key").select(path.alias("path"), content.alias("content")), root, mode)
+
+
+def read_result_files(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rows of ``write_result_files``, read by the tasks that list the folders of the videos."""
+    from chronoreel.sources.files import contents, list_files
+
+    found = contents(list_files(spark, root, 1), root)
+    return found.select(F.from_json(F.col("content").cast("string"), schema).alias("row")).select("row.*")
 
 
 def write_manifest_files(videos: DataFrame, root: str, mode: str = "append") -> None:
@@ -89,6 +99,53 @@ def png(image: Row) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
 
 
+def from_png(content: bytes) -> tuple[int, int, int, bytes]:
+    """(height, width, channels, bytes in blue-green-red order) of a PNG file with 8 bits a channel, grey or in colours, with or without opacity."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, body, head = 8, b"", b""
+    while at < len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        data = content[at + 8 : at + 8 + size]
+        head, body = data if kind == b"IHDR" else head, body + data if kind == b"IDAT" else body
+        at += size + 12
+    w, h, depth, colour, *_, laced = struct.unpack(">IIBBBBB", head)
+    if depth != 8 or colour not in (0, 2, 4, 6) or laced:
+        raise ValueError("only PNG files of 8 bits a channel without a palette or interlacing")
+    c = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * c)
+    out = np.zeros((h + 1, w + 1, c), np.uint8)  # a line above and a pixel before that are zero
+    for y in range(h):
+        kind, line = lines[y, 0], lines[y, 1:].reshape(w, c)
+        above = out[y]
+        if kind == 0:
+            out[y + 1, 1:] = line
+        elif kind == 1:
+            out[y + 1, 1:] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            out[y + 1, 1:] = line + above[1:]
+        else:
+            for x in range(1, w + 1):
+                a, b, d = out[y + 1, x - 1].astype(np.int16), above[x].astype(np.int16), above[x - 1].astype(np.int16)
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    p, q, r = abs(b - d), abs(a - d), abs(a + b - 2 * d)
+                    guess = np.where((p <= q) & (p <= r), a, np.where(q <= r, b, d))
+                out[y + 1, x] = (line[x - 1] + guess).astype(np.uint8)
+    pixels = out[1:, 1:]
+    if c == 2:
+        pixels = pixels[..., [0, 0, 0, 1]]
+    elif c > 2:
+        pixels = pixels[..., [2, 1, 0, 3][:c]]
+    return h, w, pixels.shape[2], pixels.tobytes()
+
+
 def png_writer(root: str) -> Callable[[Row], None]:
     """For ``export_frames``: <root>/<video>/<question>/evidence_frames/<name>.png, in any store that pyarrow reaches."""
 
@@ -132,7 +189,22 @@ def write_evidence(evidence: DataFrame, images: DataFrame, root: str, mode: str
 
     rows = frame_names(evidence).join(images.select("video_key", F.col("frame_ordinal").alias("frame_index"), "image"), ["video_key", "frame_index"])
     path = F.concat_ws("/", "video_key", "question_id", F.lit("evidence_frames"), "file_name")
-    write_files(rows.select(path.alias("path"), encoded("image").alias("content")), root, mode)
+    # A question's frames are few; a video's folders are one task's, so each video is one move at the commit.
+    write_files(rows.repartition("video_key").select(path.alias("path"), encoded("image").alias("content")), root, mode)
+
+
+def read_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """(video_key, question_id, file_name, image) of the frames that ``write_evidence`` left, listed and read in tasks."""
+    from chronoreel.sources.files import contents, list_files
+
+    parts = F.split("path", "/")
+
+    @F.pandas_udf("height int, width int, nChannels int, data binary")
+    def decoded(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([from_png(x) for x in content], columns=["height", "width", "nChannels", "data"])
+
+    found = contents(list_files(spark, root, 3).where(F.element_at(parts, -2) == "evidence_frames"), root)
+    return found.select(F.element_at(parts, -4).alias("video_key"), F.element_at(parts, -3).alias("question_id"), F.element_at(parts, -1).alias("file_name"), decoded("content").alias("image"))
 
 
 def exported_counts(spark: SparkSession, root: str) -> DataFrame:
