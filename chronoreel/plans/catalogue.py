@@ -738,10 +738,9 @@ SELECT ev.video_key, question_id, lpad(position::VARCHAR, 2, '0') || '_' || repl
 FROM ev JOIN px ON px.video_key = ev.video_key AND px.native_index = ev.frame_index"""
 )
 def exported_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence frames as committed PNG files, read back with Spark's image reader."""
-    found = spark.read.format("image").load(f"{_shown(spark, sf_dir)}/*/*/evidence_frames").select("image.*")
-    parts = F.split("origin", "/")
-    return found.select(F.element_at(parts, -4).alias("video_key"), F.element_at(parts, -3).alias("question_id"), F.element_at(parts, -1).alias("file_name"), "height", "width", F.hex("data").alias("pixels"))
+    """Evidence frames as committed PNG files, listed and read back in tasks."""
+    found = sinks.read_evidence(spark, _shown(spark, sf_dir))
+    return found.select("video_key", "question_id", "file_name", "image.height", "image.width", F.hex("image.data").alias("pixels"))
 
 
 @query(
