@@ -160,9 +160,9 @@ def write_files(rows: DataFrame, root: str, mode: str = "append") -> None:
     rows.select("path", F.col("content").cast("binary").alias("content")).write.format(NAME).mode(mode).save(root)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
     """Rows dealt by path into as many tasks as a shuffle has; names are few bytes and much work, so their number must not follow their size."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", *more)
 
 
 def _mapped(rows: DataFrame, root: str, each: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
@@ -218,6 +218,18 @@ def list_files(spark: SparkSession, root: str, depth: int) -> DataFrame:
     return _dealt(_mapped(_level(spark, root.rstrip("/"), depth), root, lambda fs, base, path: _inside(fs, base, path, False), "path string"))
 
 
+def list_ranges(spark: SparkSession, root: str, depth: int, range_bytes: int) -> DataFrame:
+    """(path, start, end, size) of the files that ``list_files`` finds, cut into ranges of their bytes."""
+
+    def ranges(fs, base: str, path: str) -> Iterator[tuple[str, int, int, int]]:
+        for name, info in (_children(fs, base + path) or {}).items():
+            if name[0] not in "_." and not _is_dir(info):
+                for at in range(0, max(info.size, 1), range_bytes):
+                    yield f"{path}/{name}", at, min(at + range_bytes, info.size), info.size
+
+    return _dealt(_mapped(_level(spark, root, depth), root, ranges, "path string, start long, end long, size long"), "start")
+
+
 def contents(found: DataFrame, root: str) -> DataFrame:
     """(path, content) of the files that ``list_files`` found. They are read where their names were dealt to, and the driver holds none of the names."""
 

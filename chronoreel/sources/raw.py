@@ -14,16 +14,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chronoreel.schemas import FRAMES
-from chronoreel.sources.files import _is_dir, store_of
+from chronoreel.sources.files import _is_dir, list_ranges, store_of
 
 NAME = "chronoreel_raw"
 RANGE_BYTES = 64 << 20
+FILES = 1024  # of a task at most, however small they are
 BATCH = 64
 IMAGE = "image struct<height: int, width: int, nChannels: int, data: binary>"
 
@@ -93,7 +95,7 @@ class RawReader(D.DataSourceReader):
             out += [FrameRange(name, key, at, min(at + self.range_bytes, x.size), x.size) for at in range(0, max(x.size, 1), self.range_bytes)]
         packed, room = [], 0
         for one in out:
-            size = one.end - one.start
+            size = one.end - one.start + self.range_bytes / FILES
             if not packed or size > room:
                 packed.append(Ranges([]))
                 room = self.range_bytes
@@ -138,8 +140,6 @@ class RawReader(D.DataSourceReader):
         return {"height": h, "width": w, "nChannels": c, "data": file.read(h * w * c)}
 
     def _batch(self, rows: list[tuple]):
-        import pyarrow as pa
-
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.float32(), pa.float64()]
         names = [x.split()[0] for x in FRAMES.split(", ")]
         if self.images:
@@ -174,7 +174,19 @@ def raw_videos(spark: SparkSession, root: str, fps: float = 4.0, images: bool =
 
 
 def raw_clips(spark: SparkSession, root: str, images: bool = True) -> DataFrame:
-    """All frames of the clips <root>/<video>/<clip>.raw: video_key, clip, frame_ordinal and the other columns."""
+    """All frames of the clips <root>/<video>/<clip>.raw: video_key, clip, frame_ordinal and the other columns.
+
+    Clips are many and small: tasks list the folders of the videos and read what they are dealt, and the driver plans no file.
+    """
+    if not _is_dir((store := store_of(root))[0].get_file_info(store[1])):
+        raise FileNotFoundError(root)
     # A clip's rate is that of its frames, so an endless rate leaves none out.
-    rows = raw_videos(spark, root, float("inf"), images)
+    reader = RawReader(root.rstrip("/"), float("inf"), images, RANGE_BYTES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield from reader._frames(FrameRange(f"{reader.root}{x['path']}", _key(x["path"]), x["start"], x["end"], x["size"]))
+
+    rows = list_ranges(spark, root, 1, RANGE_BYTES).mapInArrow(read, f"{FRAMES}, {IMAGE}" if images else FRAMES)
     return rows.withColumn("clip", F.element_at(F.split("video_key", "/"), -1)).withColumn("video_key", F.element_at(F.split("video_key", "/"), -2))

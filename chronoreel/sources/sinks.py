@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chronoreel.functions.text import frame_tag
 
+CLIPS = 64
 
 def write_results(results: DataFrame, path: str) -> None:
     """One JSON row per question, below url=.../question_id=...; an earlier run is overwritten."""
@@ -217,27 +218,36 @@ def exported_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _write_raw(frames: DataFrame, root: str, mode: str) -> None:
-    """Frames (path, at, fps, image) as raw videos, a file for each path; its frames, in the order of ``at``, stream through one task."""
+    """Frames (path, at, fps, image, part) as raw videos, a file for each path; its frames, in the order of ``at``, stream through one task.
+
+    Files of one ``part`` are written by the same task. The first frame of a file brings the head, so frames are gone through once.
+    """
     from chronoreel.sources.files import write_files
 
-    size = F.struct("fps", "image.height", "image.width", "image.nChannels")
-    heads = frames.groupBy("path").agg(F.min_by(size, "at").alias("h")).select("path", F.lit(-1).cast("long").alias("at"), F.format_string("%s %d %d %d\n", F.col("h.fps").cast("string"), "h.height", "h.width", "h.nChannels").cast("binary").alias("content"))
-    rows = heads.unionAll(frames.select("path", F.col("at").cast("long").alias("at"), F.col("image.data").alias("content")))
-    write_files(rows.repartition("path").sortWithinPartitions("path", "at"), root, mode)
+    head = F.format_string("%s %d %d %d\n", F.col("fps").cast("string"), "image.height", "image.width", "image.nChannels").cast("binary")
+    first = F.row_number().over(Window.partitionBy("part", "path").orderBy("at")) == 1
+    data = F.coalesce("image.data", F.lit(b""))
+    rows = frames.repartition("part").select("part", "path", "at", F.when(first, F.concat(head, data)).otherwise(data).alias("content"))
+    write_files(rows.sortWithinPartitions("part", "path", "at"), root, mode)
 
 
 def write_raw_videos(frames: DataFrame, root: str, mode: str = "append") -> None:
     """Native frames (video_key, native_index, native_fps, image) as <root>/<video>.raw, which ``raw`` reads."""
-    _write_raw(frames.select(F.concat("video_key", F.lit(".raw")).alias("path"), F.col("native_index").alias("at"), F.col("native_fps").alias("fps"), "image"), root, mode)
+    path = F.concat("video_key", F.lit(".raw"))
+    _write_raw(frames.select(path.alias("path"), F.col("native_index").alias("at"), F.col("native_fps").alias("fps"), "image", path.alias("part")), root, mode)
 
 
 def write_raw_clips(segments: DataFrame, images: DataFrame, root: str, fps: float, max_segments: int | None = None, mode: str = "append") -> None:
-    """The first ``max_segments`` segments of each level as <root>/<video>/<segment_id>.raw, both boundary frames included."""
+    """The first ``max_segments`` segments of each level as <root>/<video>/<segment_id>.raw, both boundary frames included.
+
+    Clips go to tasks by CLIPS of a video, so a video with few is one move at the commit and one with many is no single task's.
+    """
     from chronoreel.operators.segments import frames_of
 
     some = segments if max_segments is None else segments.where(F.col("segment_no") < max_segments)
     rows = frames_of(some, "segment_id").join(images.select("video_key", "frame_ordinal", "image"), ["video_key", "frame_ordinal"])
-    _write_raw(rows.select(F.concat("video_key", F.lit("/"), "segment_id", F.lit(".raw")).alias("path"), F.col("frame_ordinal").alias("at"), F.lit(float(fps)).alias("fps"), "image"), root, mode)
+    path, part = F.concat("video_key", F.lit("/"), "segment_id", F.lit(".raw")), F.concat_ws("/", "video_key", F.floor(F.col("segment_no") / CLIPS).cast("string"))
+    _write_raw(rows.select(path.alias("path"), F.col("frame_ordinal").alias("at"), F.lit(float(fps)).alias("fps"), "image", part.alias("part")), root, mode)
 
 
 def export_clips(segments: DataFrame, images: DataFrame, write: Callable[[tuple, Iterable[Row]], None], max_segments: int | None = None) -> None:

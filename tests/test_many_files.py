@@ -73,3 +73,29 @@ def test_all_filters_of_png_files(c, colour):
     assert sinks.from_png(png) == (h, w, len(order), pixels[..., order].astype(np.uint8).tobytes())
     with pytest.raises(ValueError, match="not a PNG"):
         sinks.from_png(b"GIF89a")
+
+
+def test_small_raw_files_are_many_tasks(spark, tmp_path):
+    from chronoreel.sources import raw
+
+    for i in range(3 * raw.FILES):
+        (tmp_path / f"{i}.raw").write_bytes(b"1 1 1 1\n\x07")
+    assert len(raw.RawReader(str(tmp_path), 4.0, True, raw.RANGE_BYTES).partitions()) >= 3
+
+
+def test_clips_are_written_in_one_pass_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from chronoreel.sources import raw
+
+    rows = [(v, i, {"height": 1, "width": 2, "nChannels": 1, "data": bytearray([k, i])}) for k, v in enumerate("abcdefgh") for i in range(9)]
+    images = spark.createDataFrame(rows, f"video_key string, frame_ordinal int, {raw.IMAGE}")
+    cut = spark.createDataFrame([(v, "low", n, f"low_{n:04d}", n, n + 2) for v in "abcdefgh" for n in range(6)], "video_key string, level string, segment_no int, segment_id string, start_index int, end_index int")
+    plans = []
+    write = files.write_files
+    monkeypatch.setattr(files, "write_files", lambda rows, *more: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, *more))
+    sinks.write_raw_clips(cut, images, str(tmp_path / "clips"), 4.0)
+    assert plans[0].count("Join") == 1
+    clips = raw.raw_clips(spark, f"file://{tmp_path}/clips/")
+    assert sorted((r["video_key"], r["clip"], r["frame_ordinal"], bytes(r["image"]["data"])) for r in clips.collect()) == [(v, f"low_{n:04d}", i, bytes([k, n + i])) for k, v in enumerate("abcdefgh") for n in range(6) for i in range(3)]
+    assert clips.select(F.spark_partition_id()).distinct().count() == 4
+    with pytest.raises(FileNotFoundError):
+        raw.raw_clips(spark, str(tmp_path / "not there"))
