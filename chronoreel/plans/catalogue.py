@@ -798,7 +798,7 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows as committed JSON files, one a question, read back."""
     root, rows = fresh_folder(spark), _results(spark, sf_dir)
     sinks.write_result_files(rows, root)
-    back = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").json(root)
+    back = sinks.read_result_files(spark, root, rows.schema)
     frames = F.array_join(F.transform("evidence_frames", lambda x: x["frame_index"].cast("string")), "|")
     return back.select("video_key", "question_id", "raw_text", "generation_sec", "predicted_letter", "choice_correct", frames.alias("frames"))
 
