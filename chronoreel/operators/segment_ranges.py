@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,22 +102,35 @@ def _pieces(key: str, part: int, ordinal: np.ndarray, t: np.ndarray, s: np.ndarr
     return out
 
 
-def _by_video(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one (part, video) after the other; a range fits a task by its size."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
+def _by_video(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, part, ordinals, times, scores, the first row's further columns) of one (part, video) after the other.
+
+    Of a range three numbers a frame are held, in arrays; its keys go with their batch.
+    """
+    held, now = [], None
+    for batch in batches:
+        keys, parts = batch.column(0), batch.column(1).to_numpy()
+        if not len(parts):
             continue
-        keys = pdf["video_key"].fillna("\0").to_numpy() + "|" + pdf["part"].astype(str).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(pdf)]
+        coded = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((coded[1:] != coded[:-1]) | (parts[1:] != parts[:-1])) + 1), len(parts)]
+        numbers = [batch.column(k).to_numpy(zero_copy_only=False).astype(kind) for k, kind in ((2, np.int64), (3, np.float32), (4, np.float32))]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            now = pdf.iloc[a:b]
-            if held and (held[0]["part"].iloc[0] != now["part"].iloc[0] or held[0]["video_key"].iloc[0] != now["video_key"].iloc[0]):
-                yield pd.concat(held)
-                held = []
-            held.append(now)
-    if held:
-        yield pd.concat(held)
+            own = keys[int(a)].as_py(), int(parts[a])
+            if now is not None and now[:2] != own:
+                yield *now[:2], *(np.concatenate(x) for x in zip(*held, strict=True)), now[2]
+                held, now = [], None
+            now = now or (*own, [c[int(a)].as_py() for c in batch.columns[5:]])
+            held.append([x[a:b] for x in numbers])
+    if now is not None:
+        yield *now[:2], *(np.concatenate(x) for x in zip(*held, strict=True)), now[2]
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of a schema in Spark's words."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+    names, columns = [x.split() for x in schema.split(", ")], list(zip(*rows, strict=True)) or [()] * len(schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, names, strict=True)], [n for n, _ in names])
 
 
 def in_ranges(frames: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
@@ -136,22 +150,19 @@ def segment_levels(frames: DataFrame, levels: dict[str, tuple[float, float]], ma
     longest = np.inf if max_seconds is None else float(max_seconds)
     settings = {level: (float(a), float(b)) for level, (a, b) in levels.items()}
 
-    def columns(group: pd.DataFrame) -> tuple:
-        return group["video_key"].iloc[0], int(group["part"].iloc[0]), group["frame_ordinal"].to_numpy(), group["t"].to_numpy(np.float32), group["s"].to_numpy(np.float32)
+    said_schema = "video_key string, level string, part int, run int, hot_time float, any_time float, to_index int, to_time float, first_index int, first_time float"
 
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["video_key", "level", "part", "run", "hot_time", "any_time", "to_index", "to_time", "first_index", "first_time"]
-        for group in _by_video(batches):
-            key, part, ordinal, t, s = columns(group)
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, ordinal, t, s, _ in _by_video(batches):
             out = []
             for level, (threshold, shortest) in settings.items():
                 found = summary(ordinal, t, s.astype(np.float64) >= threshold, shortest, longest)
                 # The range's first frame is where a video begins, if no range is before it: what follows from there is its summary too.
                 out += [(key, level, part, -1, None, None, *_last_from_first(ordinal, t, s, threshold, shortest, longest), int(ordinal[0]), float(t[0]))]
                 out += [(key, level, part, k, *x, int(ordinal[0]), float(t[0])) for k, x in enumerate(found)]
-            yield pd.DataFrame(out, columns=names).astype({"hot_time": "float64", "any_time": "float64"})
+            yield _table(out, said_schema)
 
-    said = dealt.mapInPandas(summarise, "video_key string, level string, part int, run int, hot_time float, any_time float, to_index int, to_time float, first_index int, first_time float")
+    said = dealt.mapInArrow(summarise, said_schema)
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One boundary at a time goes through the summaries of a video; they stream by in order."""
@@ -178,22 +189,22 @@ def segment_levels(frames: DataFrame, levels: dict[str, tuple[float, float]], ma
 
     order = said.repartition("video_key", "level").sortWithinPartitions("video_key", "level", "part", "run")
     entries = written_once(order.mapInPandas(enter, "video_key string, level string, part int, entry_index int, entry_time float"))
-    given = entries.groupBy("video_key", "part").agg(F.collect_list(F.struct("level", "entry_index", "entry_time")).alias("entries"))  # one of each level
-    joined = rows.join(given.withColumnRenamed("video_key", "__v").withColumnRenamed("part", "__p"), F.col("video_key").eqNullSafe(F.col("__v")) & (F.col("part") == F.col("__p"))).drop("__v", "__p")
+    # Two numbers a level go along with a frame; a list of them would be an object for each frame.
+    of_level = lambda level, c: F.max(F.when(F.col("level") == level, F.col(c)))
+    given = entries.groupBy(F.col("video_key").alias("__v"), F.col("part").alias("__p")).agg(
+        *[of_level(level, c).alias(f"{c}_{k}") for k, level in enumerate(settings) for c in ("entry_index", "entry_time")]
+    )
+    joined = rows.join(given, F.col("video_key").eqNullSafe(F.col("__v")) & (F.col("part") == F.col("__p"))).drop("__v", "__p")
     ready = joined.repartition("part").sortWithinPartitions("part", "video_key", "frame_ordinal")
-    names = ["video_key", "part", "local", "start_index", "start_time", "end_index", "end_time", "last_index", "last_time", "peak", "total", "n", "level"]
+    schema = "video_key string, part int, local int, start_index int, start_time double, end_index int, end_time double, last_index int, last_time double, peak double, total double, n long, level string"
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _by_video(batches):
-            key, part, ordinal, t, s = columns(group)
-            for e in group["entries"].iloc[0]:
-                threshold, shortest = settings[e["level"]]
-                entry = None if e["entry_index"] is None or pd.isna(e["entry_index"]) else (int(e["entry_index"]), float(e["entry_time"]))
-                pdf = pd.DataFrame([(*x, e["level"]) for x in _pieces(key, part, ordinal, t, s, threshold, shortest, longest, entry)], columns=names)
-                yield pdf.astype({"end_index": "Int32", "end_time": "float64"})
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, part, ordinal, t, s, more in _by_video(batches):
+            for k, (level, (threshold, shortest)) in enumerate(settings.items()):
+                entry = None if more[2 * k] is None else (more[2 * k], more[2 * k + 1])
+                yield _table([(*x, level) for x in _pieces(key, part, ordinal, t, s, threshold, shortest, longest, entry)], schema)
 
-    schema = "video_key string, part int, local int, start_index int, start_time double, end_index int, end_time double, last_index int, last_time double, peak double, total double, n long, level string"
-    parts = written_once(ready.mapInPandas(emit, schema))
+    parts = written_once(ready.mapInArrow(emit, schema))
     counted = parts.where(F.col("local") >= 0).groupBy("video_key", "level", "part").agg(F.count(F.lit(1)).alias("k"))
     over = Window.partitionBy("video_key", "level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("k").over(over), F.lit(0))).select(F.col("video_key").alias("__v"), F.col("level").alias("__l"), F.col("part").alias("__p"), "before")

@@ -92,3 +92,25 @@ def test_first_old_enough_rounds_as_the_scan_does():
         got = segment_ranges._first_old_enough(t, t, least)
         want = [next((k for k in range(len(t)) if np.float64(t[k] - x) >= least), len(t)) for x in t]
         assert got.tolist() == want
+
+
+def test_a_range_is_held_in_arrays_and_frames_carry_no_lists(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rows = 400_000, 10_000
+    numbers = np.arange(n)
+    columns = [pa.array(["a video with a long name"] * n), pa.array(np.zeros(n, np.int32)), pa.array(numbers.astype(np.int32)), pa.array((numbers / 4).astype(np.float32)), pa.array(np.ones(n, np.float32))]
+    batches = pa.RecordBatch.from_arrays([*columns, pa.array([7] * n, pa.int32())], ["video_key", "part", "frame_ordinal", "t", "s", "entry_index_0"])
+    tracemalloc.start()
+    (key, part, ordinal, t, s, more) = next(iter(segment_ranges._by_video(batches.slice(i, rows) for i in range(0, n, rows))))
+    assert tracemalloc.get_traced_memory()[1] < 48 * n
+    tracemalloc.stop()
+    assert (key, part, more, len(t)) == ("a video with a long name", 0, [7], n) and (ordinal == numbers).all() and s.all()
+    seen = []
+    plan = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *x: seen.append(df.schema.simpleString()) or plan(df, *x))
+    df = spark.range(50).select(F.lit("v").alias("video_key"), F.col("id").cast("int").alias("frame_ordinal"), F.col("id").cast("float").alias("time_sec"), F.rand(1).cast("float").alias("s"))
+    assert segment_ranges.segment_levels(df, {"low": (0.5, 2.0), "high": (0.8, 3.0)}, None, "s", 4).count() > 0
+    assert len(seen) == 2 and not any("array" in x for x in seen)
