@@ -1,6 +1,7 @@
 """Extension: segmentation of streams whose frames arrive late and out of order, in event time.
 
-State of a video: its open segment, typed, and a list of frames that wait. A frame waits until the watermark has passed
+State of a video: its open segment, typed, its timer, and the frames that wait, in one value: every call to the state store is a
+message to the JVM, and a video in a micro-batch takes one to read and one to write, and two where its timer moves. A frame waits until the watermark has passed
 it, since then none before it can come; those frames go through the scan in order. A timer wakes a video at its next
 waiting frame, and one after its last frame and ``idle_seconds`` closes it, so its tail becomes a segment and its state goes; a
 frame after a longer gap begins the video anew, whatever micro-batch it comes in.
@@ -23,6 +24,9 @@ OUT = "video_key string, segment_no int, start_index int, end_index int, start_t
 NAMES = [x.split()[0] for x in OUT.split(", ")]
 #: Also the columns of an initial state, after video_key; origin is the first frame's time in microseconds.
 OPEN = "segment_no int, start_index int, start_time float, peak float, total double, n bigint, last_index int, last_time float, origin bigint, last_at bigint"
+#: The state of a video; where no frame was released yet, the columns of OPEN are null.
+STATE = f"{OPEN}, timer bigint, waiting binary"
+FRAME = np.dtype([("at", "<i8"), ("tie", "<i8"), ("score", "<f4")])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,57 +36,69 @@ class OrderedSegments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", OPEN)
-        self.waiting = handle.getListState("waiting", "at bigint, tie bigint, score float")
+        self.state = handle.getValueState("video", STATE)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         for row in initialState.drop(columns=["video_key"]).itertuples(index=False):
-            self.open.update(tuple(x.item() if hasattr(x, "item") else x for x in row))
-            self.handle.registerTimer(-(-(int(row.last_at) + self.idle) // 1000))
+            timer = -(-(int(row.last_at) + self.idle) // 1000)
+            self.state.update((*(x.item() if hasattr(x, "item") else x for x in row), timer, b""))
+            self.handle.registerTimer(timer)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(t), float(s)) for pdf in rows for a, t, s in zip(pdf["at"], pdf["tie"], pdf["score"], strict=True)]
-        self.waiting.appendList(new)
-        yield self._released(key, timerValues.getCurrentWatermarkInMs())
+        new = []
+        for pdf in rows:
+            if pdf["at"].dtype.kind != "i" or pdf["tie"].dtype.kind != "i":
+                raise ValueError("frames have a time and a tie")
+            new.append(np.empty(len(pdf), FRAME))
+            for c in FRAME.names:
+                new[-1][c] = pdf[c].to_numpy()
+        yield from self._released(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._released(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._released(key, timerValues.getCurrentWatermarkInMs(), [])
 
-    def _released(self, key: tuple, watermark: int) -> pd.DataFrame:
+    def _released(self, key: tuple, watermark: int, new: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         """Segments closed by the frames that the watermark has passed; sets the next timer."""
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [x for x in waiting if x[0] <= watermark * 1000]
-        rest = waiting[len(ready) :]
-        state = self.open.get() if self.open.exists() else None
+        before = self.state.get()
+        *state, timer, held = before if before is not None else (*[None] * 10, None, b"")
+        waiting = np.concatenate([np.frombuffer(bytes(held), FRAME), *new])
+        waiting = waiting[np.lexsort((waiting["score"], waiting["tie"], waiting["at"]))]
+        n_ready = int(np.searchsorted(waiting["at"], watermark * 1000, side="right"))
+        ready, rest = waiting[:n_ready], waiting[n_ready:]
+        state = state if state[0] is not None else None
         scan, origin, last_at = _Scan(*self.settings), None, None
         if state is not None:
             number, start, start_time, peak, total, n, last, last_time, origin, last_at = state
             scan.key, scan.number, scan.start, scan.start_time = key[0], number, start, np.float32(start_time)
             scan.peak, scan.total, scan.n, scan.last, scan.last_time = np.float32(peak), total, n, last, np.float32(last_time)
-        times = np.array([x[0] for x in ready], np.int64)
-        for part in np.split(np.arange(len(ready)), np.flatnonzero(np.diff(times) > self.idle) + 1) if ready else []:
+        times = ready["at"]
+        for part in np.split(np.arange(len(ready)), np.flatnonzero(np.diff(times) > self.idle) + 1) if len(ready) else []:
             if last_at is None or times[part[0]] - last_at > self.idle:
                 scan.finish()
                 origin, first = int(times[part[0]]), 0
             else:
                 first = scan.last + 1
             seconds = ((times[part] - origin) / 1e6).astype(np.float32)
-            scan.feed(key[0], np.arange(first, first + len(part)), seconds, np.array([ready[i][2] for i in part], np.float32))
+            scan.feed(key[0], np.arange(first, first + len(part)), seconds, ready["score"][part])
             last_at = int(times[part[-1]])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        now: tuple | None = None
         if last_at is not None and last_at + self.idle <= watermark * 1000:
             scan.finish()
-            self.open.clear()
         elif last_at is not None:
-            self.open.update((scan.number, scan.start, float(scan.start_time), float(scan.peak), float(scan.total), int(scan.n), scan.last, float(scan.last_time), int(origin), int(last_at)))
-        if rest or (last_at is not None and self.open.exists()):
-            self.handle.registerTimer(max(watermark + 1, -(-(rest[0][0] if rest else last_at + self.idle) // 1000)))
-        return pd.DataFrame(scan.rows, columns=NAMES)
+            now = (scan.number, scan.start, float(scan.start_time), float(scan.peak), float(scan.total), int(scan.n), scan.last, float(scan.last_time), int(origin), int(last_at))
+        until = None
+        if len(rest) or now is not None:
+            until = max(watermark + 1, -(-(int(rest["at"][0]) if len(rest) else last_at + self.idle) // 1000))
+            self.state.update((*(now or [None] * 10), until, rest.tobytes()))
+        elif before is not None:
+            self.state.clear()
+        if until != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if until is not None:
+                self.handle.registerTimer(until)
+        if scan.rows:
+            yield pd.DataFrame(scan.rows, columns=NAMES)
 
 
 def segment_events(

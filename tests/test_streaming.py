@@ -123,3 +123,52 @@ def test_idle_video_is_closed_and_begins_again(spark, tmp_path):
     got = _streamed(spark, str(tmp_path / "c"), [first, other, again], delay="0 seconds", idle_seconds=3600.0)
     assert sorted(r[:4] for r in got) == [("v", 0, 0, 2), ("v", 0, 0, 2), ("v", 1, 2, 4), ("v", 2, 4, 5)]
     assert got == _streamed(spark, str(tmp_path / "d"), [[*first, *other, *again]], delay="0 seconds", idle_seconds=3600.0)
+
+
+def test_a_video_in_a_batch_takes_few_calls_to_the_state_store():
+    import pandas as pd
+
+    from chronoreel.streaming.ordered import OrderedSegments
+
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    processor = OrderedSegments(0.5, 1.0, None, 1000.0)
+    processor.init(Handle())
+    frames = lambda *xs: iter([pd.DataFrame({"at": [x * 1_000_000 for x in xs], "tie": list(xs), "score": [0.9] * len(xs)})])
+    out = [list(processor.handleInputRows(("v",), frames(3, 1), Times(0))), list(processor.handleInputRows(("v",), frames(2, 9), Times(3000)))]
+    assert calls == ["get", "update", "register", "get", "update", "delete", "register"]
+    assert out[0] == [] and [(r.start_index, r.end_index) for r in out[1][0].itertuples()] == [(0, 1), (1, 2)]
+    rest = list(processor.handleExpiredTimer(("v",), Times(2_000_000), None))
+    assert [(r.start_index, r.end_index) for r in rest[0].itertuples()] == [(2, 3)] and calls[7:] == ["get", "clear", "delete"]
