@@ -22,6 +22,7 @@ from chronoreel.functions.text import segment_id
 from chronoreel.plans.store import written_once
 
 _FRAME = ["video_key", "part", "frame_ordinal", "t", "s"]
+RANGE_FRAMES = 65_536  # frames of a range, about; more frames are more ranges
 
 
 def _first_old_enough(t: np.ndarray, starts: np.ndarray, least: float) -> np.ndarray:
@@ -134,16 +135,20 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def in_ranges(frames: DataFrame, score: str, ranges: int | None = None) -> DataFrame:
-    """(video_key, part, frame_ordinal, t, s): three numbers a frame, dealt by (video, ordinal) and stored."""
-    rows = frames.select("video_key", "frame_ordinal", F.col("time_sec").cast("float").alias("t"), F.col(score).cast("float").alias("s"))
-    n = ranges or int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(video_key, part, frame_ordinal, t, s): three numbers a frame, dealt by (video, ordinal) and stored.
+
+    There are ``ranges`` of them at least, and more where a range would hold more than about RANGE_FRAMES frames.
+    """
+    rows = written_once(frames.select("video_key", "frame_ordinal", F.col("time_sec").cast("float").alias("t"), F.col(score).cast("float").alias("s")))
+    n = max(ranges or int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_FRAMES))
     return written_once(rows.repartitionByRange(n, "video_key", "frame_ordinal").withColumn("part", F.spark_partition_id()).select(*_FRAME))
 
 
 def segment_levels(frames: DataFrame, levels: dict[str, tuple[float, float]], max_seconds: float | None = None, score: str = "combined", ranges: int | None = None) -> DataFrame:
     """Segments of each video at each level; see ``segments.segment_levels`` for the rule and the columns.
 
-    ``ranges``: how many ranges all frames are dealt into; a task has one range of frames in memory.
+    ``ranges``: how many ranges all frames are dealt into at least; a task has one range of frames in memory,
+    about RANGE_FRAMES at most, so a task's memory does not grow with the frames.
     """
     rows = in_ranges(frames, score, ranges)
     dealt = rows.repartition("part").sortWithinPartitions("part", "video_key", "frame_ordinal")

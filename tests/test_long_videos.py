@@ -114,3 +114,12 @@ def test_a_range_is_held_in_arrays_and_frames_carry_no_lists(spark, monkeypatch)
     df = spark.range(50).select(F.lit("v").alias("video_key"), F.col("id").cast("int").alias("frame_ordinal"), F.col("id").cast("float").alias("time_sec"), F.rand(1).cast("float").alias("s"))
     assert segment_ranges.segment_levels(df, {"low": (0.5, 2.0), "high": (0.8, 3.0)}, None, "s", 4).count() > 0
     assert len(seen) == 2 and not any("array" in x for x in seen)
+
+
+def test_a_range_does_not_grow_with_the_frames(spark, monkeypatch):
+    monkeypatch.setattr(segment_ranges, "RANGE_FRAMES", 500)
+    df = spark.range(6000).select(F.lit("one").alias("video_key"), F.col("id").cast("int").alias("frame_ordinal"), (F.col("id") / 4).cast("float").alias("time_sec"), F.rand(7).cast("float").alias("s")).cache()
+    largest = segment_ranges.in_ranges(df, "s", 2).groupBy("part").count().agg(F.max("count")).first()[0]
+    assert largest <= 1000
+    levels = {"low": (0.5, 2.0), "high": (0.9, 6.0)}
+    assert rows_of(segment_ranges.segment_levels(df, levels, None, "s", 2)) == rows_of(segments.segment_levels(df, levels, None, "s"))
