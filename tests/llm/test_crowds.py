@@ -68,3 +68,37 @@ def test_samples_without_ids_are_drawn_by_text(spark):
     seen = secrets.samples(docs, max_rows=400).where("NOT random AND length(pair) = 1").agg(F.sum("n")).first()[0]
     assert 0.5 * 400 * 20 < seen < 1.6 * 400 * 20
     assert secrets.samples(docs.limit(0)).count() == 0
+
+
+def test_near_copies_meet_in_the_gray_order_index(spark):
+    """Pairs of similarity 0.8 to 0.87 meet by their codes alone, and the index leaves nearly all other texts out."""
+    rng = random.Random(21)
+    rows = texts(rng, 1200, [])
+    for base in rows[:200]:
+        words = base.split()
+        words[rng.randrange(len(words))] = f"edit{rng.randrange(1000)}"
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = stored(near_copies.prints(docs).drop("lowest"), "nodes")  # no smallest shingles to meet by
+    placed = near_copies._cells(nodes, near_copies.CELL).toArrow().sort_by("task")
+    pruned, found = [], set()
+    ids = {r["key"]: r["doc_id"] for r in nodes.collect()}
+    key = placed.column("key").to_pylist()
+    for p, q in near_copies._index_pairs(placed, pruned):
+        found |= {tuple(sorted((ids[key[i]], ids[key[j]]))) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+    want = {(i, 1200 + i) for i in range(200)}
+    assert len(found & want) >= 0.99 * len(want) and not found - want
+    assert pruned[0] > placed.num_rows
+
+
+def test_a_crowded_cell_is_dealt_in_blocks_and_loses_no_pair(spark):
+    rng = random.Random(4)
+    rows = [" ".join([*(f"w{i}" for i in range(100)), f"v{k}"]) for k in range(40)] + texts(rng, 40, [])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = stored(near_copies.prints(docs), "nodes")
+    pairs = []
+    for block in (near_copies.CELL, 8):
+        placed = near_copies._cells(nodes, block).toArrow().sort_by("task")
+        key = placed.column("key").to_pylist()
+        pairs.append({frozenset((key[i], key[j])) for p, q in near_copies._index_pairs(placed) for i, j in zip(p.tolist(), q.tolist(), strict=True)})
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 40 * 39 // 2
