@@ -218,6 +218,27 @@ def list_files(spark: SparkSession, root: str, depth: int) -> DataFrame:
     return _dealt(_mapped(_level(spark, root.rstrip("/"), depth), root, lambda fs, base, path: _inside(fs, base, path, False), "path string"))
 
 
+def list_partitioned(spark: SparkSession, root: str) -> DataFrame:
+    """(path) below ``root``, as /a=b/c.json, of the files in it and in folders named key=value below it at any depth: those that Spark's readers find there.
+
+    The folders in ``root`` are dealt to tasks, and so are the names found; a task has its names in order, the same ones at each call.
+    Empty files, and names that begin with ``_`` or ``.``, are left out.
+    """
+
+    def found(fs, base: str, path: str, deep: bool = True) -> Iterator[tuple[str]]:
+        for name, info in (_children(fs, base + path) or {}).items():
+            own = f"{path}/{name}"
+            if name[0] not in "_." and _is_dir(info) and "=" in name:
+                yield from found(fs, base, own) if deep else [(f"{own}/",)]
+            elif name[0] not in "_." and not _is_dir(info) and info.size:
+                yield (own,)
+
+    top = spark.createDataFrame([("",)], "path string")
+    level = _dealt(_mapped(top, root, lambda fs, base, path: found(fs, base, path, False), "path string"))
+    names = _mapped(level, root, lambda fs, base, path: found(fs, base, path[:-1]) if path.endswith("/") else [(path,)], "path string")
+    return _dealt(names).sortWithinPartitions("path")
+
+
 def list_ranges(spark: SparkSession, root: str, depth: int, range_bytes: int) -> DataFrame:
     """(path, start, end, size) of the files that ``list_files`` finds, cut into ranges of their bytes."""
 
@@ -238,3 +259,28 @@ def contents(found: DataFrame, root: str) -> DataFrame:
             yield path, file.read()
 
     return _mapped(found, root, read, "path string, content binary")
+
+
+def documents(found: DataFrame, root: str, limit: int) -> DataFrame:
+    """(path, text) of JSON documents that ``list_partitioned`` found, in the same tasks and order, unpacked by the ending of the name; text is null beyond ``limit`` bytes."""
+    import json
+
+    def read(fs, base: str, path: str) -> Iterator[tuple[str, bytes | None]]:
+        with fs.open_input_stream(base + path) as file:
+            content = file.read(limit + 1)
+        yield path, None if len(content) > limit else content.decode(json.detect_encoding(content)).encode()
+
+    return _mapped(found, root, read, "path string, content binary").select("path", F.col("content").cast("string").alias("text"))
+
+
+def as_folder(spark: SparkSession, path: str) -> str | None:
+    """A path that Spark reads, as ``store_of`` takes it, if it is a folder in a store that pyarrow reaches; else None."""
+    context = spark.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    root = "/" + full.removeprefix("file:").lstrip("/") if full.startswith("file:/") else full
+    try:
+        fs, base = store_of(root)
+        return root if _is_dir(fs.get_file_info(base)) else None
+    except (OSError, ValueError):
+        return None

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronoreel import schemas
 from chronoreel.operators.manifest import group_flat
+from chronoreel.sources.files import as_folder, documents, list_partitioned
+
+DOCUMENT = 64 << 20  # bytes; a folder with a larger document is left to Spark's JSON reader
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -19,7 +22,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
     The file holds an object with ``videos``, a list of nested videos, or a list of flat question rows. A
     missing ``questions`` is an empty list; nulls in other columns are refused.
+
+    A folder of such files is one manifest (without videos if it holds none). Its documents are listed, looked into and
+    read in tasks; row_no then has gaps, and rises inside a document, or with video and url for flat rows.
     """
+    root = as_folder(spark, path)
+    if root is not None:
+        found = documents(list_partitioned(spark, root), root, DOCUMENT)
+        probe = _keys(found)
+        if None not in probe:
+            return _read_documents(found, path, probe)
     probe = spark.read.option("multiLine", True).json(path).schema.names
     if "videos" in probe:
         rows = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(f"videos array<struct<{_struct(schemas.NESTED_VIDEO)}>>").json(path)
@@ -32,8 +44,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         videos = _numbered(spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schemas.NESTED_VIDEO).json(path))
     else:
         raise ValueError(f"{path} is not a manifest: it has {probe}")
-    videos = videos.withColumn("questions", F.coalesce("questions", F.array().cast(videos.schema["questions"].dataType)))
-    return _refuse_nulls(videos)
+    return _with_questions(videos)
+
+
+def _keys(found: DataFrame) -> list[str | None]:
+    """Keys that documents (text), or what they list, have on top; None among them if a text is missing."""
+    listed = F.when(F.ltrim("text", F.lit(" \t\r\n")).startswith("{"), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
+    names = F.flatten(F.transform(F.from_json(listed, "array<map<string,string>>"), F.map_keys))
+    return [r[0] for r in found.select(F.explode(F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(names))).distinct().collect()]
+
+
+def _read_documents(found: DataFrame, path: str, probe: list[str]) -> DataFrame:
+    """``read_manifest`` of documents (text) with such keys."""
+
+    def rows(schema: str) -> DataFrame:
+        return found.select(F.inline(F.from_json("text", f"array<struct<{_struct(schema)}>>", {"mode": "FAILFAST"})))
+
+    number = F.monotonically_increasing_id()
+    if "videos" in probe or not probe:
+        videos = rows(f"videos array<struct<{_struct(schemas.NESTED_VIDEO)}>>").select(F.inline("videos")).withColumn("row_no", number)
+    elif "question_id" in probe:
+        flat = rows(schemas.FLAT_ROW).withColumn("row_no", number)
+        return group_flat(_refuse_nulls(flat, "videoID")).orderBy("video_id", "url").withColumn("row_no", number)
+    elif "url" in probe:
+        videos = rows(schemas.NESTED_VIDEO).withColumn("row_no", number)
+    else:
+        raise ValueError(f"{path} is not a manifest: it has {sorted(probe)}")
+    return _with_questions(videos)
+
+
+def _with_questions(videos: DataFrame) -> DataFrame:
+    return _refuse_nulls(videos.withColumn("questions", F.coalesce("questions", F.array().cast(videos.schema["questions"].dataType))))
 
 
 def read_question_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

@@ -36,12 +36,16 @@ def read_result_files(spark: SparkSession, root: str, schema: StructType) -> Dat
 
 
 def write_manifest_files(videos: DataFrame, root: str, mode: str = "append") -> None:
-    """Videos with nested questions as manifest documents, one a video, which ``read_manifest`` reads as one manifest."""
+    """Videos with nested questions as manifest documents, one a video, which ``read_manifest`` reads as one manifest.
+
+    They lie in 256 folders, <root>/shard=<first two digits of the name>; a folder is one task's and one move at the commit.
+    """
     from chronoreel.sources.files import write_files
 
     content = F.to_json(F.struct(F.array(F.struct(*[c for c in videos.columns if c != "row_no"])).alias("videos")))
-    path = F.concat(F.md5(F.concat_ws("|", "video_id", "url").cast("binary")), F.lit(".json"))
-    write_files(videos.select(path.alias("path"), content.alias("content")), root, mode)
+    name = F.md5(F.concat_ws("|", "video_id", "url").cast("binary"))
+    rows = videos.select(F.substring(name, 1, 2).alias("shard"), name.alias("name"), content.alias("content")).repartition("shard")
+    write_files(rows.select(F.concat(F.lit("shard="), "shard", F.lit("/"), "name", F.lit(".json")).alias("path"), "content"), root, mode)
 
 
 def summary(results: DataFrame, config: dict, elapsed_sec: float | None = None, manifest_path: str | None = None, video_root: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Many small files: folders as one move, names dealt to tasks, files read where their names are."""
 
+import gzip
+import json
 import random
 import struct
 import zlib
@@ -9,7 +11,8 @@ import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
-from chronoreel.sources import files, sinks
+from chronoreel import schemas
+from chronoreel.sources import files, manifest, sinks
 
 
 def touch(root, *names):
@@ -99,3 +102,66 @@ def test_clips_are_written_in_one_pass_and_read_by_many_tasks(spark, tmp_path, m
     assert clips.select(F.spark_partition_id()).distinct().count() == 4
     with pytest.raises(FileNotFoundError):
         raw.raw_clips(spark, str(tmp_path / "not there"))
+
+
+def video(i, n=2):
+    questions = [{"question_id": f"{i}-{k}", "task_type": "x", "question": f"Q \u00e9 {k}", "options": ["A. x", "B. y"], "answer": "A"} for k in range(n)]
+    return {"video_id": f"{i:03d}", "duration": "short", "domain": "d", "sub_category": "s", "url": f"u{i}", "questions": questions}
+
+
+def test_manifest_documents_are_looked_into_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    videos = spark.createDataFrame([json.dumps(video(i)) for i in range(600)], "string").select(F.from_json("value", schemas.NESTED_VIDEO).alias("v")).select("v.*")
+    root = tmp_path / "a folder"
+    moves = []
+    move = files.CommittingWriter._moves
+    monkeypatch.setattr(files.CommittingWriter, "_moves", lambda self, *a: moves.extend(found := list(move(self, *a))) or found)
+    sinks.write_manifest_files(videos, str(root))
+    assert len(list(root.rglob("*.json"))) == 600 and len(moves) <= 256 and {p.name[:6] for p in root.iterdir() if p.is_dir()} == {"shard="}
+    by_spark = sorted((r["videos"][0]["url"], len(r["videos"][0]["questions"])) for r in spark.read.option("multiLine", True).json(str(root)).collect())
+    monkeypatch.setattr("pyspark.sql.DataFrameReader.json", None)  # its inference opens file after file in few tasks
+    back = manifest.read_manifest(spark, str(root))
+    rows = back.collect()
+    assert {(r["url"], r["questions"][1]["question"], len(r["questions"])) for r in rows} == {(f"u{i}", "Q \u00e9 1", 2) for i in range(600)} and len(rows) == len(by_spark) == 600
+    assert by_spark == sorted((r["url"], len(r["questions"])) for r in rows)
+    assert back.select(F.spark_partition_id()).distinct().count() == 4
+    assert [r["row_no"] for r in rows] == [r["row_no"] for r in back.collect()] and len({r["row_no"] for r in rows}) == 600
+    with pytest.raises(Exception, match="is there already"):
+        sinks.write_manifest_files(videos.limit(1), str(root))
+
+
+@pytest.mark.parametrize("form", ["object", "nested", "flat"])
+def test_folders_of_manifests_are_read_as_the_json_reader_does(spark, tmp_path, monkeypatch, form):
+    def document(*ids):
+        found = [video(i, 12) for i in ids]
+        flat = [{**{k: v[k] for k in ("video_id", "duration", "domain", "sub_category", "url")}, **q} for v in found for q in v["questions"]]
+        return json.dumps({"object": {"videos": found}, "nested": found, "flat": flat}[form], indent=1, ensure_ascii=False)
+
+    for name, content in {
+        "plain.json": document(5, 4, 3).encode(), "marked": b"\xef\xbb\xbf" + document(1).encode(), "wide.json": document(2).encode("utf-16"), "packed.json.gz": gzip.compress(document(6, 7).encode()),
+        "a=1/b=x/deep.json": document(8).encode(), "a=2/b=y/deep.json": document(9).encode(), "none.json": b"", "blank.json": b" \n", "_SUCCESS": b"3", ".x.json": b"{", "_old/x.json": document(20).encode(),
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for limit in (manifest.DOCUMENT, 1):
+        monkeypatch.setattr(manifest, "DOCUMENT", limit)
+        if limit == 1:  # Spark's reader wants files in folders of one depth
+            for name in ("plain.json", "marked", "wide.json", "packed.json.gz", "none.json", "blank.json"):
+                (tmp_path / "a=1/b=x" / name).write_bytes((tmp_path / name).read_bytes())
+                (tmp_path / name).unlink()
+        got[limit] = manifest.read_manifest(spark, str(tmp_path)).orderBy("row_no").collect()
+    plain, by_spark = got.values()
+    assert sorted(r[:6] for r in plain) == sorted(r[:6] for r in by_spark) and sorted(r["video_id"] for r in plain) == [f"{i:03d}" for i in range(1, 10)]
+    order = [r["video_id"] for r in plain if r["video_id"] in ("003", "004", "005")]
+    assert order == (["003", "004", "005"] if form == "flat" else ["005", "004", "003"])
+
+
+def test_a_folder_without_documents_is_an_empty_manifest(spark, tmp_path):
+    (tmp_path / "_SUCCESS").write_text("0")
+    assert manifest.read_manifest(spark, f"file://{tmp_path}").count() == 0
+    (tmp_path / "bad.json").write_text('{"a": null}')
+    with pytest.raises(ValueError, match="not a manifest: it has .'a'"):
+        manifest.read_manifest(spark, str(tmp_path))
+    (tmp_path / "bad.json").write_text('{"videos": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        manifest.read_manifest(spark, str(tmp_path)).collect()
