@@ -282,5 +282,5 @@ def as_folder(spark: SparkSession, path: str) -> str | None:
     try:
         fs, base = store_of(root)
         return root if _is_dir(fs.get_file_info(base)) else None
-    except (OSError, ValueError):
+    except (OSError, ValueError, NotImplementedError):
         return None

@@ -48,9 +48,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _keys(found: DataFrame) -> list[str | None]:
-    """Keys that documents (text), or what they list, have on top; None among them if a text is missing."""
+    """Keys that documents (text), or what they list, have on top; "" for objects without any, None if a text is missing."""
     listed = F.when(F.ltrim("text", F.lit(" \t\r\n")).startswith("{"), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
-    names = F.flatten(F.transform(F.from_json(listed, "array<map<string,string>>"), F.map_keys))
+    objects = F.from_json(listed, "array<map<string,string>>")
+    names = F.flatten(F.transform(objects, lambda x: F.when(F.size(x) == 0, F.array(F.lit(""))).otherwise(F.map_keys(x))))
     return [r[0] for r in found.select(F.explode(F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(names))).distinct().collect()]
 
 
@@ -69,7 +70,7 @@ def _read_documents(found: DataFrame, path: str, probe: list[str]) -> DataFrame:
     elif "url" in probe:
         videos = rows(schemas.NESTED_VIDEO).withColumn("row_no", number)
     else:
-        raise ValueError(f"{path} is not a manifest: it has {sorted(probe)}")
+        raise ValueError(f"{path} is not a manifest: it has {sorted(filter(None, probe))}")
     return _with_questions(videos)
 
 

@@ -162,6 +162,20 @@ def test_a_folder_without_documents_is_an_empty_manifest(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"a": null}')
     with pytest.raises(ValueError, match="not a manifest: it has .'a'"):
         manifest.read_manifest(spark, str(tmp_path))
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError, match=r"not a manifest: it has \[\]"):
+        manifest.read_manifest(spark, str(tmp_path))
     (tmp_path / "bad.json").write_text('{"videos": [')
     with pytest.raises(Exception, match="(?i)malformed"):
         manifest.read_manifest(spark, str(tmp_path)).collect()
+
+
+def test_a_store_that_only_spark_reads_and_patterns_go_to_its_reader(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/{i}.json").write_text(json.dumps({"videos": [video(i)]}))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}/in")
+    for path in ("viewfs://shelf/in", f"{tmp_path}/in/[0-9].json"):
+        assert files.as_folder(spark, path) is None
+        assert sorted(r["url"] for r in manifest.read_manifest(spark, path).collect()) == ["u0", "u1", "u2"]
+    assert files.as_folder(spark, f"file:{tmp_path}/in/") == f"{tmp_path}/in"
